@@ -70,7 +70,7 @@ def lowered(c: Column) -> Column:
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
+def texts(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[str]:
     """The column's strings, null as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, contamination, language, outliers, packing, urls
+from . import archives, contamination, language, near, outliers, packing, privacy, quality, toxicity, urls
 from ._common import fold, read
 
 #: Folder of the public tokenizers' files.
@@ -32,6 +32,20 @@ def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.trained(documents, labels.filter(fold("doc_id", 5) != 0))
+    out = toxicity.scored(documents.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.trained(documents, labels.filter(fold("doc_id", 4) != 2))
+    out = quality.scored(documents.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = archives.written(read(spark, sf_dir, "pages"))
     return archives.records(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,6 +62,11 @@ def op5_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, RULES, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = privacy.sanitised(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination.matched(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -64,6 +83,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(read(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_outliers, op4_warc, op5_url_bloom, op7_contamination, op8_packing, op9_language)
+    f.__name__: f for f in (op1_outliers, op2_toxicity, op3_quality, op4_warc, op5_url_bloom, op6_sanitise, op7_contamination, op8_packing, op9_language, op10_near)
 }
