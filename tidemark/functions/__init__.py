@@ -1,0 +1 @@
+"""Column builders: order statistics of arrays, smoothing folds, gap filling."""

@@ -1,0 +1 @@
+"""Operators over readings and day frames."""

@@ -1,0 +1 @@
+"""Composed plans: findings, insights, and the registered queries."""

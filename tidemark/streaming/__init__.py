@@ -1,0 +1 @@
+"""Incremental loading with Structured Streaming."""
