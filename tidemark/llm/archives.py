@@ -168,6 +168,8 @@ class Writer:
                 self._begin()
         else:
             self._put(data)
+        if self.out is not None and self.size >= ARCHIVE_BYTES:
+            self._end()
 
     def _begin(self) -> None:
         raw = b""
@@ -177,7 +179,7 @@ class Writer:
             except zstandard.ZstdError:  # too few or too equal samples
                 raw = b""
         self.path = f"{self.folder}/{self.name}-{len(self.done):05d}.warc.zst"
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)  # the name's ending must not compress it again
         self.coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_content_size=True)
         self.out.write(struct.pack("<II", MAGIC, len(raw)) + raw)
         self.n, self.size = 0, 8 + len(raw)
@@ -189,8 +191,6 @@ class Writer:
         frame = self.coder.compress(data)
         self.out.write(frame)
         self.n, self.size = self.n + 1, self.size + len(frame)
-        if self.size >= ARCHIVE_BYTES:
-            self._end()
 
     def _end(self) -> None:
         self.out.close()
@@ -242,7 +242,7 @@ def records(manifest: DataFrame, payloads: bool = False) -> DataFrame:
             for root, path, n in zip(*(batch.column(c).to_pylist() for c in ("root", "path", "records")), strict=True):
                 store, _ = fs.FileSystem.from_uri(root)
                 rows, read = [], 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for r in read_archive(stream, path):
                         rows.append(tuple(r[c] for c in names))
                         read += 1
