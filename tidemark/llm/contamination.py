@@ -77,11 +77,14 @@ class Scanner:
         self.automaton = ahocorasick.Automaton()
         for pattern, ids in shard.items():
             self.automaton.add_word("".join(self.symbols[w] for w in pattern), (len(pattern), ids))
-        self.automaton.make_automaton()
+        if shard:
+            self.automaton.make_automaton()
 
     def scan(self, doc: list[bytes], hit: np.ndarray | None, items: set[str]) -> np.ndarray | None:
         """Marks the words that lie in a match; None stays None without one."""
         get = self.symbols.get
+        if not self.symbols:
+            return hit
         for end, (n, ids) in self.automaton.iter("".join([get(w, " ") for w in doc])):
             if hit is None:
                 hit = np.zeros(len(doc), dtype=bool)
