@@ -120,14 +120,18 @@ def _moments() -> list[Column]:
     return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS)]
 
 
+def _named(*columns: str) -> Column:
+    """A key of a group, null kept apart from text."""
+    return F.to_json(F.array(*(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in columns)))
+
+
 def _fit_keys(rows: DataFrame) -> DataFrame:
     """Which group's estimate each (lang, source) uses: its own, its language's,
     that of all rows, or none; with the number of groups below it."""
     groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang, everything = Window.partitionBy("lang"), groups.agg(F.sum("n").alias("n_all"))
-    named = lambda *c: F.to_json(F.array(*(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("null")) for x in c)))
-    groups = groups.withColumn("n_lang", F.sum("n").over(by_lang)).join(F.broadcast(everything))
-    fit = F.when(F.col("n") >= LEAST, named("lang", "source")).when(F.col("n_lang") >= LEAST, named("lang")).when(F.col("n_all") >= LEAST, F.lit("all"))
+    by_lang, n_all = Window.partitionBy("lang"), rows.count()
+    groups = groups.withColumn("n_lang", F.sum("n").over(by_lang))
+    fit = F.when(F.col("n") >= LEAST, _named("lang", "source")).when(F.col("n_lang") >= LEAST, _named("lang")).when(F.lit(n_all >= LEAST), F.lit("all"))
     return groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), fit.alias("fit"))
 
 
@@ -146,8 +150,7 @@ def scored(documents: DataFrame) -> DataFrame:
     # a language's or the whole table's estimate takes in all of its rows, also those of larger groups
     keyed = rows.join(small(keys, keys_bytes), same, "left").drop("_lang", "_source")
     wide = keys.filter("fit IS NOT NULL").groupBy("fit").count().select("fit")
-    named = lambda *c: F.to_json(F.array(*(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("null")) for x in c)))
-    members = rows.filter("n_words > 0").withColumn("fit", F.explode(F.array(named("lang", "source"), named("lang"), F.lit("all"))))
+    members = rows.filter("n_words > 0").withColumn("fit", F.explode(F.array(_named("lang", "source"), _named("lang"), F.lit("all"))))
     members = members.join(small(wide, est_bytes), "fit", "left_semi").select("fit", *(f"x{i}" for i in range(P)))
     members = stored(members, "members")
 

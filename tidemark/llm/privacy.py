@@ -121,11 +121,11 @@ def disclosing(found: DataFrame) -> DataFrame:
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
     words = found.select(F.explode(_terms(F.col("text"))).alias("term"))
     df = words.join(small(candidates, n_bytes + 32 * n), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    total = found.agg(F.count("*").alias("total"))
-    scored = pairs.join(entities, "entity").join(df, "term").join(F.broadcast(total))
-    pmi = F.log(F.col("joint") * F.col("total") / (F.col("df_term") * F.col("df_entity")))
-    ic = F.log(F.col("total") / F.col("df_entity"))
-    scored = scored.filter((F.col("df_entity") < F.col("total")) & (F.col("joint") >= SHARE * F.col("df_term"))).withColumn("d", pmi / ic)
+    total = found.count()
+    scored = pairs.join(entities, "entity").join(df, "term")
+    pmi = F.log(F.col("joint") * total / (F.col("df_term") * F.col("df_entity")))
+    ic = F.log(F.lit(total) / F.col("df_entity"))
+    scored = scored.filter((F.col("df_entity") < total) & (F.col("joint") >= SHARE * F.col("df_term"))).withColumn("d", pmi / ic)
     best = scored.groupBy("term").agg(F.max("d").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
     return stored(best.withColumn("action", F.when(F.col("disclosure") >= REMOVE, F.lit("remove")).otherwise("generalise")), "terms")
 
