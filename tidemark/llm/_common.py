@@ -138,14 +138,15 @@ def in_one_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     """fit's result for a bounded table, computed in one executor task and sent to
     the driver. Numpy's libraries run with the task's cores there."""
     held = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
+    none = pa.table({n: pa.array([], _EMPTY.get(k, pa.string())) for n, k in held})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         found = list(batches)
-        table = pa.Table.from_batches(found) if found else pa.table({n: pa.array([], _EMPTY.get(k, pa.string())) for n, k in held})
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
+        model = fit(pa.Table.from_batches(found) if found else none)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     one = rows.repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(one[0][0])
+    return pickle.loads(one[0][0]) if one else fit(none)  # a plan known to be empty runs no task
 
 
 _EMPTY = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
