@@ -18,7 +18,9 @@ linear. Pairs are verified on the texts' whole sets, best pairs first: each set
 with the partner it shares most signatures with, then those whose ends aren't
 connected yet. For large groups the sets of different components that still share
 a signature are then paired exactly (members outside the group's main component
-against the others). So each pair of linked sets ends in one component.
+against the others), but for pairs whose hashes' parities over 1024 cells differ in
+more than H cells, which proves that they aren't linked. So each pair of linked
+sets ends in one component.
 
 Defined cases: null or wordless texts have an empty set and are linked with
 nothing. A text with fewer words than n has one shingle, its whole sequence.
@@ -27,7 +29,7 @@ Repeated rows and repeated ids each get a row; ties take the smallest id."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import exp, sqrt
 
 import numpy as np
@@ -41,6 +43,8 @@ from ._common import LOWER, chunks, stored
 WORDS, NUM, DEN = 5, 80, 100
 SMALL = 6
 BLOCK_BYTES = 24 << 20
+#: 64-bit words of a set's parities.
+PARITY_WORDS = 16
 #: Links that one task resolves; more go through distributed rounds.
 LOCAL_LINKS = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -325,28 +329,39 @@ def _rooted(rows: DataFrame, roots: DataFrame, column: str, to: str) -> DataFram
     return rows.join(r, F.col(column) == F.col("_node"), "left").withColumn(to, F.coalesce("_root", column)).drop("_node", "_root")
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY_WORDS cells of the universe, whether the set holds an
+    odd number of its hashes. Two sets differ in at least as many hashes as cells."""
+    odd = np.bincount((s & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _unsettled(documents: DataFrame, members: DataFrame, sets: DataFrame, roots: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) in different components that share a signature, for sets that
-    were in a large group."""
+    """Pairs (a, b) in different components that share a signature and may differ
+    little enough, for sets that were in a large group."""
     chosen = members.join(sets.select("fp", "rep"), "fp").select(F.col("rep").alias("doc_id")).distinct()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.hint("shuffle_hash"), "doc_id", "left_semi")
+    names = ["fp", "size", "sigs", *(f"p{i}" for i in range(PARITY_WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                s = shingles(t, n)
-                if len(s):
-                    sig = signatures(s, num, den).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), fingerprint(s), np.int64)), pa.array(np.full(len(sig), len(s), np.int64))], names=["sig", "fp", "size"])
-
-    rows = stored(_rooted(docs.select("text").mapInArrow(run, "sig long, fp long, size long"), roots, "fp", "root").distinct(), "members")
-    by = rows.groupBy("sig", "root").agg(F.count("*").alias("k"))
+            found = [s for t in batch.column("text").to_pylist() if len(s := shingles(t, n))]
+            cells = np.array([parities(s) for s in found], dtype=np.int64).reshape(-1, PARITY_WORDS)
+            columns = [pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([signatures(s, num, den).view(np.int64) for s in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(cells[:, i]) for i in range(PARITY_WORDS))], names=names)
+
+    schema = "fp long, size long, sigs array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS))
+    found = stored(docs.select("text").mapInArrow(run, schema).dropDuplicates(["fp"]), "members")
+    found = stored(_rooted(found, roots, "fp", "root"), "rooted")
+    by = found.select("root", F.explode("sigs").alias("sig")).groupBy("sig", "root").agg(F.count("*").alias("k"))
     mixed = by.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("sig", "main")
-    rows = stored(rows.join(mixed, "sig"), "mixed")
-    minor = rows.filter("root <> main").select("sig", F.col("fp").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"))
-    other = rows.select("sig", F.col("fp").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"))
+    words = [f"p{i}" for i in range(PARITY_WORDS)]
+    rows = stored(found.select("fp", "root", "size", *words, F.explode("sigs").alias("sig")).join(mixed, "sig"), "mixed")
+    minor = rows.filter("root <> main").select("sig", F.col("fp").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), *(F.col(w).alias(f"x{w}") for w in words))
+    other = rows.select("sig", F.col("fp").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), *words)
     near = (F.col("rx") != F.col("ry")) & (F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num)
-    pairs = minor.join(other, "sig").filter(near)
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(w))) for w in words))
+    pairs = minor.join(other, "sig").filter(near & (apart * (den + num) <= (F.col("sx") + F.col("sy")) * (den - num)))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
