@@ -81,21 +81,38 @@ def test_outliers_of_few_or_no_rows(spark):
     assert outliers.scored(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_mcd_steps_lower_the_determinant(spark):
-    x = np.random.default_rng(0).normal(size=(500, 4)) * [0.3, 0.1, 0.4, 0.3]
-    x[:100] += 5
-    cov = np.diag(outliers.FLOOR)
-    mean, inv = np.median(x, axis=0), np.linalg.inv(np.diag(((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) * 0.7413) ** 2) + cov)
-    last = np.inf
-    for _ in range(outliers.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, inv, x - mean)
-        b = np.floor(np.log2(d + 1e-6) * outliers.BINS)
-        near_ = b <= np.sort(b)[int(np.ceil(0.75 * len(x))) - 1]
-        mean, c = x[near_].mean(0), np.cov(x[near_].T, bias=True) + cov
-        inv, det = np.linalg.inv(c), np.linalg.slogdet(c)[1]
-        assert det <= last + 0.05
-        last = det
-    assert not near_[:100].any()
+def brute_distances(x):
+    """The whole estimate of one group in numpy."""
+    floor = np.diag(outliers.FLOOR)
+    q = [np.quantile(x, p, axis=0, method="inverted_cdf") for p in (0.25, 0.5, 0.75)]
+    starts = [(q[1], np.diag((np.maximum(q[2] - q[0], 1e-9) * 0.7413) ** 2) + floor, "median"), (x.mean(0), np.cov(x.T, bias=True) + floor, "mean")]
+    for step in range(outliers.STEPS):
+        new = []
+        for mean, cov, name in starts:
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            b = np.floor(np.log2(d + 1e-6) * outliers.BINS)
+            inside = b <= np.sort(b)[int(np.ceil(outliers.SHARE * len(x))) - 1]
+            new.append((x[inside].mean(0), np.cov(x[inside].T, bias=True) + floor, name))
+        starts = new if step not in (1, outliers.STEPS - 1) else [min(new, key=lambda e: (round(np.linalg.slogdet(e[1])[1], 9), e[2]))]
+    mean, cov, _ = starts[0]
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    return d / (max(np.quantile(d, 0.5, method="inverted_cdf"), 3.357) / 3.357)
+
+
+def test_distances_against_numpy(spark):
+    rng = random.Random(12)
+    texts = []
+    for i in range(500):
+        words = [rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(50, 90))]
+        texts.append(" ".join(w + "#" * (i % 9 == 0) + "\n" * (rng.random() < 0.1) for w in words))
+    df = docs_of(spark, texts).selectExpr("doc_id", "text", "'en' lang", "'s' source")
+    rows = outliers.scored(df).orderBy("doc_id").collect()
+    c = np.array([outliers.counts(t) for t in texts], float)
+    x = np.column_stack([np.log(c[:, 1] / c[:, 0]), np.sqrt(c[:, 2] / c[:, 1]), c[:, 3] / c[:, 5], np.sqrt(c[:, 4] / c[:, 0])])
+    want = brute_distances(x)
+    assert np.array([r["distance"] for r in rows]) == pytest.approx(want, rel=1e-6)
+    assert [r["kept"] for r in rows] == [not r["base_failed"] and d <= outliers.CUTOFF for r, d in zip(rows, want)]
+    assert not all(r["kept"] for r in rows if not r["base_failed"])
 
 
 # --- toxicity and quality -----------------------------------------------------
