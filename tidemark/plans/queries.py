@@ -315,6 +315,15 @@ def forecast_history(spark: SparkSession, d: str) -> DataFrame:
     return Insights(demo(spark, DEMO_UNTIL, 120), DEMO_UNTIL, TZ).history_with_forecast()
 
 
+def states_with_factors(spark: SparkSession, d: str) -> DataFrame:
+    return Insights(demo(spark, DEMO_UNTIL, 120), DEMO_UNTIL, TZ).states_with_factors()
+
+
+def cluster_weekdays(spark: SparkSession, d: str) -> DataFrame:
+    found = models.cluster_weekdays(models.clusters(_long(spark, d)))
+    return found.select("entity_id", "cluster", "name", *(F.col(str(i)).alias(f"d{i}") for i in range(7)))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The wide day frame with the number of anomalies of each day."""
     f = _frame(spark, d)
@@ -330,6 +339,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         anomaly_days, anomaly_recent_top8, training_load, sleep_consistency, readiness_parts, readiness, decompose_days, decompose_weekdays, decompose_strength,
         correlation_pairs, line_fit, ridge_two, ridge_drivers, next_day_pairs, persistence_error, complete_cases, weekday_mix, share_of_total, anomalies_anti_join,
         history_union, json_extract, json_readings, in_batch_last, incremental_load, sync_marks, data_type_list, local_days, forecast_holt_winters, clusters, factors,
-        forest, gaussian_process, hidden_states, network, demo_frame, findings, forecast_history,
+        forest, gaussian_process, hidden_states, network, demo_frame, findings, forecast_history, states_with_factors, cluster_weekdays,
     )
 }
