@@ -233,6 +233,10 @@ def _complete(pdf: pd.DataFrame, metrics: tuple[str, ...]) -> tuple[pd.DataFrame
     return pdf[ok], pdf.loc[ok, list(metrics)].to_numpy(float)
 
 
+#: What a component is called by the kind of metric that loads it.
+MIXED, EFFORT, RECOVERY, BOTH = "Mixed", "How hard the day was", "How well recovered you were", "Load against recovery"
+
+
 def factors(frame: DataFrame) -> DataFrame:
     """entity_id, component, name, explained, loadings, date, score. A component's
     largest loading is positive."""
@@ -253,7 +257,7 @@ def factors(frame: DataFrame) -> DataFrame:
             v = vectors[:, c] * np.sign(vectors[np.abs(vectors[:, c]).argmax(), c])
             heavy = np.where(np.abs(v) >= 0.35, np.abs(v), 0)
             act, rec = heavy[activity].sum(), heavy[np.logical_not(activity)].sum()
-            name = "Mixed" if not heavy.any() else "How hard the day was" if act > 1.6 * rec else "How well recovered you were" if rec > 1.6 * act else "Load against recovery"
+            name = MIXED if not heavy.any() else EFFORT if act > 1.6 * rec else RECOVERY if rec > 1.6 * act else BOTH
             out += [{"component": c, "name": name, "explained": values[c] / values.sum(), "loadings": v.tolist(), "date": d, "score": s} for d, s in zip(days["date"], z @ v, strict=True)]
         return out
 
@@ -316,6 +320,8 @@ def forest(frame: DataFrame) -> DataFrame:
 #: The grid of hyper-parameters, the week and its smoothness.
 LENGTHS, PERIODIC, NOISE = (3, 5, 10, 20, 40, 80, 120), (0.0, 0.25, 0.5, 1.0), (0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.2, 1.8, 2.6)
 WEEK, SMOOTH = 7.0, 1.5
+#: What the chosen kernel says.
+TREND, RHYTHM, NOISY = "trend and weekly rhythm", "weekly rhythm only", "mostly day to day noise"
 
 
 def _kernel(d: np.ndarray, length: float, weight: float) -> np.ndarray:
@@ -354,7 +360,7 @@ def gp_fit(t: np.ndarray, values: np.ndarray, floor: bool, horizon: int = 14) ->
         native = [z * scale + centre for z in (mean, mean - 1.96 * sd, mean + 1.96 * sd)]
         native = [max(0.0, z) for z in native] if floor else native
         trend, rhythm = length < n / 2, weight > 0
-        out.append({"day": h, "mean": native[0], "lower": native[1], "upper": native[2], "length_scale": float(length), "periodic_weight": weight, "noise": noise, "log_likelihood": score, "n": n, "trend": trend, "rhythm": rhythm, "structure": "trend and weekly rhythm" if trend else "weekly rhythm only" if rhythm else "mostly day to day noise"})
+        out.append({"day": h, "mean": native[0], "lower": native[1], "upper": native[2], "length_scale": float(length), "periodic_weight": weight, "noise": noise, "log_likelihood": score, "n": n, "trend": trend, "rhythm": rhythm, "structure": TREND if trend else RHYTHM if rhythm else NOISY})
     return out
 
 
