@@ -3,6 +3,8 @@
 import glob
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -43,3 +45,16 @@ def test_entry_runs(spark):
 def test_all_names_have_queries():
     assert set(oracle.SQL) <= set(queries.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_run_from_another_folder(tmp_path, sf):
+    code = f"""
+import sys; sys.path.insert(0, {str(entry.HERE)!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", e.queries()["forecast_holt_winters"](s, {sf!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=170)
+    assert "rows 21" in done.stdout, done.stderr[-2000:]
