@@ -30,6 +30,14 @@ def test_one_of_repeated_ids_stays(spark):
     assert got == [1, 3, None]
 
 
+def test_null_and_repeated_ids_are_judged_by_their_texts(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, c), (3, c), (3, c), (5, c + " end"), (5, d), (5, e), (5, e), (7, e), (8, " \n"), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in P.near_stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (3, c), (5, d), (5, e), (8, " \n"), (8, None), (None, "")], key=str)
+
+
 def test_stages_take_an_empty_table(spark, sf):
     docs = read(spark, sf, "documents").limit(0)
     for name, stage in P.STAGES[:-1]:

@@ -35,7 +35,7 @@ from math import exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LOWER, chunks, stored
@@ -199,15 +199,25 @@ def _pair_batch(a: np.ndarray, b: np.ndarray, big: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(b[starts]), pa.array(n.astype(np.int64)), pa.array(any_big.astype(bool))], names=["a", "b", "n", "big"])
 
 
+def row_key() -> Column:
+    """A key of a row's id and text, the same whenever it is computed."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
+def worded() -> Column:
+    """Whether a text has a word, as `shingles` splits it."""
+    return F.coalesce(F.col("text").rlike(r"[^\x09-\x0d\x20]"), F.lit(False))
+
+
 def sets_of(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, fp of each row's set."""
+    """doc_id, row (its key), size, fp of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t, n) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.int64())], names=["doc_id", "size", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.int64())], names=["doc_id", "row", "size", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, fp long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row long, size long, fp long")
 
 
 def candidates(documents: DataFrame, total: int, n: int, num: int, den: int, small: int) -> DataFrame:
@@ -368,6 +378,13 @@ def _unsettled(documents: DataFrame, members: DataFrame, sets: DataFrame, roots:
 def classes(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents; sets link when
     den * |intersection| >= num * |union|."""
+    return rooted_rows(documents, n, num, den, small).select("doc_id", "n_shingles", "component_id")
+
+
+def rooted_rows(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN, small: int = SMALL) -> DataFrame:
+    """classes with each row's key and the root of its set's component, which tells
+    components apart where ids don't (null or repeated ones); a row without words
+    has no root."""
     found = stored(sets_of(documents, n), "sets")
     sets = found.filter("size > 0").groupBy("fp", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     sets = stored(sets, "classes")
@@ -388,9 +405,9 @@ def classes(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN
         roots = _joined(roots, verified(rest, sets, documents, n, num, den))
     held = _rooted(sets, roots, "fp", "root")
     smallest = held.groupBy("root").agg(F.min("rep").alias("component"))
-    held = stored(held.join(smallest, "root").select(F.col("fp").alias("_fp"), F.col("size").alias("_size"), "component"), "held")
+    held = stored(held.join(smallest, "root").select(F.col("fp").alias("_fp"), F.col("size").alias("_size"), "root", "component"), "held")
     out = found.join(held, (F.col("fp") == F.col("_fp")) & (F.col("size") == F.col("_size")), "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "row", F.col("size").alias("n_shingles"), "root", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
