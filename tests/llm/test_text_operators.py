@@ -399,6 +399,19 @@ def test_components_against_brute_force(spark, monkeypatch, small, local):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
 
 
+def test_null_ids_link_like_any_other(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(words[i:]) for i in (0, 4, 8))  # a - b and b - c link, a - c don't
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (None, b), (None, b), (3, c), (None, other), (None, other + " end")] + [(None, " ".join([*words[:-1], f"x{i}"])) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.rooted_rows(docs, 4, 88, 100, 2).collect()
+    assert brute_components([a, c], 4, 88, 100) == [(57, 0), (49, 1)]
+    assert {r["component_id"] for r in got if r["doc_id"] is not None} == {1}
+    assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["1"] * 10 + ["None"] * 2
+    assert len({r["root"] for r in got}) == 2
+
+
 def test_linked_sets_always_share_a_signature():
     rng = np.random.default_rng(11)
     for _ in range(400):

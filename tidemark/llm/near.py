@@ -24,7 +24,8 @@ sets ends in one component.
 
 Defined cases: null or wordless texts have an empty set and are linked with
 nothing. A text with fewer words than n has one shingle, its whole sequence.
-Repeated rows and repeated ids each get a row; ties take the smallest id."""
+Repeated rows and repeated ids each get a row; ties take the smallest id. Null ids
+take part like any other; a component's id is its smallest, null if it has none."""
 
 from __future__ import annotations
 
@@ -264,14 +265,15 @@ def candidates(documents: DataFrame, total: int, n: int, num: int, den: int, sma
 
 def verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The links (a, b) among pairs (a, b) of fingerprints, by their whole sets."""
-    size = lambda s: sets.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("rep").alias(f"rep_{s}"))
+    size = lambda s: sets.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("row").alias(f"row_{s}"))
     known = pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b")
     near = F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num
-    known = stored(known.filter(near).select("a", "b", "rep_a", "rep_b"), "pairs")
-    needed = known.select(F.explode(F.array("rep_a", "rep_b")).alias("doc_id")).distinct()
-    texts = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    text = lambda s: texts.select(F.col("doc_id").alias(f"rep_{s}"), F.col("text").alias(f"text_{s}"))
-    both = known.join(text("a").hint("shuffle_hash"), "rep_a").join(text("b").hint("shuffle_hash"), "rep_b")
+    known = stored(known.filter(near).select("a", "b", "row_a", "row_b"), "pairs")
+    needed = known.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
+    texts = documents.select(row_key().alias("row"), "text").filter("text IS NOT NULL").join(needed.hint("shuffle_hash"), "row", "left_semi")
+    texts = stored(texts.dropDuplicates(["row"]), "texts")
+    text = lambda s: texts.select(F.col("row").alias(f"row_{s}"), F.col("text").alias(f"text_{s}"))
+    both = known.join(text("a").hint("shuffle_hash"), "row_a").join(text("b").hint("shuffle_hash"), "row_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[str, tuple[np.ndarray, int]] = {}
@@ -288,7 +290,7 @@ def verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, n: int, nu
             out = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                 (s, fs), (t, ft) = of(x), of(y)
-                if fs == a and ft == b and linked(s, t, num, den):  # an id may stand for several texts
+                if fs == a and ft == b and linked(s, t, num, den):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -349,8 +351,8 @@ def parities(s: np.ndarray) -> np.ndarray:
 def _unsettled(documents: DataFrame, members: DataFrame, sets: DataFrame, roots: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) in different components that share a signature and may differ
     little enough, for sets that were in a large group."""
-    chosen = members.join(sets.select("fp", "rep"), "fp").select(F.col("rep").alias("doc_id")).distinct()
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.hint("shuffle_hash"), "doc_id", "left_semi")
+    chosen = members.join(sets.select("fp", "row"), "fp").select("row").distinct()
+    docs = documents.select(row_key().alias("row"), "text").join(chosen.hint("shuffle_hash"), "row", "left_semi")
     names = ["fp", "size", "sigs", *(f"p{i}" for i in range(PARITY_WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +388,7 @@ def rooted_rows(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int =
     components apart where ids don't (null or repeated ones); a row without words
     has no root."""
     found = stored(sets_of(documents, n), "sets")
-    sets = found.filter("size > 0").groupBy("fp", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    sets = found.filter("size > 0").groupBy("fp", "size").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("copies"))
     sets = stored(sets, "classes")
     total = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     pairs = stored(candidates(documents, total, n, num, den, small), "candidates")
