@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import contamination, language, near, outliers, packing, privacy, quality, toxicity, urls
 from tidemark.llm import oracle, queries
@@ -243,6 +244,29 @@ def test_terms_that_reveal_an_entity_go(spark):
     assert privacy.sanitised(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_terms_far_from_an_entity_and_seen_twice_go(spark):
+    rng = random.Random(8)
+    filler = lambda: prose(rng, 120)  # noqa: E731  # over 200 characters
+    texts = [f"Gargravarr {filler()} arthur@mail.example.com {filler()} Slartibart", f"gargravarr hapaxone {filler()} arthur@mail.example.com"]
+    texts += [f"Lonelyname {filler()} once@mail.example.com"] * 3  # copies of one text
+    texts += [f"common arthur {filler()}"] + [f"common {filler()}" for _ in range(60)]
+    out = {r["doc_id"]: r for r in privacy.sanitised(docs_of(spark, texts)).collect()}
+    words = {i: set(re.findall("[a-z]{3,}", r["text"].lower())) for i, r in out.items()}
+    assert not any("gargravarr" in w for w in words.values())
+    assert "slartibart" in words[0] and "hapaxone" in words[1] and "common" in words[9] and "arthur" in words[5]
+    assert all("lonelyname" in words[i] for i in (2, 3, 4))
+    # counts against a loop over whole documents
+    found = privacy.with_base(docs_of(spark, texts).select("doc_id", "text").withColumn("doc", F.xxhash64("doc_id", "text")))
+    mentions = privacy._mentions(found)
+    got = {(r["entity"], r["term"]): r["joint"] for r in privacy._pairs(mentions, mentions.select(F.explode("entities").alias("entity")).distinct()).collect()}
+    want = {}
+    for t in set(texts):
+        for e in set(re.findall(r"[a-z]+@[a-z.]+", t)):
+            for w in set(re.findall(r"[^\W\d_]{3,}", t.lower().replace(e, " "))):
+                want.setdefault(("email:" + e, w), []).append(texts.count(t))
+    assert got == {k: sum(v) for k, v in want.items() if len(v) > 1}
+
+
 def test_sanitisation_stays_in_the_jvm(spark, sf):
     plan = queries.op6_sanitise(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -1,20 +1,24 @@
 """Sanitisation by disclosure, with DataFrame functions alone.
 
 Mail addresses, IP addresses, card and phone numbers are found by pattern and
-checked; each distinct value is a protected entity. Terms (words of letters) that
-stand within `REACH` characters of an entity's mentions are its contexts. The
-corpus tells how strongly a term reveals an entity: with document frequencies over
-all documents, disclosure = PMI(term, entity) / IC(entity), which is 1 when the
-term occurs nowhere else. A term is a disclosure if it was seen in `CONTEXTS`
-different contexts of one entity (copies of a text are one context), if at least
-`SHARE` of its documents name the entity there, and if disclosure reaches
-`GENERALISE`; from `REMOVE` on it is removed, below that generalised to <TERM>.
-
-Everything is counted with map-side combination; each mention gives a bounded
-number of terms, whatever the text's length. Terms are broadcast only while their
-table is small. The patterns are the contract's, written so that the JVM's engine
-takes linear time and constant stack on any text: each consumes what the plain
-pattern would, starts only where that one could, and counts before it matches.
+checked; each distinct value is a protected entity. Terms are words of letters; a
+term and an entity occur together in each document that holds both, wherever they
+stand. The corpus tells how strongly a term reveals an entity: with document
+frequencies over all documents, disclosure = PMI(term, entity) / IC(entity), which
+is 1 when the term occurs nowhere else. One document makes any rare word of it
+look exclusive, so each count leaves one document out (small-sample correction):
+only what further documents confirm counts. Copies of a text confirm nothing, so
+the entity and the term need two different texts in common. A term is a
+disclosure if at least `SHARE` of its documents name the entity and if disclosure
+reaches `GENERALISE`; from `REMOVE` on it is removed, below that generalised to
+<TERM>.
+
+Everything is counted with map-side combination. Only texts that hold an entity
+which another text holds too give pairs, each distinct term with each such entity,
+as no other can be confirmed. Tables are broadcast only while they are small. The
+patterns are the contract's, written so that the JVM's engine takes linear time
+and constant stack on any text: each consumes what the plain pattern would, starts
+only where that one could, and counts before it matches.
 
 Defined cases: a null text is empty. Spans are code points, the end exclusive;
 terms that overlap a pattern's span are not reported. Repeated rows each get a
@@ -25,9 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small, stored
+from ._common import BROADCAST_BYTES, small, stored
 
-REACH, CONTEXTS, SHARE, GENERALISE, REMOVE = 200, 3, 0.25, 0.85, 0.95
+SHARE, GENERALISE, REMOVE = 0.25, 0.85, 0.95
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -95,37 +99,74 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """entity, term, doc, context: a row for each term near a mention."""
-    m = found.filter(F.size("base") > 0).select("doc", "text", F.explode("base").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    left = F.expr(f"substring(text, greatest(1, s.start + 1 - {REACH}), least(s.start, {REACH}))")
-    right = F.expr(f"substring(text, s.end + 1, {REACH})")
-    left = F.when(start > REACH, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-    right = F.when(F.length("text") - end > REACH, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
-    value = F.when(F.col("s.kind") == "email", F.lower("s.value")).when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9]", ""))
-    m = m.select("doc", F.concat_ws(":", "s.kind", value).alias("entity"), F.concat_ws(" ", left, right).alias("near"))
-    return m.select("doc", "entity", F.xxhash64("near").alias("context"), F.explode(_terms(F.col("near"))).alias("term"))
+def _replaced(spans: Column) -> Column:
+    """The text with spans (start, end, label) replaced by their labels, by start;
+    what overlaps is one gap."""
+    ordered = F.array_sort(spans)
+
+    def step(acc: Column, s: Column) -> Column:
+        add = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["label"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], add).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return F.when(F.size(ordered) > 0, done).otherwise(F.col("text"))
+
+
+def _bare() -> Column:
+    """The text without its base spans: an entity's own parts are no terms of it."""
+    return _replaced(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("label"))))
+
+
+def _cleaned() -> Column:
+    """The text with its spans replaced."""
+    label = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", F.lit("")).otherwise(F.lit("<TERM>"))
+    return _replaced(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label"))))
+
+
+def _entities() -> Column:
+    """The distinct entities of a row's base spans."""
+    value = lambda s: F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
+    return F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], value(s))))
+
+
+def _mentions(found: DataFrame) -> DataFrame:
+    """copy, text, entities, n: the different texts that hold an entity, without
+    their base spans, with their numbers of documents."""
+    m = found.filter(F.size("base") > 0).select(F.xxhash64("text").alias("copy"), _bare().alias("text"), _entities().alias("entities"))
+    return m.groupBy("copy").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count("*").alias("n"))
+
+
+def _pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """entity, term, joint: how many documents hold both, for the entities given and
+    where two different texts do."""
+    n, n_bytes = entities.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("entity")), F.lit(0))).first()
+    shared = mentions.select("copy", F.explode("entities").alias("entity")).join(small(entities.select("entity"), n_bytes + 32 * n), "entity")
+    shared = stored(shared.groupBy("copy").agg(F.collect_list("entity").alias("shared")), "shared")
+    texts = mentions.select("copy", "text", "n").join(shared, "copy")
+    terms = texts.select("n", "shared", F.explode(_terms(F.col("text"))).alias("term"))
+    pairs = terms.select("n", "term", F.explode("shared").alias("entity"))
+    return pairs.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("texts")).filter("texts > 1").drop("texts")
 
 
 def disclosing(found: DataFrame) -> DataFrame:
     """term, disclosure, action: the terms that reveal an entity. `found` has doc
     (a key of the row), text and base."""
-    near = stored(_contexts(found), "contexts")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc").alias("joint")).filter(F.col("contexts") >= CONTEXTS)
-    pairs = stored(pairs, "pairs")
-    entities = near.groupBy("entity").agg(F.countDistinct("doc").alias("df_entity"))
+    mentions = stored(_mentions(found), "mentions")
+    entities = mentions.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_entity"), F.count("*").alias("texts"))
+    entities = stored(entities.filter("texts > 1").drop("texts"), "entities")
+    pairs = stored(_pairs(mentions, entities), "pairs")
     candidates = pairs.select("term").distinct()
     n, n_bytes = candidates.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     if not n:
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
     words = found.select(F.explode(_terms(F.col("text"))).alias("term"))
-    df = words.join(small(candidates, n_bytes + 32 * n), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
+    if n_bytes + 32 * n <= BROADCAST_BYTES:  # beyond it all words are counted, and the join is of counts
+        words = words.join(F.broadcast(candidates), "term", "left_semi")
+    df = words.groupBy("term").agg(F.count("*").alias("df_term"))
     total = found.count()
-    scored = pairs.join(entities, "entity").join(df, "term")
-    pmi = F.log(F.col("joint") * total / (F.col("df_term") * F.col("df_entity")))
-    ic = F.log(F.lit(total) / F.col("df_entity"))
-    scored = scored.filter((F.col("df_entity") < total) & (F.col("joint") >= SHARE * F.col("df_term"))).withColumn("d", pmi / ic)
+    scored = pairs.join(entities, "entity").join(df, "term").filter((F.col("df_entity") < total) & (F.col("joint") >= SHARE * F.col("df_term")))
+    joint, term, entity, others = F.col("joint") - 1, F.col("df_term") - 1, F.col("df_entity") - 1, total - 1
+    scored = scored.withColumn("d", F.log(joint * others / (term * entity)) / F.log(F.lit(others) / entity))
     best = scored.groupBy("term").agg(F.max("d").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
     return stored(best.withColumn("action", F.when(F.col("disclosure") >= REMOVE, F.lit("remove")).otherwise("generalise")), "terms")
 
@@ -139,7 +180,8 @@ def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
         return found.withColumn("terms", empty)
     words = found.select("doc", F.explode(_terms(F.col("text"))).alias("term"))
     held = words.join(small(terms.select("term", "action"), n_bytes + 64 * n), "term").groupBy("doc").agg(F.collect_set(F.struct("term", "action")).alias("_held"))
-    docs = found.join(stored(held.withColumnRenamed("doc", "_doc"), "held"), F.col("doc") == F.col("_doc"), "left").drop("_doc")
+    held = stored(held.withColumnRenamed("doc", "_doc"), "held").hint("shuffle_hash")  # grows with the documents
+    docs = found.join(held, F.col("doc") == F.col("_doc"), "left").drop("_doc")
     names = F.transform("_held", lambda h: h["term"])
     docs = docs.withColumn("_pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}])")))
     docs = docs.withColumn("_matches", F.when(F.col("_pattern").isNotNull(), F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))))
@@ -153,18 +195,6 @@ def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.drop("_held", "_pattern", "_matches", "_parts", "_between", "_own")
 
 
-def _cleaned() -> Column:
-    """The text with its spans replaced, by start; what overlaps is one gap."""
-    ordered = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", F.lit("")).otherwise(F.lit("<TERM>")).alias("label"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        add = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["label"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], add).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return F.when(F.size(ordered) > 0, done).otherwise(F.col("text"))
-
-
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
