@@ -423,6 +423,82 @@ def test_components_against_brute_force(spark, monkeypatch, small, local):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
 
 
+def family(rng, n, words=120):
+    """Copies of copies of one text, most of them too different to link directly."""
+    texts = [[f"b{i}" for i in range(words)]]
+    while len(texts) < n:
+        w = list(rng.choice(texts[:12]))
+        for _ in range(rng.choice([1, 3, 4, 6])):
+            w[rng.randrange(words)] = f"n{rng.random()}"
+        texts.append(w)
+    return [" ".join(w) for w in texts]
+
+
+def hot_sets(spark, texts):
+    rows = []
+    for t in dict.fromkeys(texts):
+        s = near.shingles(t, 4)
+        rows.append((near.fingerprint(s), len(s), near.signatures(s, 85, 100).view(np.int64).tolist(), s.view(np.int64).tolist(), near.fingerprint(s)))
+    return spark.createDataFrame(rows, "fp long, size long, sigs array<long>, hashes array<long>, root long")
+
+
+@pytest.mark.parametrize("dense, levels", [(64, 6), (3, 6), (3, 1), (4, 2)])
+def test_centred_links_join_a_hot_family(spark, dense, levels):
+    texts = list(dict.fromkeys(family(random.Random(3), 90) + family(random.Random(4), 20)))
+    found = hot_sets(spark, texts)
+    ids = {near.fingerprint(near.shingles(t, 4)): i for i, t in enumerate(texts)}
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in near.centred_links(found, 85, 100, dense, levels).collect():
+        x, y = ids[r["a"]], ids[r["b"]]
+        assert near.linked(near.shingles(texts[x], 4), near.shingles(texts[y], 4), 85, 100)
+        up[max(root(x), root(y))] = min(root(x), root(y))
+    want = [c for _, c in brute_components(texts, 4, 85, 100)]
+    assert [root(i) for i in range(len(texts))] == want and 10 < len(set(want)) < 100
+
+
+def test_rows_of_a_hot_family_grow_with_its_size(spark):
+    def rows(n):
+        found = hot_sets(spark, family(random.Random(5), n)).cache()
+        groups = found.select(F.lit(0).cast("long").alias("family"), F.explode("sigs").alias("key"), "fp", "root")
+        return near._prefixes(near._families(groups), found, 85, 100)[1].count()
+
+    assert rows(240) < 3 * rows(120)
+
+
+def test_combined_signatures_keep_each_group_connected():
+    rng, combine = np.random.default_rng(6), near._Combiner(4)
+    groups, edges, sent = {}, [], {}
+    for _ in range(5):
+        sig, fp = rng.integers(0, 9, 60).astype(np.uint64), rng.integers(0, 50, 60)
+        sig, fp = np.unique(np.stack([sig, fp.astype(np.uint64)]), axis=1)
+        fp = fp.astype(np.int64)
+        for s, f in zip(sig.tolist(), fp.tolist()):
+            groups.setdefault(s, set()).add(f)
+        out_sig, out_fp, hub, a, b = combine(sig, fp)
+        edges += zip(a.tolist(), b.tolist())
+        for s, f, h in zip(out_sig.tolist(), out_fp.tolist(), hub.tolist()):
+            sent.setdefault(s, []).append((f, h))
+    near_by = {}
+    for a, b in edges:
+        near_by.setdefault(a, set()).add(b)
+        near_by.setdefault(b, set()).add(a)
+    for s, members in groups.items():
+        reached, todo = set(), [f for f, _ in sent[s]]
+        assert any(h for _, h in sent[s]) or {f for f, _ in sent[s]} == members
+        while todo:
+            x = todo.pop()
+            if x not in reached:
+                reached.add(x)
+                todo += near_by.get(x, ())
+        assert members <= reached
+
+
 def test_null_ids_link_like_any_other(spark):
     words = [f"w{i}" for i in range(60)]
     a, b, c = (" ".join(words[i:]) for i in (0, 4, 8))  # a - b and b - c link, a - c don't

@@ -12,15 +12,23 @@ subject to slack for empty segments, which emit nothing; a set with more empty
 segments than the slack emits those too, so no pair is lost. A set takes part in
 its own band and in the one below, where its smaller partners are.
 
-Signatures meet by hash bucket, as binary blocks. A group of up to `SMALL` sets
-gives all its pairs; a larger one gives a star around one member, so its output is
-linear. Pairs are verified on the texts' whole sets, best pairs first: each set
-with the partner it shares most signatures with, then those whose ends aren't
-connected yet. For large groups the sets of different components that still share
-a signature are then paired exactly (members outside the group's main component
-against the others), but for pairs whose hashes' parities over 1024 cells differ in
-more than H cells, which proves that they aren't linked. So each pair of linked
-sets ends in one component.
+Signatures meet by hash bucket, as binary blocks. A signature that more than
+`SMALL` sets of one task hold is combined there: its sets are paired with one hub,
+and only the hub goes on, so that no block grows with a hot group. A group of up to
+`SMALL` sets gives all its pairs; a larger one gives a star. Pairs are verified on
+the texts' whole sets, best pairs first: each set with the partner it shares most
+signatures with, then those whose ends aren't connected yet.
+
+What a large group's star leaves apart is settled exactly by differences to a centre
+(`centred_links`). The sets that share a signature form a family around the one that
+is in most such groups; d is a set's difference to that centre, so that sets x, y
+differ in |d(x) xor d(y)| hashes. With e = |d| - size * (1-t)/(1+t), e(x) + e(y) <= 0
+makes a link sure, and one star around the least e holds all of those. Any other link
+needs (e(x) + e(y)) / 2 common elements of d and fewer than H + 1 different ones, so
+the first elements of d, rare ones first, must meet (prefix filter). Prefix groups of
+up to `DENSE` sets are joined; denser ones are centred anew, one level down, where
+their common differences vanish. So work is in proportion to a family's rows and not
+to its pairs, and each pair of linked sets ends in one component.
 
 Defined cases: null or wordless texts have an empty set and are linked with
 nothing. A text with fewer words than n has one shingle, its whole sequence.
@@ -44,8 +52,9 @@ from ._common import LOWER, chunks, stored
 WORDS, NUM, DEN = 5, 80, 100
 SMALL = 6
 BLOCK_BYTES = 24 << 20
-#: 64-bit words of a set's parities.
-PARITY_WORDS = 16
+#: Sets of a prefix group that are joined directly, levels of centres above that, and
+#: sets of a family that order its elements by frequency. None changes the result.
+DENSE, LEVELS, ORDERING = 64, 6, 24
 #: Links that one task resolves; more go through distributed rounds.
 LOCAL_LINKS = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -161,23 +170,31 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(a) + len(b) - both)
 
 
-def _grouped(sig: np.ndarray, fp: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a < b, in a large group) of sets that share a signature."""
+def _starts(sig: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1]) if len(sig) else np.zeros(0, np.int64)
+
+
+def _grouped(sig: np.ndarray, fp: np.ndarray, heavy: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sets that share a signature, and whether the group is a large one:
+    more than `small` sets, or the hub of a task's combined group is among them."""
     order = np.lexsort((fp, sig))
-    sig, fp = sig[order], fp[order]
+    sig, fp, heavy = sig[order], fp[order], heavy[order]
+    many = np.logical_or.reduceat(heavy, _starts(sig)) if len(sig) else heavy
     keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])]) if len(sig) else np.zeros(0, bool)
     sig, fp = sig[keep], fp[keep]
-    starts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1]) if len(sig) else np.zeros(0, np.int64)
+    starts = _starts(sig)
     sizes = np.diff(np.concatenate([starts, [len(sig)]]))
+    many = many | (sizes > small)
     a, b, big = [], [], []
     for n in range(2, small + 1):
-        at = starts[sizes == n]
+        at = starts[(sizes == n) & ~many]
         for i in range(n):
             for j in range(i + 1, n):
                 a.append(fp[at + i])
                 b.append(fp[at + j])
                 big.append(np.zeros(len(at), bool))
-    many = sizes > small
+    many &= sizes > 1
     if many.any():
         at, n = starts[many], sizes[many]
         rest = np.concatenate([np.arange(s + 1, s + k) for s, k in zip(at, n, strict=True)])
@@ -189,14 +206,58 @@ def _grouped(sig: np.ndarray, fp: np.ndarray, small: int) -> tuple[np.ndarray, n
     return np.concatenate(a), np.concatenate(b), np.concatenate(big)
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray, big: np.ndarray) -> pa.RecordBatch:
-    """Distinct pairs with how often each was met."""
+class _Combiner:
+    """Map-side combination of the signatures that many sets of a task hold."""
+
+    def __init__(self, small: int) -> None:
+        self.small, self.sig, self.hub = small, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __call__(self, sig: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows (sig, fp): those that go on, whether they are hubs, and the pairs
+        (hub, fp) of the rest."""
+        order = np.lexsort((fp, sig))
+        sig, fp = sig[order], fp[order]
+        starts = _starts(sig)
+        sizes = np.diff(np.concatenate([starts, [len(sig)]]))
+        at = np.searchsorted(self.sig, sig[starts])
+        known = np.zeros(len(starts), bool)
+        inside = at < len(self.sig)
+        known[inside] = self.sig[at[inside]] == sig[starts][inside]
+        hot = known | (sizes > self.small)
+        if not hot.any():
+            return sig, fp, np.zeros(len(sig), bool), fp[:0], fp[:0]
+        of_hot = np.repeat(hot, sizes)
+        ids, inverse, counts = np.unique(fp[of_hot], return_inverse=True, return_counts=True)
+        # the hub is the set that is in most hot groups, so that groups share hubs
+        weight = np.zeros(len(sig), np.int64)
+        weight[of_hot] = counts[inverse]
+        by = np.lexsort((fp, -weight, sig))
+        best = by[starts]
+        hub = fp[best]
+        hub[known] = self.hub[at[known]]
+        new = hot & ~known
+        if len(self.sig) > 1_000_000:
+            self.sig, self.hub = self.sig[:0], self.hub[:0]
+        self.sig, self.hub = np.concatenate([self.sig, sig[starts][new]]), np.concatenate([self.hub, hub[new]])
+        order = np.argsort(self.sig, kind="stable")
+        self.sig, self.hub = self.sig[order], self.hub[order]
+        a, b = np.repeat(hub, sizes)[of_hot], fp[of_hot]
+        apart = a != b
+        light = ~of_hot
+        out = np.concatenate([sig[light], sig[starts][new]]), np.concatenate([fp[light], hub[new]])
+        flags = np.concatenate([np.zeros(int(light.sum()), bool), np.ones(int(new.sum()), bool)])
+        return *out, flags, a[apart], b[apart]
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray, n: np.ndarray, big: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs a < b with how often each was met."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((b, a))
-    a, b, big = a[order], b[order], big[order]
+    a, b, n, big = a[order], b[order], n[order], big[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
-    n = np.diff(np.concatenate([starts, [len(a)]]))
-    any_big = np.maximum.reduceat(big, starts) if len(starts) else big
+    n = np.add.reduceat(n, starts) if len(starts) else n
+    any_big = np.logical_or.reduceat(big, starts) if len(starts) else big
     return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(b[starts]), pa.array(n.astype(np.int64)), pa.array(any_big.astype(bool))], names=["a", "b", "n", "big"])
 
 
@@ -226,8 +287,10 @@ def candidates(documents: DataFrame, total: int, n: int, num: int, den: int, sma
     is the number of shingles, which sets the number of blocks."""
     blocks = max(1, int(total * 0.45 * 16 / BLOCK_BYTES))
     buckets = 4 * blocks
+    names, kinds = ["bucket", "kind", "x", "y"], (pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        combine = _Combiner(small)
         for whole in batches:
             for batch in chunks(whole):
                 seen, sigs, fps = set(), [], []
@@ -239,26 +302,34 @@ def candidates(documents: DataFrame, total: int, n: int, num: int, den: int, sma
                         fps.append(np.full(len(sigs[-1]), fp, np.int64))
                 if not sigs:
                     continue
-                sig, fp = np.concatenate(sigs), np.concatenate(fps)
-                bucket = (sig % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                sig, fp, bucket = sig[order], fp[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = [(k, sig[a:b].tobytes(), fp[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "sig", "fp"])
+                sig, fp, hub, a, b = combine(np.concatenate(sigs), np.concatenate(fps))
+                rows = []
+                # kind 0: signatures, 1: signatures of hubs, 2: pairs
+                for kind, x, y, at in ((0, sig[~hub], fp[~hub], sig[~hub]), (1, sig[hub], fp[hub], sig[hub]), (2, a, b, _mixed(b.view(np.uint64)))):
+                    bucket = (at % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    x, y, bucket = x[order], y[order], bucket[order]
+                    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+                    rows += [(k, kind, x[i:j].tobytes(), y[i:j].tobytes()) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        held: dict[int, tuple[tuple[list[bytes], list[bytes]], ...]] = {}
         for batch in batches:
-            for k, s, f in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sig", "fp")), strict=True):
-                sigs, fps = held.setdefault(k, ([], []))
-                sigs.append(s)
-                fps.append(f)
+            for k, kind, x, y in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                xs, ys = held.setdefault(k, (([], []), ([], []), ([], [])))[kind]
+                xs.append(x)
+                ys.append(y)
         for k in list(held):
-            sigs, fps = held.pop(k)
-            yield _pair_batch(*_grouped(np.frombuffer(b"".join(sigs), np.uint64), np.frombuffer(b"".join(fps), np.int64), small))
-
-    emitted = documents.select("text").mapInArrow(emit, "bucket int, sig binary, fp binary")
+            light, hubs, pairs = held.pop(k)
+            of = lambda parts, i, t: np.frombuffer(b"".join(parts[i]), t)
+            sig, fp = (np.concatenate([of(light, i, t), of(hubs, i, t)]) for i, t in ((0, np.uint64), (1, np.int64)))
+            heavy = np.arange(len(sig)) >= len(sig) - len(of(hubs, 0, np.uint64))
+            a, b, big = _grouped(sig, fp, heavy, small)
+            x, y = of(pairs, 0, np.int64), of(pairs, 1, np.int64)
+            yield _pair_batch(np.concatenate([a, x]), np.concatenate([b, y]), np.ones(len(a) + len(x), np.int64), np.concatenate([big, np.ones(len(x), bool)]))
+
+    emitted = documents.select("text").mapInArrow(emit, "bucket int, kind int, x binary, y binary")
     pairs = emitted.repartition(blocks, "bucket").mapInArrow(meet, "a long, b long, n long, big boolean")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("big").alias("big"))
 
@@ -341,40 +412,93 @@ def _rooted(rows: DataFrame, roots: DataFrame, column: str, to: str) -> DataFram
     return rows.join(r, F.col(column) == F.col("_node"), "left").withColumn(to, F.coalesce("_root", column)).drop("_node", "_root")
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """For each of 64 * PARITY_WORDS cells of the universe, whether the set holds an
-    odd number of its hashes. Two sets differ in at least as many hashes as cells."""
-    odd = np.bincount((s & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _unsettled(documents: DataFrame, members: DataFrame, sets: DataFrame, roots: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) in different components that share a signature and may differ
-    little enough, for sets that were in a large group."""
+def members_of(documents: DataFrame, members: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """fp, size, sigs, hashes of the sets `members` (fp)."""
     chosen = members.join(sets.select("fp", "row"), "fp").select("row").distinct()
     docs = documents.select(row_key().alias("row"), "text").join(chosen.hint("shuffle_hash"), "row", "left_semi")
-    names = ["fp", "size", "sigs", *(f"p{i}" for i in range(PARITY_WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s for t in batch.column("text").to_pylist() if len(s := shingles(t, n))]
-            cells = np.array([parities(s) for s in found], dtype=np.int64).reshape(-1, PARITY_WORDS)
-            columns = [pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([signatures(s, num, den).view(np.int64) for s in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(cells[:, i]) for i in range(PARITY_WORDS))], names=names)
-
-    schema = "fp long, size long, sigs array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS))
-    found = stored(docs.select("text").mapInArrow(run, schema).dropDuplicates(["fp"]), "members")
-    found = stored(_rooted(found, roots, "fp", "root"), "rooted")
-    by = found.select("root", F.explode("sigs").alias("sig")).groupBy("sig", "root").agg(F.count("*").alias("k"))
-    mixed = by.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("sig", "main")
-    words = [f"p{i}" for i in range(PARITY_WORDS)]
-    rows = stored(found.select("fp", "root", "size", *words, F.explode("sigs").alias("sig")).join(mixed, "sig"), "mixed")
-    minor = rows.filter("root <> main").select("sig", F.col("fp").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), *(F.col(w).alias(f"x{w}") for w in words))
-    other = rows.select("sig", F.col("fp").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), *words)
-    near = (F.col("rx") != F.col("ry")) & (F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num)
-    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(w))) for w in words))
-    pairs = minor.join(other, "sig").filter(near & (apart * (den + num) <= (F.col("sx") + F.col("sy")) * (den - num)))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        longs = pa.list_(pa.int64())
+        for whole in batches:
+            for batch in chunks(whole):
+                found: dict[int, np.ndarray] = {}
+                for t in batch.column("text").to_pylist():
+                    if len(s := shingles(t, n)):
+                        found[fingerprint(s)] = s
+                columns = [pa.array(list(found), pa.int64()), pa.array([len(s) for s in found.values()], pa.int64())]
+                columns += [pa.array([f(s).view(np.int64) for s in found.values()], longs) for f in (lambda s: signatures(s, num, den), lambda s: s)]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "size", "sigs", "hashes"])
+
+    found = docs.select("text").mapInArrow(run, "fp long, size long, sigs array<long>, hashes array<long>")
+    return stored(found.dropDuplicates(["fp"]), "members")
+
+
+def _families(groups: DataFrame) -> DataFrame:
+    """family, hub, fp: the sets of each group (family, key) of two roots or more
+    around its hub, the set that is in most groups of the family."""
+    mixed = groups.groupBy("family", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("family", "key")
+    rows = stored(groups.join(mixed, ["family", "key"]).select("family", "key", "fp"), "mixed")
+    weight = rows.groupBy("family", "fp").agg(F.count("*").alias("w"))
+    hubs = rows.join(weight, ["family", "fp"]).groupBy("family", "key").agg(F.max_by("fp", F.struct("w", -F.col("fp"))).alias("hub"))
+    return rows.join(hubs, ["family", "key"]).select(F.xxhash64("family", "hub").alias("family"), "hub", "fp").distinct()
+
+
+def _prefixes(kin: DataFrame, found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The sure links (a, b) of families, and a row for each element of each set's
+    prefix: family, key, fp, root, size, n (of its difference), outer, rank."""
+    heads = found.join(kin.select(F.col("hub").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("hub"), F.col("hashes").alias("head"))
+    d = F.concat(F.array_except("hashes", "head"), F.array_except("head", "hashes"))
+    rest = kin.join(found.select("fp", "size", "root", "hashes"), "fp").join(heads, "hub").select("family", "fp", "size", "root", d.alias("rest"))
+    rest = stored(rest.withColumn("n", F.size("rest").cast("long")).withColumn("e", F.col("n") * (den + num) - F.col("size") * (den - num)), "rest")
+    centre = rest.groupBy("family").agg(F.min(F.struct("e", "fp", "root")).alias("centre"), F.count("*").alias("many"))
+    rows = rest.join(centre, "family").withColumn("sure", F.col("e") + F.col("centre.e") <= 0)
+    links = rows.filter(F.col("sure") & (F.col("root") != F.col("centre.root"))).select(F.col("centre.fp").alias("a"), F.col("fp").alias("b"))
+    rows = rows.withColumn("outer", ~F.col("sure") & (F.col("root") != F.col("centre.root")))
+    least = rows.filter("outer").groupBy("family").agg(F.min("e").alias("least"))
+    # an order of the family's elements: those not met twice in a sample of it, then by frequency
+    chosen = rows.filter(F.pmod(F.xxhash64("fp"), F.col("many")) < ORDERING).select("family", F.explode("rest").alias("key"))
+    often = chosen.groupBy("family", "key").agg(F.count("*").alias("k")).filter("k > 1")
+    often = often.groupBy("family").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "key"))), lambda s: s["key"]).alias("often"))
+    rows = rows.join(least, "family").join(often, "family", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
+    ordered = F.concat(F.array_sort(F.array_except("rest", "often")), F.array_intersect("often", "rest"))
+    common = F.greatest(F.lit(1), F.ceil((F.col("e") + F.when(F.col("outer"), F.col("centre.e")).otherwise(F.col("least"))) / (2 * (den + num))))
+    most = F.floor(F.col("size") * (den - num) / num) + 1
+    take = F.greatest(F.lit(0), F.least(F.col("n") - common + 1, most)).cast("int")
+    keys = rows.select("family", "fp", "root", "size", "n", "outer", F.posexplode(F.slice(ordered, F.lit(1), take)).alias("rank", "key"))
+    return links, stored(keys, "prefixes")
+
+
+def centred_links(found: DataFrame, num: int, den: int, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:
+    """Links (a, b) that join all linked sets of different roots which share a
+    signature. found: fp, size, root, sigs, hashes."""
+    info = found.select("fp", "root")
+    groups = found.select(F.lit(0).cast("long").alias("family"), F.explode("sigs").alias("key"), "fp", "root")
+    sure, pairs = [], []
+    for level in range(levels):
+        links, keys = _prefixes(_families(groups), found, num, den)
+        sure.append(links)
+        by = keys.groupBy("family", "key").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outer").alias("any"))
+        by = stored(by.filter("k > 1 AND lo <> hi AND any"), "groups")
+        last = level == levels - 1
+        joined = by if last else by.filter(F.col("k") <= dense)
+        of = lambda s: [F.col(c).alias(f"{c}{s}") for c in ("fp", "root", "size", "n", "outer", "rank")]
+        x = keys.filter("outer").join(joined.select("family", "key"), ["family", "key"]).select("family", "key", *of("_x"))
+        both = x.join(keys.select("family", "key", *of("_y")), ["family", "key"])
+        within = lambda c: c * (den + num) <= (F.col("size_x") + F.col("size_y")) * (den - num)
+        once = ~F.col("outer_y") | (F.col("fp_x") < F.col("fp_y"))
+        both = both.filter((F.col("root_x") != F.col("root_y")) & once & within(F.abs(F.col("n_x") - F.col("n_y"))) & within(F.col("rank_x") + F.col("rank_y")))
+        pairs.append(both.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b")).distinct())
+        if last:
+            break
+        hot = by.filter(F.col("k") > dense).select("family", "key")
+        if hot.isEmpty():
+            break
+        groups = keys.select("family", "key", "fp").join(hot, ["family", "key"]).join(info, "fp")
+    hashes = lambda s: found.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("hashes").alias(f"hashes_{s}"))
+    every = stored(reduce(DataFrame.unionByName, pairs).distinct(), "close")
+    both = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
+    exact = every.join(hashes("a"), "a").join(hashes("b"), "b").filter((both > 0) & (both * den >= (F.col("size_a") + F.col("size_b") - both) * num))
+    return reduce(DataFrame.unionByName, [*sure, exact.select("a", "b")])
 
 
 def classes(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN, small: int = SMALL) -> DataFrame:
@@ -402,9 +526,8 @@ def rooted_rows(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int =
     big = pairs.filter("big")
     if not big.isEmpty():
         members = big.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        rest = _unsettled(documents, members, sets, roots, n, num, den)
-        rest = stored(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        roots = _joined(roots, verified(rest, sets, documents, n, num, den))
+        found_sets = stored(_rooted(members_of(documents, members, sets, n, num, den), roots, "fp", "root"), "rooted")
+        roots = _joined(roots, centred_links(found_sets, num, den))
     held = _rooted(sets, roots, "fp", "root")
     smallest = held.groupBy("root").agg(F.min("rep").alias("component"))
     held = stored(held.join(smallest, "root").select(F.col("fp").alias("_fp"), F.col("size").alias("_size"), "root", "component"), "held")
