@@ -255,16 +255,64 @@ def test_terms_far_from_an_entity_and_seen_twice_go(spark):
     assert not any("gargravarr" in w for w in words.values())
     assert "slartibart" in words[0] and "hapaxone" in words[1] and "common" in words[9] and "arthur" in words[5]
     assert all("lonelyname" in words[i] for i in (2, 3, 4))
-    # counts against a loop over whole documents
-    found = privacy.with_base(docs_of(spark, texts).select("doc_id", "text").withColumn("doc", F.xxhash64("doc_id", "text")))
-    mentions = privacy._mentions(found)
-    got = {(r["entity"], r["term"]): r["joint"] for r in privacy._pairs(mentions, mentions.select(F.explode("entities").alias("entity")).distinct()).collect()}
-    want = {}
+    assert disclosed(spark, texts) == brute_disclosed(texts)
+
+
+def different(spark, texts):
+    return privacy.with_base(docs_of(spark, texts).select("text").distinct().withColumn("copy", F.xxhash64("text")))
+
+
+def disclosed(spark, texts):
+    return {r["term"]: (round(r["disclosure"], 9), r["action"]) for r in privacy.disclosing(different(spark, texts)).collect()}
+
+
+def brute_disclosed(texts):
+    """The rule by loops over the different texts."""
+    docs = []
     for t in set(texts):
-        for e in set(re.findall(r"[a-z]+@[a-z.]+", t)):
-            for w in set(re.findall(r"[^\W\d_]{3,}", t.lower().replace(e, " "))):
-                want.setdefault(("email:" + e, w), []).append(texts.count(t))
-    assert got == {k: sum(v) for k, v in want.items() if len(v) > 1}
+        mails = {m.lower() for m in re.findall(r"[A-Za-z]+@[a-z.]+", t)}
+        docs.append((mails, set(re.findall(r"[^\W\d_]{3,}", t.lower())), set(re.findall(r"[^\W\d_]{3,}", re.sub(r"[A-Za-z]+@[a-z.]+", " ", t).lower()))))
+    n, found = len(docs), {}
+    for e in set().union(*(d[0] for d in docs)):
+        df = sum(e in d[0] for d in docs)
+        if 1 < df < n:
+            for w in set().union(*(d[2] for d in docs if e in d[0])):
+                joint, term = sum(e in d[0] and w in d[2] for d in docs), sum(w in d[1] for d in docs)
+                if joint > 1 and joint >= privacy.SHARE * term:
+                    found[w] = max(found.get(w, -9), np.log((joint - 1) * (n - 1) / ((term - 1) * (df - 1))) / np.log((n - 1) / (df - 1)))
+    return {w: (round(float(d), 9), "remove" if d >= privacy.REMOVE else "generalise") for w, d in found.items() if d >= privacy.GENERALISE}
+
+
+def test_disclosure_against_brute_force(spark):
+    rng = random.Random(21)
+    texts = []
+    for i in range(150):
+        person = rng.choice(["ann", "bob", "cyd", "dan"]) if i % 3 == 0 else None
+        t = prose(rng, 30, 60) + (f" {person}@mail.example.com {person}berg" if person else "") + (f" {person}ville" if person and rng.random() < 0.6 else "") + (" annville" if rng.random() < 0.02 else "")
+        texts.append(t + (" Bobberg" if rng.random() < 0.01 else ""))
+    want = brute_disclosed(texts)
+    assert disclosed(spark, texts) == want
+    assert {a for _, a in want.values()} == {"remove", "generalise"} and len(want) > 5
+
+
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_repeated_rows_change_no_term(spark, times):
+    rng = random.Random(7)
+    texts = [prose(rng, 40) + (f" ford@mail.example.com Trillianx {prose(rng, 3)}" if i < 6 else "") for i in range(120)]
+    out = privacy.sanitised(docs_of(spark, texts * times)).collect()
+    assert len(out) == 120 * times
+    assert sum(r["spans"].count("term:") for r in out) == 6 * times and not any("Trillianx" in r["text"] for r in out)
+    same = spark.createDataFrame([(1, t) for t in texts[:10]] * times, "doc_id long, text string")
+    assert privacy.sanitised(same).count() == 10 * times
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["_doc", "_held", "_matches", "doc", "base", "terms", "_hit", "_items", "own", "row", "copy", "hit", "items", "spans", "n_hit"]
+    docs = spark.createDataFrame([(1, "a.b@c.de one two three", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    bench = spark.createDataFrame([(9, "one two three")], "item_id long, text string")
+    a, b = privacy.sanitised(docs).first(), contamination.matched(docs, bench).first()
+    assert all(a[n] == i for i, n in enumerate(names) if n != "spans") and a["spans"] == "email:0:8" and a["n_email"] == 1
+    assert all(b[n] == i for i, n in enumerate(names) if n != "n_hit") and b["n_hit"] == 3 and b["n_items"] == 1
 
 
 def test_sanitisation_stays_in_the_jvm(spark, sf):
@@ -289,8 +337,8 @@ def brute_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("shard", [contamination.SHARD, 5])
-def test_decontamination_against_brute_force(spark, shard):
+@pytest.mark.parametrize("shard, together", [(contamination.SHARD, 4), (5, 99), (5, 2)])
+def test_decontamination_against_brute_force(spark, shard, together):
     rng = random.Random(8)
     items = [(i, " ".join(rng.choices("aa bb cc Dd é1 ß".split(), k=n))) for i, n in enumerate([3, 13, 14, 20, 0, 5])] + [(6, None), (3, "repeated item é1"), (None, "aa")]
     texts = []
@@ -300,7 +348,7 @@ def test_decontamination_against_brute_force(spark, shard):
         texts.append(" ".join(t[:at]) + " " + (items[k % 4][1].upper() if k % 3 else "") + " , " + " ".join(t[at:]))
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = docs_of(spark, texts + ODD).withColumnRenamed("base", "n_hit")
-    out = contamination.matched(df, bench, shard_size=shard).collect()
+    out = contamination.matched(df, bench, shard_size=shard, together=together).collect()
     named = [(i, t) for i, t in items if i is not None]
     for r in out:
         text = (texts + ODD)[r["doc_id"]]

@@ -8,12 +8,14 @@ frequencies over all documents, disclosure = PMI(term, entity) / IC(entity), whi
 is 1 when the term occurs nowhere else. One document makes any rare word of it
 look exclusive, so each count leaves one document out (small-sample correction):
 only what further documents confirm counts. Copies of a text confirm nothing, so
-the entity and the term need two different texts in common. A term is a
+all four counts (of term, entity, both, and all) are of different texts, and two of
+them must hold both. Repeated rows thus change no term. A term is a
 disclosure if at least `SHARE` of its documents name the entity and if disclosure
 reaches `GENERALISE`; from `REMOVE` on it is removed, below that generalised to
 <TERM>.
 
-Everything is counted with map-side combination. Only texts that hold an entity
+The spans of the patterns are found once and stored with the rows; the different
+texts are taken from there. Everything is counted with map-side combination. Only texts that hold an entity
 which another text holds too give pairs, each distinct term with each such entity,
 as no other can be confirmed. Tables are broadcast only while they are small. The
 patterns are the contract's, written so that the JVM's engine takes linear time
@@ -21,8 +23,11 @@ and constant stack on any text: each consumes what the plain pattern would, star
 only where that one could, and counts before it matches.
 
 Defined cases: a null text is empty. Spans are code points, the end exclusive;
-terms that overlap a pattern's span are not reported. Repeated rows each get a
-row. Ties between entities take the larger disclosure."""
+terms that overlap a pattern's span are not reported. Repeated rows each get a row
+and the same spans; an empty table gives none. Very long texts are searched whole, in
+linear time. Ties between entities take the larger disclosure. Other columns are
+kept as they are, whatever their names, but those named like a result, which it
+replaces."""
 
 from __future__ import annotations
 
@@ -129,41 +134,33 @@ def _entities() -> Column:
     return F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], value(s))))
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """copy, text, entities, n: the different texts that hold an entity, without
-    their base spans, with their numbers of documents."""
-    m = found.filter(F.size("base") > 0).select(F.xxhash64("text").alias("copy"), _bare().alias("text"), _entities().alias("entities"))
-    return m.groupBy("copy").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count("*").alias("n"))
-
-
 def _pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """entity, term, joint: how many documents hold both, for the entities given and
-    where two different texts do."""
+    """entity, term, joint: how many texts hold both, two at least, for the entities
+    given."""
     n, n_bytes = entities.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("entity")), F.lit(0))).first()
     shared = mentions.select("copy", F.explode("entities").alias("entity")).join(small(entities.select("entity"), n_bytes + 32 * n), "entity")
     shared = stored(shared.groupBy("copy").agg(F.collect_list("entity").alias("shared")), "shared")
-    texts = mentions.select("copy", "text", "n").join(shared, "copy")
-    terms = texts.select("n", "shared", F.explode(_terms(F.col("text"))).alias("term"))
-    pairs = terms.select("n", "term", F.explode("shared").alias("entity"))
-    return pairs.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("texts")).filter("texts > 1").drop("texts")
-
-
-def disclosing(found: DataFrame) -> DataFrame:
-    """term, disclosure, action: the terms that reveal an entity. `found` has doc
-    (a key of the row), text and base."""
-    mentions = stored(_mentions(found), "mentions")
-    entities = mentions.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("df_entity"), F.count("*").alias("texts"))
-    entities = stored(entities.filter("texts > 1").drop("texts"), "entities")
+    terms = mentions.select("copy", "text").join(shared, "copy").select("shared", F.explode(_terms(F.col("text"))).alias("term"))
+    pairs = terms.select("term", F.explode("shared").alias("entity"))
+    return pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")).filter("joint > 1")
+
+
+def disclosing(texts: DataFrame) -> DataFrame:
+    """term, disclosure, action: the terms that reveal an entity. `texts` has copy (a
+    key of the text), text and base for each different text."""
+    mentions = stored(texts.filter(F.size("base") > 0).select("copy", _bare().alias("text"), _entities().alias("entities")), "mentions")
+    entities = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+    entities = stored(entities.filter("df_entity > 1"), "entities")
     pairs = stored(_pairs(mentions, entities), "pairs")
     candidates = pairs.select("term").distinct()
     n, n_bytes = candidates.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     if not n:
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
-    words = found.select(F.explode(_terms(F.col("text"))).alias("term"))
+    words = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
     if n_bytes + 32 * n <= BROADCAST_BYTES:  # beyond it all words are counted, and the join is of counts
         words = words.join(F.broadcast(candidates), "term", "left_semi")
     df = words.groupBy("term").agg(F.count("*").alias("df_term"))
-    total = found.count()
+    total = texts.count()
     scored = pairs.join(entities, "entity").join(df, "term").filter((F.col("df_entity") < total) & (F.col("joint") >= SHARE * F.col("df_term")))
     joint, term, entity, others = F.col("joint") - 1, F.col("df_term") - 1, F.col("df_entity") - 1, total - 1
     scored = scored.withColumn("d", F.log(joint * others / (term * entity)) / F.log(F.lit(others) / entity))
@@ -173,15 +170,14 @@ def disclosing(found: DataFrame) -> DataFrame:
 
 def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     """found with `terms`: the spans of disclosing terms outside the base spans;
-    the value says what to do with one."""
+    the value says what to do with one. `found` has row (a key), text and base."""
     n, n_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     empty = F.array().cast(SPAN)
     if not n:
         return found.withColumn("terms", empty)
-    words = found.select("doc", F.explode(_terms(F.col("text"))).alias("term"))
-    held = words.join(small(terms.select("term", "action"), n_bytes + 64 * n), "term").groupBy("doc").agg(F.collect_set(F.struct("term", "action")).alias("_held"))
-    held = stored(held.withColumnRenamed("doc", "_doc"), "held").hint("shuffle_hash")  # grows with the documents
-    docs = found.join(held, F.col("doc") == F.col("_doc"), "left").drop("_doc")
+    words = found.select("row", F.explode(_terms(F.col("text"))).alias("term"))
+    held = words.join(small(terms.select("term", "action"), n_bytes + 64 * n), "term").groupBy("row").agg(F.collect_set(F.struct("term", "action")).alias("_held"))
+    docs = found.join(stored(held, "held").hint("shuffle_hash"), "row", "left")  # grows with the documents
     names = F.transform("_held", lambda h: h["term"])
     docs = docs.withColumn("_pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}])")))
     docs = docs.withColumn("_matches", F.when(F.col("_pattern").isNotNull(), F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))))
@@ -199,14 +195,18 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+RESULTS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def sanitised(documents: DataFrame) -> DataFrame:
     """The documents' columns with text replaced, and n_email, n_ip, n_card,
     n_phone, base_sha256 and spans of the original text."""
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    docs = documents.drop("doc", "base", "terms", *names)
-    others = [c for c in docs.columns if c != "text"]
-    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc", F.xxhash64("doc_id", "text"))
-    found = with_base(docs)
-    out = with_terms(found, disclosing(found.select("doc", "text", "base")))
+    own = F.struct(*(c for c in documents.columns if c not in ("text", *RESULTS)))
+    docs = documents.select(own.alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    found = with_base(docs).withColumn("copy", F.xxhash64("text"))
+    # written once, so that a row's number is the same whenever it is read
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    texts = stored(found.select("copy", "text", "base").dropDuplicates(["copy"]), "texts")
+    out = with_terms(found, disclosing(texts))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select(*others, _cleaned().alias("text"), *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "terms")).alias("spans"))
+    return out.select("own.*", _cleaned().alias("text"), *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "terms")).alias("spans"))
