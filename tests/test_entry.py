@@ -19,16 +19,12 @@ def _plain(v):
     return v.replace(tzinfo=None) if hasattr(v, "tzinfo") and v.tzinfo else v
 
 
-@pytest.fixture(scope="module")
-def db(sf):
-    con = duckdb.connect()
-    for p in glob.glob(f"{sf}/*.parquet"):
-        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
-    return con
-
-
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
-def test_query_equals_sql(spark, sf, db, name):
+def test_query_equals_sql(spark, name, scale):
+    sf, db = f"/root/testdata/{scale}", duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        db.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     df, rel = queries.QUERIES[name](spark, sf), db.sql(oracle.SQL[name])
     columns = sorted(df.columns)
     assert columns == sorted(rel.columns)
@@ -38,6 +34,15 @@ def test_query_equals_sql(spark, sf, db, name):
     assert got == want
 
 
+def test_rounding_goes_a_hair_above():
+    assert oracle._a_hair_above("SELECT round(a, 4), round(f(b, round(c, 2)), 3) x") == "SELECT round(CAST(a AS DOUBLE) + 1e-9, 4), round(CAST(f(b, round(CAST(c AS DOUBLE) + 1e-7, 2)) AS DOUBLE) + 1e-8, 3) x"
+
+
+def test_anomalies_sort_each_window_a_few_times(spark, sf):
+    plan = queries.anomaly_days(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") <= 4 and "percentile(" in plan
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 30
 

@@ -32,7 +32,7 @@ def test_local_day_and_sleep_count_where_they_end(spark):
 
 
 def test_preferred_source_for_each_day(spark):
-    rows = [("steps", T(2024, 1, 1, 9), None, 10.0, "FITBIT"), ("steps", T(2024, 1, 1, 10), None, 99.0, "PHONE"), ("steps", T(2024, 1, 2, 9), None, 7.0, "PHONE"), ("steps", T(2024, 1, 3, 9), None, None, "FITBIT"), ("steps", T(2024, 1, 3, 9), None, 3.0, "unknown")]
+    rows = [("steps", T(2024, 1, 1, 9), None, 10.0, "PRIMARY"), ("steps", T(2024, 1, 1, 10), None, 99.0, "PHONE"), ("steps", T(2024, 1, 2, 9), None, 7.0, "PHONE"), ("steps", T(2024, 1, 3, 9), None, None, "PRIMARY"), ("steps", T(2024, 1, 3, 9), None, 3.0, "unknown")]
     r = readings(spark, rows)
     got = {x["day"].day: (x["total"], x["n"]) for x in daily(r, "UTC").collect()}
     assert got == {1: (10.0, 1), 2: (7.0, 1), 3: (3.0, 1)}
@@ -55,14 +55,14 @@ def test_interpolation_against_a_loop(spark, gap):
 
 
 def test_reads(spark):
-    rows = [("steps", T(2024, 1, 1, h), None, float(h), s) for h in range(6) for s in ("FITBIT", "PHONE")] + [("weight", T(2024, 1, 1), None, 80.0, "PHONE"), ("weight", T(2024, 1, 2), None, None, "PHONE")]
+    rows = [("steps", T(2024, 1, 1, h), None, float(h), s) for h in range(6) for s in ("PRIMARY", "PHONE")] + [("weight", T(2024, 1, 1), None, 80.0, "PHONE"), ("weight", T(2024, 1, 2), None, None, "PHONE")]
     r = readings(spark, rows)
     s = {x["metric"]: (x["value"], x["at"]) for x in summary(r).collect()}
     assert s["steps"] == (15.0, None)
     assert s["weight"] == (None, T(2024, 1, 2))
     assert points_total(r, "steps", dedupe=True).first()[0] == 6
     page = points(r, "steps", page=1, limit=4).collect()
-    assert [(x["start_time"].hour, x["source"]) for x in page] == [(3, "FITBIT"), (3, "PHONE"), (2, "FITBIT"), (2, "PHONE")]
+    assert [(x["start_time"].hour, x["source"]) for x in page] == [(3, "PHONE"), (3, "PRIMARY"), (2, "PHONE"), (2, "PRIMARY")]
     assert {x["value"] for x in buckets(r, "steps", "day").collect()} == {30.0}
     with pytest.raises(ValueError):
         buckets(r, "weight", "day")

@@ -1,11 +1,16 @@
 """Formats, SQL functions, table upkeep, added layers."""
 
-from datetime import date, datetime
+from datetime import date, datetime, time
+from zoneinfo import ZoneInfo
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.sql import register
+from tidemark.functions.stats import sorted_quantile
 from tidemark.functions.text import camel, human_date, listed, shown
+from tidemark.operators.frame import start_of_local_day
 from tidemark.plans.insights import EXTRA, Insights, register_layer
 from tidemark.sources.readings import READING_SCHEMA, has_data, read_table, replace_source, write_table
 
@@ -24,6 +29,20 @@ def test_formats(spark):
     assert tuple(one.select(listed(F.col("x")), listed(F.col("y")), human_date(F.col("d")), camel(F.col("k"))).first()) == ("a, b and c", "a", "29 Sep", "dailyVo2Max")
 
 
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.75, 1.0])
+def test_quantiles_against_numpy(spark, q):
+    rng = np.random.default_rng(1)
+    rows = [(sorted(rng.normal(size=n).tolist()),) for n in (1, 2, 5, 10)] + [([],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<double>").select(sorted_quantile(F.col("a"), q)).collect()]
+    assert got[-1] is None and got[:-1] == pytest.approx([np.quantile(r[0], q) for r in rows[:-1]])
+
+
+def test_local_midnights(spark):
+    days = [date(2024, 3, 30), date(2024, 3, 31), date(2024, 4, 1), date(2024, 10, 27), date(2024, 10, 28)]
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in days], "d date").select(start_of_local_day(F.col("d"), "Europe/London")).collect()]
+    assert got == [datetime.combine(d, time(), ZoneInfo("Europe/London")).astimezone(ZoneInfo("UTC")).replace(tzinfo=None) for d in days]
+
+
 def test_replace_source(spark, tmp_path):
     row = lambda v, s: ("me", "steps", datetime(2024, 1, 1, int(v)), None, v, None, s, None)
     a, b = str(tmp_path / "a"), str(tmp_path / "b")

@@ -1,14 +1,19 @@
 """JSON points, pages, and loads that may run twice."""
 
 import json
+import threading
 from datetime import datetime
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
 
 from tidemark.sources.pages import PagedSource, filter_text, windows
 from tidemark.sources.readings import normalised, page_points, read_table, split_usable
-from tidemark.streaming.ingest import bucket_stream, stream_pages
+from tidemark.streaming import ingest
+from tidemark.streaming.ingest import bucket_stream, load, stream_pages, sync_state
 
 POINTS = [
-    ("steps", {"steps": {"count": "412", "interval": {"startTime": "2024-01-01T08:00:00Z", "endTime": "2024-01-01T09:00:00Z"}}, "dataSource": {"platform": "FITBIT"}}),
+    ("steps", {"steps": {"count": "412", "interval": {"startTime": "2024-01-01T08:00:00Z", "endTime": "2024-01-01T09:00:00Z"}}, "dataSource": {"platform": "PRIMARY"}}),
     ("heart-rate", {"heartRate": {"beatsPerMinute": 61, "sampleTime": {"physicalTime": "2024-01-01T08:05:00Z"}}}),
     ("daily-resting-heart-rate", {"dailyRestingHeartRate": {"beatsPerMinute": "55", "date": {"year": 2024, "month": 1, "day": 1}}}),
     ("sleep", {"sleep": {"summary": {"minutesAsleep": "431"}, "interval": {"startTime": "2023-12-31T23:10:00Z", "endTime": "2024-01-01T07:00:00Z"}}}),
@@ -24,7 +29,7 @@ def test_points_become_readings(spark):
     df = spark.createDataFrame([(k, json.dumps(p)) for k, p in POINTS], "data_type string, point string")
     rows = normalised(df)
     got = [(r["data_type"], r["value"], r["unit"], r["source"]) for r in rows.collect()]
-    assert got == [("steps", 412.0, "count", "FITBIT"), ("heart-rate", 61.0, "bpm", "unknown"), ("daily-resting-heart-rate", 55.0, "bpm", "unknown"), ("sleep", 431.0, "min", "unknown"), ("active-minutes", 13.0, "min", "unknown"), ("active-minutes", None, None, "unknown"), ("weight", None, None, "unknown"), ("sedentary-period", 30.0, "min", "unknown"), ("distance", 1.5, "m", "unknown")]
+    assert got == [("steps", 412.0, "count", "PRIMARY"), ("heart-rate", 61.0, "bpm", "unknown"), ("daily-resting-heart-rate", 55.0, "bpm", "unknown"), ("sleep", 431.0, "min", "unknown"), ("active-minutes", 13.0, "min", "unknown"), ("active-minutes", None, None, "unknown"), ("weight", None, None, "unknown"), ("sedentary-period", 30.0, "min", "unknown"), ("distance", 1.5, "m", "unknown")]
     usable, skipped = split_usable(rows)
     assert usable.count() == 8 and [tuple(r) for r in skipped.collect()] == [("weight", 1)]
 
@@ -33,7 +38,7 @@ def _page(folder, name, kind, points):
     (folder / f"{name}.json").write_text(json.dumps({"entity_id": "me", "data_type": kind, "page": name, "body": json.dumps({"dataPoints": points})}))
 
 
-def _steps(n, hour, source="FITBIT"):
+def _steps(n, hour, source="PRIMARY"):
     return {"steps": {"count": n, "interval": {"startTime": f"2024-01-01T{hour:02d}:00:00Z"}}, "dataSource": {"platform": source}}
 
 
@@ -52,6 +57,58 @@ def test_streaming_load_is_idempotent(spark, tmp_path):
     assert read_table(spark, table).count() == 3
 
 
+def test_late_readings_read_their_own_range(spark, tmp_path):
+    row = lambda kind, t, v, seq: ("me", kind, t, None, v, None, "A", None, seq)
+    batch = lambda *rows: spark.createDataFrame(rows, "entity_id string, data_type string, start_time timestamp_ntz, end_time timestamp_ntz, value double, unit string, source string, raw string, seq string")
+    path, state = str(tmp_path / "t"), str(tmp_path / "state")
+    T = datetime
+    first = load(batch(row("steps", T(2020, 1, 1), 1.0, "a"), row("steps", T(2024, 1, 1), 2.0, "b"), row("weight", T(2024, 1, 1), 80.0, "c")), path, state, T(2024, 1, 2))
+    assert first == {"steps": {"written": 2, "skipped": 0}, "weight": {"written": 1, "skipped": 0}}
+    second = load(batch(row("steps", T(2020, 1, 1), 9.0, "a"), row("steps", T(2021, 1, 1), 3.0, "b"), row("weight", T(2024, 1, 1), 99.0, "c")), path, state, T(2024, 1, 3))
+    assert second == {"steps": {"written": 1, "skipped": 0}, "weight": {"written": 0, "skipped": 0}}
+    assert sorted(r["value"] for r in read_table(spark, path).collect()) == [1.0, 2.0, 3.0, 80.0]
+    marks = {r["data_type"]: r["last_synced_at"] for r in sync_state(spark.read.parquet(state), "2023-06-01").collect()}
+    assert marks["steps"] == marks["weight"] == T(2024, 1, 3) and marks["sleep"] == T(2023, 6, 1) and len(marks) == 36
+
+
+def test_a_failing_type_stops_no_other(spark, tmp_path, monkeypatch):
+    added = ingest._added
+    monkeypatch.setattr(ingest, "_added", lambda rows, path: 1 // 0 if rows.first()["data_type"] == "steps" else added(rows, path))
+    rows = spark.createDataFrame([("me", k, datetime(2024, 1, 1), None, 1.0, None, "A", None, "a") for k in ("steps", "weight")], "entity_id string, data_type string, start_time timestamp_ntz, end_time timestamp_ntz, value double, unit string, source string, raw string, seq string")
+    done = load(rows, str(tmp_path / "t"), str(tmp_path / "state"), datetime(2024, 1, 2))
+    assert done["weight"] == {"written": 1, "skipped": 0} and "division" in done["steps"]["error"]
+    assert [r["data_type"] for r in spark.read.parquet(str(tmp_path / "state")).collect()] == ["weight"]
+
+
+@pytest.mark.parametrize("status", [500, 404])
+def test_a_failed_request_fails_the_read(spark, status):
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_error(status)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(PagedSource)
+        df = spark.read.format("pages").option("root", f"http://127.0.0.1:{server.server_port}").option("types", "steps").option("since", "2024-01-01").option("until", "2024-01-05").load()
+        with pytest.raises(Exception, match=f"HTTP Error {status}"):
+            df.count()
+    finally:
+        server.shutdown()
+
+
+def test_a_missing_later_page_fails_the_read(spark, tmp_path):
+    (tmp_path / "steps").mkdir()
+    (tmp_path / "steps" / "2024-01-01.0.json").write_text(json.dumps({"dataPoints": [_steps(1, 8)], "nextPageToken": "1"}))
+    spark.dataSource.register(PagedSource)
+    df = spark.read.format("pages").option("root", f"file://{tmp_path}").option("types", "steps").option("since", "2024-01-01").option("until", "2024-01-05").load()
+    with pytest.raises(Exception, match="No such file"):
+        df.count()
+
+
 def test_bucket_stream(spark, tmp_path):
     from tidemark.sources.readings import READING_SCHEMA
 

@@ -1,5 +1,7 @@
 """Models: planted structure, literal loops, and histories that are too short."""
 
+import itertools
+import json
 import math
 
 import numpy as np
@@ -98,9 +100,117 @@ def test_ridge_against_the_normal_equations(frame):
     assert [got[k] for k in p] == pytest.approx(beta.tolist())
 
 
+def test_principal_components_against_singular_vectors(frame):
+    got = M.factors(frame).filter("component = 0").orderBy("date").collect()
+    x = frame.orderBy("idx").toPandas()[list(M.FACTOR_METRICS)].to_numpy(float)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    v = vt[0] * np.sign(vt[0][np.abs(vt[0]).argmax()])
+    assert [r["score"] for r in got] == pytest.approx((z @ v).tolist(), abs=1e-6)
+    assert got[0]["explained"] == pytest.approx(s[0] ** 2 / (s**2).sum())
+    weights = {w["metric"]: w["weight"] for w in got[0]["loadings"]}
+    assert weights == pytest.approx(dict(zip(M.FACTOR_METRICS, v.tolist())))
+    assert list(weights.values()) == sorted(weights.values(), key=lambda w: -abs(w))
+
+
+def slow_forest(x, trees, sample, seed):
+    """A tree at a time, a row at a time."""
+    rand, size = Mulberry32(seed), min(sample, len(x))
+    limit = math.ceil(math.log2(size))
+
+    def grow(rows, level):
+        free = [j for j in range(x.shape[1]) if rows and min(r[j] for r in rows) < max(r[j] for r in rows)]
+        if level >= limit or len(rows) <= 1 or not free:
+            return len(rows)
+        j = free[int(rand() * len(free))]
+        low, high = min(r[j] for r in rows), max(r[j] for r in rows)
+        at = low + rand() * (high - low)
+        return j, at, grow([r for r in rows if r[j] < at], level + 1), grow([r for r in rows if not r[j] < at], level + 1)
+
+    def path(node, r, level=0):
+        return level + M._expected_depth(node) if isinstance(node, int) else path(node[2] if r[node[0]] < node[1] else node[3], r, level + 1)
+
+    grown = [grow([x[int(rand() * len(x))].tolist() for _ in range(size)], 0) for _ in range(trees)]
+    return [2 ** (-sum(path(t, r) for t in grown) / trees / M._expected_depth(size)) for r in x.tolist()]
+
+
+def test_forest_against_a_loop():
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    assert M.forest_scores(x, 12, 16, 5).tolist() == pytest.approx(slow_forest(x, 12, 16, 5))
+
+
+def test_k_means_against_a_loop():
+    x = np.random.default_rng(3).normal(size=(45, 2)) + np.repeat([[0, 0], [4, 0], [0, 4]], 15, axis=0)
+    labels, centres = M.k_means(x, 3)
+    near = lambda r: min(range(3), key=lambda j: sum((r[i] - centres[j][i]) ** 2 for i in range(2)))
+    assert labels.tolist() == [near(r) for r in x]
+    assert all(centres[j].tolist() == pytest.approx([sum(x[i][c] for i in range(45) if labels[i] == j) / (labels == j).sum() for c in range(2)]) for j in range(3))
+    widths = []
+    for i in range(45):
+        mean = lambda j: np.mean([math.dist(x[i], x[m]) for m in range(45) if labels[m] == j and m != i])  # noqa: E731, B023
+        a, b = mean(labels[i]), min(mean(j) for j in range(3) if j != labels[i])
+        widths.append((b - a) / max(a, b))
+    assert M.silhouette(x, labels, 3) == pytest.approx(np.mean(widths))
+
+
+def test_hmm_likelihood_against_all_paths():
+    rng = np.random.default_rng(4)
+    x, mu, var = rng.normal(size=(6, 2)), rng.normal(size=(2, 2)), rng.uniform(0.5, 2, size=(2, 2))
+    pi, a = np.array([0.3, 0.7]), np.array([[0.8, 0.2], [0.4, 0.6]])
+    density = lambda t, s: math.prod(math.exp(-((x[t, d] - mu[s, d]) ** 2) / (2 * var[s, d])) / math.sqrt(2 * math.pi * var[s, d]) for d in range(2))
+    weight = {p: pi[p[0]] * math.prod(a[p[t - 1], p[t]] for t in range(1, 6)) * math.prod(density(t, p[t]) for t in range(6)) for p in itertools.product((0, 1), repeat=6)}
+    logb = M._log_density(x, mu[None], var[None])
+    gamma, _, _, full = M._forward_backward(logb, pi[None], a[None])
+    total = sum(weight.values())
+    assert full[0] == pytest.approx(math.log(total))
+    assert gamma[0, 2, 1] == pytest.approx(sum(w for p, w in weight.items() if p[2] == 1) / total)
+    assert tuple(M.viterbi(logb[0], pi, a)) == max(weight, key=weight.get)
+
+
+def test_network_gradient_lowers_the_error():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 3))
+    y = np.tanh(x[:, 0]) * 3 + 10
+    fit, none = M.net_fit(x, y), M.net_fit(x, y, epochs=1)
+    assert fit["rmse"] < 0.5 * none["rmse"] and fit["train_days"] == 64 and fit["importance"][0] == max(fit["importance"])
+    assert M.net_fit(x[:44], y[:44]) is None
+
+
+def test_details_of_clusters_and_states(frame):
+    rows = M.clusters(frame).collect()
+    raw = {r["date"]: r for r in frame.collect()}
+    first = [r for r in rows if r["rank"] == 0]
+    assert first[0]["size"] == max(r["size"] for r in rows) and len(first[0]["distinguishing"]) == 3
+    assert first[0]["centroid"][0] == pytest.approx(np.mean([raw[r["date"]]["steps"] for r in first]))
+    z = [abs(d["z"]) for d in first[0]["distinguishing"]]
+    assert z == sorted(z, reverse=True)
+    state = M.states(frame).filter("last").first()
+    assert sum(o["probability"] for o in state["outward"]) == pytest.approx(state["change"])
+    assert [o["probability"] for o in state["outward"]] == sorted((o["probability"] for o in state["outward"]), reverse=True)
+    assert state["outward"][0]["name"] == state["likely_next"] and {p["metric"] for p in state["profile"]} == set(M.STATE_METRICS)
+
+
+def test_decomposition_falls_back_to_sleep(spark, history):
+    few = history.filter("data_type <> 'steps' OR start_time > '2024-06-20'")
+    x = Insights(few, UNTIL, "UTC")
+    assert [r["metric"] for r in x.layers["decomposition"].collect()] == ["sleep_minutes"]
+    x.close()
+
+
+def test_documents(history, spark, tmp_path):
+    x = Insights(history, UNTIL, "UTC")
+    x.write_documents(str(tmp_path / "d"))
+    x.close()
+    (line,) = [r[0] for r in spark.read.text(str(tmp_path / "d")).collect()]
+    found = json.loads(line)
+    assert found["until"] == UNTIL and set(x.layers) < set(found)
+    assert {"id", "headline", "detail", "tone", "source"} <= set(found["findings"][0]) and found["baseline"][0]["n"] > 3
+
+
 def test_insights_and_findings(history):
     x = Insights(history, UNTIL, "UTC")
     got = {r["id"]: r for r in x.findings().collect()}
+    assert all(r["detail"] for r in got.values()) and "typically" in got["forecast-sleep"]["detail"]
     assert "readiness" in got and "forecast-sleep" in got and "net" in got
     assert x.layers["readiness"].first()["coverage"] == pytest.approx(1.0)
     joined = x.states_with_factors()

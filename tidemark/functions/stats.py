@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once, however often `then` names it: the
+    planner merges projections and would repeat a plain expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def sorted_quantile(a: Column, q: float) -> Column:
+    """The q-quantile of a sorted array, linear between neighbours; null if empty."""
+
+    def between(at: Column) -> Column:
+        low, high = F.get(a, F.floor(at).cast("int")), F.get(a, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return F.when(F.size(a) > 0, between((F.size(a) - 1) * F.lit(float(q))))
+
+
 def sorted_median(a: Column) -> Column:
     """The median of a sorted array; null if it is empty."""
     n = F.size(a)
@@ -13,10 +31,14 @@ def sorted_median(a: Column) -> Column:
     return F.when(n > 0, (F.get(a, low) + F.get(a, high)) / 2)
 
 
+def mad(a: Column, median: Column) -> Column:
+    """1.4826 times the median distance from `median`; null below two values."""
+    return F.when(F.size(a) >= 2, 1.4826 * let(F.array_sort(F.transform(a, lambda x: F.abs(x - median))), sorted_median))
+
+
 def sorted_mad(a: Column) -> Column:
-    """1.4826 times the median deviation of a sorted array; null below two values."""
-    m = sorted_median(a)
-    return F.when(F.size(a) >= 2, 1.4826 * sorted_median(F.array_sort(F.transform(a, lambda x: F.abs(x - m)))))
+    """`mad` of a sorted array around its own median."""
+    return let(sorted_median(a), lambda m: mad(a, m))
 
 
 def ewma(values: Column, span: int) -> Column:

@@ -24,6 +24,11 @@ def local_day(ts: Column, tz: str) -> Column:
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), ts))
 
 
+def start_of_local_day(day: Column, tz: str) -> Column:
+    """The zone-less UTC time at which a civil date begins at tz."""
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), day.cast("timestamp_ntz"))
+
+
 def anchor() -> Column:
     """The time that places a reading in a day: sleep counts where it ends."""
     return F.when(F.col("data_type").isin(*END_ANCHORED), F.coalesce("end_time", "start_time")).otherwise(F.col("start_time"))

@@ -192,8 +192,10 @@ def silhouette(x: np.ndarray, labels: np.ndarray, k: int) -> float:
 
 
 def clusters(frame: DataFrame) -> DataFrame:
-    """A row for each day used: date, cluster, its name, size, share, k, silhouette."""
-    schema = "entity_id string, date date, weekday int, cluster int, name string, size long, share double, k int, silhouette double"
+    """A row for each day used: date, cluster, its name, size, share, rank by size
+    (ties by number), k, silhouette, its members' means, and the three metrics that
+    set it apart most with their standardised and plain means."""
+    schema = "entity_id string, date date, weekday int, cluster int, name string, size long, share double, rank int, k int, silhouette double, centroid array<double>, distinguishing array<struct<metric:string,z:double,value:double>>"
 
     def fit(pdf: pd.DataFrame) -> list[dict]:
         raw = pdf[list(CLUSTER_METRICS)].astype(float)
@@ -201,7 +203,8 @@ def clusters(frame: DataFrame) -> DataFrame:
         days, raw = pdf[use], raw[use]
         if len(raw) < 14 or raw.isna().all().any():
             return []
-        x = standardised(raw.fillna(raw.median()).to_numpy())[0]
+        plain = raw.fillna(raw.median()).to_numpy()
+        x = standardised(plain)[0]
         best = None
         for k in (2, 3, 4):
             if len(x) >= 3 * k:
@@ -215,7 +218,13 @@ def clusters(frame: DataFrame) -> DataFrame:
             j = int(np.argmax(np.abs(c)))
             names.append(CLUSTER_NAMES[CLUSTER_METRICS[j]][0 if c[j] > 0 else 1])
         sizes = np.bincount(labels, minlength=len(centres))
-        return [{"date": d, "weekday": w, "cluster": int(c), "name": names[c], "size": int(sizes[c]), "share": sizes[c] / len(x), "k": k, "silhouette": score} for d, w, c in zip(days["date"], days["weekday"], labels, strict=True)]
+        rank = {int(c): i for i, c in enumerate(np.argsort(-sizes, kind="stable"))}
+        about = []
+        for j, c in enumerate(centres):
+            means = plain[labels == j].mean(axis=0) if sizes[j] else np.full(len(c), np.nan)
+            apart = [{"metric": CLUSTER_METRICS[i], "z": _clean(c[i]), "value": _clean(means[i])} for i in np.argsort(-np.abs(c), kind="stable")[:3]]
+            about.append({"name": names[j], "size": int(sizes[j]), "share": sizes[j] / len(x), "rank": rank[j], "k": k, "silhouette": score, "centroid": [_clean(v) for v in means], "distinguishing": apart})
+        return [{"date": d, "weekday": w, "cluster": int(c)} | about[c] for d, w, c in zip(days["date"], days["weekday"], labels, strict=True)]
 
     return _per_entity(frame, fit, schema)
 
@@ -238,9 +247,9 @@ MIXED, EFFORT, RECOVERY, BOTH = "Mixed", "How hard the day was", "How well recov
 
 
 def factors(frame: DataFrame) -> DataFrame:
-    """entity_id, component, name, explained, loadings, date, score. A component's
-    largest loading is positive."""
-    schema = "entity_id string, component int, name string, explained double, loadings array<double>, date date, score double"
+    """entity_id, component, name, explained, loadings (the largest first), date,
+    score. A component's largest loading is positive."""
+    schema = "entity_id string, component int, name string, explained double, loadings array<struct<metric:string,weight:double>>, date date, score double"
     activity = [m in ("steps", "active_minutes", "calories") for m in FACTOR_METRICS]
 
     def fit(pdf: pd.DataFrame) -> list[dict]:
@@ -258,7 +267,8 @@ def factors(frame: DataFrame) -> DataFrame:
             heavy = np.where(np.abs(v) >= 0.35, np.abs(v), 0)
             act, rec = heavy[activity].sum(), heavy[np.logical_not(activity)].sum()
             name = MIXED if not heavy.any() else EFFORT if act > 1.6 * rec else RECOVERY if rec > 1.6 * act else BOTH
-            out += [{"component": c, "name": name, "explained": values[c] / values.sum(), "loadings": v.tolist(), "date": d, "score": s} for d, s in zip(days["date"], z @ v, strict=True)]
+            ordered = [{"metric": FACTOR_METRICS[i], "weight": float(v[i])} for i in np.argsort(-np.abs(v), kind="stable")]
+            out += [{"component": c, "name": name, "explained": values[c] / values.sum(), "loadings": ordered, "date": d, "score": s} for d, s in zip(days["date"], z @ v, strict=True)]
         return out
 
     return _per_entity(filled_frame(frame, FACTOR_METRICS, 2), fit, schema)
@@ -297,8 +307,9 @@ def forest_scores(x: np.ndarray, trees: int = 160, sample: int = 64, seed: int =
 
 
 def forest(frame: DataFrame) -> DataFrame:
-    """entity_id, date, score, flagged, contributors (the three largest deviations)."""
-    schema = "entity_id string, date date, score double, flagged boolean, contributors array<string>"
+    """entity_id, date, score, flagged, contributors (the metrics of the three largest
+    deviations) and those deviations."""
+    schema = "entity_id string, date date, score double, flagged boolean, contributors array<string>, deviations array<struct<metric:string,z:double>>"
 
     def fit(pdf: pd.DataFrame) -> list[dict]:
         days, raw = _complete(pdf, FOREST_METRICS)
@@ -308,8 +319,8 @@ def forest(frame: DataFrame) -> DataFrame:
         over = np.flatnonzero(score >= 0.6)
         flagged = set(over[np.argsort(-score[over], kind="stable")][:6].tolist())
         return [
-            {"date": d, "score": s, "flagged": i in flagged, "contributors": [FOREST_METRICS[j] for j in np.argsort(-np.abs(z[i]), kind="stable")[:3]]}
-            for i, (d, s) in enumerate(zip(days["date"], score, strict=True))
+            {"date": d, "score": s, "flagged": i in flagged, "contributors": [FOREST_METRICS[j] for j in top], "deviations": [{"metric": FOREST_METRICS[j], "z": float(z[i, j])} for j in top]}
+            for i, (d, s, top) in enumerate(zip(days["date"], score, np.argsort(-np.abs(z), axis=1, kind="stable")[:, :3], strict=True))
         ]
 
     return _per_entity(filled_frame(frame, FOREST_METRICS, 2), fit, schema)
@@ -375,6 +386,13 @@ def gp_forecasts(frame: DataFrame, metrics: tuple[str, ...] = GP_METRICS) -> Dat
     return _per_entity(rows, fit, schema, ("entity_id", "metric"))
 
 
+def gp_history(frame: DataFrame, metrics: tuple[str, ...] = GP_METRICS, last: int = 42) -> DataFrame:
+    """entity_id, metric, date, value: the last known values that a forecast follows."""
+    rows = interpolated(long_frame(frame, metrics), ["entity_id", "metric"], "idx", "value", 2).filter("filled IS NOT NULL")
+    w = Window.partitionBy("entity_id", "metric").orderBy(F.desc("idx"))
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last).select("entity_id", "metric", "date", F.col("filled").alias("value"))
+
+
 # --- hidden Markov states --------------------------------------------------
 
 
@@ -461,9 +479,10 @@ def state_names(mu: np.ndarray) -> list[str]:
 def states(frame: DataFrame, compat: bool = False) -> DataFrame:
     """A row for each complete day: date, state, name, confidence, and the model's
     count, likelihood and information criterion; share, dwell, chance to change and
-    likely next of the state; run length on the last day's state."""
+    likely next of the state; its profile (standardised means, the largest first) and
+    the states it leads to, the likeliest first; run length on the last day's state."""
     schema = (
-        "entity_id string, date date, state int, name string, confidence double, state_count int, log_likelihood double, bic double, share double, dwell double, change double, likely_next string, run_length int, last boolean, gaps int"
+        "entity_id string, date date, state int, name string, confidence double, state_count int, log_likelihood double, bic double, share double, dwell double, change double, likely_next string, run_length int, last boolean, gaps int, profile array<struct<metric:string,z:double>>, outward array<struct<name:string,probability:double>>"
     )
 
     def fit(pdf: pd.DataFrame) -> list[dict]:
@@ -481,7 +500,9 @@ def states(frame: DataFrame, compat: bool = False) -> DataFrame:
         for i, (d, s) in enumerate(zip(days["date"], path, strict=True)):
             stay = m["a"][s, s]
             others = [j for j in np.argsort(-m["a"][s], kind="stable") if j != s]
-            out.append({"date": d, "state": int(s), "name": names[s], "confidence": gamma[i, s], "state_count": m["k"], "log_likelihood": m["ll"], "bic": m["bic"], "share": (path == s).mean(), "dwell": 1 / (1 - stay) if stay < 1 else math.inf, "change": 1 - stay, "likely_next": names[others[0]] if others else None, "run_length": run, "last": i == len(path) - 1, "gaps": int((np.diff(days["idx"]) > 1).sum())})
+            profile = [{"metric": STATE_METRICS[i], "z": float(m["mu"][s, i])} for i in np.argsort(-np.abs(m["mu"][s]), kind="stable")]
+            outward = [{"name": names[j], "probability": float(m["a"][s, j])} for j in others]
+            out.append({"profile": profile, "outward": outward, "date": d, "state": int(s), "name": names[s], "confidence": gamma[i, s], "state_count": m["k"], "log_likelihood": m["ll"], "bic": m["bic"], "share": (path == s).mean(), "dwell": 1 / (1 - stay) if stay < 1 else math.inf, "change": 1 - stay, "likely_next": names[others[0]] if others else None, "run_length": run, "last": i == len(path) - 1, "gaps": int((np.diff(days["idx"]) > 1).sum())})
         return out
 
     return _per_entity(filled_frame(frame, STATE_METRICS, 2), fit, schema)

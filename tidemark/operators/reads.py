@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import PREFERRED_SOURCE, RAW_ALWAYS_TYPES, SUM_TYPES, SUMMARY, checked_type, int_param
@@ -21,10 +21,10 @@ def in_range(readings: DataFrame, since: str | None, until: str | None) -> DataF
 
 def deduped(rows: DataFrame, keys: list[str], preferred: str = PREFERRED_SOURCE) -> DataFrame:
     """Rows of the preferred source where a group of keys has any, else all. The
-    groups that have it are few and come from one aggregation."""
-    has = rows.groupBy(*keys).agg(F.bool_or(known_source(F.col("source")) == preferred).alias("_has")).filter("_has").drop("_has")
-    mine = rows.filter(known_source(F.col("source")) == preferred)
-    return mine.unionByName(rows.join(has, keys, "left_anti"))
+    groups come from one aggregation, a row for each, and the join splits hot ones."""
+    mine = known_source(F.col("source")) == preferred
+    has = rows.filter(mine).select(*keys).distinct().withColumn("_has", F.lit(True))
+    return rows.join(has, keys, "left").filter(mine | F.col("_has").isNull()).drop("_has")
 
 
 def buckets(readings: DataFrame, data_type: str, unit: str, since: str | None = None, until: str | None = None, dedupe: bool = False) -> DataFrame:
@@ -33,10 +33,14 @@ def buckets(readings: DataFrame, data_type: str, unit: str, since: str | None =
     if unit not in ("hour", "day") or data_type in RAW_ALWAYS_TYPES:
         raise ValueError(f"no {unit!r} buckets for {data_type}")
     rows = in_range(readings.filter(F.col("data_type") == data_type), since, until)
-    if dedupe:
-        rows = deduped(rows, ["entity_id"])
-    agg = F.sum("value") if data_type in SUM_TYPES else F.avg("value")
-    return rows.groupBy("entity_id", F.date_trunc(unit, "start_time").cast("timestamp_ntz").alias("bucket")).agg(agg.alias("value"))
+    agg = F.sum if data_type in SUM_TYPES else F.avg
+    mine = known_source(F.col("source")) == PREFERRED_SOURCE
+    g = rows.groupBy("entity_id", F.date_trunc(unit, "start_time").cast("timestamp_ntz").alias("bucket"))
+    g = g.agg(agg("value").alias("value"), agg(F.when(mine, F.col("value"))).alias("_mine"), F.count_if(mine).alias("_n"))
+    if dedupe:  # decided over all of an entity's buckets, which are few
+        has = F.max("_n").over(Window.partitionBy("entity_id")) > 0
+        g = g.withColumn("_has", has).filter(~F.col("_has") | (F.col("_n") > 0)).withColumn("value", F.when(F.col("_has"), F.col("_mine")).otherwise(F.col("value")))
+    return g.select("entity_id", "bucket", "value")
 
 
 def _points(readings: DataFrame, data_type: str, since: str | None, until: str | None, dedupe: bool) -> DataFrame:
@@ -53,7 +57,12 @@ def points(readings: DataFrame, data_type: str, since: str | None = None, until:
 
 
 def points_total(readings: DataFrame, data_type: str, since: str | None = None, until: str | None = None, dedupe: bool = False) -> DataFrame:
-    return _points(readings, data_type, since, until, dedupe).agg(F.count("*").alias("total"))
+    rows = _points(readings, data_type, since, until, False)
+    if not dedupe:
+        return rows.agg(F.count("*").alias("total"))
+    mine = F.count_if(known_source(F.col("source")) == PREFERRED_SOURCE)
+    g = rows.groupBy("entity_id").agg(F.count("*").alias("n"), mine.alias("mine"))
+    return g.agg(F.coalesce(F.sum(F.when(F.col("mine") > 0, F.col("mine")).otherwise(F.col("n"))), F.lit(0)).alias("total"))
 
 
 def summary(readings: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clamp, ewma, interpolated, sorted_mad, sorted_median, squash
+from ..functions.stats import clamp, ewma, interpolated, let, mad, sorted_mad, sorted_median, squash
 from ..registry import ANOMALY_METRICS, BASELINE_METRICS, BY_NAME
 from .frame import long_frame
 
@@ -30,9 +30,10 @@ def baseline(frame: DataFrame, metrics: tuple[str, ...] = BASELINE_METRICS) -> D
 def anomalies(frame: DataFrame, metrics: tuple[str, ...] = ANOMALY_METRICS) -> DataFrame:
     """Days that leave the trailing 28 rows' median by two deviations or more."""
     w = Window.partitionBy("entity_id", "metric").orderBy("idx").rowsBetween(-28, -1)
-    rows = long_frame(frame, metrics).withColumn("a", F.array_sort(F.collect_list("value").over(w))).filter("value IS NOT NULL")
-    rows = rows.filter(F.size("a") >= 10).withColumn("expected", sorted_median(F.col("a"))).withColumn("scale", sorted_mad(F.col("a")))
-    rows = _labels(rows.filter("scale > 0").withColumn("z", (F.col("value") - F.col("expected")) / F.col("scale")).filter("abs(z) >= 2"))
+    rows = long_frame(frame, metrics).withColumn("a", F.collect_list("value").over(w)).withColumn("expected", F.percentile("value", 0.5).over(w))
+    # the median is the window's own column, which the deviations only refer to
+    rows = rows.filter("value IS NOT NULL AND size(a) >= 10").withColumn("_s", let(mad(F.col("a"), F.col("expected")), lambda s: F.when(s > 0, (F.col("value") - F.col("expected")) / s)))
+    rows = _labels(rows.withColumnRenamed("_s", "z").filter("abs(z) >= 2"))
     severity = F.when(F.abs("z") >= 4, "extreme").when(F.abs("z") >= 3, "notable").otherwise("watch")
     above = F.col("z") > 0
     return rows.select("entity_id", "metric", "date", "value", "expected", "z", severity.alias("severity"), F.when(above, "above").otherwise("below").alias("direction"), (above != F.col("_m.up")).alias("concerning"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from ..registry import ANOMALY_METRICS, BASELINE_METRICS, METRICS, SUMMARY
-from ..sources.adapters import EVENT_TYPES, PRIORITY_TYPES
+from itertools import permutations
+
+from ..registry import ANOMALY_METRICS, BASELINE_METRICS, FORECAST_METRICS, GP_METRICS, METRICS, SUMMARY, SYNCABLE_TYPES
+from ..sources.adapters import EVENT_TYPES, HISTORY_DAYS, HISTORY_UNTIL, PRIORITY_TYPES, SEVENTHS
+from .queries import DRIVERS
 
 TZ = "Europe/London"
 SINCE, UNTIL = "TIMESTAMP '2024-01-08 00:00:00'", "TIMESTAMP '2024-01-22 00:00:00'"
@@ -17,15 +20,20 @@ def _local(ts: str, tz: str = TZ) -> str:
     return f"CAST(({ts} AT TIME ZONE 'UTC') AT TIME ZONE '{tz}' AS DATE)"
 
 
+def _midnight(tz: str) -> str:
+    return f"(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AT TIME ZONE '{tz}') AT TIME ZONE 'UTC'"
+
+
 def events(n: int = 1) -> str:
-    return f"r AS (SELECT 'e' || CAST(user_id % {n} AS VARCHAR) entity_id, {_case('event_type', EVENT_TYPES)} data_type, ts start_time, NULL::TIMESTAMP end_time, value, CASE WHEN user_id % 3 = 0 THEN 'FITBIT' ELSE 'PHONE' END source, props raw FROM events)"
+    return f"r AS (SELECT 'e' || CAST(user_id % {n} AS VARCHAR) entity_id, {_case('event_type', EVENT_TYPES)} data_type, ts start_time, NULL::TIMESTAMP end_time, value, CASE WHEN user_id % 3 = 0 THEN 'PRIMARY' ELSE 'PHONE' END source, props raw FROM events)"
 
 
 ORDERS = f"r AS (SELECT 'o' entity_id, {_case('o_orderpriority', PRIORITY_TYPES)} data_type, CAST(o_orderdate AS TIMESTAMP) start_time, NULL::TIMESTAMP end_time, o_totalprice value, 'PHONE' source FROM orders)"
+HISTORY = f"r AS (SELECT 'h' || CAST(o_custkey % 3 AS VARCHAR) entity_id, [{', '.join(f"'{t}'" for t in SEVENTHS)}][(o_orderkey // {HISTORY_DAYS}) % 7 + 1] data_type, CAST(DATE '{HISTORY_UNTIL}' - CAST(o_orderkey % {HISTORY_DAYS} AS INTEGER) AS TIMESTAMP) + INTERVAL 12 HOUR start_time, NULL::TIMESTAMP end_time, o_totalprice value, CASE WHEN o_custkey % 3 = 0 THEN 'PRIMARY' ELSE 'PHONE' END source FROM orders)"
 LINES = "r AS (SELECT 'l' entity_id, 'sleep' data_type, CAST(o_orderdate AS TIMESTAMP) start_time, CAST(l_shipdate AS TIMESTAMP) end_time, l_quantity value, 'PHONE' source FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 DAILY = f"""k AS (SELECT *, {_local("CASE WHEN data_type = 'sleep' THEN coalesce(end_time, start_time) ELSE start_time END")} AS day FROM r WHERE value IS NOT NULL),
-p AS (SELECT *, bool_or(source = 'FITBIT') OVER (PARTITION BY entity_id, data_type, day) AS hp FROM k),
-d AS (SELECT entity_id, data_type, day, sum(value) total, avg(value) avg, count(*) n FROM p WHERE NOT hp OR source = 'FITBIT' GROUP BY ALL)"""
+p AS (SELECT *, bool_or(source = 'PRIMARY') OVER (PARTITION BY entity_id, data_type, day) AS hp FROM k),
+d AS (SELECT entity_id, data_type, day, sum(value) total, avg(value) avg, count(*) n FROM p WHERE NOT hp OR source = 'PRIMARY' GROUP BY ALL)"""
 
 
 def frame(readings: str, until: str, days: int) -> str:
@@ -49,8 +57,24 @@ def _rounded(columns: str, digits: int = 4) -> str:
     return ", ".join(out)
 
 
+def _a_hair_above(sql: str) -> str:
+    """Every round(x, n) as round(x + a hair, n), as the queries round."""
+    out, at = [], 0
+    while (i := sql.find("round(", at)) >= 0:
+        out.append(sql[at : i + 6])
+        depth, j, comma = 1, i + 6, 0
+        while depth:
+            depth += (sql[j] == "(") - (sql[j] == ")")
+            comma = j if sql[j] == "," and depth == 1 else comma
+            j += 1
+        digits = int(sql[comma + 1 : j - 1])
+        out.append(f"CAST({_a_hair_above(sql[i + 6 : comma])} AS DOUBLE) + 1e-{digits + 5}, {digits})")
+        at = j
+    return "".join([*out, sql[at:]])
+
+
 EVENT_FRAME, ENTITY_FRAME = frame(events(), "2024-01-30", 30), frame(events(3), "2024-01-30", 30)
-ORDER_FRAME = frame(ORDERS, "2001-08-01", 365)
+ORDER_FRAME, HISTORY_FRAME = frame(ORDERS, "2001-08-01", 365), frame(HISTORY, HISTORY_UNTIL, HISTORY_DAYS)
 WIDE = "entity_id date idx weekday " + " ".join(f"*{m.name}" for m in METRICS)
 
 GAPS = f"""{EVENT_FRAME},
@@ -100,6 +124,49 @@ u AS (SELECT *, filled - trend detr FROM t WHERE n >= 21), v AS (SELECT entity_i
 s AS (SELECT entity_id, weekday, effect - sum(effect) OVER (PARTITION BY entity_id) / 7 seasonal FROM v),
 x AS (SELECT entity_id, date, idx, weekday, filled AS value, trend, seasonal, detr - seasonal residual, detr FROM u JOIN s USING (entity_id, weekday))"""
 
+def holt_winters(metrics: tuple[str, ...], horizon: int = 7) -> str:
+    """CTEs up to fc: the weekly forecasts of the frame's metrics, day after day."""
+    floor = ", ".join(f"'{m.name}'" for m in METRICS if m.non_negative)
+    point = "lv + h * sl + se[(m + h - 1) % 7 + 1]"
+    low = lambda q: f"CASE WHEN metric IN ({floor}) THEN greatest(0, p - {q} * rmse * sqrt(h)) ELSE p - {q} * rmse * sqrt(h) END"
+    return f"""{long(metrics)}, hi AS ({filled("l", "entity_id, metric", 3)}),
+hx AS (SELECT entity_id, metric, idx - min(idx) FILTER (WHERE filled IS NOT NULL) OVER (PARTITION BY entity_id, metric) t, filled v, count(filled) OVER (PARTITION BY entity_id, metric) n FROM hi),
+hk AS (SELECT entity_id, metric, CAST(t AS INTEGER) t, v FROM hx WHERE t >= 0 AND n >= 21),
+h0 AS (SELECT entity_id, metric, count(*) m, avg(v) FILTER (WHERE t < 14) lv, coalesce((avg(v) FILTER (WHERE t BETWEEN 7 AND 13) - avg(v) FILTER (WHERE t < 7)) / 7, 0) sl FROM hk GROUP BY ALL),
+hs AS (SELECT entity_id, metric, list(coalesce(e, 0) ORDER BY i) se FROM (SELECT entity_id, metric, t % 7 i, avg(v) - any_value(lv) e FROM hk JOIN h0 USING (entity_id, metric) GROUP BY ALL) GROUP BY ALL),
+hw AS (SELECT entity_id, metric, 0 t, m, lv, sl, se, 0.0::DOUBLE sse, 0 n FROM h0 JOIN hs USING (entity_id, metric)
+UNION ALL SELECT entity_id, metric, t + 1, m, nl, CASE WHEN v IS NULL THEN sl ELSE 0.05 * (nl - lv) + 0.95 * sl END, CASE WHEN v IS NULL THEN se ELSE list_transform(se, lambda e, i: CASE WHEN i = t % 7 + 1 THEN 0.3 * (v - nl) + 0.7 * s ELSE e END) END,
+sse + coalesce((v - (lv + sl + s)) * (v - (lv + sl + s)), 0), n + CASE WHEN v IS NULL THEN 0 ELSE 1 END
+FROM (SELECT w.*, k.v, w.se[w.t % 7 + 1] s, CASE WHEN k.v IS NULL THEN w.lv + w.sl ELSE 0.3 * (k.v - w.se[w.t % 7 + 1]) + 0.7 * (w.lv + w.sl) END nl FROM hw w JOIN hk k ON k.entity_id = w.entity_id AND k.metric = w.metric AND k.t = w.t)),
+hf AS (SELECT entity_id, metric, h, sqrt(sse / n) rmse, CASE WHEN metric IN ({floor}) THEN greatest(0, {point}) ELSE {point} END p FROM hw, (SELECT CAST(unnest(range(1, {horizon + 1})) AS INTEGER) h) WHERE t = m),
+fc AS (SELECT entity_id, metric, h AS day, p AS value, rmse, {low(1.2816)} lower80, {low(1.96)} lower95, p + 1.2816 * rmse * sqrt(h) upper80, p + 1.96 * rmse * sqrt(h) upper95 FROM hf)"""
+
+
+def _determinant(cells: list[list[str]]) -> str:
+    """The sum over permutations, with the sign of their inversions."""
+    n, terms = len(cells), []
+    for p in permutations(range(n)):
+        odd = sum(p[i] > p[j] for i in range(n) for j in range(i + 1, n)) % 2
+        terms.append(("-" if odd else "+") + " * ".join(cells[i][p[i]] for i in range(n)))
+    return "(" + " ".join(terms) + ")"
+
+
+def ridge(target: str, drivers: tuple[str, ...]) -> str:
+    """CTEs up to rd: ridge coefficients of the next day's target by Cramer's rule."""
+    k = range(len(drivers))
+    corr = lambda a, b: "1.0" if a == b else f"r{min(a, b)}{max(a, b)}"
+    cells = [[f"(k * {corr(i, j)}" + (" + 1)" if i == j else ")") for j in k] for i in k]
+    side = [f"(k * y{i})" for i in k]
+    beta = [f"{_determinant([[side[i] if j == c else cells[i][j] for j in k] for i in k])} / {_determinant(cells)} b{c}" for c in k]
+    fit = " + ".join(f"b{i} * k * y{i}" for i in k)
+    both = " + ".join(f"b{i} * b{j} * k * {corr(i, j)}" for i in k for j in k)
+    size = " + ".join(f"abs(b{i})" for i in k)
+    rows = " UNION ALL ".join(f"SELECT entity_id, '{d}' driver, b{i} beta, b{i} * sy / s{i} effect_per_unit, abs(b{i}) / ({size}) share, r2, n FROM rf" for i, d in enumerate(drivers))
+    return f"""rn AS (SELECT entity_id, lead({target}) OVER (PARTITION BY entity_id ORDER BY idx) y, {", ".join(f"{d} x{i}" for i, d in enumerate(drivers))} FROM f),
+rg AS (SELECT entity_id, count(*) n, count(*) - 1 AS k, stddev_samp(y) sy, {", ".join(f"stddev_samp(x{i}) s{i}, corr(x{i}, y) y{i}" for i in k)}, {", ".join(f"corr(x{i}, x{j}) r{i}{j}" for i in k for j in k if i < j)} FROM rn WHERE y IS NOT NULL AND {" AND ".join(f"x{i} IS NOT NULL" for i in k)} GROUP BY 1 HAVING count(*) >= 14),
+rb AS (SELECT *, {", ".join(beta)} FROM rg), rf AS (SELECT *, greatest(0, 1 - (k - 2 * ({fit}) + {both}) / k) r2 FROM rb), rd AS ({rows})"""
+
+
 _PAIRS = [(a, b) for i, a in enumerate(("steps", "active_minutes", "sleep_minutes", "hrv")) for b in ("steps", "active_minutes", "sleep_minutes", "hrv")[i + 1 :]]
 
 SQL = {
@@ -110,13 +177,13 @@ SQL = {
     "frame_days_with_data": f"{ENTITY_FRAME} SELECT entity_id, count(*) FILTER (WHERE coalesce({', '.join(m.name for m in METRICS)}) IS NOT NULL) AS days FROM f GROUP BY 1",
     "frame_long_history": f"{ORDER_FRAME} SELECT {_rounded('entity_id date idx weekday *hrv *resting_heart_rate *sleep_minutes *active_minutes *steps')} FROM f",
     "end_anchor_day": f"WITH {LINES}, {DAILY} SELECT {_rounded('entity_id data_type day *total *avg n', 8)} FROM d",
-    "source_preferred_rows": f"WITH {events(7)}, s AS (SELECT *, bool_or(source = 'FITBIT') OVER (PARTITION BY entity_id) h FROM r WHERE data_type = 'steps') SELECT entity_id, source, count(*) n, round(sum(value), 4) total FROM s WHERE NOT h OR source = 'FITBIT' GROUP BY ALL",
-    "source_exists": f"WITH {events(7)} SELECT a.data_type, EXISTS (SELECT 1 FROM r b WHERE b.data_type = a.data_type AND source = 'FITBIT' AND start_time >= {SINCE} AND start_time < {UNTIL}) has_preferred FROM (SELECT DISTINCT data_type FROM r WHERE start_time >= {SINCE} AND start_time < {UNTIL}) a",
+    "source_preferred_rows": f"WITH {events(7)}, s AS (SELECT *, bool_or(source = 'PRIMARY') OVER (PARTITION BY entity_id) h FROM r WHERE data_type = 'steps') SELECT entity_id, source, count(*) n, round(sum(value), 4) total FROM s WHERE NOT h OR source = 'PRIMARY' GROUP BY ALL",
+    "source_exists": f"WITH {events(7)} SELECT a.data_type, EXISTS (SELECT 1 FROM r b WHERE b.data_type = a.data_type AND source = 'PRIMARY' AND start_time >= {SINCE} AND start_time < {UNTIL}) has_preferred FROM (SELECT DISTINCT data_type FROM r WHERE start_time >= {SINCE} AND start_time < {UNTIL}) a",
     "bucket_hour_sum": f"WITH {events()} SELECT entity_id, date_trunc('hour', start_time) bucket, round(sum(value), 4) AS value FROM r WHERE data_type = 'steps' AND start_time >= {SINCE} AND start_time < {UNTIL} GROUP BY ALL",
     "bucket_day_avg": f"WITH {events()} SELECT entity_id, CAST(date_trunc('day', start_time) AS TIMESTAMP) bucket, round(avg(value), 4) AS value FROM r WHERE data_type = 'heart-rate-variability' GROUP BY ALL",
-    "bucket_hour_preferred": f"WITH {events(7)}, s AS (SELECT *, bool_or(source = 'FITBIT') OVER (PARTITION BY entity_id) h FROM r WHERE data_type = 'active-minutes' AND start_time >= {SINCE} AND start_time < {UNTIL}) SELECT entity_id, date_trunc('hour', start_time) bucket, round(sum(value), 4) AS value FROM s WHERE NOT h OR source = 'FITBIT' GROUP BY ALL",
-    "summary_metrics": f"""WITH {events(7)}, s AS (SELECT *, bool_or(source = 'FITBIT') OVER (PARTITION BY entity_id, data_type) h FROM r WHERE start_time >= {SINCE} AND start_time < {UNTIL}),
-t AS (SELECT entity_id, data_type, sum(value) total, max({{'t': start_time, 's': source, 'v': value}}) l FROM s WHERE NOT h OR source = 'FITBIT' GROUP BY ALL),
+    "bucket_hour_preferred": f"WITH {events(7)}, s AS (SELECT *, bool_or(source = 'PRIMARY') OVER (PARTITION BY entity_id) h FROM r WHERE data_type = 'active-minutes' AND start_time >= {SINCE} AND start_time < {UNTIL}) SELECT entity_id, date_trunc('hour', start_time) bucket, round(sum(value), 4) AS value FROM s WHERE NOT h OR source = 'PRIMARY' GROUP BY ALL",
+    "summary_metrics": f"""WITH {events(7)}, s AS (SELECT *, bool_or(source = 'PRIMARY') OVER (PARTITION BY entity_id, data_type) h FROM r WHERE start_time >= {SINCE} AND start_time < {UNTIL}),
+t AS (SELECT entity_id, data_type, sum(value) total, max({{'t': start_time, 's': source, 'v': value}}) l FROM s WHERE NOT h OR source = 'PRIMARY' GROUP BY ALL),
 m(metric, data_type, mode, divisor) AS (VALUES {", ".join(f"('{n}', '{t}', '{m}', {d}.0)" for n, t, m, d in SUMMARY)})
 SELECT entity_id, metric, round(CASE mode WHEN 'sum' THEN total / divisor ELSE l.v END, 4) AS value, CASE mode WHEN 'latest' THEN l.t END AS at FROM t JOIN m USING (data_type)""",
     "points_page": f"WITH {events()} SELECT entity_id, start_time, value, source, raw FROM r WHERE data_type = 'steps' AND start_time >= {SINCE} AND start_time < {UNTIL} ORDER BY start_time DESC, entity_id, source, value DESC LIMIT 50 OFFSET 100",
@@ -151,10 +218,24 @@ SELECT entity_id, 'steps' driver, round(ba, 6) beta, round(abs(ba) / (abs(ba) +
     "anomalies_anti_join": f"{ANOMALY} SELECT entity_id, date, round(z, 4) z FROM a WHERE metric = 'steps' AND (entity_id, date) NOT IN (SELECT (entity_id, date) FROM a WHERE metric <> 'steps' AND concerning)",
     "history_union": f"{EVENT_FRAME} SELECT entity_id, date, round(steps, 4) history, NULL::DOUBLE projection FROM f WHERE idx < 23 UNION ALL SELECT entity_id, date, NULL, round(steps, 4) FROM f WHERE idx >= 22",
     "json_extract": f"WITH {events()}, j AS (SELECT data_type, TRY_CAST(json_extract_string(raw, '$.k') AS DOUBLE) n FROM r) SELECT data_type, count(n) parsed, round(sum(n), 4) total, count(DISTINCT n) kinds FROM j GROUP BY 1",
-    "json_readings": "SELECT CASE event_type WHEN 'view' THEN 'steps' ELSE 'heart-rate' END data_type, date_trunc('second', ts) start_time, CAST(CASE event_type WHEN 'view' THEN event_id ELSE event_id % 100 END AS DOUBLE) AS value, CASE event_type WHEN 'view' THEN 'count' ELSE 'bpm' END unit, CASE event_type WHEN 'view' THEN 'FITBIT' ELSE 'unknown' END source FROM events WHERE event_type IN ('view', 'click')",
+    "json_readings": f"""SELECT {_case('event_type', {'view': 'steps', 'click': 'heart-rate', 'purchase': 'distance', 'signup': 'sleep', 'error': 'daily-resting-heart-rate'})} data_type,
+CASE event_type WHEN 'error' THEN date_trunc('day', ts)::TIMESTAMP ELSE date_trunc('second', ts) END start_time,
+CAST(CASE event_type WHEN 'view' THEN event_id WHEN 'click' THEN event_id % 100 WHEN 'purchase' THEN event_id / 1000.0 WHEN 'signup' THEN event_id % 600 ELSE event_id % 90 END AS DOUBLE) AS value,
+{_case('event_type', {'view': 'count', 'click': 'bpm', 'purchase': 'm', 'signup': 'min', 'error': 'bpm'})} unit, CASE event_type WHEN 'view' THEN 'PRIMARY' ELSE 'unknown' END source FROM events""",
     "in_batch_last": "SELECT event_type data_type, date_trunc('hour', ts) start_time, round(arg_max(value, event_id), 4) AS value FROM events GROUP BY ALL",
     "incremental_load": f"WITH {events()}, u AS (SELECT DISTINCT entity_id, data_type, start_time, source FROM r) SELECT data_type, count(*) added FROM u WHERE start_time >= {UNTIL} GROUP BY 1",
-    "sync_marks": f"WITH {events(3)} SELECT entity_id, data_type, max(start_time) last_synced_at FROM r GROUP BY ALL",
+    "sync_marks": f"WITH {events()}, m AS (SELECT data_type, max(date_trunc('day', start_time)) t FROM r GROUP BY 1) SELECT x.data_type, coalesce(m.t, {SINCE})::TIMESTAMP last_synced_at FROM (SELECT unnest([{', '.join(f"'{t}'" for t in SYNCABLE_TYPES)}]) data_type) x LEFT JOIN m USING (data_type)",
     "data_type_list": f"WITH {events()} SELECT DISTINCT data_type FROM r",
     "local_days": f"WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 23 HOUR + INTERVAL 30 MINUTE t FROM orders) SELECT o_orderkey, {_local('t')} london, {_local('t', 'America/New_York')} new_york FROM t",
+    "local_midnights": f"SELECT o_orderkey, {_midnight(TZ)} london, {_midnight('America/New_York')} new_york FROM orders",
+    "quantiles": f"{ENTITY_FRAME}, {long(('steps', 'hrv', 'active_minutes'))} SELECT entity_id, metric, round(quantile_cont(value, 0.1), 4) q10, round(quantile_cont(value, 0.5), 4) q50, round(quantile_cont(value, 0.75), 4) q75, round(quantile_cont(value, 0.9), 4) q90 FROM l GROUP BY ALL",
+    "forecast_tail": f"{ORDER_FRAME}, {long(GP_METRICS)}, i AS ({filled('l', 'entity_id, metric', 2)}) SELECT entity_id, metric, date, round(filled, 4) AS value FROM i WHERE filled IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id, metric ORDER BY idx DESC) <= 42",
+    "forecast_holt_winters": f"{ORDER_FRAME.replace('WITH', 'WITH RECURSIVE', 1)}, {holt_winters(FORECAST_METRICS)} SELECT entity_id, metric, day, {', '.join(f'round({c}, 3) {c}' for c in ('value', 'lower80', 'upper80', 'lower95', 'upper95', 'rmse'))} FROM fc",
+    "history_frame": f"{HISTORY_FRAME} SELECT {_rounded(WIDE)} FROM f",
+    "forecast_history": f"""{HISTORY_FRAME.replace('WITH', 'WITH RECURSIVE', 1).replace('f AS (', 'f0 AS (', 1)}, f AS (SELECT * REPLACE (idx - 30 AS idx) FROM f0 WHERE idx >= 30), {holt_winters(('steps',))},
+kn AS (SELECT entity_id, date, steps AS value, row_number() OVER (PARTITION BY entity_id ORDER BY date DESC) rn FROM f WHERE steps IS NOT NULL)
+SELECT entity_id, date, round(value, 3) AS value, NULL::DOUBLE forecast FROM kn WHERE rn <= 28 UNION ALL SELECT entity_id, date, NULL, round(value, 3) FROM kn WHERE rn = 1
+UNION ALL SELECT entity_id, DATE '{HISTORY_UNTIL}' + day, NULL, round(value, 3) FROM fc""",
+    "ridge_drivers": f"{ORDER_FRAME}, {ridge('hrv', DRIVERS)} SELECT entity_id, driver, round(beta, 6) beta, round(effect_per_unit, 6) effect_per_unit, round(share, 6) share, round(r2, 6) r2, n, 'hrv' AS target, 1::INTEGER AS lag FROM rd",
 }
+SQL = {name: _a_hair_above(sql) for name, sql in SQL.items()}

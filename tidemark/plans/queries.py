@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import interpolated
+from ..functions.stats import interpolated, sorted_quantile
 from ..operators import models, reads, series
-from ..operators.frame import daily, daily_by_window, day_frame, days_with_data, local_day, scoped
-from ..sources.adapters import from_events, from_lines, from_orders
+from ..operators.frame import daily, daily_by_window, day_frame, days_with_data, local_day, long_frame, scoped, start_of_local_day
+from ..sources.adapters import HISTORY_DAYS, HISTORY_UNTIL, from_events, from_history, from_lines, from_orders
 from ..sources.demo import demo
 from ..sources.readings import normalised
 from ..streaming.ingest import last_of_batch, new_rows, sync_state
@@ -20,12 +21,15 @@ TZ = "Europe/London"
 #: The last days of the events and of the orders.
 EVENTS_UNTIL, ORDERS_UNTIL, DEMO_UNTIL = "2024-01-30", "2001-08-01", "2024-06-30"
 EVENT_DAYS, ORDER_DAYS = 30, 365
+DRIVERS = ("steps", "active_minutes", "sleep_minutes", "resting_heart_rate")
 SINCE, UNTIL = "2024-01-08 00:00:00", "2024-01-22 00:00:00"
 
 
 def _r(c: str | Column, digits: int = 4) -> Column:
+    """Rounded, a hair above: an exact half, which sums in another order put on
+    either side, goes up always."""
     name = c if isinstance(c, str) else None
-    out = F.round(F.col(c) if name else c, digits)
+    out = F.round((F.col(c) if name else c) + 10.0 ** -(digits + 5), digits)
     return out.alias(name) if name else out
 
 
@@ -81,12 +85,12 @@ def end_anchor_day(spark: SparkSession, d: str) -> DataFrame:
 
 def source_preferred_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = reads.deduped(_events(spark, d, 7).filter(F.col("data_type") == "steps"), ["entity_id"])
-    return rows.groupBy("entity_id", "source").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return rows.groupBy("entity_id", "source").agg(F.count("*").alias("n"), _r(F.sum("value"), 4).alias("total"))
 
 
 def source_exists(spark: SparkSession, d: str) -> DataFrame:
     e = reads.in_range(_events(spark, d, 7), SINCE, UNTIL)
-    return e.groupBy("data_type").agg(F.bool_or(F.col("source") == "FITBIT").alias("has_preferred"))
+    return e.groupBy("data_type").agg(F.bool_or(F.col("source") == "PRIMARY").alias("has_preferred"))
 
 
 def bucket_hour_sum(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +119,7 @@ def points_count(spark: SparkSession, d: str) -> DataFrame:
 
 def artifact_flags(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).filter(F.col("data_type") == "heart-rate-variability")
-    return e.select("start_time", "value", (F.col("value") < 70).alias("artifact"), F.round(F.col("value") / 1000, 6).alias("thousands"))
+    return e.select("start_time", "value", (F.col("value") < 70).alias("artifact"), _r(F.col("value") / 1000, 6).alias("thousands"))
 
 
 def interpolate_gap2(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +184,7 @@ def ridge_two(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ridge_drivers(spark: SparkSession, d: str) -> DataFrame:
-    return models.attribution(_long(spark, d), "hrv", ("steps", "active_minutes", "sleep_minutes", "resting_heart_rate"), 1)
+    return _rounded(models.attribution(_long(spark, d), "hrv", DRIVERS, 1), 6)
 
 
 def next_day_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -192,14 +196,14 @@ def next_day_pairs(spark: SparkSession, d: str) -> DataFrame:
 def persistence_error(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("entity_id").orderBy("idx")
     rows = _long(spark, d).select("entity_id", (F.lead("hrv", 1).over(w) - F.col("hrv")).alias("e"))
-    return rows.groupBy("entity_id").agg(F.round(F.sqrt(F.avg(F.pow("e", F.lit(2.0)))), 4).alias("rmse"), F.count("e").alias("n"))
+    return rows.groupBy("entity_id").agg(_r(F.sqrt(F.avg(F.pow("e", F.lit(2.0)))), 4).alias("rmse"), F.count("e").alias("n"))
 
 
 def complete_cases(spark: SparkSession, d: str) -> DataFrame:
     cols = ["steps", "active_minutes", "sleep_minutes", "resting_heart_rate", "hrv"]
     f = _long(spark, d)
-    all_, some = f.dropna("any", subset=cols), f.dropna(thresh=3, subset=cols)
-    return all_.groupBy("entity_id").agg(F.count("*").alias("complete")).join(some.groupBy("entity_id").agg(F.count("*").alias("usable")), "entity_id")
+    known = reduce(Column.__add__, (F.col(c).isNotNull().cast("int") for c in cols))
+    return f.groupBy("entity_id").agg(F.count_if(known == len(cols)).alias("complete"), F.count_if(known >= 3).alias("usable"))
 
 
 def weekday_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +213,7 @@ def weekday_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def share_of_total(spark: SparkSession, d: str) -> DataFrame:
     g = scoped(_events(spark, d), TZ).groupBy("data_type").agg(F.sum("value").alias("total"))
-    return g.select("data_type", F.round(F.col("total") / F.sum("total").over(Window.partitionBy()), 8).alias("share"))
+    return g.select("data_type", _r(F.col("total") / F.sum("total").over(Window.partitionBy()), 8).alias("share"))
 
 
 def anomalies_anti_join(spark: SparkSession, d: str) -> DataFrame:
@@ -227,18 +231,25 @@ def history_union(spark: SparkSession, d: str) -> DataFrame:
 
 def json_extract(spark: SparkSession, d: str) -> DataFrame:
     n = F.get_json_object("raw", "$.k").try_cast("double")
-    return _events(spark, d).groupBy("data_type").agg(F.count(n).alias("parsed"), F.round(F.sum(n), 4).alias("total"), F.countDistinct(n).alias("kinds"))
+    return _events(spark, d).groupBy("data_type").agg(F.count(n).alias("parsed"), _r(F.sum(n), 4).alias("total"), F.countDistinct(n).alias("kinds"))
 
 
 def json_readings(spark: SparkSession, d: str) -> DataFrame:
-    """Points written as the interface does, then read back."""
-    e = spark.read.parquet(f"{d}/events.parquet").filter(F.col("event_type").isin("view", "click"))
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    steps = F.to_json(F.struct(F.struct(F.col("event_id").cast("string").alias("count"), F.struct(at.alias("startTime")).alias("interval")).alias("steps"), F.struct(F.lit("FITBIT").alias("platform")).alias("dataSource")))
-    rate = F.to_json(F.struct(F.struct((F.col("event_id") % 100).alias("beatsPerMinute"), F.struct(at.alias("physicalTime")).alias("sampleTime")).alias("heartRate")))
-    is_view = F.col("event_type") == "view"
-    points = e.select(F.when(is_view, "steps").otherwise("heart-rate").alias("data_type"), F.when(is_view, steps).otherwise(rate).alias("point"))
-    return normalised(points).select("data_type", "start_time", "value", "unit", "source")
+    """Points written as the interface does, a type for each kind of event, and read
+    back."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    at, n = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("event_id")
+    span = F.struct(at.alias("startTime"), at.alias("endTime")).alias("interval")
+    date = F.struct(*(getattr(F, k)("ts").alias(k) for k in ("year", "month", "day"))).alias("date")
+    points = {
+        "view": ("steps", F.struct(F.struct(n.cast("string").alias("count"), span).alias("steps"), F.struct(F.lit("PRIMARY").alias("platform")).alias("dataSource"))),
+        "click": ("heart-rate", F.struct(F.struct((n % 100).alias("beatsPerMinute"), F.struct(at.alias("physicalTime")).alias("sampleTime")).alias("heartRate"))),
+        "purchase": ("distance", F.struct(F.struct(n.cast("string").alias("millimeters"), span).alias("distance"))),
+        "signup": ("sleep", F.struct(F.struct(F.struct((n % 600).cast("string").alias("minutesAsleep")).alias("summary"), span).alias("sleep"))),
+        "error": ("daily-resting-heart-rate", F.struct(F.struct((n % 90).cast("string").alias("beatsPerMinute"), date).alias("dailyRestingHeartRate"))),
+    }
+    pick = lambda i: F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v[0]) if i == 0 else F.to_json(v[1])) for k, v in points.items()))
+    return normalised(e.select(pick(0).alias("data_type"), pick(1).alias("point"))).select("data_type", "start_time", "value", "unit", "source")
 
 
 def in_batch_last(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +266,9 @@ def incremental_load(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sync_marks(spark: SparkSession, d: str) -> DataFrame:
-    return sync_state(_events(spark, d, 3))
+    """Where the next load of each type starts, after a run on each day with events."""
+    runs = _events(spark, d).select("data_type", F.date_trunc("day", "start_time").cast("timestamp_ntz").alias("last_synced_at"))
+    return sync_state(runs, SINCE)
 
 
 def data_type_list(spark: SparkSession, d: str) -> DataFrame:
@@ -268,19 +281,32 @@ def local_days(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", local_day(F.col("t"), TZ).alias("london"), local_day(F.col("t"), "America/New_York").alias("new_york"))
 
 
-# --- models, whose results SQL does not express -----------------------------
+def local_midnights(spark: SparkSession, d: str) -> DataFrame:
+    """When each order's civil day begins, in UTC."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return o.select("o_orderkey", start_of_local_day(F.col("day"), TZ).alias("london"), start_of_local_day(F.col("day"), "America/New_York").alias("new_york"))
+
+
+def quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Linear quantiles of each metric's days, by sorted arrays."""
+    g = long_frame(_frame(spark, d, 3), ("steps", "hrv", "active_minutes")).groupBy("entity_id", "metric").agg(F.array_sort(F.collect_list("value")).alias("a"))
+    return g.select("entity_id", "metric", *(_r(sorted_quantile(F.col("a"), q)).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.75, 0.9)))
+
+
+def forecast_tail(spark: SparkSession, d: str) -> DataFrame:
+    """The last 42 known days that each metric's forecast follows."""
+    return _rounded(models.gp_history(_long(spark, d)))
 
 
 def forecast_holt_winters(spark: SparkSession, d: str) -> DataFrame:
-    return models.forecasts(_long(spark, d))
+    return _rounded(models.forecasts(_long(spark, d)), 3)
 
 
-def clusters(spark: SparkSession, d: str) -> DataFrame:
-    return models.clusters(_long(spark, d))
+# --- models, whose results SQL does not express -----------------------------
 
 
-def factors(spark: SparkSession, d: str) -> DataFrame:
-    return models.factors(_demo(spark))
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    return models.clusters(_long(spark, d))
 
 
 def forest(spark: SparkSession, d: str) -> DataFrame:
@@ -299,24 +325,38 @@ def network(spark: SparkSession, d: str) -> DataFrame:
     return models.network(_long(spark, d))
 
 
-def _demo(spark: SparkSession) -> DataFrame:
-    return day_frame(demo(spark, DEMO_UNTIL, 120), DEMO_UNTIL, 120, TZ)
+def _insights(spark: SparkSession, d: str) -> Insights:
+    """All orders as histories of three entities."""
+    return Insights(from_history(spark, d), HISTORY_UNTIL, TZ, 90, HISTORY_DAYS)
 
 
-def demo_frame(spark: SparkSession, d: str) -> DataFrame:
-    return _demo(spark)
+def factors(spark: SparkSession, d: str) -> DataFrame:
+    return models.factors(day_frame(from_history(spark, d), HISTORY_UNTIL, HISTORY_DAYS, TZ))
+
+
+def history_frame(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(day_frame(from_history(spark, d), HISTORY_UNTIL, HISTORY_DAYS, TZ))
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    return Insights(demo(spark, DEMO_UNTIL, 120), DEMO_UNTIL, TZ).findings()
+    return _insights(spark, d).findings()
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return _insights(spark, d).documents()
 
 
 def forecast_history(spark: SparkSession, d: str) -> DataFrame:
-    return Insights(demo(spark, DEMO_UNTIL, 120), DEMO_UNTIL, TZ).history_with_forecast()
+    return _rounded(_insights(spark, d).history_with_forecast(), 3)
 
 
 def states_with_factors(spark: SparkSession, d: str) -> DataFrame:
-    return Insights(demo(spark, DEMO_UNTIL, 120), DEMO_UNTIL, TZ).states_with_factors()
+    return _insights(spark, d).states_with_factors()
+
+
+def demo_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The generated history, which reads no table."""
+    return day_frame(demo(spark, DEMO_UNTIL, 120), DEMO_UNTIL, 120, TZ)
 
 
 def cluster_weekdays(spark: SparkSession, d: str) -> DataFrame:
@@ -338,7 +378,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_hour_sum, bucket_day_avg, bucket_hour_preferred, summary_metrics, points_page, points_count, artifact_flags, interpolate_gap2, interpolate_gap3, baseline,
         anomaly_days, anomaly_recent_top8, training_load, sleep_consistency, readiness_parts, readiness, decompose_days, decompose_weekdays, decompose_strength,
         correlation_pairs, line_fit, ridge_two, ridge_drivers, next_day_pairs, persistence_error, complete_cases, weekday_mix, share_of_total, anomalies_anti_join,
-        history_union, json_extract, json_readings, in_batch_last, incremental_load, sync_marks, data_type_list, local_days, forecast_holt_winters, clusters, factors,
-        forest, gaussian_process, hidden_states, network, demo_frame, findings, forecast_history, states_with_factors, cluster_weekdays,
+        history_union, json_extract, json_readings, in_batch_last, incremental_load, sync_marks, data_type_list, local_days, local_midnights, quantiles, forecast_tail, forecast_holt_winters, clusters, factors,
+        forest, gaussian_process, hidden_states, network, demo_frame, history_frame, findings, documents, forecast_history, states_with_factors, cluster_weekdays,
     )
 }

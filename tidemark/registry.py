@@ -25,7 +25,8 @@ CIVIL_SESSION_TYPES = ("sleep", "exercise", "hydration-log")
 #: Types that belong to the day on which they end.
 END_ANCHORED = ("sleep",)
 SYNCABLE_TYPES = tuple(t for t in DATA_TYPES if t not in NOT_LISTABLE)
-PREFERRED_SOURCE, UNKNOWN_SOURCE = "FITBIT", "unknown"
+#: The source that wins a day where a call names no other, and what a missing one is called.
+PREFERRED_SOURCE, UNKNOWN_SOURCE = "PRIMARY", "unknown"
 
 
 @dataclass(frozen=True)

@@ -20,7 +20,7 @@ def from_events(spark: SparkSession, sf_dir: str, entities: int = 1) -> DataFram
     return e.select(
         F.concat(F.lit("e"), (F.col("user_id") % entities).cast("string")).alias("entity_id"), _mapped("event_type", EVENT_TYPES).alias("data_type"), F.col("ts").alias("start_time"),
         F.lit(None).cast("timestamp_ntz").alias("end_time"), "value", F.lit(None).cast("string").alias("unit"),
-        F.when(F.col("user_id") % 3 == 0, "FITBIT").otherwise("PHONE").alias("source"), F.col("props").alias("raw"),
+        F.when(F.col("user_id") % 3 == 0, "PRIMARY").otherwise("PHONE").alias("source"), F.col("props").alias("raw"),
     )
 
 
@@ -33,6 +33,24 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Which reading type stands for each seventh of the orders.
+SEVENTHS = ("heart-rate-variability", "daily-resting-heart-rate", "sleep", "active-minutes", "steps", "active-energy-burned", "oxygen-saturation")
+HISTORY_UNTIL, HISTORY_DAYS = "2024-06-30", 120
+
+
+def from_history(spark: SparkSession, sf_dir: str, entities: int = 3) -> DataFrame:
+    """Orders as dense histories of a few entities: the order's key gives its day
+    and type, the customer the entity and, every third time, the preferred source."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day, kind = F.col("o_orderkey") % HISTORY_DAYS, (F.floor(F.col("o_orderkey") / HISTORY_DAYS) % len(SEVENTHS)).cast("int")
+    at = (F.date_sub(F.to_date(F.lit(HISTORY_UNTIL)), day.cast("int")).cast("timestamp_ntz") + F.expr("INTERVAL '12' HOUR")).cast("timestamp_ntz")
+    return o.select(
+        F.concat(F.lit("h"), (F.col("o_custkey") % entities).cast("string")).alias("entity_id"), F.get(F.array(*map(F.lit, SEVENTHS)), kind).alias("data_type"), at.alias("start_time"),
+        F.lit(None).cast("timestamp_ntz").alias("end_time"), F.col("o_totalprice").alias("value"), F.lit(None).cast("string").alias("unit"),
+        F.when(F.col("o_custkey") % 3 == 0, "PRIMARY").otherwise("PHONE").alias("source"), F.lit(None).cast("string").alias("raw"),
+    )
+
+
 def from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as sleep from the order's day to the shipping day."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")

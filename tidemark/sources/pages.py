@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from urllib.error import URLError
 from urllib.request import urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -46,12 +47,15 @@ def filter_text(data_type: str, since: str, until: str) -> str:
 
 
 def fetch(root: str, part: Window, token: str | None) -> dict:
-    """One page; an absent file is an empty one."""
+    """One page. A window that was never captured has no first file and is empty;
+    any other failure fails the task, which Spark runs again."""
     try:
-        with urlopen(f"{root}/{part.data_type}/{part.since[:10]}.{token or 0}.json") as f:
+        with urlopen(f"{root}/{part.data_type}/{part.since[:10]}.{token or 0}.json", timeout=60) as f:
             return json.load(f)
-    except OSError:
-        return {}
+    except URLError as e:
+        if token is None and isinstance(e.reason, FileNotFoundError):
+            return {}
+        raise
 
 
 class PagedReader(DataSourceReader):

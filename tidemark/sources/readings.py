@@ -29,8 +29,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(readings: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by type and sorted by time, so that both prune a scan."""
-    readings.repartition("data_type", F.to_date("start_time")).sortWithinPartitions("data_type", "start_time").write.mode(mode).partitionBy("data_type").parquet(path)
+    """Partitioned by type and sorted by time, so that both prune a scan. Ranges of
+    type, time and entity are dealt out evenly, however many rows a type or day has."""
+    readings.repartitionByRange("data_type", "start_time", "entity_id").sortWithinPartitions("data_type", "start_time").write.mode(mode).partitionBy("data_type").parquet(path)
 
 
 def replace_source(spark: SparkSession, path: str, source: str, rows: DataFrame, out: str) -> None:

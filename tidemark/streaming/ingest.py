@@ -1,20 +1,27 @@
 """Idempotent incremental loads: JSON pages become readings in a table.
 
 Within a batch the last record of a key wins; against the table the first one that
-was written wins. The table is read for the keys of the batch's own types and time
-range only, so that partitions and row groups prune the look-up, and the anti-join
+was written wins. The table is read for the keys of the batch's own types, each in
+its own range of times only, so that partitions and row groups prune the look-up, and the anti-join
 keeps duplicates out for any lateness, as a watermark alone would not."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..registry import SYNCABLE_TYPES
 from ..sources.readings import KEY, READING_SCHEMA, normalised, page_points, read_table, split_usable, write_table
 
 
+STATE_SCHEMA = "data_type string, last_synced_at timestamp_ntz"
+
+
 def last_of_batch(rows: DataFrame, order: str = "seq") -> DataFrame:
     """One row for each key: the one that came last."""
     w = Window.partitionBy(*KEY).orderBy(F.desc(order))
@@ -27,57 +34,78 @@ def new_rows(batch: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return read_table(spark, path) if there else None
+    """The table at path; None before the first load."""
+    try:
+        return read_table(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _added(rows: DataFrame, path: str) -> int:
+    """Writes the rows whose key the table lacks; how many they are. The table is
+    read within the range of times of each type among the rows."""
+    table = _table(rows.sparkSession, path)
+    if table is not None:
+        ranges = rows.groupBy("data_type").agg(F.min("start_time").alias("low"), F.max("start_time").alias("high")).collect()
+        within = [(F.col("data_type") == r["data_type"]) & F.col("start_time").between(F.lit(r["low"]), F.lit(r["high"])) for r in ranges]
+        rows = new_rows(rows, table.filter(reduce(Column.__or__, within, F.lit(False))))
+    rows = rows.select(*READING_SCHEMA.names).persist()
+    try:
+        n = rows.count()
+        if n:
+            write_table(rows, path)
+        return n
+    finally:
+        rows.unpersist()
 
 
-def load(batch: DataFrame, path: str) -> dict[str, dict[str, int]]:
-    """Adds a batch of readings (with seq) to the table; {type: {written, skipped}}."""
-    spark = batch.sparkSession
+def load(batch: DataFrame, path: str, state: str | None = None, started: datetime | None = None) -> dict[str, dict]:
+    """Adds a batch of readings (with seq) to the table, type by type, of which there
+    are a few dozen: {type: {written, skipped}}, or {type: {error}} for one that
+    failed, which stops no other. Where `state` names a table, the time at which the
+    run started becomes the mark of each type that was loaded."""
     usable, skipped = split_usable(batch)
-    report = {r["data_type"]: {"written": 0, "skipped": r["skipped"]} for r in skipped.collect()}
+    report: dict[str, dict] = {r["data_type"]: {"written": 0, "skipped": r["skipped"]} for r in skipped.collect()}
     rows = last_of_batch(usable).persist()
     try:
-        table = _table(spark, path)
-        if table is not None:
-            low, high = rows.agg(F.min("start_time"), F.max("start_time")).first()
-            if low is not None:
-                types = [r[0] for r in rows.select("data_type").distinct().collect()]
-                table = table.filter(F.col("data_type").isin(types) & F.col("start_time").between(F.lit(low), F.lit(high)))
-            rows_new = new_rows(rows, table)
-        else:
-            rows_new = rows
-        rows_new = rows_new.select(*READING_SCHEMA.names).persist()
-        try:
-            for r in rows_new.groupBy("data_type").count().collect():
-                report.setdefault(r[0], {"written": 0, "skipped": 0})["written"] = r[1]
-            write_table(rows_new, path)
-        finally:
-            rows_new.unpersist()
+        for t in sorted(r[0] for r in rows.select("data_type").distinct().collect()):
+            try:
+                report.setdefault(t, {"written": 0, "skipped": 0})["written"] = _added(rows.filter(F.col("data_type") == t), path)
+            except Exception as e:  # noqa: BLE001
+                report[t] = {"error": str(e)}
     finally:
         rows.unpersist()
+    if state:
+        spark, done = batch.sparkSession, [t for t, r in report.items() if "error" not in r]
+        marks = spark.createDataFrame([(t, started or datetime.now(timezone.utc).replace(tzinfo=None)) for t in done], STATE_SCHEMA)
+        marks.coalesce(1).write.mode("append").parquet(state)
     return report
 
 
-def sync_state(table: DataFrame) -> DataFrame:
-    """entity_id, data_type, last_synced_at: the newest time of each type."""
-    return table.groupBy("entity_id", "data_type").agg(F.max("start_time").alias("last_synced_at"))
+def sync_state(runs: DataFrame, default: str, types: tuple[str, ...] = SYNCABLE_TYPES) -> DataFrame:
+    """data_type, last_synced_at: where the next load of each type starts, which is
+    the start of its last run, or the default before the first. runs: data_type,
+    last_synced_at, a row for each run."""
+    every = runs.sparkSession.createDataFrame([(t,) for t in types], "data_type string")
+    last = runs.groupBy("data_type").agg(F.max("last_synced_at").alias("last_synced_at"))
+    mark = F.coalesce("last_synced_at", F.lit(default).cast("timestamp_ntz"))
+    return every.join(F.broadcast(last), "data_type", "left").select("data_type", mark.alias("last_synced_at"))
 
 
-def stream_pages(spark: SparkSession, pages: str, path: str, checkpoint: str, lateness: str | None = None, report: Callable[[dict], None] | None = None):  # noqa: ANN201
+def stream_pages(spark: SparkSession, pages: str, path: str, checkpoint: str, lateness: str | None = None, report: Callable[[dict], None] | None = None, state: str | None = None):  # noqa: ANN201
     """Starts a query that loads JSON page files (entity_id, data_type, body) and
     stops when it has seen all. A restart goes on from its checkpoint, and a batch
     that ran twice adds nothing."""
     source = spark.readStream.schema("entity_id string, data_type string, page string, body string").json(pages)
     points = page_points(source).withColumn("seq", F.concat_ws("/", "page", F.format_string("%08d", "seq")))
-    rows = normalised(points.drop("page"))
+    rows, started = normalised(points.drop("page")), datetime.now(timezone.utc).replace(tzinfo=None)
     if lateness:
         rows = rows.withWatermark("start_time", lateness).dropDuplicatesWithinWatermark([*KEY])
 
     def batch(df: DataFrame, _: int) -> None:
-        done = load(df, path)
+        done = load(df, path, state, started)
         if report:
             report(done)
 
