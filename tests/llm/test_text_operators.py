@@ -258,12 +258,9 @@ def test_terms_far_from_an_entity_and_seen_twice_go(spark):
     assert disclosed(spark, texts) == brute_disclosed(texts)
 
 
-def different(spark, texts):
-    return privacy.with_base(docs_of(spark, texts).select("text").distinct().withColumn("copy", F.xxhash64("text")))
-
-
 def disclosed(spark, texts):
-    return {r["term"]: (round(r["disclosure"], 9), r["action"]) for r in privacy.disclosing(different(spark, texts)).collect()}
+    tables = privacy.found_in(docs_of(spark, texts).withColumn("copy", F.xxhash64("text")))
+    return {r["term"]: (round(r["disclosure"], 9), r["action"]) for r in privacy.disclosing(*tables).collect()}
 
 
 def brute_disclosed(texts):

@@ -14,8 +14,9 @@ disclosure if at least `SHARE` of its documents name the entity and if disclosur
 reaches `GENERALISE`; from `REMOVE` on it is removed, below that generalised to
 <TERM>.
 
-The spans of the patterns are found once and stored with the rows; the different
-texts are taken from there. Everything is counted with map-side combination. Only texts that hold an entity
+The patterns and the words are searched once and stored by text (a 64-bit hash of
+it), without the text itself; what is found joins the rows again at the end, where
+AQE splits the hot keys of copies. Everything is counted with map-side combination. Only texts that hold an entity
 which another text holds too give pairs, each distinct term with each such entity,
 as no other can be confirmed. Tables are broadcast only while they are small. The
 patterns are the contract's, written so that the JVM's engine takes linear time
@@ -134,21 +135,29 @@ def _entities() -> Column:
     return F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], value(s))))
 
 
+def found_in(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For rows of copy (a key of the text) and text: the different texts with a base
+    span (copy, base, entities, and the words outside the spans), and all different
+    texts' words (copy, words)."""
+    spans = with_base(docs.select("copy", "text")).filter(F.size("base") > 0)
+    spans = spans.select("copy", "base", _entities().alias("entities"), _terms(_bare()).alias("words")).dropDuplicates(["copy"])
+    return stored(spans, "spans"), stored(docs.select("copy", _terms(F.col("text")).alias("words")).dropDuplicates(["copy"]), "words")
+
+
 def _pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """entity, term, joint: how many texts hold both, two at least, for the entities
     given."""
     n, n_bytes = entities.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("entity")), F.lit(0))).first()
     shared = mentions.select("copy", F.explode("entities").alias("entity")).join(small(entities.select("entity"), n_bytes + 32 * n), "entity")
     shared = stored(shared.groupBy("copy").agg(F.collect_list("entity").alias("shared")), "shared")
-    terms = mentions.select("copy", "text").join(shared, "copy").select("shared", F.explode(_terms(F.col("text"))).alias("term"))
+    terms = mentions.select("copy", "words").join(shared, "copy").select("shared", F.explode("words").alias("term"))
     pairs = terms.select("term", F.explode("shared").alias("entity"))
     return pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")).filter("joint > 1")
 
 
-def disclosing(texts: DataFrame) -> DataFrame:
-    """term, disclosure, action: the terms that reveal an entity. `texts` has copy (a
-    key of the text), text and base for each different text."""
-    mentions = stored(texts.filter(F.size("base") > 0).select("copy", _bare().alias("text"), _entities().alias("entities")), "mentions")
+def disclosing(mentions: DataFrame, words: DataFrame) -> DataFrame:
+    """term, disclosure, action: the terms that reveal an entity, from the tables of
+    `found_in`."""
     entities = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     entities = stored(entities.filter("df_entity > 1"), "entities")
     pairs = stored(_pairs(mentions, entities), "pairs")
@@ -156,11 +165,11 @@ def disclosing(texts: DataFrame) -> DataFrame:
     n, n_bytes = candidates.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     if not n:
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
-    words = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+    every = words.select(F.explode("words").alias("term"))
     if n_bytes + 32 * n <= BROADCAST_BYTES:  # beyond it all words are counted, and the join is of counts
-        words = words.join(F.broadcast(candidates), "term", "left_semi")
-    df = words.groupBy("term").agg(F.count("*").alias("df_term"))
-    total = texts.count()
+        every = every.join(F.broadcast(candidates), "term", "left_semi")
+    df = every.groupBy("term").agg(F.count("*").alias("df_term"))
+    total = words.count()
     scored = pairs.join(entities, "entity").join(df, "term").filter((F.col("df_entity") < total) & (F.col("joint") >= SHARE * F.col("df_term")))
     joint, term, entity, others = F.col("joint") - 1, F.col("df_term") - 1, F.col("df_entity") - 1, total - 1
     scored = scored.withColumn("d", F.log(joint * others / (term * entity)) / F.log(F.lit(others) / entity))
@@ -168,27 +177,31 @@ def disclosing(texts: DataFrame) -> DataFrame:
     return stored(best.withColumn("action", F.when(F.col("disclosure") >= REMOVE, F.lit("remove")).otherwise("generalise")), "terms")
 
 
-def with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """found with `terms`: the spans of disclosing terms outside the base spans;
-    the value says what to do with one. `found` has row (a key), text and base."""
+def _marked(docs: DataFrame, mentions: DataFrame, words: DataFrame, terms: DataFrame) -> DataFrame:
+    """docs with base and `held`, the disclosing terms among its words."""
     n, n_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    empty = F.array().cast(SPAN)
-    if not n:
-        return found.withColumn("terms", empty)
-    words = found.select("row", F.explode(_terms(F.col("text"))).alias("term"))
-    held = words.join(small(terms.select("term", "action"), n_bytes + 64 * n), "term").groupBy("row").agg(F.collect_set(F.struct("term", "action")).alias("_held"))
-    docs = found.join(stored(held, "held").hint("shuffle_hash"), "row", "left")  # grows with the documents
-    names = F.transform("_held", lambda h: h["term"])
-    docs = docs.withColumn("_pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}])")))
+    held = words.select("copy", F.explode("words").alias("term")).join(small(terms.select("term", "action"), n_bytes + 64 * n), "term")
+    held = held.groupBy("copy").agg(F.collect_set(F.struct("term", "action")).alias("held"))
+    marks = stored(mentions.select("copy", "base").join(held, "copy", "full"), "marks")
+    parts = F.coalesce(F.size("base"), F.lit(0)) + F.coalesce(F.size("held"), F.lit(0))
+    rows, spans = marks.agg(F.count("*"), F.coalesce(F.sum(parts), F.lit(0))).first()
+    marks = F.broadcast(marks) if 64 * rows + 96 * spans <= BROADCAST_BYTES else marks.hint("shuffle_hash")  # grows with the documents
+    return docs.join(marks, "copy", "left").withColumn("base", F.coalesce("base", F.array().cast(SPAN)))
+
+
+def with_terms(docs: DataFrame) -> DataFrame:
+    """docs with `terms`: the spans of the terms held, outside the base spans; the
+    value says what to do with one."""
+    names = F.transform("held", lambda h: h["term"])
+    docs = docs.withColumn("_pattern", F.when(F.size("held") > 0, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}])"))))
     docs = docs.withColumn("_matches", F.when(F.col("_pattern").isNotNull(), F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))))
     docs = docs.withColumn("_parts", F.when(F.size("_matches") > 0, F.split("text", F.col("_pattern"), -1)))
     docs = docs.withColumn("_between", F.transform("_parts", lambda p: F.length(p))).withColumn("_own", F.transform("_matches", lambda m: F.length(m)))
     spans = _located("term", F.col("_matches"))
-    action = lambda s: F.get(F.filter("_held", lambda h: h["term"] == F.lower(s["value"])), F.lit(0))["action"]
+    action = lambda s: F.get(F.filter("held", lambda h: h["term"] == F.lower(s["value"])), F.lit(0))["action"]
     spans = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(action(s), F.lit("generalise")).alias("value")))
     apart = F.filter(spans, lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    docs = docs.withColumn("terms", F.coalesce(F.when(F.size("_matches") > 0, apart), empty))
-    return docs.drop("_held", "_pattern", "_matches", "_parts", "_between", "_own")
+    return docs.withColumn("terms", F.coalesce(F.when(F.size("_matches") > 0, apart), F.array().cast(SPAN))).drop("_pattern", "_matches", "_parts", "_between", "_own")
 
 
 def _joined(spans: Column) -> Column:
@@ -202,11 +215,8 @@ def sanitised(documents: DataFrame) -> DataFrame:
     """The documents' columns with text replaced, and n_email, n_ip, n_card,
     n_phone, base_sha256 and spans of the original text."""
     own = F.struct(*(c for c in documents.columns if c not in ("text", *RESULTS)))
-    docs = documents.select(own.alias("own"), F.coalesce("text", F.lit("")).alias("text"))
-    found = with_base(docs).withColumn("copy", F.xxhash64("text"))
-    # written once, so that a row's number is the same whenever it is read
-    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "found")
-    texts = stored(found.select("copy", "text", "base").dropDuplicates(["copy"]), "texts")
-    out = with_terms(found, disclosing(texts))
+    docs = documents.select(own.alias("own"), F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
+    mentions, words = found_in(docs)
+    out = with_terms(_marked(docs, mentions, words, disclosing(mentions, words)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("own.*", _cleaned().alias("text"), *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "terms")).alias("spans"))
