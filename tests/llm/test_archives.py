@@ -21,7 +21,7 @@ def test_round_trip_with_revisits(spark):
     got = {(r["page_id"], r["url"]): r for r in A.records(manifest, payloads=True).collect()}
     assert len(got) == len(rows)
     for i, url, html, *_ in rows:
-        r = got[i, (url or "about:blank").replace("\r\n", "")]
+        r = got[i, (url or "about:blank").replace("\r\n", "%0D%0A")]
         same = [p for p, _, h, *_ in rows if (h or "") == (html or "") and p is not None]
         payload = (html or "").encode()
         assert (r["payload_bytes"], r["payload_digest"]) == (len(payload), A.digest(payload))
@@ -58,6 +58,19 @@ def test_dictionary_is_needed_and_frames_are_single(tmp_path):
     assert len(list(A.read_archive(io.BytesIO(struct.pack("<II", A.MAGIC, len(packed)) + packed + data[8 + n :])))) == 60
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 19, 20, 40])
+def test_any_number_of_records_has_a_dictionary(tmp_path, n):
+    data = archive(tmp_path, n)
+    assert struct.unpack("<I", data[4:8])[0] > 0
+    assert [r["page_id"] for r in A.read_archive(io.BytesIO(data))] == list(range(n))
+
+
+def test_archives_are_read_by_several_tasks(spark):
+    pages = pages_of(spark, [(i, "u", f"<p>{i}</p>", "", 1) for i in range(60)]).repartition(6)
+    read = A.records(A.written(pages))
+    assert read.rdd.getNumPartitions() >= 4 and read.count() == 60
+
+
 @pytest.mark.parametrize("cut", [4, 100, -5])
 def test_cut_archives_fail(tmp_path, cut):
     with pytest.raises(A.WarcError):

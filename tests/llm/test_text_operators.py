@@ -14,7 +14,7 @@ from tidemark.llm import contamination, language, near, outliers, packing, priva
 from tidemark.llm import oracle, queries
 from tidemark.llm._common import read
 
-TOKENIZER = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+TOKENIZER = queries.TOKENIZER
 ODD = [None, "", " ", "\n\t", "word", "x " * 40000, "é🙂 a.b@c.d é 4111111111111111", "same words here now same words here now", "a\x1cb\u2028c"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, doc string, base int"
 
@@ -97,7 +97,7 @@ def brute_distances(x):
         starts = new if step not in (1, outliers.STEPS - 1) else [min(new, key=lambda e: (round(np.linalg.slogdet(e[1])[1], 9), e[2]))]
     mean, cov, _ = starts[0]
     d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    return d / (max(np.quantile(d, 0.5, method="inverted_cdf"), 3.357) / 3.357)
+    return mean, cov, d / (max(np.quantile(d, 0.5, method="inverted_cdf"), 3.357) / 3.357)
 
 
 def test_distances_against_numpy(spark):
@@ -110,12 +110,46 @@ def test_distances_against_numpy(spark):
     rows = outliers.scored(df).orderBy("doc_id").collect()
     c = np.array([outliers.counts(t) for t in texts], float)
     x = np.column_stack([np.log(c[:, 1] / c[:, 0]), np.sqrt(c[:, 2] / c[:, 1]), c[:, 3] / c[:, 5], np.sqrt(c[:, 4] / c[:, 0])])
-    want = brute_distances(x)
+    want = brute_distances(x)[2]
     assert np.array([r["distance"] for r in rows]) == pytest.approx(want, rel=1e-6)
     assert [r["kept"] for r in rows] == [not r["base_failed"] and d <= outliers.CUTOFF for r, d in zip(rows, want)]
     assert not all(r["kept"] for r in rows if not r["base_failed"])
 
 
+def statistics_of(texts):
+    c = np.array([outliers.counts(t) for t in texts], float)
+    return np.column_stack([np.log(c[:, 1] / c[:, 0]), np.sqrt(c[:, 2] / c[:, 1]), c[:, 3] / c[:, 5], np.sqrt(c[:, 4] / c[:, 0])])
+
+
+@pytest.mark.parametrize("few", [1, 2, 30])
+def test_small_groups_lean_on_larger_ones(spark, few):
+    rng = random.Random(13)
+    make = lambda k: " ".join(rng.choice("abcdefgh") * rng.randint(1, k) + "#" * (rng.random() < 0.2) for _ in range(rng.randint(50, 90)))
+    rows = [("en", "s", make(9)) for _ in range(300)] + [("en", "t", make(5)) for _ in range(few)] + [("fr", "s", make(12)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, lang, s) for i, (lang, s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = np.array([r["distance"] for r in outliers.scored(df).orderBy("doc_id").collect()])
+    x = statistics_of([t for *_, t in rows])
+    pick = lambda f: np.array([f(lang, s) for lang, s, _ in rows])
+    levels = {"all": pick(lambda *_: True)} | {lang: pick(lambda a, _, lang=lang: a == lang) for lang in ("en", "fr")}
+    groups = {(lang, s): pick(lambda a, b, lang=lang, s=s: (a, b) == (lang, s)) for lang, s in (("en", "s"), ("en", "t"), ("fr", "s"))}
+    est = {k: brute_distances(x[m])[:2] for k, m in (levels | groups).items()}
+    chosen = lambda m: len(x[m]) / (len(x[m]) + outliers.PRIOR)
+    want, d = np.zeros(len(rows)), np.zeros(len(rows))
+    for (lang, s), m in groups.items():
+        mean, cov = est["all"]
+        for k, inside in ((lang, levels[lang]), ((lang, s), m)):
+            w = chosen(inside)
+            mean, cov = w * est[k][0] + (1 - w) * mean, w * est[k][1] + (1 - w) * cov
+        d[m] = np.einsum("ij,jk,ik->i", x[m] - mean, np.linalg.inv(cov), x[m] - mean)
+    half = lambda m: max(np.quantile(d[m], 0.5, method="inverted_cdf"), 3.357) / 3.357
+    for (lang, s), m in groups.items():
+        k = half(levels["all"])
+        for inside in (levels[lang], m):
+            k = chosen(inside) * half(inside) + (1 - chosen(inside)) * k
+        want[m] = d[m] / k
+    assert got == pytest.approx(want, rel=1e-6)
+
+
 # --- toxicity and quality -----------------------------------------------------
 
 

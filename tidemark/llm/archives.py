@@ -12,13 +12,17 @@ length) but no payload. Only payloads found more than once take part in a join,
 their first ids are a table of digests, written so that a hot digest can be split.
 
 Each writing task fills archives of about `ARCHIVE_BYTES` in the shared folder, with
-a dictionary trained on its first records (`SAMPLE_BYTES` at most). A manifest table
-names the archives of the tasks that ended well, so a task that ran twice adds
-nothing; the reader deals the manifest out by archive.
+a dictionary trained on its first records (`SAMPLE_BYTES` of them, or one record, if
+that is larger; the first 64 KiB of each). Where those are too few or too equal to
+train on, their own bytes are the dictionary, so every archive has one. A manifest
+table names the archives of the tasks that ended well, so a task that ran twice adds
+nothing; the reader deals the archives out to tasks of about `ARCHIVE_BYTES`.
 
 Defined cases: null html has an empty payload. Rows that share the payload's
 smallest page_id are all responses. A null page_id sorts last; if all are null, all
-are responses. An empty table gives no records. Other columns are ignored."""
+are responses. An empty table gives no records. Repeated rows each get a record. Very
+long pages are one record each. Line breaks in a URL are percent-encoded. Other
+columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -63,7 +67,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, payload_digest:
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:uuid:{_uuid(page_id)}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", "".join(c for c in (url or "about:blank") if c not in "\r\n")),
+        ("WARC-Target-URI", (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha1:{payload_digest}"),
         ("WARC-Page-ID", "" if page_id is None else str(page_id)),
         ("Content-Type", "application/http;msgtype=response"),
@@ -172,12 +176,11 @@ class Writer:
             self._end()
 
     def _begin(self) -> None:
-        raw = b""
-        if len(self.waiting) >= 20:
-            try:
-                raw = zstandard.train_dictionary(DICTIONARY_BYTES, [w[: 64 << 10] for w in self.waiting], k=200, d=8).as_bytes()
-            except zstandard.ZstdError:  # too few or too equal samples
-                raw = b""
+        samples = [w[: 64 << 10] for w in self.waiting]
+        try:
+            raw = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8).as_bytes()
+        except zstandard.ZstdError:  # too few or too equal samples
+            raw = b"".join(samples)[:DICTIONARY_BYTES]
         self.path = f"{self.folder}/{self.name}-{len(self.done):05d}.warc.zst"
         self.out = self.fs.open_output_stream(self.path, compression=None)  # the name's ending must not compress it again
         self.coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_content_size=True)
@@ -254,4 +257,7 @@ def records(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return manifest.repartition("path").mapInArrow(run, schema)
+    n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(manifest.sparkSession.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))))
+    # a number of its own, as the manifest's few bytes would be read by one task
+    return manifest.repartition(tasks).mapInArrow(run, schema)

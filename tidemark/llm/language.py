@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import TokenTable, chunks, in_one_task, segment_sum, texts
+from ._common import TokenTable, chunks, in_one_task, segment_sum, small, stored, texts
 
 SAMPLE, BUCKETS, DIM, EPOCHS, BATCH, RATE = 400, 1 << 15, 12, 4, 16, 0.5
 MOST_REJECT = 0.5
@@ -151,21 +151,19 @@ def trained(documents: DataFrame, per_language: int = SAMPLE) -> Model | None:
     """A model from the rows of `documents` with a lang; None without any. At
     most about `per_language` rows of each language are used."""
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    counts = stored(rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")), "langs")
+    n, n_bytes = counts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_lang")), F.lit(0))).first()
+    if not n:
         return None
-    keep = None
-    for k, n in sorted(counts.items()):
-        share = F.lit(1 << 30) if n <= per_language else F.lit(int(per_language / n * (1 << 30)))
-        one = (F.col("lang") == k) & (F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share)
-        keep = one if keep is None else keep | one
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
+    rows = rows.join(small(counts, n_bytes + 48 * n), F.col("lang") == F.col("_lang")).filter(draw < F.lit(float(per_language)) / F.col("_n") * (1 << 30))
 
     def fit(sample: pa.Table) -> Model:
         """In the order of the rows' hashes, so that the outcome doesn't hang on theirs."""
         found = sorted(zip(sample["text"].to_pylist(), sample["lang"].to_pylist(), strict=True), key=lambda r: (zlib.crc32(r[0].encode()), r))
         return fitted([r[0] for r in found], [r[1] for r in found])
 
-    return in_one_task(rows.filter(keep).select("text", "lang"), fit)
+    return in_one_task(rows.select("text", "lang"), fit)
 
 
 _SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

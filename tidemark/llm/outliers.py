@@ -14,16 +14,19 @@ logarithm of their squared distance, 32 bins for a doubling, and the sums of eac
 up to it, so no group meets in one task. The subset is thus whole bins.
 
 Covariances get `FLOOR` on their diagonal (the regularised estimate), as some
-statistics are zero for most texts. Groups of fewer than `LEAST` rows use their
-language's rows, and languages of fewer use all rows; with fewer than `LEAST` rows
-in all nothing is rejected. A null language or source is a group of its own.
+statistics are zero for most texts. A group's mean, covariance and scale are drawn
+towards its language's, and those towards the whole table's, with the weight of
+`PRIOR` rows: n / (n + PRIOR) is its own, for any n, so that no verdict jumps with a
+group's size. A null language or source is a group of its own.
 
 Defined cases: a null text has no words and fails the base rules. Ties in distance
-share a bin. Repeated rows count each."""
+share a bin. Repeated rows count each. Very long texts are counted whole. An empty
+table gives no rows. Columns other than doc_id, text, lang and source are ignored,
+whatever their names; a missing lang or source is null."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 
 from ._common import small, stored
 
-SHARE, LEAST, STEPS = 0.75, 200, 6
+SHARE, PRIOR, STEPS = 0.75, 200, 6
 #: Smallest variance of each statistic, in its own units squared.
 FLOOR = (0.08**2, 0.03**2, 0.15**2, 0.15**2)
 #: Squared distance beyond which a text is rejected: the chi-squared quantile at
@@ -87,25 +90,62 @@ def _vector() -> list[Column]:
     return [F.log(chars / n), F.sqrt(F.col("n_symbols") / chars), F.col("n_dup_lines") / lines, F.sqrt(F.col("n_repeat_words") / n)]
 
 
-def _estimates(sums: DataFrame) -> DataFrame:
-    """Mean, inverse covariance factor and log determinant from n, s0.., q00..."""
-    names = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in PAIRS] + ["logdet"]
-    schema = T.StructType([sums.schema["fit"], sums.schema["start"], *(T.StructField(c, T.DoubleType()) for c in names)])
+_SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
+_ESTIMATE = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in PAIRS] + ["logdet"]
+
+
+def _mean_cov(b: pa.RecordBatch, tail: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance (with its floor) of each row's sums."""
+    n = np.asarray(b.column("n" + tail), dtype=float)
+    mean = np.stack([np.asarray(b.column(f"s{i}{tail}")) / n for i in range(P)], axis=1)
+    cov = np.zeros((len(n), P, P))
+    for i, j in PAIRS:
+        cov[:, i, j] = cov[:, j, i] = np.asarray(b.column(f"q{i}{j}{tail}")) / n - mean[:, i] * mean[:, j]
+    cov[:, range(P), range(P)] = np.maximum(cov[:, range(P), range(P)], 0)
+    return mean, cov + np.diag(FLOOR)
 
+
+def _estimate(b: pa.RecordBatch, keys: list[str], mean: np.ndarray, cov: np.ndarray) -> pa.RecordBatch:
+    """The keys with mean, inverse covariance (off-diagonal doubled), log determinant."""
+    inv, logdet = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+    out = [mean[:, i] for i in range(P)] + [inv[:, i, j] * (1 if i == j else 2) for i, j in PAIRS] + [logdet]
+    return pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *map(pa.array, out)], names=[*keys, *_ESTIMATE])
+
+
+def _mapped(sums: DataFrame, keys: list[str], of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.asarray(b.column("n"), dtype=float)
-            mean = np.stack([np.asarray(b.column(f"s{i}")) / n for i in range(P)], axis=1)
-            cov = np.zeros((len(n), P, P))
-            for i, j in PAIRS:
-                cov[:, i, j] = cov[:, j, i] = np.asarray(b.column(f"q{i}{j}")) / n - mean[:, i] * mean[:, j]
-            cov[:, range(P), range(P)] = np.maximum(cov[:, range(P), range(P)], 0)
-            cov += np.diag(FLOOR)
-            inv, logdet = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
-            out = [mean[:, i] for i in range(P)] + [inv[:, i, j] * (1 if i == j else 2) for i, j in PAIRS] + [logdet]
-            yield pa.RecordBatch.from_arrays([b.column("fit"), b.column("start"), *map(pa.array, out)], names=["fit", "start", *names])
+            yield _estimate(b, keys, *of(b))
+
+    return sums.mapInArrow(run, T.StructType([*(sums.schema[k] for k in keys), *(T.StructField(c, T.DoubleType()) for c in _ESTIMATE)]))
+
+
+def _estimates(sums: DataFrame) -> DataFrame:
+    """The estimate of each (fit, start) from its sums."""
+    return _mapped(sums, ["fit", "start"], _mean_cov)
+
+
+def _blended(groups: DataFrame, sums: DataFrame) -> DataFrame:
+    """The estimate of each group, drawn towards its language's and that towards all
+    rows'. groups: own, lang_fit (keys); sums: fit, sums over the chosen rows, and
+    `many`, the number of all rows."""
+    at = lambda tail: sums.select(F.col("fit").alias(f"fit{tail}"), *(F.col(c).alias(c + tail) for c in [*_SUMS, "many"]))
+    rows = groups.join(at("_g"), F.col("own") == F.col("fit_g")).join(at("_l"), F.col("lang_fit") == F.col("fit_l")).join(at("_a"), F.col("fit_a") == "all")
+
+    def of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        mean, cov = _mean_cov(b, "_a")
+        for tail in ("_l", "_g"):
+            m, c = _mean_cov(b, tail)
+            w = _weight(np.asarray(b.column("many" + tail), dtype=float))
+            mean, cov = w[:, None] * m + (1 - w[:, None]) * mean, w[:, None, None] * c + (1 - w[:, None, None]) * cov
+        return mean, cov
+
+    return _mapped(rows, ["own"], of)
+
 
-    return sums.mapInArrow(run, schema)
+def _weight(n):  # noqa: ANN001, ANN202  # a column or an array
+    """How much of a group's estimate is its own."""
+    return n / (n + PRIOR)
 
 
 def _distance() -> Column:
@@ -125,36 +165,27 @@ def _named(*columns: str) -> Column:
     return F.to_json(F.array(*(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in columns)))
 
 
-def _fit_keys(rows: DataFrame) -> DataFrame:
-    """Which group's estimate each (lang, source) uses: its own, its language's,
-    that of all rows, or none; with the number of groups below it."""
-    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang, n_all = Window.partitionBy("lang"), rows.count()
-    groups = groups.withColumn("n_lang", F.sum("n").over(by_lang))
-    fit = F.when(F.col("n") >= LEAST, _named("lang", "source")).when(F.col("n_lang") >= LEAST, _named("lang")).when(F.lit(n_all >= LEAST), F.lit("all"))
-    return groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), fit.alias("fit"))
+_OWN, _LANG = "own", "lang_fit"
 
 
 def scored(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts, distance (squared; null without an
-    estimate), base_failed and kept."""
+    """doc_id, lang, source, the counts, distance (squared; null without words),
+    base_failed and kept."""
     rows = _counted(documents)
     for c in ("lang", "source"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
-    rows = stored(rows.select("doc_id", "lang", "source", *COUNTS, *(x.alias(f"x{i}") for i, x in enumerate(_vector()))), "stats")
-    keys = stored(_fit_keys(rows.filter("n_words > 0")), "groups")
-    n_groups, key_bytes = keys.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("fit")), F.lit(0))).first()
-    keys_bytes, est_bytes = 3 * key_bytes + 64 * n_groups, 2 * (key_bytes + 200 * n_groups)
-    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    # a language's or the whole table's estimate takes in all of its rows, also those of larger groups
-    keyed = rows.join(small(keys, keys_bytes), same, "left").drop("_lang", "_source")
-    wide = keys.filter("fit IS NOT NULL").groupBy("fit").count().select("fit")
-    members = rows.filter("n_words > 0").withColumn("fit", F.explode(F.array(_named("lang", "source"), _named("lang"), F.lit("all"))))
-    members = members.join(small(wide, est_bytes), "fit", "left_semi").select("fit", *(f"x{i}" for i in range(P)))
-    members = stored(members, "members")
-
-    mid = members.groupBy("fit").agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", F.lit([0.25, 0.5, 0.75]), 10000).alias(f"p{i}") for i in range(P)))
+    rows = rows.select("doc_id", "lang", "source", *COUNTS, *(x.alias(f"x{i}") for i, x in enumerate(_vector())))
+    rows = stored(rows.withColumn(_OWN, _named("lang", "source")).withColumn(_LANG, _named("lang")), "stats")
+    worded = rows.filter("n_words > 0")
+    groups = stored(worded.groupBy(_OWN, _LANG).count().select(_OWN, _LANG), "groups")
+    n_groups, key_bytes = groups.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(_OWN)), F.lit(0))).first()
+    est_bytes = 4 * (key_bytes + 200 * n_groups) + 1000
+    xs = [f"x{i}" for i in range(P)]
+    members = stored(worded.select(F.explode(F.array(_OWN, _LANG, F.lit("all"))).alias("fit"), *xs), "members")
+
+    mid = members.groupBy("fit").agg(F.count("*").alias("n"), *(F.percentile_approx(x, F.lit([0.25, 0.5, 0.75]), 10000).alias(f"p{i}") for i, x in enumerate(xs)))
+    mid = stored(mid, "quartiles")
     spread = [F.pow(F.greatest(F.abs(F.col(f"p{i}")[2] - F.col(f"p{i}")[0]), F.lit(1e-9)) * 0.7413, F.lit(2.0)) for i in range(P)]
     centre = [F.col(f"p{i}")[1] for i in range(P)]
     robust = mid.select(
@@ -169,18 +200,25 @@ def scored(documents: DataFrame) -> DataFrame:
         w = Window.partitionBy("fit", "start")
         upto = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         inside = binned.withColumn("_upto", upto).withColumn("_n", F.sum("n").over(w)).filter(F.col("_upto") < F.col("_n") * SHARE)
-        sums = inside.groupBy("fit", "start").agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]))
-        est = _estimates(sums)
-        if step == 1 or step == STEPS - 1:
+        sums = inside.groupBy("fit", "start").agg(*(F.sum(c).alias(c) for c in _SUMS))
+        if step in (1, STEPS - 1):
             # two steps from either start, then the better one alone
-            best = F.row_number().over(Window.partitionBy("fit").orderBy("logdet", "start"))
-            est = est.withColumn("_r", best).filter("_r = 1").drop("_r")
-        est = stored(est, "estimate")
+            sums = stored(sums, "sums")
+            best = _estimates(sums).withColumn("_r", F.row_number().over(Window.partitionBy("fit").orderBy("logdet", "start"))).filter("_r = 1")
+            sums = sums.join(best.select("fit", "start"), ["fit", "start"])
+        est = stored(_estimates(sums), "estimate") if step < STEPS - 1 else _blended(groups, stored(sums.join(mid.select("fit", F.col("n").alias("many")), "fit"), "sums"))
+    est = stored(est, "estimate")
     # the share's covariance is too small for the whole; it is scaled so that the
     # distances' median is that of a chi-squared variable with P degrees of freedom
-    scale = members.join(small(est, est_bytes), "fit").withColumn("d2", _distance()).groupBy("fit").agg(F.percentile_approx("d2", 0.5, 10000).alias("d50"))
-    scale = stored(scale.select(F.col("fit").alias("_fit"), (F.greatest("d50", F.lit(3.357)) / 3.357).alias("scale")), "scale")
-    final = keyed.join(small(est, est_bytes), "fit", "left").join(small(scale, est_bytes), F.col("fit") == F.col("_fit"), "left")
-    out = final.withColumn("distance", F.when(F.col("n_words") > 0, _distance() / F.col("scale")))
+    near = worded.join(small(est, est_bytes), _OWN).select(_OWN, _LANG, _distance().alias("d2"))
+    near = near.select(F.explode(F.array(_OWN, _LANG, F.lit("all"))).alias("fit"), "d2")
+    half = near.groupBy("fit").agg(F.percentile_approx("d2", 0.5, 10000).alias("d50"), F.count("*").alias("n"))
+    half = stored(half.select("fit", "n", (F.greatest("d50", F.lit(3.357)) / 3.357).alias("k")), "scale")
+    at = lambda tail: half.select(F.col("fit").alias(f"fit{tail}"), F.col("n").alias(f"n{tail}"), F.col("k").alias(f"k{tail}"))
+    scale = groups.join(at("_g"), F.col(_OWN) == F.col("fit_g")).join(at("_l"), F.col(_LANG) == F.col("fit_l")).join(at("_a"), F.col("fit_a") == "all")
+    towards = lambda tail, base: _weight(F.col(f"n{tail}")) * F.col(f"k{tail}") + (1 - _weight(F.col(f"n{tail}"))) * base
+    est = stored(est.join(scale.select(_OWN, towards("_g", towards("_l", F.col("k_a"))).alias("scale")), _OWN), "estimate")
+    out = rows.join(small(est, est_bytes), _OWN, "left")
+    out = out.withColumn("distance", F.when(F.col("n_words") > 0, _distance() / F.col("scale")))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select("doc_id", "lang", "source", *COUNTS, "distance", base.alias("base_failed"), (~base & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))

@@ -55,8 +55,9 @@ class Encoder:
 
     The file's merges run in `tokenizers`, or, as that is an eighth as fast on rare
     words, in `tiktoken` with the same vocabulary as ranks, which gives the same
-    ids. A file that is no plain byte-level BPE, or on which the two disagree for
-    a probe, and texts with one of the file's special tokens use `tokenizers`."""
+    ids where each token comes from one merge and merges are in the order of ids. A
+    file that is no such byte-level BPE, or on which the two disagree for a probe, and
+    texts with one of the file's special tokens use `tokenizers`."""
 
     PROBE = "It's a  probe\n\n of 123 \u00e9t\u00e9s, \u4f60\u597d!! \U0001f642  we'll\tsee \r\n "
 
@@ -70,12 +71,19 @@ class Encoder:
             file = json.load(f)
         self.special = [t["content"] for t in file.get("added_tokens", [])]
         pre, to_byte = file.get("pre_tokenizer") or {}, _byte_of_symbol()
-        if file["model"].get("type") == "BPE" and not file.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+        if file["model"].get("type") == "BPE" and not file.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and self._in_order(file["model"]):
             ranks = {bytes(to_byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in self.special}
             self.full, self.plain = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe for n, p in (("full", FULL), ("plain", PLAIN)))
             if any(list(x.encode_ordinary(t)) != self.slow.encode(t, add_special_tokens=False).ids for x, t in ((self.full, self.PROBE), (self.plain, " ".join(self.PROBE.split())))):
                 self.full = None
 
+    @staticmethod
+    def _in_order(model: dict) -> bool:
+        """Whether each merge makes a token of its own, with ids that rise."""
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        made = [model["vocab"].get("".join(m), -1) for m in pairs]
+        return made[:1] != [-1] and all(a < b for a, b in zip(made, made[1:], strict=False))
+
     def ids(self, text: str) -> list[int]:
         if self.full is None or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids

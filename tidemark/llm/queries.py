@@ -3,17 +3,17 @@ parameters of production."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archives, contamination, language, near, outliers, packing, privacy, quality, toxicity, urls
 from ._common import fold, read
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+#: The file of the tokenizer that packing uses.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 #: The contract's rules for hosts and paths.
 RULES = [
@@ -73,7 +73,7 @@ def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.packed(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
