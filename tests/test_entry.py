@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import shutil
 import subprocess
 import sys
 
@@ -63,3 +64,18 @@ print("rows", e.queries()["forecast_holt_winters"](s, {sf!r}).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=170)
     assert "rows 21" in done.stdout, done.stderr[-2000:]
+
+
+def test_an_error_within_the_text_operators_is_no_absence(tmp_path):
+    """Without the folder the rest works; with a broken module in it the import fails."""
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "tidemark"):
+        here = entry.HERE / name
+        if here.exists():
+            (shutil.copytree if here.is_dir() else shutil.copy)(here, tmp_path / name)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, env={"PATH": os.environ["PATH"]}, capture_output=True, text=True, timeout=120)
+    if (tmp_path / "tidemark" / "llm").exists():
+        (tmp_path / "tidemark" / "llm" / "urls.py").write_text("import no_such_module\n")
+        assert "no_such_module" in run().stderr
+        shutil.rmtree(tmp_path / "tidemark" / "llm")
+        (tmp_path / "corpus_pipeline.py").unlink()
+    assert run().stdout.split() == [str(len(queries.QUERIES)), "False"]
