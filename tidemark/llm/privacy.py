@@ -14,9 +14,9 @@ disclosure if at least `SHARE` of its documents name the entity and if disclosur
 reaches `GENERALISE`; from `REMOVE` on it is removed, below that generalised to
 <TERM>.
 
-The patterns and the words are searched once and stored by text (a 64-bit hash of
-it), without the text itself; what is found joins the rows again at the end, where
-AQE splits the hot keys of copies. Everything is counted with map-side combination. Only texts that hold an entity
+The patterns are searched once and their spans stored by text (a 64-bit hash of it),
+without the text itself; they join the rows again at the end, where AQE splits the
+hot keys of copies. Everything is counted with map-side combination. Only texts that hold an entity
 which another text holds too give pairs, each distinct term with each such entity,
 as no other can be confirmed. Tables are broadcast only while they are small. The
 patterns are the contract's, written so that the JVM's engine takes linear time
@@ -135,13 +135,19 @@ def _entities() -> Column:
     return F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], value(s))))
 
 
-def found_in(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def found_in(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """For rows of copy (a key of the text) and text: the different texts with a base
-    span (copy, base, entities, and the words outside the spans), and all different
-    texts' words (copy, words)."""
+    span (copy, base, entities, and the words outside the spans), all different texts'
+    words (copy, words), and how many texts that is. Only texts that occur again are
+    brought together; the others' words aren't moved."""
     spans = with_base(docs.select("copy", "text")).filter(F.size("base") > 0)
     spans = spans.select("copy", "base", _entities().alias("entities"), _terms(_bare()).alias("words")).dropDuplicates(["copy"])
-    return stored(spans, "spans"), stored(docs.select("copy", _terms(F.col("text")).alias("words")).dropDuplicates(["copy"]), "words")
+    copies = stored(docs.groupBy("copy").agg(F.count("*").alias("n")), "copies")
+    n, again = copies.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+    again = small(copies.filter("n > 1").select("copy"), 48 * again)
+    words = docs.select("copy", _terms(F.col("text")).alias("words"))
+    repeated = stored(words.join(again, "copy", "left_semi").dropDuplicates(["copy"]), "repeated")
+    return stored(spans, "spans"), words.join(again, "copy", "left_anti").unionByName(repeated), n
 
 
 def _pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -155,9 +161,9 @@ def _pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")).filter("joint > 1")
 
 
-def disclosing(mentions: DataFrame, words: DataFrame) -> DataFrame:
-    """term, disclosure, action: the terms that reveal an entity, from the tables of
-    `found_in`."""
+def disclosing(mentions: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """term, disclosure, action: the terms that reveal an entity, from what `found_in`
+    gives."""
     entities = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     entities = stored(entities.filter("df_entity > 1"), "entities")
     pairs = stored(_pairs(mentions, entities), "pairs")
@@ -169,7 +175,6 @@ def disclosing(mentions: DataFrame, words: DataFrame) -> DataFrame:
     if n_bytes + 32 * n <= BROADCAST_BYTES:  # beyond it all words are counted, and the join is of counts
         every = every.join(F.broadcast(candidates), "term", "left_semi")
     df = every.groupBy("term").agg(F.count("*").alias("df_term"))
-    total = words.count()
     scored = pairs.join(entities, "entity").join(df, "term").filter((F.col("df_entity") < total) & (F.col("joint") >= SHARE * F.col("df_term")))
     joint, term, entity, others = F.col("joint") - 1, F.col("df_term") - 1, F.col("df_entity") - 1, total - 1
     scored = scored.withColumn("d", F.log(joint * others / (term * entity)) / F.log(F.lit(others) / entity))
@@ -180,9 +185,13 @@ def disclosing(mentions: DataFrame, words: DataFrame) -> DataFrame:
 def _marked(docs: DataFrame, mentions: DataFrame, words: DataFrame, terms: DataFrame) -> DataFrame:
     """docs with base and `held`, the disclosing terms among its words."""
     n, n_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    held = words.select("copy", F.explode("words").alias("term")).join(small(terms.select("term", "action"), n_bytes + 64 * n), "term")
-    held = held.groupBy("copy").agg(F.collect_set(F.struct("term", "action")).alias("held"))
-    marks = stored(mentions.select("copy", "base").join(held, "copy", "full"), "marks")
+    if n:
+        held = words.select("copy", F.explode("words").alias("term")).join(small(terms.select("term", "action"), n_bytes + 64 * n), "term")
+        held = held.groupBy("copy").agg(F.collect_set(F.struct("term", "action")).alias("held"))
+        marks = mentions.select("copy", "base").join(held, "copy", "full")
+    else:
+        marks = mentions.select("copy", "base", F.array().cast("array<struct<term:string,action:string>>").alias("held"))
+    marks = stored(marks, "marks")
     parts = F.coalesce(F.size("base"), F.lit(0)) + F.coalesce(F.size("held"), F.lit(0))
     rows, spans = marks.agg(F.count("*"), F.coalesce(F.sum(parts), F.lit(0))).first()
     marks = F.broadcast(marks) if 64 * rows + 96 * spans <= BROADCAST_BYTES else marks.hint("shuffle_hash")  # grows with the documents
@@ -216,7 +225,7 @@ def sanitised(documents: DataFrame) -> DataFrame:
     n_phone, base_sha256 and spans of the original text."""
     own = F.struct(*(c for c in documents.columns if c not in ("text", *RESULTS)))
     docs = documents.select(own.alias("own"), F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
-    mentions, words = found_in(docs)
-    out = with_terms(_marked(docs, mentions, words, disclosing(mentions, words)))
+    mentions, words, total = found_in(docs)
+    out = with_terms(_marked(docs, mentions, words, disclosing(mentions, words, total)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("own.*", _cleaned().alias("text"), *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "terms")).alias("spans"))
