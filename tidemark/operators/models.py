@@ -404,50 +404,65 @@ def _log_density(x: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
 
 def _forward_backward(logb: np.ndarray, pi: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors, summed transitions, and log-likelihoods without and with the
-    daily offsets that keep densities in range."""
+    daily offsets that keep densities in range. Days come first within."""
     top = logb.max(axis=2, keepdims=True)
-    b = np.exp(logb - top)
-    r, n, k = b.shape
-    fwd, scale, back = np.zeros((r, n, k)), np.zeros((r, n)), np.ones((r, n, k))
+    b = np.ascontiguousarray(np.exp(logb - top).transpose(1, 0, 2))
+    n, r, k = b.shape
+    fwd, back, scale = np.empty((n, r, k)), np.ones((n, r, k)), np.empty((n, r, 1))
+    p = pi * b[0]
     for t in range(n):
-        p = pi * b[:, 0] if t == 0 else np.einsum("ri,rij->rj", fwd[:, t - 1], a) * b[:, t]
-        scale[:, t] = np.maximum(p.sum(axis=1), 1e-300)
-        fwd[:, t] = p / scale[:, t, None]
+        if t:
+            p = np.matmul(p[:, None, :], a)[:, 0, :] * b[t]
+        scale[t] = np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
+        p = p / scale[t]
+        fwd[t] = p
+    over, backwards = b / scale, np.ascontiguousarray(a.transpose(0, 2, 1))
     for t in range(n - 2, -1, -1):
-        back[:, t] = np.einsum("rij,rj->ri", a, b[:, t + 1] * back[:, t + 1]) / scale[:, t + 1, None]
+        back[t] = np.matmul((over[t + 1] * back[t + 1])[:, None, :], backwards)[:, 0, :]
     gamma = fwd * back
     gamma /= gamma.sum(axis=2, keepdims=True)
-    xi = np.einsum("rti,rij,rtj->rij", fwd[:, :-1], a, b[:, 1:] * back[:, 1:] / scale[:, 1:, None])
-    bare = np.log(scale).sum(axis=1)
-    return gamma, xi, bare, bare + top.sum(axis=(1, 2))
-
-
-def hmm_fit(x: np.ndarray, k: int, compat: bool = False, restarts: int = 8, rounds: int = 200) -> dict:
-    """The best of several restarts, all climbing at once. compat leaves the daily
-    offsets out of the likelihood."""
-    rand, (n, d) = Mulberry32(7 + k), x.shape
-    mu = np.array([[x[int(rand() * n)] + np.array([(rand() - 0.5) * 0.5 for _ in range(d)]) for _ in range(k)] for _ in range(restarts)])
-    a = np.tile(np.full((k, k), 0.3 / (k - 1)) + np.eye(k) * (0.7 - 0.3 / (k - 1)), (restarts, 1, 1))
-    pi, var = np.full((restarts, k), 1 / k), np.ones((restarts, k, d))
-    before, done, final = np.full(restarts, -np.inf), np.zeros(restarts, bool), np.full(restarts, -np.inf)
+    xi = np.matmul(fwd[:-1].transpose(1, 2, 0), (over[1:] * back[1:]).transpose(1, 0, 2)) * a
+    bare = np.log(scale[:, :, 0]).sum(axis=0)
+    return gamma.transpose(1, 0, 2), xi, bare, bare + top.sum(axis=(1, 2))
+
+
+def hmm_fits(x: np.ndarray, counts: tuple[int, ...], compat: bool = False, restarts: int = 8, rounds: int = 200) -> list[dict]:
+    """For each number of states the best of several restarts, all climbing at once:
+    states beyond a restart's own have no density. compat leaves the daily offsets
+    out of the likelihood."""
+    (n, d), most, total = x.shape, max(counts), restarts * len(counts)
+    mu, a, pi, own = np.zeros((total, most, d)), np.zeros((total, most, most)), np.zeros((total, most)), np.zeros((total, most), bool)
+    for i, k in enumerate(counts):
+        rand, at = Mulberry32(7 + k), slice(i * restarts, (i + 1) * restarts)
+        mu[at, :k] = [[x[int(rand() * n)] + np.array([(rand() - 0.5) * 0.5 for _ in range(d)]) for _ in range(k)] for _ in range(restarts)]
+        a[at, :k, :k] = np.full((k, k), 0.3 / (k - 1)) + np.eye(k) * (0.7 - 0.3 / (k - 1))
+        pi[at, :k], own[at, :k] = 1 / k, True
+    var = np.ones((total, most, d))
+    before, done, final = np.full(total, -np.inf), np.zeros(total, bool), np.full(total, -np.inf)
     for _ in range(rounds):
-        gamma, xi, bare, full = _forward_backward(_log_density(x, mu, var), pi, a)
-        ll = bare if compat else full
-        live = ~done
-        final = np.where(live, ll, final)
+        go = np.flatnonzero(~done)
+        logb = np.where(own[go][:, None, :], _log_density(x, mu[go], var[go]), -np.inf)
+        gamma, xi, bare, full = _forward_backward(logb, pi[go], a[go])
+        final[go] = bare if compat else full
         weight = np.maximum(gamma.sum(axis=1), 1e-12)
-        new_mu = np.einsum("rtk,td->rkd", gamma, x) / weight[:, :, None]
-        gap = x[None, :, None, :] - new_mu[:, None]
-        new_var = np.maximum(np.einsum("rtk,rtkd->rkd", gamma, gap**2) / weight[:, :, None], 0.01)
-        new_a = xi / np.maximum(xi.sum(axis=2, keepdims=True), 1e-300)
-        mu, var, a, pi = (np.where(live.reshape(-1, *[1] * (o.ndim - 1)), m, o) for m, o in ((new_mu, mu), (new_var, var), (new_a, a), (gamma[:, 0], pi)))
-        done |= np.abs(ll - before) < 1e-6
-        before = ll
+        mu[go] = np.einsum("rtk,td->rkd", gamma, x) / weight[:, :, None]
+        gap = x[None, :, None, :] - mu[go][:, None]
+        var[go] = np.maximum(np.einsum("rtk,rtkd->rkd", gamma, gap**2) / weight[:, :, None], 0.01)
+        a[go], pi[go] = xi / np.maximum(xi.sum(axis=2, keepdims=True), 1e-300), gamma[:, 0]
+        done[go] = np.abs(final[go] - before[go]) < 1e-6
+        before[go] = final[go]
         if done.all():
             break
-    best = int(np.nanargmax(final))
-    free = k - 1 + k * (k - 1) + 2 * k * d
-    return {"k": k, "mu": mu[best], "var": var[best], "a": a[best], "pi": pi[best], "ll": float(final[best]), "bic": float(-2 * final[best] + free * math.log(n))}
+    out = []
+    for i, k in enumerate(counts):
+        best = i * restarts + int(np.nanargmax(final[i * restarts : (i + 1) * restarts]))
+        free = k - 1 + k * (k - 1) + 2 * k * d
+        out.append({"k": k, "mu": mu[best, :k], "var": var[best, :k], "a": a[best, :k, :k], "pi": pi[best, :k], "ll": float(final[best]), "bic": float(-2 * final[best] + free * math.log(n))})
+    return out
+
+
+def hmm_fit(x: np.ndarray, k: int, compat: bool = False) -> dict:
+    return hmm_fits(x, (k,), compat)[0]
 
 
 def viterbi(logb: np.ndarray, pi: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -490,7 +505,7 @@ def states(frame: DataFrame, compat: bool = False) -> DataFrame:
         if len(raw) < 42:
             return []
         x = standardised(raw)[0]
-        m = min((hmm_fit(x, k, compat) for k in (2, 3, 4)), key=lambda f: f["bic"])
+        m = min(hmm_fits(x, (2, 3, 4), compat), key=lambda f: f["bic"])
         logb = _log_density(x, m["mu"][None], m["var"][None])
         path, gamma = viterbi(logb[0], m["pi"], m["a"]), _forward_backward(logb, m["pi"][None], m["a"][None])[0][0]
         names, run = state_names(m["mu"]), 1
