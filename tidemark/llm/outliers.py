@@ -127,10 +127,10 @@ def _estimates(sums: DataFrame) -> DataFrame:
 
 def _blended(groups: DataFrame, sums: DataFrame) -> DataFrame:
     """The estimate of each group, drawn towards its language's and that towards all
-    rows'. groups: own, lang_fit (keys); sums: fit, sums over the chosen rows, and
+    rows'. groups: own, lang_fit, all_fit (keys); sums: fit, sums over the chosen rows, and
     `many`, the number of all rows."""
     at = lambda tail: sums.select(F.col("fit").alias(f"fit{tail}"), *(F.col(c).alias(c + tail) for c in [*_SUMS, "many"]))
-    rows = groups.join(at("_g"), F.col("own") == F.col("fit_g")).join(at("_l"), F.col("lang_fit") == F.col("fit_l")).join(at("_a"), F.col("fit_a") == "all")
+    rows = groups.join(at("_g"), F.col("own") == F.col("fit_g")).join(at("_l"), F.col("lang_fit") == F.col("fit_l")).join(at("_a"), F.col("all_fit") == F.col("fit_a"))
 
     def of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         mean, cov = _mean_cov(b, "_a")
@@ -178,7 +178,7 @@ def scored(documents: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "lang", "source", *COUNTS, *(x.alias(f"x{i}") for i, x in enumerate(_vector())))
     rows = stored(rows.withColumn(_OWN, _named("lang", "source")).withColumn(_LANG, _named("lang")), "stats")
     worded = rows.filter("n_words > 0")
-    groups = stored(worded.groupBy(_OWN, _LANG).count().select(_OWN, _LANG), "groups")
+    groups = stored(worded.groupBy(_OWN, _LANG).count().select(_OWN, _LANG, F.lit("all").alias("all_fit")), "groups")
     n_groups, key_bytes = groups.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(_OWN)), F.lit(0))).first()
     est_bytes = 4 * (key_bytes + 200 * n_groups) + 1000
     xs = [f"x{i}" for i in range(P)]
@@ -215,7 +215,7 @@ def scored(documents: DataFrame) -> DataFrame:
     half = near.groupBy("fit").agg(F.percentile_approx("d2", 0.5, 10000).alias("d50"), F.count("*").alias("n"))
     half = stored(half.select("fit", "n", (F.greatest("d50", F.lit(3.357)) / 3.357).alias("k")), "scale")
     at = lambda tail: half.select(F.col("fit").alias(f"fit{tail}"), F.col("n").alias(f"n{tail}"), F.col("k").alias(f"k{tail}"))
-    scale = groups.join(at("_g"), F.col(_OWN) == F.col("fit_g")).join(at("_l"), F.col(_LANG) == F.col("fit_l")).join(at("_a"), F.col("fit_a") == "all")
+    scale = groups.join(at("_g"), F.col(_OWN) == F.col("fit_g")).join(at("_l"), F.col(_LANG) == F.col("fit_l")).join(at("_a"), F.col("all_fit") == F.col("fit_a"))
     towards = lambda tail, base: _weight(F.col(f"n{tail}")) * F.col(f"k{tail}") + (1 - _weight(F.col(f"n{tail}"))) * base
     est = stored(est.join(scale.select(_OWN, towards("_g", towards("_l", F.col("k_a"))).alias("scale")), _OWN), "estimate")
     out = rows.join(small(est, est_bytes), _OWN, "left")
