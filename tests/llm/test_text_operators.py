@@ -606,3 +606,120 @@ def test_linked_sets_always_share_a_signature():
 
 def test_near_duplicates_of_an_empty_table(spark):
     assert near.classes(docs_of(spark, ["x"]).limit(0), 4, 85, 100).count() == 0
+
+
+# --- slow second versions of the learned operators, and their defined cases ----------
+
+
+def slow_subwords(token):
+    """Buckets of a token's character n-grams, one at a time."""
+    t = "".join(c if c.isalpha() else "_" for c in f"_{token.lower()}_")
+    out = []
+    for i in range(len(t)):
+        h = 0
+        for n in range(1, 5):
+            if i + n > len(t):
+                break
+            h = ((h * 0x9E3779B97F4A7C15) ^ (ord(t[i + n - 1]) + (n << 24))) % 2**64
+            h ^= h >> 29
+            gram = t[i : i + n]
+            if "_" in gram[1:-1] or (n <= 2 and gram[0] == "_" and gram[-1] == "_"):
+                continue
+            out.append((h * 0xD6E8FEB86659FD93 % 2**64 >> 40) % language.BUCKETS)
+    return sorted(out)
+
+
+def test_language_scores_against_loops():
+    rng = random.Random(31)
+    texts = [" ".join(rng.choices(w, k=12)) for w in (["the", "and", "house"], ["der", "und", "Häuser"]) for _ in range(20)]
+    model = language.fitted(texts, ["en"] * 20 + ["de"] * 20)
+    docs = ["The house, and", "Häuser und-der 12 x1y", "", "...", "a"]
+    p, some = model.probabilities(language.TokenTable(model.token_rows), docs)
+    for d, got, there in zip(docs, p, some):
+        buckets, owner = language.subwords(d.split())
+        assert [sorted(buckets[owner == i].tolist()) for i in range(len(d.split()))] == [slow_subwords(t) for t in d.split()]
+        every = [b for t in d.split() for b in slow_subwords(t)]
+        z = [(sum(model.scores[b, k] for b in every) / max(1, len(every)) + model.bias[k]) / model.temperature for k in range(2)]
+        want = np.exp(z) / np.exp(z).sum()
+        assert got.tolist() == pytest.approx(want.tolist()) and there == bool(every)
+
+
+def test_toxic_features_against_loops():
+    lexicon = {"idiot": 3.0, "schei*": 2.5}
+    docs = ["You are an ID1OT, you idiot!", "scheibenkleister x du", "", "fine words all", "STOP that id!ot now you " + "pad " * 9 + "idiot"]
+    got = toxicity.features(toxicity.TokenTable(lambda t: toxicity.token_rows(t, lexicon)), docs)
+    for d, row in zip(docs, got):
+        tokens = d.split()
+        weights = [max([lexicon.get(toxicity.plain(t), 0)] + [lexicon.get(toxicity.plain(t)[:n] + "*", 0) for n in toxicity.STEMS]) if toxicity.plain(t) else 0 for t in tokens]
+        yous = [i for i, t in enumerate(tokens) if toxicity.plain(t) in toxicity.SECOND_PERSON]
+        letters, n = max(1, sum(c.isalpha() for t in tokens for c in t)), max(1, len(tokens))
+        close = 0
+        for i, w in enumerate(weights):
+            if w and yous:
+                after, before = [y for y in yous if y >= i][:1], [y for y in yous if y < i][-1:]
+                close += sum(abs(y - i) <= toxicity.NEAR and y != i for y in (*after, *before))
+        want = [np.log1p(len(tokens)), sum(w > 0 for w in weights), sum(w > 0 for w in weights) / n, sum(weights), sum(weights) / n, max(weights, default=0), close, len(yous) / n]
+        want += [sum(c.isupper() for t in tokens for c in t) / letters, sum(not c.isalnum() for t in tokens for c in t) / max(1, sum(map(len, tokens)))]
+        assert row[: len(want)].tolist() == pytest.approx(want), d
+
+
+def test_trees_and_isotonic_against_loops():
+    rng = np.random.default_rng(32)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+    model = toxicity.boosted(x, y)
+
+    def walk(nodes, r, at=0):
+        f, edge, left, right, value = nodes[at]
+        return value if f < 0 else walk(nodes, r, left if r[f] <= edge else right)
+
+    slow = [model.base + sum(walk(t, r) for t in model.trees) for r in x[:40]]
+    assert model.raw(x[:40]).tolist() == pytest.approx(slow)
+    raw = model.raw(x).round(1)  # with ties
+    at, value = toxicity.isotonic(raw, y)
+    levels = sorted(set(raw.tolist()))
+    mean = lambda a, b: y[(raw >= a) & (raw <= b)].mean()
+    for v in levels:  # the rising fit at a level is max over starts of min over ends of means
+        fit = max(min(mean(a, b) for b in levels if b >= v) for a in levels if a <= v)
+        assert np.interp(v, at, value) == pytest.approx(min(max(fit, 0.5 / 301), 1 - 0.5 / 301))
+
+
+def test_quality_scores_against_loops():
+    rng = random.Random(33)
+    good, bad = [prose(rng, rng.randint(5, 400)) for _ in range(30)], ["#$% " * rng.randint(5, 300) for _ in range(30)]
+    model = quality.fitted(good + bad, [1] * 30 + [0] * 30)
+    docs = [good[0], bad[0], good[1] + " " + bad[1], "", "one"]
+    got = model.scores(*quality.passages(quality.TokenTable(quality.token_rows), docs))
+    for d, p in zip(docs, got):
+        tokens, h, gate = d.split(), [], []
+        for a in range(0, max(1, len(tokens)), quality.PASSAGE):
+            part = tokens[a : a + quality.PASSAGE]
+            rows = quality.token_rows(part)
+            v = np.concatenate([rows.mean(axis=0) if part else np.zeros(rows.shape[1]), [len(set(part)) / max(1, len(part)), np.log1p(len(part))]])
+            e = np.tanh(((v - model.mean) / model.scale) @ model.w["E"] + model.w["e"][0])
+            h.append(e)
+            gate.append(float((np.tanh(e @ model.w["V"]) / (1 + np.exp(-(e @ model.w["U"])))) @ model.w["a"][:, 0]))
+        weight = np.exp(gate) / np.exp(gate).sum()
+        z = float((weight @ np.array(h)) @ model.w["c"][:, 0] + model.w["d"][0, 0])
+        assert p == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+@pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality"), (language, "lang")])
+def test_learned_operators_on_odd_empty_and_repeated_rows(spark, module, label):
+    rng = random.Random(34)
+    texts = [prose(rng, 40) for _ in range(30)] + ["you idiot ### " * 12 for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en" if i < 30 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(60)] * 2 + [(None, 1), (5, None)], f"doc_id long, {label} int")
+    train = (lambda d, la: language.trained(d)) if module is language else module.trained
+    run = language.identified if module is language else module.scored
+    model = train(docs, labels)
+    odd = docs_of(spark, ODD * 2 + texts[:3])
+    rows = run(odd, model).collect()
+    assert len(rows) == 2 * len(ODD) + 3 and all(0 <= r["score"] <= 1 for r in rows)
+    by_id = {r["doc_id"]: r["score"] for r in rows}
+    assert [by_id[i] for i in range(len(ODD))] == pytest.approx([by_id[i + len(ODD)] for i in range(len(ODD))])  # equal texts, equal scores
+    same = run(odd.union(odd.filter("doc_id < 3")), model)
+    assert same.count() == len(rows) + 3 and {r["source"] for r in rows} <= {None, "s"}
+    assert run(odd.limit(0), model).count() == 0
+    none = train(docs.limit(0), labels.limit(0))
+    assert all(r["score"] == 0 for r in run(odd, none).collect())

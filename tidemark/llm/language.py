@@ -13,7 +13,9 @@ reach, and never more than `MOST_REJECT`.
 
 Defined cases: a null text or one without a letter is `und` with score 0 and is
 rejected. With no labelled row at all, everything is `und`. Ties go to the
-language that sorts first. Repeated rows each get a row."""
+language that sorts first. Repeated rows each get a row and equal texts equal
+predictions. Very long texts are read whole. Other columns are kept as they are, but
+those named like a result, which are replaced; an empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -32,8 +32,8 @@ to its pairs, and each pair of linked sets ends in one component.
 
 Defined cases: null or wordless texts have an empty set and are linked with
 nothing. A text with fewer words than n has one shingle, its whole sequence.
-Repeated rows and repeated ids each get a row; ties take the smallest id. Null ids
-take part like any other; a component's id is its smallest, null if it has none."""
+Repeated rows and repeated ids each get a row; ties take the smallest id. Very long texts are
+taken whole; other columns are ignored, whatever their names. Null ids take part like any other; a component's id is its smallest, null if it has none."""
 
 from __future__ import annotations
 

@@ -14,8 +14,9 @@ Ranks come from counts for (class, bucket of hashed ids), so no class is sorted
 one task. The result has one row for a piece.
 
 Defined cases: a null text counts as empty and has the end id alone. Repeated
-rows are packed each; rows that are equal in id and text may swap places. An
-empty table gives no rows."""
+rows are packed each; rows that are equal in id and text may swap places. Very long
+texts are cut into as many pieces as they need. Other columns are ignored, whatever
+their names. An empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -12,7 +12,9 @@ id; scoring sees all rows and whole texts.
 
 Defined cases: a null or empty text is one passage of zeros. Without labelled rows
 of both kinds every score is the share of good ones, or 0 without any. Repeated rows
-each get a row; an id with several labels counts with each."""
+each get a row and equal texts equal scores; an id with several labels counts with
+each, null labels and ids not at all. Very long texts are scored whole. Other columns
+are kept as they are, but a score, which is replaced; an empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -13,8 +13,10 @@ id. Scoring sees all rows: a worker looks each distinct token up once.
 
 Defined cases: a null or empty text has features of zero and gets a score like any
 other. Without labelled rows of both kinds every score is the share of toxic ones,
-or 0 without any. Repeated rows each get a row; an id with several labels counts
-with each."""
+or 0 without any. Repeated rows each get a row and equal texts equal scores; an id
+with several labels counts with each, null labels and ids not at all. Very long texts
+are scored whole. Other columns are kept as they are, but a score, which is replaced;
+an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -88,8 +90,10 @@ def features(table: TokenTable, docs: list[str]) -> np.ndarray:
         you = np.flatnonzero(rows[:, YOU] > 0)
         if len(you):
             k = np.searchsorted(you, hits)
-            for other in (you[np.minimum(k, len(you) - 1)], you[np.maximum(k - 1, 0)]):
-                ok = (owner[other] == owner[hits]) & (np.abs(other - hits) <= NEAR) & (other != hits)
+            # the next one at or after the hit, and the last one before it
+            for there, at in ((k < len(you), k), (k > 0, k - 1)):
+                other = you[np.clip(at, 0, len(you) - 1)]
+                ok = there & (owner[other] == owner[hits]) & (np.abs(other - hits) <= NEAR) & (other != hits)
                 np.add.at(close, owner[hits[ok]], 1.0)
     letters = np.maximum(sums[:, LETTERS], 1)
     return np.column_stack(
@@ -160,17 +164,18 @@ def boosted(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps (scores, values) of the rising fit of y on score."""
-    order = np.argsort(score, kind="stable")
+    levels, level = np.unique(score, return_inverse=True)  # equal scores are one point
     blocks: list[list[float]] = []  # sum, number, first score, last score
-    for s, v in zip(score[order], y[order], strict=True):
-        blocks.append([v, 1.0, s, s])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+    for s, v, n in zip(levels, np.bincount(level, y), np.bincount(level), strict=True):
+        blocks.append([v, n, s, s])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
-    # a block's mean, drawn a little towards a half so that no score is 0 or 1
     at = np.array([x for b in blocks for x in ((b[2], b[3]) if b[2] < b[3] else (b[2],))])
-    value = np.array([x for b in blocks for x in [(b[0] + 0.5) / (b[1] + 1)] * (2 if b[2] < b[3] else 1)])
-    return at, np.maximum.accumulate(value)
+    value = np.array([x for b in blocks for x in [b[0] / b[1]] * (2 if b[2] < b[3] else 1)])
+    # no score is 0 or 1, which half a row of the other kind would keep it from
+    least = 0.5 / (len(y) + 1)
+    return at, np.clip(value, least, 1 - least)
 
 
 @dataclass
@@ -184,13 +189,14 @@ class Model:
         if self.trees is None:
             return np.full(len(x), self.value[0])
         raw = self.trees.raw(x)
-        # beyond the steps' ties, a trace of the raw score keeps the order
+        # a trace of the raw score orders the rows of one step; a step itself never falls
         return np.clip(np.interp(raw, self.at, self.value) + 1e-4 * np.tanh(raw / 4), 0, 1)
 
 
 def learned_lexicon(docs: list[str], y: np.ndarray, most: int = 400) -> dict[str, float]:
     """The fixed list, and terms and stems ("abcd*") with log-odds above 2 that
-    enough toxic texts hold (1 in 80, 4 at least), those of most texts first."""
+    enough toxic texts hold (1 in 80, 4 at least); the `most` of largest log-odds times
+    texts, a bound on the model's size."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for d, v in zip(docs, y, strict=True):
         terms = {p for t in set(d.split()) if (p := plain(t))}
