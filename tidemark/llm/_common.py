@@ -93,7 +93,7 @@ class TokenTable:
             self.new.append(token)
             return n
 
-    def __init__(self, rows: Callable[[list[str]], np.ndarray], most: int = 300_000) -> None:
+    def __init__(self, rows: Callable[[list[str]], np.ndarray], most: int = 150_000) -> None:
         self.rows, self.most = rows, most
         self.ids, self.table = self._Ids(), None
 
@@ -123,7 +123,7 @@ def segment_sum(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(batch: pa.RecordBatch, n_chars: int = 8_000_000, column: str = "text") -> Iterable[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, n_chars: int = 3_000_000, column: str = "text") -> Iterable[pa.RecordBatch]:
     """Slices of the batch with about n_chars of text each, so that working
     arrays stay small where texts are long."""
     lengths = np.array([len(t or "") for t in batch.column(column).to_pylist()], dtype=np.int64)

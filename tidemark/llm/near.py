@@ -68,7 +68,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -276,8 +276,8 @@ def sets_of(documents: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, n) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.int64())], names=["doc_id", "row", "size", "fp"])
+            found = [(len(s := shingles(t, n)), fingerprint(s)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], names=["doc_id", "row", "size", "fp"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row long, size long, fp long")
 
