@@ -483,9 +483,9 @@ def brute_components(texts, n, num, den):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("small, local", [(6, 500_000), (2, 0)])
-def test_components_against_brute_force(spark, monkeypatch, small, local):
-    monkeypatch.setattr(near, "LOCAL_LINKS", local)
+@pytest.mark.parametrize("small, block", [(6, near.BLOCK_LINKS), (2, 20)])
+def test_components_against_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(near, "BLOCK_LINKS", block)
     rng = random.Random(10)
     texts = []
     for base in range(12):
@@ -723,3 +723,22 @@ def test_learned_operators_on_odd_empty_and_repeated_rows(spark, module, label):
     assert run(odd.limit(0), model).count() == 0
     none = train(docs.limit(0), labels.limit(0))
     assert all(r["score"] == 0 for r in run(odd, none).collect())
+
+
+@pytest.mark.parametrize("block", [near.BLOCK_LINKS, 7])
+def test_components_of_links_against_a_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK_LINKS", block)
+    rng, up = random.Random(35), {}
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200)]
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    got = near.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {x: root(x) for x in up} and len(got) == len(up)

@@ -55,8 +55,8 @@ BLOCK_BYTES = 24 << 20
 #: Sets of a prefix group that are joined directly, levels of centres above that, and
 #: sets of a family that order its elements by frequency. None changes the result.
 DENSE, LEVELS, ORDERING = 64, 6, 24
-#: Links that one task resolves; more go through distributed rounds.
-LOCAL_LINKS = 500_000
+#: Links that one task contracts at once.
+BLOCK_LINKS = 200_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
 
@@ -368,29 +368,38 @@ def verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, n: int, nu
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of the links (a, b); the root is the component's
-    smallest node."""
-    links = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    if links.count() <= LOCAL_LINKS:
+def _contracted(links: DataFrame, blocks: int) -> DataFrame:
+    """Links (a, b) from roots to nodes with the components of each block's links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            up: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        nodes = [x for x in up if up[x] != x]
+        yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
 
-            def root(x: int) -> int:
-                up.setdefault(x, x)
-                while up[x] != x:
-                    up[x] = up[up[x]]
-                    x = up[x]
-                return x
+    return stored(links.repartition(blocks).mapInArrow(run, "a long, b long"), "stars")
 
-            for batch in batches:
-                for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                    a, b = root(a), root(b)
-                    up[max(a, b)] = min(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], names=["node", "root"])
 
-        return stored(links.repartition(1).mapInArrow(run, "node long, root long"), "roots")
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for the nodes of the links (a, b); the root is the component's
+    smallest node. Tasks contract blocks of links to stars; rounds of small messages
+    join the stars of several blocks."""
+    links = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    blocks = max(1, -(-links.count() // BLOCK_LINKS))
+    links = _contracted(links, blocks)
+    if blocks == 1:
+        return _roots(links)
     # stars in turn: each node's larger, then smaller, neighbours move to its smallest
     while True:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -402,10 +411,15 @@ def components(links: DataFrame) -> DataFrame:
         new = joined.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).unionByName(joined.select(F.col("m").alias("a"), "b"))
         new = stored(new.filter("a <> b").distinct(), "links")
         if new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty():
-            return new.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+            return _roots(new)
         links = new
 
 
+def _roots(stars: DataFrame) -> DataFrame:
+    """(node, root) of links from roots to nodes, roots included."""
+    return stars.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
 def _rooted(rows: DataFrame, roots: DataFrame, column: str, to: str) -> DataFrame:
     """rows with the root of a column's node; a node without links is its own."""
     r = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
