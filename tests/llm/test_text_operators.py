@@ -533,7 +533,7 @@ def test_centred_links_join_a_hot_family(spark, dense, levels):
             x = up[x]
         return x
 
-    for r in near.centred_links(found, 85, 100, dense, levels).collect():
+    for r in near.centred_links(found.drop("hashes"), lambda wanted: found.join(wanted, "fp", "left_semi").select("fp", "hashes"), 85, 100, dense, levels).collect():
         x, y = ids[r["a"]], ids[r["b"]]
         assert near.linked(near.shingles(texts[x], 4), near.shingles(texts[y], 4), 85, 100)
         up[max(root(x), root(y))] = min(root(x), root(y))
@@ -545,7 +545,7 @@ def test_rows_of_a_hot_family_grow_with_its_size(spark):
     def rows(n):
         found = hot_sets(spark, family(random.Random(5), n)).cache()
         groups = found.select(F.lit(0).cast("long").alias("family"), F.explode("sigs").alias("key"), "fp", "root")
-        return near._prefixes(near._families(groups), found, 85, 100)[1].count()
+        return near._prefixes(near._families(groups), found.select("fp", "size", "root"), found.select("fp", "hashes"), 85, 100)[1].count()
 
     assert rows(240) < 3 * rows(120)
 

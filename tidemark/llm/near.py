@@ -37,7 +37,7 @@ taken whole; other columns are ignored, whatever their names. Null ids take part
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from math import exp, sqrt
 
@@ -426,25 +426,34 @@ def _rooted(rows: DataFrame, roots: DataFrame, column: str, to: str) -> DataFram
     return rows.join(r, F.col(column) == F.col("_node"), "left").withColumn(to, F.coalesce("_root", column)).drop("_node", "_root")
 
 
-def members_of(documents: DataFrame, members: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """fp, size, sigs, hashes of the sets `members` (fp)."""
-    chosen = members.join(sets.select("fp", "row"), "fp").select("row").distinct()
+def _of_texts(documents: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, columns: dict[str, Callable[[np.ndarray], object]], types: dict[str, str]) -> DataFrame:
+    """fp and columns computed from the sets `wanted` (fp), stored."""
+    chosen = wanted.join(sets.select("fp", "row"), "fp").select("row").distinct()
     docs = documents.select(row_key().alias("row"), "text").join(chosen.hint("shuffle_hash"), "row", "left_semi")
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
         for whole in batches:
             for batch in chunks(whole):
                 found: dict[int, np.ndarray] = {}
                 for t in batch.column("text").to_pylist():
                     if len(s := shingles(t, n)):
                         found[fingerprint(s)] = s
-                columns = [pa.array(list(found), pa.int64()), pa.array([len(s) for s in found.values()], pa.int64())]
-                columns += [pa.array([f(s).view(np.int64) for s in found.values()], longs) for f in (lambda s: signatures(s, num, den), lambda s: s)]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "size", "sigs", "hashes"])
+                out = [pa.array([f(s) for s in found.values()], kinds[types[c]]) for c, f in columns.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *out], names=["fp", *columns])
+
+    schema = ", ".join(["fp long", *(f"{c} {types[c]}" for c in columns)])
+    return stored(docs.select("text").mapInArrow(run, schema).dropDuplicates(["fp"]), "members")
 
-    found = docs.select("text").mapInArrow(run, "fp long, size long, sigs array<long>, hashes array<long>")
-    return stored(found.dropDuplicates(["fp"]), "members")
+
+def members_of(documents: DataFrame, members: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """fp, size, sigs of the sets `members` (fp)."""
+    return _of_texts(documents, members, sets, n, {"size": len, "sigs": lambda s: signatures(s, num, den).view(np.int64)}, {"size": "long", "sigs": "array<long>"})
+
+
+def hashes_of(documents: DataFrame, members: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """fp, hashes of the sets `members` (fp)."""
+    return _of_texts(documents, members, sets, n, {"hashes": lambda s: s.view(np.int64)}, {"hashes": "array<long>"})
 
 
 def _families(groups: DataFrame) -> DataFrame:
@@ -457,12 +466,12 @@ def _families(groups: DataFrame) -> DataFrame:
     return rows.join(hubs, ["family", "key"]).select(F.xxhash64("family", "hub").alias("family"), "hub", "fp").distinct()
 
 
-def _prefixes(kin: DataFrame, found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _prefixes(kin: DataFrame, info: DataFrame, hashes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """The sure links (a, b) of families, and a row for each element of each set's
     prefix: family, key, fp, root, size, n (of its difference), outer, rank."""
-    heads = found.join(kin.select(F.col("hub").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("hub"), F.col("hashes").alias("head"))
+    heads = hashes.join(kin.select(F.col("hub").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("hub"), F.col("hashes").alias("head"))
     d = F.concat(F.array_except("hashes", "head"), F.array_except("head", "hashes"))
-    rest = kin.join(found.select("fp", "size", "root", "hashes"), "fp").join(heads, "hub").select("family", "fp", "size", "root", d.alias("rest"))
+    rest = kin.join(info, "fp").join(hashes, "fp").join(heads, "hub").select("family", "fp", "size", "root", d.alias("rest"))
     rest = stored(rest.withColumn("n", F.size("rest").cast("long")).withColumn("e", F.col("n") * (den + num) - F.col("size") * (den - num)), "rest")
     centre = rest.groupBy("family").agg(F.min(F.struct("e", "fp", "root")).alias("centre"), F.count("*").alias("many"))
     rows = rest.join(centre, "family").withColumn("sure", F.col("e") + F.col("centre.e") <= 0)
@@ -482,36 +491,38 @@ def _prefixes(kin: DataFrame, found: DataFrame, num: int, den: int) -> tuple[Dat
     return links, stored(keys, "prefixes")
 
 
-def centred_links(found: DataFrame, num: int, den: int, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:
+def centred_links(found: DataFrame, hashes_for: Callable[[DataFrame], DataFrame], num: int, den: int, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:
     """Links (a, b) that join all linked sets of different roots which share a
-    signature. found: fp, size, root, sigs, hashes."""
-    info = found.select("fp", "root")
+    signature. found: fp, size, root, sigs; hashes_for gives fp and hashes of the sets
+    (fp) that are in a family at all."""
+    info, hashes = found.select("fp", "size", "root"), None
     groups = found.select(F.lit(0).cast("long").alias("family"), F.explode("sigs").alias("key"), "fp", "root")
     sure, pairs = [], []
     for level in range(levels):
-        links, keys = _prefixes(_families(groups), found, num, den)
+        kin = stored(_families(groups), "kin")
+        if hashes is None:  # deeper families are parts of the first ones
+            hashes = hashes_for(kin.select("fp").distinct())
+        links, keys = _prefixes(kin, info, hashes, num, den)
         sure.append(links)
         by = keys.groupBy("family", "key").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outer").alias("any"))
-        by = stored(by.filter("k > 1 AND lo <> hi AND any"), "groups")
+        by = stored(by.filter("k > 1 AND lo <> hi AND any").select("family", "key", "k"), "groups")
+        shared = stored(keys.join(by, ["family", "key"]), "shared")
         last = level == levels - 1
-        joined = by if last else by.filter(F.col("k") <= dense)
-        of = lambda s: [F.col(c).alias(f"{c}{s}") for c in ("fp", "root", "size", "n", "outer", "rank")]
-        x = keys.filter("outer").join(joined.select("family", "key"), ["family", "key"]).select("family", "key", *of("_x"))
-        both = x.join(keys.select("family", "key", *of("_y")), ["family", "key"])
+        joined = shared if last else shared.filter(F.col("k") <= dense)
+        side = lambda rows, s: rows.select("family", "key", *(F.col(c).alias(f"{c}{s}") for c in ("fp", "root", "size", "n", "outer", "rank")))
+        both = side(joined.filter("outer"), "_x").join(side(joined, "_y"), ["family", "key"])
         within = lambda c: c * (den + num) <= (F.col("size_x") + F.col("size_y")) * (den - num)
         once = ~F.col("outer_y") | (F.col("fp_x") < F.col("fp_y"))
         both = both.filter((F.col("root_x") != F.col("root_y")) & once & within(F.abs(F.col("n_x") - F.col("n_y"))) & within(F.col("rank_x") + F.col("rank_y")))
         pairs.append(both.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b")).distinct())
-        if last:
-            break
-        hot = by.filter(F.col("k") > dense).select("family", "key")
-        if hot.isEmpty():
+        groups = shared.filter(F.col("k") > dense).select("family", "key", "fp", "root")
+        if last or groups.isEmpty():
             break
-        groups = keys.select("family", "key", "fp").join(hot, ["family", "key"]).join(info, "fp")
-    hashes = lambda s: found.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("hashes").alias(f"hashes_{s}"))
+    sets = hashes.join(info, "fp")
+    of = lambda s: sets.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("hashes").alias(f"hashes_{s}"))
     every = stored(reduce(DataFrame.unionByName, pairs).distinct(), "close")
     both = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
-    exact = every.join(hashes("a"), "a").join(hashes("b"), "b").filter((both > 0) & (both * den >= (F.col("size_a") + F.col("size_b") - both) * num))
+    exact = every.join(of("a"), "a").join(of("b"), "b").filter((both > 0) & (both * den >= (F.col("size_a") + F.col("size_b") - both) * num))
     return reduce(DataFrame.unionByName, [*sure, exact.select("a", "b")])
 
 
@@ -541,7 +552,7 @@ def rooted_rows(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int =
     if not big.isEmpty():
         members = big.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         found_sets = stored(_rooted(members_of(documents, members, sets, n, num, den), roots, "fp", "root"), "rooted")
-        roots = _joined(roots, centred_links(found_sets, num, den))
+        roots = _joined(roots, centred_links(found_sets, lambda wanted: hashes_of(documents, wanted, sets, n), num, den))
     held = _rooted(sets, roots, "fp", "root")
     smallest = held.groupBy("root").agg(F.min("rep").alias("component"))
     held = stored(held.join(smallest, "root").select(F.col("fp").alias("_fp"), F.col("size").alias("_size"), "root", "component"), "held")
