@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, contamination, language, near, outliers, packing, privacy, quality, toxicity, urls
+from . import alignment, archives, contamination, language, near, outliers, packing, privacy, quality, toxicity, urls
 from ._common import fold, read
 
 #: The file of the tokenizer that packing uses.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The file of the tokenizer that alignment holds against it.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: The contract's rules for hosts and paths.
 RULES = [
@@ -87,6 +89,13 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(read(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.aligned(read(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")), TOKENIZER, PIECES)
+    sha = F.when(F.size("groups") > 0, F.sha2(alignment.digest(F.col("groups")), 256)).otherwise("")
+    out = alignment.counted(rows.withColumn("groups_sha256", sha))
+    return out.select("own.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_outliers, op2_toxicity, op3_quality, op4_warc, op5_url_bloom, op6_sanitise, op7_contamination, op8_packing, op9_language, op10_near)
+    f.__name__: f for f in (op1_outliers, op2_toxicity, op3_quality, op4_warc, op5_url_bloom, op6_sanitise, op7_contamination, op8_packing, op9_language, op10_near, op13_alignment)
 }
