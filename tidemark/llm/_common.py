@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Data of at most so many bytes is broadcast; anything larger is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -50,6 +51,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def with_fields(df: DataFrame, column: str, ddl: str) -> T.StructType:
+    """The schema of a column of df, whatever its fields are called, and more fields."""
+    return T.StructType([df.schema[column], *T.StructType.fromDDL(ddl).fields])
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

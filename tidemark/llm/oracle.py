@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-Training (1, 2, 3, 9), sanitisation by corpus statistics (6) and packing (8) have
-no such form; tests hold them against brute force, round trips and held-out rows."""
+Training (1, 2, 3, 9), sanitisation by corpus statistics (6), packing (8), novelty (12)
+and tokenizers (13) have no such form; tests hold them against brute force, round trips and held-out rows."""
 
 from __future__ import annotations
 
@@ -45,4 +45,19 @@ l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id a, doc_id b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT doc_id, n n_shingles, c component_id FROM n JOIN (SELECT a, min(b) c FROM r GROUP BY a) ON a = doc_id"""
 
-SQL: dict[str, str] = {"op4_warc": OP4, "op5_url_bloom": OP5, "op7_contamination": OP7, "op10_near": OP10}
+# crc32 by a table of 256 remainders; words in one byte a letter, as edits are counted in bytes
+_ONE_BYTE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~"
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+OP11 = f"""WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) crc),
+g AS (SELECT id, run, count(*) c FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), {_LOWER}) run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT *, list_transform(range(octet_length(encode(id || ':' || run))), lambda i: CAST('0x' || substr(hex(encode(id || ':' || run)), 2 * i + 1, 2) AS BIGINT)) bytes FROM g),
+h AS (SELECT run, c, xor(list_reduce(list_concat([4294967295], bytes), lambda r, x: xor(r >> 8, crc[(xor(r, x) & 255) + 1])), 4294967295) h FROM b, k),
+w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END word, c FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+v AS (SELECT word, word AS v FROM w UNION ALL SELECT word, unnest(list_transform(range(length(word)), lambda i: substr(word, 1, i) || substr(word, i + 2))) FROM w),
+p AS MATERIALIZED (SELECT DISTINCT a.word x, b.word y FROM v a JOIN v b ON a.v = b.v AND a.word <> b.word WHERE levenshtein(translate(a.word, '{_LATIN}', '{_ONE_BYTE}'), translate(b.word, '{_LATIN}', '{_ONE_BYTE}')) = 1),
+m AS (SELECT x, count(*) n_near, max(n) most FROM p JOIN w ON y = word GROUP BY x),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(m.n_near, 0) n_near, CASE WHEN m.most >= 5 * w.n THEN m.most END form_n, CASE WHEN m.most >= 5 * w.n THEN (SELECT min(y) FROM p JOIN w o ON p.y = o.word WHERE p.x = w.word AND o.n = m.most) END form FROM w LEFT JOIN m ON w.word = m.x),
+t AS (SELECT word, word root, form following FROM f UNION ALL SELECT t.word, t.following, f.form FROM t JOIN f ON t.following = f.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN t USING (word) WHERE following IS NULL"""
+
+SQL: dict[str, str] = {"op4_warc": OP4, "op5_url_bloom": OP5, "op7_contamination": OP7, "op10_near": OP10, "op11_variants": OP11}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, archives, contamination, language, near, outliers, packing, privacy, quality, toxicity, urls
+from . import alignment, archives, contamination, language, near, outliers, packing, privacy, quality, secrets, toxicity, urls, variants
 from ._common import fold, read
 
 #: The file of the tokenizer that packing uses.
@@ -89,13 +89,25 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(read(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secrets.scanned(documents, secrets.dictionary_of(documents))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base, spans = secrets.joined(F.col("base")), secrets.joined(F.concat("base", "novel"))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alignment.aligned(read(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")), TOKENIZER, PIECES)
-    sha = F.when(F.size("groups") > 0, F.sha2(alignment.digest(F.col("groups")), 256)).otherwise("")
-    out = alignment.counted(rows.withColumn("groups_sha256", sha))
-    return out.select("own.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    documents = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sha = lambda texts: F.when(F.size(texts) > 0, F.sha2(F.array_join(texts, ";"), 256)).otherwise("")
+    out = alignment.counted(alignment.tokenised(documents, TOKENIZER, PIECES), sha)
+    return out.select("own.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("summary").alias("groups_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_outliers, op2_toxicity, op3_quality, op4_warc, op5_url_bloom, op6_sanitise, op7_contamination, op8_packing, op9_language, op10_near, op13_alignment)
+    f.__name__: f for f in (op1_outliers, op2_toxicity, op3_quality, op4_warc, op5_url_bloom, op6_sanitise, op7_contamination, op8_packing, op9_language, op10_near, op11_variants, op12_secrets, op13_alignment)
 }
