@@ -191,11 +191,8 @@ def test_alignment_against_brute_force(spark, monkeypatch, frequent, wide):
     monkeypatch.setattr(alignment, "FREQUENT", frequent)
     monkeypatch.setattr(alignment, "WIDE", wide)
     df = rows(spark, TEXTS)
-    batches = alignment.tokenised(df, A, B, ("doc_id", "own", "a b"))
-    rows_ = alignment.counted(batches, lambda texts: F.array_join(texts, ";")).collect()
-    got = {r["own"]["doc_id"]: tuple(r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "summary")) for r in rows_}
-    groups = {r["own"]["doc_id"]: (r["n_a"], r["n_b"], r["text"]) for r in alignment.aligned(batches).withColumn("text", alignment.digest(F.col("groups"))).collect()}
-    assert groups == {i: (g[0], g[1], g[-1]) for i, g in got.items()}
+    held = alignment.aligned(df, A, B, ("doc_id", "own", "a b")).withColumn("text", alignment.digest(F.col("groups")))
+    got = {r["own"]["doc_id"]: tuple(r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "text")) for r in alignment.counted(held).collect()}
     assert [got[i] for i in range(len(TEXTS))] == list(slow_alignment(TEXTS))
     assert got[0][0] == 0 and got[4][0] > 0 and sum(g[3] > g[0] for g in got.values()) > 2
 
@@ -210,6 +207,6 @@ def test_alignment_query(spark, sf):
 
 def test_repeated_rows_and_no_rows(spark):
     df = rows(spark, ["some words", "some words"]).withColumn("doc_id", F.lit(7))
-    got = alignment.counted(alignment.tokenised(df, A, B)).collect()
+    got = alignment.counted(alignment.aligned(df, A, B)).collect()
     assert len(got) == 2 and all(r["count_sum"] == 2 * r["n_links"] for r in got)
-    assert alignment.counted(alignment.tokenised(rows(spark, []), A, B)).collect() == []
+    assert alignment.counted(alignment.aligned(rows(spark, []), A, B)).collect() == []

@@ -1,18 +1,12 @@
 """Alignment of two tokenizers' tokens, with higher-order functions after tokenising.
 
-Tasks tokenise texts by both tokenizers and give the ids and the byte offsets at which
-tokens end. Texts are tokenised in units, which end before a single space between two
-other characters, where neither tokenizer joins what stands on both sides: a batch of
-documents gives each distinct unit's tokens once, and each document as the sequence of
-its units, so that common words aren't aligned over and over. A tokenizer for which
-this isn't known takes whole texts as units.
-
-From there on all is DataFrame functions: `array_intersect` of a unit's end arrays gives
-the places where both end; one sort merges both sides' tokens with marks at these
-places; the marks' positions cut the merged array into groups by `slice`. The links of a
-group are its pairs of tokens; a group of many tokens gives each pair of ids once, with
-how often it occurs, so that runs of one token don't square. `transform` over a
-document's units puts its groups and links together.
+Tasks tokenise each text by both tokenizers and give the ids and the byte offsets at
+which tokens end. From there on all is DataFrame functions: `array_intersect` of the
+end arrays gives the places where both end; one sort merges both sides' tokens with
+marks at these places; the marks' positions cut the merged array into groups by
+`slice`, so that a text takes time in proportion to its tokens (and their sort).
+The links of a group are its pairs of tokens; a group of many tokens gives each
+pair of ids once, with how often it occurs, so that runs of one token don't square.
 
 How many documents hold a pair of ids linked is one aggregation over each document's
 distinct pairs. These counts come back to the links in two ways, neither of which has
@@ -28,8 +22,6 @@ clash with those made here don't matter, as a row's own columns travel in a stru
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -47,18 +39,18 @@ BITS = 16
 ID, SIDE, MARK = (1 << BITS) - 1, 1 << BITS, 1 << (BITS + 1)
 #: Pairs that are broadcast, at most; groups of more links than WIDE give counts.
 FREQUENT, WIDE = 400_000, 64
-#: Where units part, characters of a batch, and units that a worker remembers.
-GAP, BATCH, HELD = re.compile(r"(?<=\S) (?=\S)"), 1_500_000, 150_000
-TOKENS = ("a", "a_ends", "b", "b_ends")
+#: A side's tokens are packed as (end, side, id), for one sort of plain numbers.
+PACKED, ENDS = T.ArrayType(T.LongType(), False), T.ArrayType(T.IntegerType(), False)
+TOKENS = {"a": PACKED, "a_ends": ENDS, "b": PACKED, "b_ends": ENDS}
 
 
 class _Side:
     """A tokenizer's ids of a text and the bytes of each id."""
 
-    def __init__(self, ids: Callable[[str], list[int]], spelled: list[bytes], parts: bool) -> None:
+    def __init__(self, ids: Callable[[str], list[int]], spelled: list[bytes]) -> None:
         if len(spelled) > ID + 1:
             raise ValueError(f"vocabularies of more than {ID + 1} tokens aren't supported")
-        self.ids, self.spelled, self.parts = ids, spelled, parts
+        self.ids, self.spelled = ids, spelled
         self.lengths = np.array([len(b) for b in spelled], dtype=np.int32)
 
     def ends(self, ids: list[int], text: bytes) -> np.ndarray | None:
@@ -80,7 +72,7 @@ def byte_side(path: str) -> _Side:
     spelled = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         spelled[i] = bytes(map(to_byte.__getitem__, token)) if all(c in to_byte for c in token) else token.encode()
-    return _Side(encoder.ids, spelled, encoder.full is not None)
+    return _Side(encoder.ids, spelled)
 
 
 @lru_cache(maxsize=4)
@@ -90,74 +82,37 @@ def piece_side(path: str) -> _Side:
 
     model = SentencePieceProcessor(model_file=path)
     spell = lambda i: bytes([int(model.id_to_piece(i)[3:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
-    crosses = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
-    return _Side(lambda t: model.encode(t, num_threads=1), [spell(i) for i in range(model.get_piece_size())], not crosses)
+    return _Side(lambda t: model.encode(t, num_threads=1), [spell(i) for i in range(model.get_piece_size())])
 
 
-class _Units(dict):
-    """Each unit's tokens (None if they don't spell it), computed once."""
-
-    def __init__(self, left: _Side, right: _Side) -> None:
-        self.left, self.right = left, right
-
-    def __missing__(self, unit: str) -> tuple | None:
-        if len(self) > HELD:
-            self.clear()
-        spaced = f" {unit}"
-        text, a, b = spaced.encode(), self.left.ids(spaced), self.right.ids(unit)
-        a_ends, b_ends = self.left.ends(a, text), self.right.ends(b, text)
-        found = None if a_ends is None or b_ends is None else tuple(np.array(x, np.int32) for x in (a, a_ends, b, b_ends))
-        if len(unit) < 100:
-            self[unit] = found
-        return found
-
-
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat, pa.int32()))
-
-
-def _whole(values: pa.Array) -> pa.ListArray:
-    """One row that holds all values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _packed(ids: list[int], ends: np.ndarray, side: int) -> np.ndarray:
+    return (ends.astype(np.int64) << BITS + 2) + (np.array(ids, np.int64) + side)
 
 
 def tokenised(documents: DataFrame, a_path: str, b_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of batches. docs: own (the columns to keep), n_a, n_b and units (places in
-    the batch's units) of each document; groups: those of each unit."""
+    """own (the columns to keep), and both sides' packed tokens and ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = byte_side(a_path), piece_side(b_path)
-        known = _Units(left, right)
+        none = {k: np.zeros(0, np.int64 if t is PACKED else np.int32) for k, t in TOKENS.items()}
         for whole in batches:
-            for batch in chunks(whole, BATCH):
-                place: dict[str, int] = {}
-                units: list[tuple] = []
-                docs = []
+            for batch in chunks(whole, 1_000_000):
+                parts: list[list] = [[] for _ in TOKENS]
                 for t in batch.column("text").to_pylist():
-                    parts = GAP.split(t) if t and left.parts and right.parts else [t] if t else []
-                    if any(unicodedata.combining(p[0]) for p in parts):
-                        parts = [t]
-                    own: list[int] | None = []
-                    for p in parts:
-                        if (at := place.get(p)) is None:
-                            if (found := known[p]) is None:
-                                own = None
-                                break
-                            at = place[p] = len(units)
-                            units.append(found)
-                        own.append(at)
-                    docs.append(np.array(own or [], np.int32))
-                n = [np.array([len(u[i]) for u in units], np.int64) for i in (0, 2)]
-                counts = [pa.array([int(k[d].sum()) for d in docs], pa.int64()) for k in n]
-                own = pa.StructArray.from_arrays([batch.column("own"), *counts, _lists(docs)], names=["own", "n_a", "n_b", "units"])
-                sides = pa.StructArray.from_arrays([_lists([u[i] for u in units]) for i in range(4)], names=list(TOKENS))
-                yield pa.RecordBatch.from_arrays([_whole(own), _whole(sides)], names=["docs", "units"])
+                    found = [none[k] for k in TOKENS]
+                    if t:
+                        spaced = f" {t}"
+                        text, a, b = spaced.encode(), left.ids(spaced), right.ids(t)
+                        a_ends, b_ends = left.ends(a, text), right.ends(b, text)
+                        if a_ends is not None and b_ends is not None:
+                            found = [_packed(a, a_ends, 0), a_ends, _packed(b, b_ends, SIDE), b_ends]
+                    for p, x in zip(parts, found, strict=True):
+                        p.append(x)
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]), pa.int32()), pa.array(np.concatenate(p))) for p in parts]
+                yield pa.RecordBatch.from_arrays([batch.column("own"), *lists], names=["own", *TOKENS])
 
     docs = documents.select(F.struct(*keep).alias("own"), "text")
-    own = T.StructType([docs.schema["own"], *T.StructType.fromDDL("n_a long, n_b long, units array<int>").fields])
-    schema = T.StructType([T.StructField("docs", T.ArrayType(own)), *T.StructType.fromDDL(f"units array<struct<{','.join(f'{t}:array<int>' for t in TOKENS)}>>").fields])
-    return docs.mapInArrow(run, schema).select("docs", F.transform("units", _groups).alias("groups"))
+    return docs.mapInArrow(run, T.StructType([docs.schema["own"], *(T.StructField(k, t, False) for k, t in TOKENS.items())]))
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -165,35 +120,33 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _groups(u: Column) -> Column:
-    """The groups of a unit's tokens: between places where both sides end."""
-    packed = lambda ends, ids, side: F.zip_with(ends, ids, lambda e, i: F.shiftleft(e.cast("long"), BITS + 2) + i + side)
-    marks = F.transform(F.array_intersect(u["a_ends"], u["b_ends"]), lambda e: F.shiftleft(e.cast("long"), BITS + 2) + MARK)
-    merged = F.sort_array(F.concat(packed(u["a_ends"], u["a"], 0), packed(u["b_ends"], u["b"], SIDE), marks))
-    ids = lambda g, side: F.transform(F.filter(g, lambda x: x.bitwiseAND(SIDE) == side), lambda x: x.bitwiseAND(ID).cast("int"))
-    one = lambda x: F.array(x.bitwiseAND(ID).cast("int"))
-
-    def group(g: Column) -> Column:
-        # most groups are one token of each side
-        pair = F.struct(one(F.get(g, F.lit(0))).alias("a"), one(F.get(g, F.lit(1))).alias("b"))
-        return F.when(F.size(g) == 2, pair).otherwise(F.struct(ids(g, 0).alias("a"), ids(g, SIDE).alias("b")))
+def _merged() -> Column:
+    """Both sides' tokens, and marks where both end, in their order."""
+    marks = F.transform(F.array_intersect("a_ends", "b_ends"), lambda e: F.shiftleft(e.cast("long"), BITS + 2) + MARK)
+    return F.sort_array(F.concat("a", "b", marks))
 
-    def cut(m: Column) -> Column:
-        at = F.filter(F.transform(m, lambda x, i: F.when(x.bitwiseAND(MARK) != 0, i)), lambda i: i.isNotNull())
-        return _let(at, lambda at: F.transform(at, lambda p, k: _let(F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0)), lambda s: _let(F.slice(m, s + 1, p - s), group))))
 
-    return _let(merged, cut)
+def _groups(merged: Column) -> Column:
+    """The merged tokens cut at their marks."""
+    id_of = lambda x: x.bitwiseAND(ID).cast("int")
+    ids = lambda g, side: F.transform(F.filter(g, lambda x: x.bitwiseAND(SIDE) == side), id_of)
 
+    def group(start: Column, end: Column) -> Column:
+        # most groups are one token of each side
+        pair = F.struct(F.array(id_of(F.get(merged, start))).alias("a"), F.array(id_of(F.get(merged, start + 1))).alias("b"))
+        wide = _let(F.slice(merged, start + 1, end - start), lambda g: F.struct(ids(g, 0).alias("a"), ids(g, SIDE).alias("b")))
+        return F.when(end - start == 2, pair).otherwise(wide)
 
-def aligned(batches: DataFrame) -> DataFrame:
-    """own, n_a, n_b, and groups: for each the ids of both sides."""
-    rows = F.transform("docs", lambda d: F.struct(d["own"].alias("own"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), _of_units(d["units"], F.col("groups")).alias("groups")))
-    return batches.select(F.explode(rows).alias("d")).select("d.*")
+    at = F.filter(F.transform(merged, lambda x, i: F.when(x.bitwiseAND(MARK) != 0, i)), lambda i: i.isNotNull())
+    return _let(at, lambda at: F.transform(at, lambda p, k: _let(F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0)), lambda s: group(s, p))))
 
 
-def _of_units(units: Column, values: Column) -> Column:
-    """A document's values, in order, from those of the batch's units."""
-    return F.flatten(F.transform(units, lambda i: F.get(values, i)))
+def aligned(documents: DataFrame, a_path: str, b_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """own, n_a, n_b, and groups: for each the ids of both sides."""
+    rows = tokenised(documents, a_path, b_path, keep)
+    counts = F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")
+    # `merged` is read more than once below, so the optimiser leaves it a column of its own
+    return rows.select("own", *counts, _merged().alias("merged")).select("own", "n_a", "n_b", _groups(F.col("merged")).alias("groups"))
 
 
 def links(groups: Column) -> Column:
@@ -205,30 +158,19 @@ def links(groups: Column) -> Column:
         every = F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: pack(F.lit(1), a, b))))
         counted = lambda ids: F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("id"), times(ids, x).cast("long").alias("n")))
         wide = _let(counted(g["b"]), lambda bs: F.flatten(F.transform(counted(g["a"]), lambda a: F.transform(bs, lambda b: pack(a["n"] * b["n"], a["id"], b["id"])))))
-        return F.when(F.size(g["a"]) * F.size(g["b"]) <= WIDE, every).otherwise(wide)
+        one = F.array(pack(F.lit(1), F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0))))
+        n = F.size(g["a"]) * F.size(g["b"])
+        return F.when(n == 1, one).when(n <= WIDE, every).otherwise(wide)
 
     return F.flatten(F.transform(groups, of))
 
 
-def counted(batches: DataFrame, summary: Callable[[Column], Column] | None = None) -> DataFrame:
-    """own, n_a, n_b, n_groups, n_links, n_best and count_sum of each document; and
-    summary, made of its groups as text, `a1,a2|b1`, one item for each unit, in order."""
+def counted(rows: DataFrame) -> DataFrame:
+    """rows of `aligned` (and any more columns) with n_groups, n_links, n_best and
+    count_sum in place of the groups."""
     pair, often = (1 << 2 * BITS) - 1, F.shiftright("link", 2 * BITS)
-
-    def of(values: Column) -> Column:
-        def document(d: Column) -> Column:
-            n = F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, i: n + F.size(F.get(F.col("groups"), i)))
-            found = [d["own"].alias("own"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n.alias("n_groups"), _of_units(d["units"], values["links"]).alias("links")]
-            if summary:
-                found.append(summary(F.transform(d["units"], lambda i: F.get(values["texts"], i))).alias("summary"))
-            return F.struct(*found)
-
-        return F.transform("docs", document)
-
-    texts = F.transform("groups", digest) if summary else F.lit(None)
-    rows = _let(F.struct(F.transform("groups", links).alias("links"), texts.alias("texts")), of)
-    held = batches.select(F.explode(rows).alias("d")).select("d.*").withColumn("row", F.monotonically_increasing_id())
-    held = stored(held, "linked", compression="zstd")
+    held = rows.withColumn("n_groups", F.size("groups").cast("long")).withColumn("links", links(F.col("groups"))).drop("groups")
+    held = stored(held.withColumn("row", F.monotonically_increasing_id()), "linked", compression="zstd")
     held = held.withColumn("n_links", F.aggregate("links", F.lit(0).cast("long"), lambda n, x: n + F.shiftright(x, 2 * BITS)))
     each = held.select(F.explode(F.array_distinct(F.transform("links", lambda x: x.bitwiseAND(pair)))).alias("pair"))
     counts = stored(each.groupBy("pair").agg(F.count("*").alias("n")), "pairs")
@@ -243,10 +185,13 @@ def counted(batches: DataFrame, summary: Callable[[Column], Column] | None = Non
         others = sums(every.join(frequent.select("pair"), "pair", "left_anti").join(rare, "pair"))
         found = found.unionByName(others).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return held.drop("links").join(found, "row", "left").select("own", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), *["summary"] * bool(summary))
+    kept = [c for c in rows.columns if c != "groups"]
+    return held.drop("links").join(found, "row", "left").select(*kept, "n_groups", "n_links", zero("n_best"), zero("count_sum"))
 
 
 def digest(groups: Column) -> Column:
     """The groups as text, `a1,a2|b1;a3|b2,b3`; empty where there are none."""
-    joined = lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(joined(g["a"]), F.lit("|"), joined(g["b"]))), ";")
+    text = F.to_json(groups)
+    for old, new in (("]},{\"a\":[", ";"), ("],\"b\":[", "|"), ("[{\"a\":[", ""), ("]}]", ""), ("[]", "")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text

@@ -103,9 +103,10 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sha = lambda texts: F.when(F.size(texts) > 0, F.sha2(F.array_join(texts, ";"), 256)).otherwise("")
-    out = alignment.counted(alignment.tokenised(documents, TOKENIZER, PIECES), sha)
-    return out.select("own.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("summary").alias("groups_sha256"))
+    rows = alignment.aligned(documents, TOKENIZER, PIECES)
+    sha = F.when(F.size("groups") > 0, F.sha2(alignment.digest(F.col("groups")), 256)).otherwise("")
+    out = alignment.counted(rows.withColumn("groups_sha256", sha))
+    return out.select("own.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
