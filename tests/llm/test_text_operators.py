@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, language, near, outliers, packing, privacy, quality, toxicity, urls
+from tidemark.llm import contamination, families, language, near, outliers, packing, privacy, quality, toxicity, urls
 from tidemark.llm import oracle, queries
 from tidemark.llm._common import read
 
@@ -522,7 +522,7 @@ def hot_sets(spark, texts):
 
 
 @pytest.mark.parametrize("dense, levels", [(64, 6), (3, 6), (3, 1), (4, 2)])
-def test_centred_links_join_a_hot_family(spark, dense, levels):
+def test_family_links_join_a_hot_family(spark, dense, levels):
     texts = list(dict.fromkeys(family(random.Random(3), 90) + family(random.Random(4), 20)))
     found = hot_sets(spark, texts)
     ids = {near.fingerprint(near.shingles(t, 4)): i for i, t in enumerate(texts)}
@@ -533,7 +533,7 @@ def test_centred_links_join_a_hot_family(spark, dense, levels):
             x = up[x]
         return x
 
-    for r in near.centred_links(found.drop("hashes"), lambda wanted: found.join(wanted, "fp", "left_semi").select("fp", "hashes"), 85, 100, dense, levels).collect():
+    for r in families.linked_families(found.drop("hashes"), lambda wanted: found.join(wanted, "fp", "left_semi").select("fp", "hashes"), 85, 100, dense, levels).collect():
         x, y = ids[r["a"]], ids[r["b"]]
         assert near.linked(near.shingles(texts[x], 4), near.shingles(texts[y], 4), 85, 100)
         up[max(root(x), root(y))] = min(root(x), root(y))
@@ -541,13 +541,59 @@ def test_centred_links_join_a_hot_family(spark, dense, levels):
     assert [root(i) for i in range(len(texts))] == want and 10 < len(set(want)) < 100
 
 
-def test_rows_of_a_hot_family_grow_with_its_size(spark):
-    def rows(n):
-        found = hot_sets(spark, family(random.Random(5), n)).cache()
-        groups = found.select(F.lit(0).cast("long").alias("family"), F.explode("sigs").alias("key"), "fp", "root")
-        return near._prefixes(near._families(groups), found.select("fp", "size", "root"), found.select("fp", "hashes"), 85, 100)[1].count()
+def template_copies(n, rng, words=200):
+    """One template with 0 to 11 random word edits each."""
+    base = [f"t{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 11)):
+            w[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
 
-    assert rows(240) < 3 * rows(120)
+def form_letters(n, rng, words=200, slots=12):
+    """A form with 12 slots of 5 values."""
+    base = [f"f{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for j in range(slots):
+            w[8 + j * 15] = f"v{j}_{rng.randrange(5)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("make", [template_copies, form_letters])
+def test_no_table_of_a_hot_family_grows_with_its_pairs(spark, monkeypatch, make):
+    """All stored tables of near duplicates, joined pairs included, grow with the family."""
+    sizes = {}
+
+    def counting(df, name, **options):
+        out = real(df, name, **options)
+        sizes[now][name] = sizes[now].get(name, 0) + out.count()
+        return out
+
+    real = near.stored
+    monkeypatch.setattr(near, "stored", counting)
+    monkeypatch.setattr(families, "stored", counting)
+    for now in (300, 600):
+        sizes[now] = {}
+        texts = make(now, random.Random(7))
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.classes(docs_of(spark, texts), 4, 85, 100).collect()}
+        if now == 300:
+            assert [got[i] for i in range(now)] == brute_components(texts, 4, 85, 100)
+    grown = {k: (sizes[300].get(k, 0), n) for k, n in sizes[600].items() if n > 2.3 * sizes[300].get(k, 0) + 300}
+    assert not grown and sizes[600].get("close", 0) < 20 * 600 and len(set(c for _, c in got.values())) > 100
+
+
+def test_schemes_agree_in_all_but_q_parts():
+    for floors, same, sets, most in [([8] * 12, [0.2] * 12, 4000, 31), ([1, 2, 3], [0.5] * 3, 10, 3), ([5] * 3, [0.9] * 3, 100, 100), ([4] * 8, [0.1] * 8, 100, -1)]:
+        q, part = families.scheme(floors, same, sets, most)
+        if q >= 0:
+            assert sum(sorted(floors)[: q + 1]) > most and max(part) + 1 > q and len(part) == len(floors)
+    assert families.scheme([8] * 12, [0.2] * 12, 4000, 31)[0] == 3 and families.scheme([5] * 3, [0.9] * 3, 100, 100)[0] == -1
 
 
 def test_combined_signatures_keep_each_group_connected():

@@ -19,16 +19,9 @@ and only the hub goes on, so that no block grows with a hot group. A group of up
 the texts' whole sets, best pairs first: each set with the partner it shares most
 signatures with, then those whose ends aren't connected yet.
 
-What a large group's star leaves apart is settled exactly by differences to a centre
-(`centred_links`). The sets that share a signature form a family around the one that
-is in most such groups; d is a set's difference to that centre, so that sets x, y
-differ in |d(x) xor d(y)| hashes. With e = |d| - size * (1-t)/(1+t), e(x) + e(y) <= 0
-makes a link sure, and one star around the least e holds all of those. Any other link
-needs (e(x) + e(y)) / 2 common elements of d and fewer than H + 1 different ones, so
-the first elements of d, rare ones first, must meet (prefix filter). Prefix groups of
-up to `DENSE` sets are joined; denser ones are centred anew, one level down, where
-their common differences vanish. So work is in proportion to a family's rows and not
-to its pairs, and each pair of linked sets ends in one component.
+What a large group's star leaves apart is settled exactly, without the group's pairs, by
+differences to one of its sets (see `families`): stars of sure links, sets that can have
+no other link, and signatures of segments of the differences.
 
 Defined cases: null or wordless texts have an empty set and are linked with
 nothing. A text with fewer words than n has one shingle, its whole sequence.
@@ -38,7 +31,7 @@ taken whole; other columns are ignored, whatever their names. Null ids take part
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from math import exp, sqrt
 
 import numpy as np
@@ -48,13 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LOWER, chunks, stored
+from .families import linked_families
 
 WORDS, NUM, DEN = 5, 80, 100
 SMALL = 6
 BLOCK_BYTES = 24 << 20
-#: Sets of a prefix group that are joined directly, levels of centres above that, and
-#: sets of a family that order its elements by frequency. None changes the result.
-DENSE, LEVELS, ORDERING = 64, 6, 24
+#: Pairs of one set that a task verifies together, about.
+PARTNERS = 256
 #: Links that one task contracts at once.
 BLOCK_LINKS = 200_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -77,8 +70,8 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
+def _shingled(text: str | None, n: int) -> np.ndarray:
+    """The hashes of a text's shingles, one after the other."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -88,7 +81,19 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     h += np.uint64(k)
     for i in range(k):
         h = _mixed(h * _A + ids[i : i + len(h)])
-    return np.unique(h)
+    return h
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(_shingled(text, n))
+
+
+def in_order(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingles sorted, and in the order in which they first occur."""
+    h = _shingled(text, n)
+    s, first = np.unique(h, return_index=True)
+    return s, h[np.sort(first)]
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -343,29 +348,28 @@ def verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, n: int, nu
     needed = known.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
     texts = documents.select(row_key().alias("row"), "text").filter("text IS NOT NULL").join(needed.hint("shuffle_hash"), "row", "left_semi")
     texts = stored(texts.dropDuplicates(["row"]), "texts")
-    text = lambda s: texts.select(F.col("row").alias(f"row_{s}"), F.col("text").alias(f"text_{s}"))
-    both = known.join(text("a").hint("shuffle_hash"), "row_a").join(text("b").hint("shuffle_hash"), "row_b")
+    # a set with many partners goes to several tasks, once each; its partners follow it
+    many = known.groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") > PARTNERS)
+    block = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("k", F.lit(1)) / PARTNERS)).alias("block")
+    known = stored(known.join(many, "a", "left").select("a", "b", "row_a", "row_b", block), "blocks")
+    heads = known.select("a", "block", F.lit(None).cast("long").alias("b"), F.col("row_a").alias("row")).distinct()
+    sent = heads.unionByName(known.select("a", "block", "b", F.col("row_b").alias("row")))
+    both = sent.join(texts.hint("shuffle_hash"), "row").select("a", "block", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[str, tuple[np.ndarray, int]] = {}
-
-        def of(text: str) -> tuple[np.ndarray, int]:
-            if text not in recent:
-                if len(recent) > 200:
-                    recent.clear()
-                s = shingles(text, n)
-                recent[text] = (s, fingerprint(s))
-            return recent[text]
-
+        head, s, fs = None, np.zeros(0, np.uint64), 0
         for batch in batches:
             out = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                (s, fs), (t, ft) = of(x), of(y)
-                if fs == a and ft == b and linked(s, t, num, den):
+            for a, block, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "b", "text")), strict=True):
+                t = shingles(text, n)
+                if b is None:
+                    head, s, fs = (a, block), t, fingerprint(t)
+                elif head == (a, block) and fs == a and fingerprint(t) == b and linked(s, t, num, den):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    both = both.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _contracted(links: DataFrame, blocks: int) -> DataFrame:
@@ -426,8 +430,9 @@ def _rooted(rows: DataFrame, roots: DataFrame, column: str, to: str) -> DataFram
     return rows.join(r, F.col(column) == F.col("_node"), "left").withColumn(to, F.coalesce("_root", column)).drop("_node", "_root")
 
 
-def _of_texts(documents: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, columns: dict[str, Callable[[np.ndarray], object]], types: dict[str, str]) -> DataFrame:
-    """fp and columns computed from the sets `wanted` (fp), stored."""
+def _of_texts(documents: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, columns: dict[str, Callable[[np.ndarray, np.ndarray], object]], types: dict[str, str]) -> DataFrame:
+    """fp and columns computed from the sets `wanted` (fp), sorted and in their texts'
+    order; stored."""
     chosen = wanted.join(sets.select("fp", "row"), "fp").select("row").distinct()
     docs = documents.select(row_key().alias("row"), "text").join(chosen.hint("shuffle_hash"), "row", "left_semi")
     kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
@@ -435,11 +440,12 @@ def _of_texts(documents: DataFrame, wanted: DataFrame, sets: DataFrame, n: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole):
-                found: dict[int, np.ndarray] = {}
+                found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
                 for t in batch.column("text").to_pylist():
-                    if len(s := shingles(t, n)):
-                        found[fingerprint(s)] = s
-                out = [pa.array([f(s) for s in found.values()], kinds[types[c]]) for c, f in columns.items()]
+                    s, ordered = in_order(t, n)
+                    if len(s):
+                        found[fingerprint(s)] = (s, ordered)
+                out = [pa.array([f(*s) for s in found.values()], kinds[types[c]]) for c, f in columns.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *out], names=["fp", *columns])
 
     schema = ", ".join(["fp long", *(f"{c} {types[c]}" for c in columns)])
@@ -448,82 +454,12 @@ def _of_texts(documents: DataFrame, wanted: DataFrame, sets: DataFrame, n: int,
 
 def members_of(documents: DataFrame, members: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """fp, size, sigs of the sets `members` (fp)."""
-    return _of_texts(documents, members, sets, n, {"size": len, "sigs": lambda s: signatures(s, num, den).view(np.int64)}, {"size": "long", "sigs": "array<long>"})
+    return _of_texts(documents, members, sets, n, {"size": lambda s, _: len(s), "sigs": lambda s, _: signatures(s, num, den).view(np.int64)}, {"size": "long", "sigs": "array<long>"})
 
 
 def hashes_of(documents: DataFrame, members: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """fp, hashes of the sets `members` (fp)."""
-    return _of_texts(documents, members, sets, n, {"hashes": lambda s: s.view(np.int64)}, {"hashes": "array<long>"})
-
-
-def _families(groups: DataFrame) -> DataFrame:
-    """family, hub, fp: the sets of each group (family, key) of two roots or more
-    around its hub, the set that is in most groups of the family."""
-    mixed = groups.groupBy("family", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("family", "key")
-    rows = stored(groups.join(mixed, ["family", "key"]).select("family", "key", "fp"), "mixed")
-    weight = rows.groupBy("family", "fp").agg(F.count("*").alias("w"))
-    hubs = rows.join(weight, ["family", "fp"]).groupBy("family", "key").agg(F.max_by("fp", F.struct("w", -F.col("fp"))).alias("hub"))
-    return rows.join(hubs, ["family", "key"]).select(F.xxhash64("family", "hub").alias("family"), "hub", "fp").distinct()
-
-
-def _prefixes(kin: DataFrame, info: DataFrame, hashes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The sure links (a, b) of families, and a row for each element of each set's
-    prefix: family, key, fp, root, size, n (of its difference), outer, rank."""
-    heads = hashes.join(kin.select(F.col("hub").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("hub"), F.col("hashes").alias("head"))
-    d = F.concat(F.array_except("hashes", "head"), F.array_except("head", "hashes"))
-    rest = kin.join(info, "fp").join(hashes, "fp").join(heads, "hub").select("family", "fp", "size", "root", d.alias("rest"))
-    rest = stored(rest.withColumn("n", F.size("rest").cast("long")).withColumn("e", F.col("n") * (den + num) - F.col("size") * (den - num)), "rest")
-    centre = rest.groupBy("family").agg(F.min(F.struct("e", "fp", "root")).alias("centre"), F.count("*").alias("many"))
-    rows = rest.join(centre, "family").withColumn("sure", F.col("e") + F.col("centre.e") <= 0)
-    links = rows.filter(F.col("sure") & (F.col("root") != F.col("centre.root"))).select(F.col("centre.fp").alias("a"), F.col("fp").alias("b"))
-    rows = rows.withColumn("outer", ~F.col("sure") & (F.col("root") != F.col("centre.root")))
-    least = rows.filter("outer").groupBy("family").agg(F.min("e").alias("least"))
-    # an order of the family's elements: those not met twice in a sample of it, then by frequency
-    chosen = rows.filter(F.pmod(F.xxhash64("fp"), F.col("many")) < ORDERING).select("family", F.explode("rest").alias("key"))
-    often = chosen.groupBy("family", "key").agg(F.count("*").alias("k")).filter("k > 1")
-    often = often.groupBy("family").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "key"))), lambda s: s["key"]).alias("often"))
-    rows = rows.join(least, "family").join(often, "family", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
-    ordered = F.concat(F.array_sort(F.array_except("rest", "often")), F.array_intersect("often", "rest"))
-    common = F.greatest(F.lit(1), F.ceil((F.col("e") + F.when(F.col("outer"), F.col("centre.e")).otherwise(F.col("least"))) / (2 * (den + num))))
-    most = F.floor(F.col("size") * (den - num) / num) + 1
-    take = F.greatest(F.lit(0), F.least(F.col("n") - common + 1, most)).cast("int")
-    keys = rows.select("family", "fp", "root", "size", "n", "outer", F.posexplode(F.slice(ordered, F.lit(1), take)).alias("rank", "key"))
-    return links, stored(keys, "prefixes")
-
-
-def centred_links(found: DataFrame, hashes_for: Callable[[DataFrame], DataFrame], num: int, den: int, dense: int = DENSE, levels: int = LEVELS) -> DataFrame:
-    """Links (a, b) that join all linked sets of different roots which share a
-    signature. found: fp, size, root, sigs; hashes_for gives fp and hashes of the sets
-    (fp) that are in a family at all."""
-    info, hashes = found.select("fp", "size", "root"), None
-    groups = found.select(F.lit(0).cast("long").alias("family"), F.explode("sigs").alias("key"), "fp", "root")
-    sure, pairs = [], []
-    for level in range(levels):
-        kin = stored(_families(groups), "kin")
-        if hashes is None:  # deeper families are parts of the first ones
-            hashes = hashes_for(kin.select("fp").distinct())
-        links, keys = _prefixes(kin, info, hashes, num, den)
-        sure.append(links)
-        by = keys.groupBy("family", "key").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outer").alias("any"))
-        by = stored(by.filter("k > 1 AND lo <> hi AND any").select("family", "key", "k"), "groups")
-        shared = stored(keys.join(by, ["family", "key"]), "shared")
-        last = level == levels - 1
-        joined = shared if last else shared.filter(F.col("k") <= dense)
-        side = lambda rows, s: rows.select("family", "key", *(F.col(c).alias(f"{c}{s}") for c in ("fp", "root", "size", "n", "outer", "rank")))
-        both = side(joined.filter("outer"), "_x").join(side(joined, "_y"), ["family", "key"])
-        within = lambda c: c * (den + num) <= (F.col("size_x") + F.col("size_y")) * (den - num)
-        once = ~F.col("outer_y") | (F.col("fp_x") < F.col("fp_y"))
-        both = both.filter((F.col("root_x") != F.col("root_y")) & once & within(F.abs(F.col("n_x") - F.col("n_y"))) & within(F.col("rank_x") + F.col("rank_y")))
-        pairs.append(both.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b")).distinct())
-        groups = shared.filter(F.col("k") > dense).select("family", "key", "fp", "root")
-        if last or groups.isEmpty():
-            break
-    sets = hashes.join(info, "fp")
-    of = lambda s: sets.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("hashes").alias(f"hashes_{s}"))
-    every = stored(reduce(DataFrame.unionByName, pairs).distinct(), "close")
-    both = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
-    exact = every.join(of("a"), "a").join(of("b"), "b").filter((both > 0) & (both * den >= (F.col("size_a") + F.col("size_b") - both) * num))
-    return reduce(DataFrame.unionByName, [*sure, exact.select("a", "b")])
+    """fp, hashes (in their text's order) of the sets `members` (fp)."""
+    return _of_texts(documents, members, sets, n, {"hashes": lambda _, o: o.view(np.int64)}, {"hashes": "array<long>"})
 
 
 def classes(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN, small: int = SMALL) -> DataFrame:
@@ -552,7 +488,7 @@ def rooted_rows(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int =
     if not big.isEmpty():
         members = big.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         found_sets = stored(_rooted(members_of(documents, members, sets, n, num, den), roots, "fp", "root"), "rooted")
-        roots = _joined(roots, centred_links(found_sets, lambda wanted: hashes_of(documents, wanted, sets, n), num, den))
+        roots = _joined(roots, linked_families(found_sets, lambda wanted: hashes_of(documents, wanted, sets, n), num, den))
     held = _rooted(sets, roots, "fp", "root")
     smallest = held.groupBy("root").agg(F.min("rep").alias("component"))
     held = stored(held.join(smallest, "root").select(F.col("fp").alias("_fp"), F.col("size").alias("_size"), "root", "component"), "held")
