@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +30,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(READING_SCHEMA).parquet(path).withColumn("source", F.coalesce("source", F.lit(UNKNOWN_SOURCE)))
 
 
-def write_table(readings: DataFrame, path: str, mode: str = "append") -> None:
+def write_table(readings: DataFrame, path: str, mode: str = "append", observed: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """Partitioned by type and sorted by time, so that both prune a scan. Ranges of
-    type, time and entity are dealt out evenly, however many rows a type or day has."""
-    readings.repartitionByRange("data_type", "start_time", "entity_id").sortWithinPartitions("data_type", "start_time").write.mode(mode).partitionBy("data_type").parquet(path)
+    type, time and entity are dealt out evenly, however many rows a type or day has.
+    `observed` may count rows: after the ranges, which read theirs a first time."""
+    rows = observed(readings.repartitionByRange("data_type", "start_time", "entity_id")).sortWithinPartitions("data_type", "start_time")
+    rows.write.mode(mode).partitionBy("data_type").parquet(path)
 
 
 def replace_source(spark: SparkSession, path: str, source: str, rows: DataFrame, out: str) -> None:
@@ -115,11 +119,12 @@ def normalised(points: DataFrame, column: str = "point", data_type: str = "data_
     return rows.select(*kept, kind.alias("data_type"), "start_time", "end_time", F.when(typed, F.col("_value")).otherwise(F.col("_generic.v")).alias("value"), F.when(typed, F.col("_unit")).otherwise(F.col("_generic.u")).alias("unit"), source.alias("source"), p.alias("raw"))
 
 
-def page_points(pages: DataFrame, body: str = "body") -> DataFrame:
-    """A row for each point of JSON pages, with its place (seq)."""
+def page_points(pages: DataFrame, body: str = "body", outer: bool = False) -> DataFrame:
+    """A row for each point of JSON pages, with its place (seq); if outer, a row
+    without a point for a page that has none."""
     points = F.from_json(F.get_json_object(F.col(body), "$.dataPoints"), "array<string>")
     kept = [c for c in pages.columns if c != body]
-    return pages.select(*kept, F.posexplode(points).alias("seq", "point"))
+    return pages.select(*kept, (F.posexplode_outer if outer else F.posexplode)(points).alias("seq", "point"))
 
 
 def split_usable(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
