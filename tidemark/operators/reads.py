@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import PREFERRED_SOURCE, RAW_ALWAYS_TYPES, SUM_TYPES, SUMMARY, checked_type, int_param
@@ -48,12 +48,63 @@ def _points(readings: DataFrame, data_type: str, since: str | None, until: str |
     return deduped(rows, ["entity_id"]) if dedupe else rows
 
 
+
+def order() -> tuple[Column, ...]:
+    """The order of readings, newest first; the key makes it total but for repeated rows."""
+    return F.desc("start_time"), F.asc("entity_id"), F.asc("source"), F.desc_nulls_last("value")
+
+
+#: Ranges of time in which a deep page is looked for, one within the other, and how many
+#: rows more than a page needs no finer look.
+RANGES, SPARE = ("month", "day", "hour", "minute"), 50_000
+
+
+def _narrowed(rows: DataFrame, skip: int, limit: int) -> tuple[DataFrame, int]:
+    """The rows among which a page lies that begins after `skip` rows, and how many of
+    those come before it. Counts of ever finer ranges of time, each within the last,
+    lead there; only its own ranges are read for the page."""
+    within = rows
+    for unit in RANGES:
+        n = within.groupBy(F.date_trunc(unit, "start_time").cast("timestamp_ntz").alias("at")).agg(F.count("*").alias("n"))
+        # a row for each range that the last step left: months, then days of some, ...
+        n = n.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("at"))))
+        hit = n.filter((F.col("upto") > skip) & (F.col("upto") - F.col("n") < skip + limit))
+        low, high, before, held = hit.agg(F.min("at"), F.max("at"), F.min(F.col("upto") - F.col("n")), F.sum("n")).first()
+        if low is None:
+            return rows.filter("false"), 0
+        step = F.expr(f"INTERVAL '1' {unit}")
+        within = within.filter((F.col("start_time") >= F.lit(low)) & (F.col("start_time") < F.lit(high) + step))
+        skip -= before
+        if held <= limit + SPARE:
+            break
+    return within, skip
+
+
+def _columns(raw: bool) -> list[str]:
+    return ["entity_id", "data_type", "start_time", "end_time", "value", "unit", "source"] + ["raw"] * raw
+
+
 def points(readings: DataFrame, data_type: str, since: str | None = None, until: str | None = None, page: object = 0, limit: object = 100, raw: bool = False, dedupe: bool = False) -> DataFrame:
-    """One page of readings, the newest first; ties by entity and source."""
+    """One page of readings, the newest first; ties by entity and source. Pages but the
+    first are looked up by counts, so that no task sorts what comes before them."""
     limit, page = int_param(limit, 100, 1, MAX_ROWS), int_param(page, 0, 0, 10_000)
+    rows, skip = _points(readings, data_type, since, until, dedupe), page * limit
+    if skip:
+        rows, skip = _narrowed(rows, skip, limit)
+    rows = rows.select(*_columns(raw)).orderBy(*order())
+    return (rows.offset(skip) if skip else rows).limit(limit)
+
+
+def points_after(readings: DataFrame, data_type: str, cursor: tuple | None = None, since: str | None = None, until: str | None = None, limit: object = 100, raw: bool = False, dedupe: bool = False) -> DataFrame:
+    """The readings that follow a cursor, the (start_time, entity_id, source) of the last
+    one seen; the first ones without one. The cursor bounds the scan, so any page costs
+    as much as the first."""
     rows = _points(readings, data_type, since, until, dedupe)
-    columns = ["entity_id", "data_type", "start_time", "end_time", "value", "unit", "source"] + ["raw"] * raw
-    return rows.select(*columns).orderBy(F.desc("start_time"), "entity_id", "source", F.desc_nulls_last("value")).offset(page * limit).limit(limit)
+    if cursor:
+        at, entity, source = (F.lit(x) for x in cursor)
+        tie = (F.col("entity_id") > entity) | ((F.col("entity_id") == entity) & (F.col("source") > source))
+        rows = rows.filter((F.col("start_time") <= at) & ((F.col("start_time") < at) | tie))
+    return rows.select(*_columns(raw)).orderBy(*order()).limit(int_param(limit, 100, 1, MAX_ROWS))
 
 
 def points_total(readings: DataFrame, data_type: str, since: str | None = None, until: str | None = None, dedupe: bool = False) -> DataFrame:

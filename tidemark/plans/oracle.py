@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import permutations
 
 from ..registry import ANOMALY_METRICS, BASELINE_METRICS, FORECAST_METRICS, GP_METRICS, METRICS, SUMMARY, SYNCABLE_TYPES
 from ..sources.adapters import EVENT_TYPES, HISTORY_DAYS, HISTORY_UNTIL, PRIORITY_TYPES, SEVENTHS
-from .queries import DRIVERS
+from .queries import DRIVERS, POINTS
 
 TZ = "Europe/London"
 SINCE, UNTIL = "TIMESTAMP '2024-01-08 00:00:00'", "TIMESTAMP '2024-01-22 00:00:00'"
@@ -16,6 +17,10 @@ def _case(column: str, names: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
 
+def _kind(of: Callable[..., str]) -> str:
+    return f"CASE n % {len(POINTS)} " + " ".join(f"WHEN {i} THEN {of(*p)}" for i, p in enumerate(POINTS)) + " END"
+
+
 def _local(ts: str, tz: str = TZ) -> str:
     return f"CAST(({ts} AT TIME ZONE 'UTC') AT TIME ZONE '{tz}' AS DATE)"
 
@@ -218,10 +223,17 @@ SELECT entity_id, 'steps' driver, round(ba, 6) beta, round(abs(ba) / (abs(ba) +
     "anomalies_anti_join": f"{ANOMALY} SELECT entity_id, date, round(z, 4) z FROM a WHERE metric = 'steps' AND (entity_id, date) NOT IN (SELECT (entity_id, date) FROM a WHERE metric <> 'steps' AND concerning)",
     "history_union": f"{EVENT_FRAME} SELECT entity_id, date, round(steps, 4) history, NULL::DOUBLE projection FROM f WHERE idx < 23 UNION ALL SELECT entity_id, date, NULL, round(steps, 4) FROM f WHERE idx >= 22",
     "json_extract": f"WITH {events()}, j AS (SELECT data_type, TRY_CAST(json_extract_string(raw, '$.k') AS DOUBLE) n FROM r) SELECT data_type, count(n) parsed, round(sum(n), 4) total, count(DISTINCT n) kinds FROM j GROUP BY 1",
-    "json_readings": f"""SELECT {_case('event_type', {'view': 'steps', 'click': 'heart-rate', 'purchase': 'distance', 'signup': 'sleep', 'error': 'daily-resting-heart-rate'})} data_type,
-CASE event_type WHEN 'error' THEN date_trunc('day', ts)::TIMESTAMP ELSE date_trunc('second', ts) END start_time,
-CAST(CASE event_type WHEN 'view' THEN event_id WHEN 'click' THEN event_id % 100 WHEN 'purchase' THEN event_id / 1000.0 WHEN 'signup' THEN event_id % 600 ELSE event_id % 90 END AS DOUBLE) AS value,
-{_case('event_type', {'view': 'count', 'click': 'bpm', 'purchase': 'm', 'signup': 'min', 'error': 'bpm'})} unit, CASE event_type WHEN 'view' THEN 'PRIMARY' ELSE 'unknown' END source FROM events""",
+    "json_readings": f"""WITH e AS (SELECT event_id n, ts, event_id // {len(POINTS)} % 5 form FROM events)
+SELECT {_kind(lambda t, *_: f"'{t}'")} data_type, CASE form WHEN 2 THEN date_trunc('day', ts)::TIMESTAMP ELSE date_trunc('second', ts) END start_time,
+CASE WHEN form IN (0, 3, 4) THEN date_trunc('second', ts) + INTERVAL 30 MINUTE END end_time, {_kind(lambda t, f, value, unit: f"CAST({value} AS DOUBLE)")} AS value,
+CASE WHEN {_kind(lambda t, f, value, unit: f"CAST({value} AS DOUBLE)")} IS NOT NULL THEN {_kind(lambda t, f, value, unit: f"'{unit}'")} END unit, CASE WHEN n % 3 = 0 THEN 'PRIMARY' ELSE 'unknown' END source FROM e""",
+    "points_deep": f"WITH {events()} SELECT row_number() OVER (ORDER BY start_time DESC, entity_id, source, value DESC NULLS LAST) rank, entity_id, start_time, source, value FROM r WHERE data_type = 'steps' AND start_time >= {SINCE} AND start_time < {UNTIL} QUALIFY rank BETWEEN 1001 AND 1025",
+    "points_cursor": f"WITH {events(7)} SELECT row_number() OVER (ORDER BY start_time DESC, entity_id, source, value DESC NULLS LAST) rank, entity_id, start_time, source, value FROM r WHERE data_type = 'steps' AND start_time >= {SINCE} AND start_time < {UNTIL} QUALIFY rank BETWEEN 31 AND 70",
+    "load_report": f"""WITH {events()}, k AS (SELECT DISTINCT entity_id, data_type, start_time, source FROM r WHERE minute(start_time) <> 7),
+w AS (SELECT data_type, CAST(count(*) FILTER (start_time < {UNTIL}) AS BIGINT) w1, CAST(count(*) FILTER (start_time >= {UNTIL}) AS BIGINT) w2 FROM k GROUP BY 1),
+s AS (SELECT data_type, count(*) FILTER (minute(start_time) = 7 AND start_time < {UNTIL}) s1, count(*) FILTER (minute(start_time) = 7 AND start_time >= TIMESTAMP '2024-01-15') s2 FROM r GROUP BY 1)
+SELECT 0::INTEGER run, data_type, w1 written, s1 skipped FROM w JOIN s USING (data_type) UNION ALL SELECT 1, data_type, w2, s2 FROM w JOIN s USING (data_type) UNION ALL VALUES (0, 'sleep', 0, 0), (1, 'weight', 0, 0)""",
+    "load_marks": f"WITH {events()} SELECT data_type, CASE WHEN data_type = 'sleep' THEN TIMESTAMP '2024-01-22' WHEN data_type = 'weight' OR data_type IN (SELECT data_type FROM r WHERE start_time >= TIMESTAMP '2024-01-15') THEN TIMESTAMP '2024-01-31' ELSE {SINCE} END last_synced_at FROM (SELECT unnest([{', '.join(f"'{t}'" for t in SYNCABLE_TYPES)}]) data_type)",
     "in_batch_last": "SELECT event_type data_type, date_trunc('hour', ts) start_time, round(arg_max(value, event_id), 4) AS value FROM events GROUP BY ALL",
     "incremental_load": f"WITH {events()}, u AS (SELECT DISTINCT entity_id, data_type, start_time, source FROM r) SELECT data_type, count(*) added FROM u WHERE start_time >= {UNTIL} GROUP BY 1",
     "sync_marks": f"WITH {events()}, m AS (SELECT data_type, max(date_trunc('day', start_time)) t FROM r GROUP BY 1) SELECT x.data_type, coalesce(m.t, {SINCE})::TIMESTAMP last_synced_at FROM (SELECT unnest([{', '.join(f"'{t}'" for t in SYNCABLE_TYPES)}]) data_type) x LEFT JOIN m USING (data_type)",

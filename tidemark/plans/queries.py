@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,8 +14,9 @@ from ..operators import models, reads, series
 from ..operators.frame import daily, daily_by_window, day_frame, days_with_data, local_day, long_frame, scoped, start_of_local_day
 from ..sources.adapters import HISTORY_DAYS, HISTORY_UNTIL, from_events, from_history, from_lines, from_orders
 from ..sources.demo import demo
-from ..sources.readings import normalised
-from ..streaming.ingest import last_of_batch, new_rows, sync_state
+from ..sources.readings import body_name, normalised, work_path
+from ..streaming.ingest import last_of_batch, load, new_rows, sync_state
+from ..streaming.marks import marks
 from .insights import Insights
 
 TZ = "Europe/London"
@@ -113,6 +115,22 @@ def points_page(spark: SparkSession, d: str) -> DataFrame:
     return reads.points(_events(spark, d), "steps", SINCE, UNTIL, page=2, limit=50, raw=True).select("entity_id", "start_time", "value", "source", "raw")
 
 
+def points_deep(spark: SparkSession, d: str) -> DataFrame:
+    """A page that many readings come before, with its rows' ranks."""
+    page = reads.points(_events(spark, d), "steps", SINCE, UNTIL, page=40, limit=25)
+    rank = F.row_number().over(Window.orderBy(*reads.order())) + 1000  # of a page's rows
+    return page.select(rank.cast("long").alias("rank"), "entity_id", "start_time", "source", "value")
+
+
+def points_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The page that follows another by its last row, with its rows' ranks."""
+    e = _events(spark, d, 7)
+    last = reads.points_after(e, "steps", None, SINCE, UNTIL, limit=30).tail(1)
+    cursor = (last[0]["start_time"], last[0]["entity_id"], last[0]["source"]) if last else None
+    page = reads.points_after(e, "steps", cursor, SINCE, UNTIL, limit=40)
+    return page.select((F.row_number().over(Window.orderBy(*reads.order())) + 30).cast("long").alias("rank"), "entity_id", "start_time", "source", "value")
+
+
 def points_count(spark: SparkSession, d: str) -> DataFrame:
     return reads.points_total(_events(spark, d), "steps", SINCE, UNTIL)
 
@@ -234,22 +252,54 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).groupBy("data_type").agg(F.count(n).alias("parsed"), _r(F.sum(n), 4).alias("total"), F.countDistinct(n).alias("kinds"))
 
 
+#: The kinds of point that json_readings writes: type, fields of its body as SQL over n,
+#: and what is read from them (in SQL too), with its unit. The last five types have no
+#: fields of their own, but those that any type may have.
+POINTS = (
+    ("heart-rate", "n % 100 AS beatsPerMinute", "n % 100", "bpm"),
+    ("daily-resting-heart-rate", "CAST(n % 90 AS STRING) AS beatsPerMinute", "n % 90", "bpm"),
+    ("heart-rate-variability", "n % 80 + 0.5D AS rootMeanSquareOfSuccessiveDifferencesMilliseconds", "n % 80 + 0.5", "ms"),
+    ("daily-heart-rate-variability", "n % 70 AS rootMeanSquareOfSuccessiveDifferencesMilliseconds", "n % 70", "ms"),
+    ("oxygen-saturation", "n % 100 AS percentage", "n % 100", "%"),
+    ("daily-oxygen-saturation", "CAST(n % 99 AS STRING) AS percentage", "n % 99", "%"),
+    ("steps", "CAST(n AS STRING) AS count", "n", "count"),
+    ("distance", "CAST(n AS STRING) AS millimeters", "n / 1000.0", "m"),
+    ("height", "n % 2000 AS heightMillimeters", "n % 2000 / 1000.0", "m"),
+    ("weight", "CASE WHEN n % 2 = 0 THEN n % 150 END AS weightKilograms, n % 140 AS kilograms", "CASE WHEN n % 2 = 0 THEN n % 150 ELSE n % 140 END", "kg"),
+    ("body-fat", "n % 40 AS percentage", "n % 40", "%"),
+    ("active-energy-burned", "n % 900 AS kcal", "n % 900", "kcal"),
+    ("active-zone-minutes", "CAST(n % 60 AS STRING) AS activeZoneMinutes", "n % 60", "min"),
+    ("swim-lengths-data", "n % 50 AS strokeCount", "n % 50", "count"),
+    ("sleep", "struct(CAST(n % 600 AS STRING) AS minutesAsleep) AS summary", "n % 600", "min"),
+    ("exercise", "struct(n % 800 AS caloriesKcal) AS metricsSummary", "n % 800", "kcal"),
+    ("active-minutes", "array(struct(CAST(n % 7 AS STRING) AS activeMinutes), struct(CAST(NULL AS STRING) AS activeMinutes), struct('2' AS activeMinutes)) AS activeMinutesByActivityLevel", "n % 7 + 2", "min"),
+    ("sedentary-period", "1 AS other", "CASE WHEN form IN (0, 3, 4) THEN 30 END", "min"),
+    ("time-in-heart-rate-zone", "1 AS other", "CASE WHEN form IN (0, 3, 4) THEN 30 END", "min"),
+    ("altitude", "n % 500 AS meters", "n % 500", "m"),
+    ("vo2-max", "'no number' AS percentage, n % 190 AS beatsPerMinute", "n % 190", "bpm"),
+    ("hydration-log", "CAST(n % 12 AS STRING) AS count", "n % 12", "count"),
+    ("nutrition-log", "n % 3 AS kilograms", "n % 3", "kg"),
+    ("blood-glucose", "n % 77 AS percentage, n AS meters", "n % 77", "%"),
+)
+
+
+def json_points(spark: SparkSession, d: str) -> DataFrame:
+    """data_type, point: the events as points that the interface would send, in turn of
+    each kind, with their times in each of five forms and with or without a source."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n"), "ts", F.floor(F.col("event_id") / len(POINTS) % 5).alias("form"))
+    at = lambda t: f"date_format({t}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    start, end = at("ts"), at("ts + INTERVAL '30' MINUTE")
+    span = lambda form: f"CASE WHEN form = {form} THEN struct({start} AS startTime, {end} AS endTime) END AS interval"
+    inner = f"{span(0)}, CASE WHEN form = 1 THEN struct({start} AS physicalTime) END AS sampleTime, CASE WHEN form = 2 THEN struct(year(ts) AS year, month(ts) AS month, day(ts) AS day) END AS date"
+    outer = f"{span(3)}, CASE WHEN form = 4 THEN {start} END AS startTime, CASE WHEN form = 4 THEN {end} END AS endTime, CASE WHEN n % 3 = 0 THEN struct('PRIMARY' AS platform) END AS dataSource"
+    pick = lambda of: F.expr(f"CASE n % {len(POINTS)} " + " ".join(f"WHEN {i} THEN {of(*p)}" for i, p in enumerate(POINTS)) + " END")
+    point = pick(lambda t, fields, *_: f"to_json(struct(struct({fields}, {inner}) AS {body_name(t)}, {outer}))")
+    return e.select(pick(lambda t, *_: f"'{t}'").alias("data_type"), point.alias("point"))
+
+
 def json_readings(spark: SparkSession, d: str) -> DataFrame:
-    """Points written as the interface does, a type for each kind of event, and read
-    back."""
-    e = spark.read.parquet(f"{d}/events.parquet")
-    at, n = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("event_id")
-    span = F.struct(at.alias("startTime"), at.alias("endTime")).alias("interval")
-    date = F.struct(*(getattr(F, k)("ts").alias(k) for k in ("year", "month", "day"))).alias("date")
-    points = {
-        "view": ("steps", F.struct(F.struct(n.cast("string").alias("count"), span).alias("steps"), F.struct(F.lit("PRIMARY").alias("platform")).alias("dataSource"))),
-        "click": ("heart-rate", F.struct(F.struct((n % 100).alias("beatsPerMinute"), F.struct(at.alias("physicalTime")).alias("sampleTime")).alias("heartRate"))),
-        "purchase": ("distance", F.struct(F.struct(n.cast("string").alias("millimeters"), span).alias("distance"))),
-        "signup": ("sleep", F.struct(F.struct(F.struct((n % 600).cast("string").alias("minutesAsleep")).alias("summary"), span).alias("sleep"))),
-        "error": ("daily-resting-heart-rate", F.struct(F.struct((n % 90).cast("string").alias("beatsPerMinute"), date).alias("dailyRestingHeartRate"))),
-    }
-    pick = lambda i: F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v[0]) if i == 0 else F.to_json(v[1])) for k, v in points.items()))
-    return normalised(e.select(pick(0).alias("data_type"), pick(1).alias("point"))).select("data_type", "start_time", "value", "unit", "source")
+    """Points of every type with an extractor, and of those that share generic fields."""
+    return normalised(json_points(spark, d)).select("data_type", "start_time", "end_time", "value", "unit", "source")
 
 
 def in_batch_last(spark: SparkSession, d: str) -> DataFrame:
@@ -271,6 +321,35 @@ def sync_marks(spark: SparkSession, d: str) -> DataFrame:
     return sync_state(runs, SINCE)
 
 
+LOADS = ((datetime(2024, 1, 22), ("sleep",)), (datetime(2024, 1, 31), ("weight",)))
+
+
+def _loaded(spark: SparkSession, d: str) -> tuple[list[dict[str, dict]], DataFrame]:
+    """Reports and marks of two loads of the events that overlap by a week, each with a
+    type that has no points; events of each hour's minute 7 have no time that can be used."""
+    e = _events(spark, d).withColumn("seq", F.col("raw"))
+    lost = F.minute("start_time") == 7
+    e = e.withColumn("at", F.col("start_time")).withColumn("start_time", F.when(~lost, F.col("start_time")))
+    bound = lambda t: F.lit(t).cast("timestamp_ntz")
+    parts = e.filter(F.col("at") < bound(UNTIL)).drop("at"), e.filter(F.col("at") >= bound("2024-01-15 00:00:00")).drop("at")
+    path, state = work_path(spark, "loaded"), work_path(spark, "marks")
+    reports = [load(p, path, state, at, types, f"run{i}") for i, (p, (at, types)) in enumerate(zip(parts, LOADS, strict=True))]
+    load(parts[1], path, state, datetime(2024, 2, 9), ("weight",), "run1")  # a batch that runs again
+    return reports, marks(spark, state)
+
+
+def load_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each load wrote of each type."""
+    reports, _ = _loaded(spark, d)
+    rows = [(i, t, r["written"], r["skipped"]) for i, report in enumerate(reports) for t, r in report.items()]
+    return spark.createDataFrame(rows, "run int, data_type string, written long, skipped long")
+
+
+def load_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Where the next load of each type starts after these loads."""
+    return sync_state(_loaded(spark, d)[1], SINCE)
+
+
 def data_type_list(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("data_type").distinct()
 
@@ -375,10 +454,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         frame_daily, frame_daily_window, frame_entities, frame_wide, frame_days_with_data, frame_long_history, end_anchor_day, source_preferred_rows, source_exists,
-        bucket_hour_sum, bucket_day_avg, bucket_hour_preferred, summary_metrics, points_page, points_count, artifact_flags, interpolate_gap2, interpolate_gap3, baseline,
+        bucket_hour_sum, bucket_day_avg, bucket_hour_preferred, summary_metrics, points_page, points_deep, points_cursor, points_count, artifact_flags, interpolate_gap2, interpolate_gap3, baseline,
         anomaly_days, anomaly_recent_top8, training_load, sleep_consistency, readiness_parts, readiness, decompose_days, decompose_weekdays, decompose_strength,
         correlation_pairs, line_fit, ridge_two, ridge_drivers, next_day_pairs, persistence_error, complete_cases, weekday_mix, share_of_total, anomalies_anti_join,
-        history_union, json_extract, json_readings, in_batch_last, incremental_load, sync_marks, data_type_list, local_days, local_midnights, quantiles, forecast_tail, forecast_holt_winters, clusters, factors,
+        history_union, json_extract, json_readings, in_batch_last, incremental_load, load_report, load_marks, sync_marks, data_type_list, local_days, local_midnights, quantiles, forecast_tail, forecast_holt_winters, clusters, factors,
         forest, gaussian_process, hidden_states, network, demo_frame, history_frame, findings, documents, forecast_history, states_with_factors, cluster_weekdays,
     )
 }

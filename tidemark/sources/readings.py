@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,17 @@ READING_SCHEMA = T.StructType(
 KEY = ("entity_id", "data_type", "start_time", "source")
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir;
+    where that's unset and all runs in one process, in a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return f"{found.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A table of readings; older rows without a source get the unknown one."""
     return spark.read.schema(READING_SCHEMA).parquet(path).withColumn("source", F.coalesce("source", F.lit(UNKNOWN_SOURCE)))
@@ -90,21 +104,21 @@ def instant(text: Column) -> Column:
 
 def normalised(points: DataFrame, column: str = "point", data_type: str = "data_type") -> DataFrame:
     """JSON points with their type as readings without an entity; start_time is null
-    where none is usable. Run with the session's time zone set to UTC.
+    where none is usable. Run with the session's time zone set to UTC. A point is parsed
+    once, to a variant from which all fields come.
 
     The first time that is there counts, in the order interval, sample, civil date,
     point interval, point start; one that can't be read is not replaced by a later."""
-    p = F.col(column)
-    names = F.create_map(*(F.lit(x) for t in DATA_TYPES for x in (t, body_name(t))))
-    body = F.call_function("get_json_object", p, F.concat(F.lit("$."), names[F.col(data_type)]))
-    at = lambda path: F.get_json_object(F.col("_body"), f"$.{path}")
-    rows = points.withColumn("_body", body)
+    kind = F.col(data_type)
+    within = lambda v, path, to="string": F.try_variant_get(F.col(v), f"$.{path}", to)
+    at = lambda path: within("_body", path)
+    body = reduce(lambda c, t: c.when(kind == t, within("_point", body_name(t), "variant")), DATA_TYPES, F.when(F.lit(False), F.lit(None).cast("variant")))
+    rows = points.withColumn("_point", F.try_parse_json(column)).withColumn("_body", body)
     date = F.when(at("date.year").isNotNull(), F.format_string("%04d-%02d-%02dT00:00:00Z", *(F.coalesce(at(f"date.{k}").try_cast("int"), F.lit(0)) for k in ("year", "month", "day"))))
-    start = F.coalesce(at("interval.startTime"), at("sampleTime.physicalTime"), date, F.get_json_object(p, "$.interval.startTime"), F.get_json_object(p, "$.startTime"))
-    end = F.coalesce(at("interval.endTime"), F.get_json_object(p, "$.interval.endTime"), F.get_json_object(p, "$.endTime"))
+    start = F.coalesce(at("interval.startTime"), at("sampleTime.physicalTime"), date, within("_point", "interval.startTime"), within("_point", "startTime"))
+    end = F.coalesce(at("interval.endTime"), within("_point", "interval.endTime"), within("_point", "endTime"))
     rows = rows.withColumn("start_time", instant(start)).withColumn("end_time", instant(end))
-    kind = F.col(data_type)
-    levels = F.from_json(at("activeMinutesByActivityLevel"), "array<struct<activeMinutes:string>>")
+    levels = within("_body", "activeMinutesByActivityLevel", "array<struct<activeMinutes:string>>")
     broken = F.exists(levels, lambda x: x["activeMinutes"].isNotNull() & number(x["activeMinutes"]).isNull())
     active = F.when((F.size(levels) > 0) & ~broken, F.aggregate(levels, F.lit(0.0), lambda s, x: s + F.coalesce(number(x["activeMinutes"]), F.lit(0.0))))
     minutes = F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time")) / 60.0
@@ -114,9 +128,9 @@ def normalised(points: DataFrame, column: str = "point", data_type: str = "data_
     generic = F.coalesce(*(F.when(number(at(f)).isNotNull(), F.struct(number(at(f)).alias("v"), F.lit(u).alias("u"))) for f, u in FALLBACKS))
     rows = rows.withColumn("_value", value).withColumn("_unit", unit).withColumn("_generic", generic)
     typed = F.col("_value").isNotNull()
-    source = F.coalesce(F.get_json_object(p, "$.dataSource.platform"), F.lit(UNKNOWN_SOURCE))
+    source = F.coalesce(within("_point", "dataSource.platform"), F.lit(UNKNOWN_SOURCE))
     kept = [c for c in points.columns if c not in (column, data_type)]
-    return rows.select(*kept, kind.alias("data_type"), "start_time", "end_time", F.when(typed, F.col("_value")).otherwise(F.col("_generic.v")).alias("value"), F.when(typed, F.col("_unit")).otherwise(F.col("_generic.u")).alias("unit"), source.alias("source"), p.alias("raw"))
+    return rows.select(*kept, kind.alias("data_type"), "start_time", "end_time", F.when(typed, F.col("_value")).otherwise(F.col("_generic.v")).alias("value"), F.when(typed, F.col("_unit")).otherwise(F.col("_generic.u")).alias("unit"), source.alias("source"), F.col(column).alias("raw"))
 
 
 def page_points(pages: DataFrame, body: str = "body", outer: bool = False) -> DataFrame:
