@@ -21,7 +21,7 @@ Defined cases: a null text is empty and holds nothing. Spans are code points, th
 exclusive. Failing matches of a pattern are dropped and not tried again from within. A
 candidate that overlaps a pattern's span isn't reported again. Repeated rows each get a
 row, and rows of one text the same spans. Very long texts are searched whole, in linear
-time. Ties between parts in the dictionary go by the part. An empty table gives no rows.
+time. Ties between parts are all in the dictionary or not at all. An empty table gives no rows.
 Other columns are kept, whatever their names, but those named like a result, which it
 replaces."""
 
@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import chunks, with_fields
+from ._common import chunks, stored, with_fields
 
 KINDS = ("assign", "access", "hex", "novel")
 #: The patterns, the words that open a sensitive context, and the parts.
@@ -117,9 +117,13 @@ def parts(documents: DataFrame) -> DataFrame:
 
 def dictionary_of(documents: DataFrame, most: int = DICTIONARY) -> bytes:
     """The content that primes the compressor: the most frequent parts, the best
-    known last, where they're nearest."""
-    top = parts(documents).orderBy(F.desc("n"), "part").limit(most).collect()
-    return " ".join(r["part"] for r in reversed(top)).encode()
+    known last, where they're nearest. Parts of one frequency come all or not at all,
+    so that a histogram of frequencies tells which, and only they reach the driver."""
+    counts = stored(parts(documents), "parts")
+    upto = F.sum("k").over(Window.orderBy(F.desc("n")))
+    least = counts.groupBy("n").agg(F.count("*").alias("k")).withColumn("upto", upto).filter(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    top = counts.filter(F.col("n") >= least).collect() if least is not None else []
+    return " ".join(r["part"] for r in sorted(top, key=lambda r: (r["n"], r["part"]))).encode()
 
 
 RESULTS = ("base", "novel")
