@@ -3,14 +3,17 @@
 import itertools
 import json
 import math
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 
 from tidemark.functions.rng import Lcg, Mulberry32
+from tidemark.operators import folds as F_
 from tidemark.operators import models as M
 from tidemark.operators import series
 from tidemark.operators.frame import day_frame
+from tidemark.plans import queries
 from tidemark.plans.insights import Insights
 from tidemark.sources.demo import demo
 
@@ -55,17 +58,87 @@ def test_models_ignore_row_order_and_need_history(frame):
     b = sorted(map(tuple, M.clusters(frame.orderBy("idx", ascending=False)).select("date", "cluster").collect()))
     assert a == b and len(a) == 120
     short = frame.filter("idx < 13")
-    assert all(f(short).count() == 0 for f in (M.clusters, M.factors, M.forest, M.states, M.network, M.gp_forecasts, M.forecasts, M.attributions))
-
-
-def test_holt_winters_follows_a_weekly_line():
+    assert all(f(short).count() == 0 for f in (M.clusters, M.factors, M.forest, M.states, M.network, M.gp_forecasts, F_.forecasts, M.attributions))
+
+
+def slow_holt_winters(values: np.ndarray, horizon: int, floor: bool, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.3) -> list[dict]:
+    """Additive, weekly, day after day. Missing days move the level by the slope."""
+    known = np.flatnonzero(~np.isnan(values))
+    if len(known) < 21:
+        return []
+    x = values[known[0] :]
+    with np.errstate(all="ignore"):
+        first, second = (np.nanmean(x[a : a + 7]) if (~np.isnan(x[a : a + 7])).any() else math.nan for a in (0, 7))
+        level = np.nanmean(x[:14])
+    slope = (second - first) / 7
+    slope = 0.0 if math.isnan(slope) else slope
+    season = [float(np.nanmean(x[i::7]) - level) if (~np.isnan(x[i::7])).any() else 0.0 for i in range(7)]
+    errors = []
+    for t, v in enumerate(x):
+        s = season[t % 7]
+        if math.isnan(v):
+            level += slope
+            continue
+        errors.append(v - (level + slope + s))
+        before = level
+        level = alpha * (v - s) + (1 - alpha) * (level + slope)
+        slope = beta * (level - before) + (1 - beta) * slope
+        season[t % 7] = gamma * (v - level) + (1 - gamma) * s
+    rmse = math.sqrt(np.mean(np.square(errors)))
+    out = []
+    for h in range(1, horizon + 1):
+        point = level + h * slope + season[(len(x) + h - 1) % 7]
+        point = max(0.0, point) if floor else point
+        spread = rmse * math.sqrt(h)
+        low = {f"lower{p}": point - q * spread for p, q in ((80, 1.2816), (95, 1.96))}
+        out.append({"day": h, "value": point, **{k: max(0.0, v) if floor else v for k, v in low.items()}, "upper80": point + 1.2816 * spread, "upper95": point + 1.96 * spread, "rmse": rmse})
+    return out
+
+
+def folded(spark, x):
+    """The fold's forecasts of one series of steps."""
+    rows = [("e", date(2024, 1, 1) + timedelta(t), t, t % 7, None if math.isnan(v) else float(v)) for t, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "entity_id string, date date, idx int, weekday int, steps double")
+    return F_.forecasts(frame, ("steps",)).orderBy("day").collect()
+
+
+def test_holt_winters_follows_a_weekly_line(spark):
     x = np.array([100 + 2 * t + 10 * (t % 7 == 5) for t in range(140)], float)
-    out = M.holt_winters(x, 7, True)
+    out = folded(spark, x)
     want = [100 + 2 * t + 10 * (t % 7 == 5) for t in range(140, 147)]
     assert [o["value"] for o in out] == pytest.approx(want, rel=0.05)
     assert all(o["lower95"] <= o["lower80"] <= o["value"] <= o["upper80"] <= o["upper95"] for o in out)
     x[30:33] = math.nan
-    assert len(M.holt_winters(x, 7, True)) == 7 and M.holt_winters(x[:20], 7, True) == []
+    assert len(folded(spark, x)) == 7 and folded(spark, x[:20]) == []
+
+
+def test_the_fold_equals_a_loop(spark):
+    rng = np.random.default_rng(3)
+    for gaps in ((), range(9), range(40, 52), range(7, 14)):
+        x = rng.normal(50, 30, 90)
+        x[list(gaps)] = math.nan
+        want, got = slow_holt_winters(x, 7, True), folded(spark, x)
+        assert len(got) == len(want) == 7
+        for g, w in zip(got, want, strict=True):
+            assert {k: pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in w.items()} == {k: g[k] for k in w}
+
+
+def test_the_fold_stays_in_the_jvm(spark, sf):
+    plan = queries.forecast_holt_winters(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_axes_equal_numpys(spark):
+    rng = np.random.default_rng(8)
+    names = ("steps", "hrv", "sleep_minutes", "calories")
+    x = rng.normal(size=(60, 4)) @ rng.normal(size=(4, 4)) + rng.normal(size=4)
+    frame = spark.createDataFrame([("e", *map(float, r)) for r in x] + [("short", 1.0, None, 2.0, 3.0)], "entity_id string, " + ", ".join(f"{n} double" for n in names))
+    got = F_.axes(frame, names).orderBy("axis").collect()
+    w, v = np.linalg.eigh(np.corrcoef(x.T))
+    assert [r["entity_id"] for r in got] == ["e"] * 4 and [r["value"] for r in got] == pytest.approx(w[::-1], abs=1e-9)
+    for r, u in zip(got, v.T[::-1], strict=True):
+        u = u * np.sign(u[np.argmax(np.abs(u))])
+        assert r["vector"] == pytest.approx(u, abs=1e-7)
 
 
 def test_gp_agrees_with_cholesky():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import Lcg, Mulberry32
 from ..functions.stats import interpolated
-from ..registry import ATTRIBUTIONS, BY_NAME, CLUSTER_METRICS, FACTOR_METRICS, FORECAST_METRICS, FOREST_METRICS, GP_METRICS, NET_METRICS, STATE_METRICS
+from ..registry import ATTRIBUTIONS, BY_NAME, CLUSTER_METRICS, FACTOR_METRICS, FOREST_METRICS, GP_METRICS, NET_METRICS, STATE_METRICS
 from .frame import long_frame
 
 
@@ -98,53 +98,6 @@ def attributions(frame: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-# --- Holt-Winters ----------------------------------------------------------
-
-
-def holt_winters(values: np.ndarray, horizon: int, floor: bool, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.3) -> list[dict]:
-    """Additive, weekly. Missing days move the level by the slope."""
-    known = np.flatnonzero(~np.isnan(values))
-    if len(known) < 21:
-        return []
-    x = values[known[0] :]
-    with np.errstate(all="ignore"):
-        first, second = (np.nanmean(x[a : a + 7]) if (~np.isnan(x[a : a + 7])).any() else math.nan for a in (0, 7))
-        level = np.nanmean(x[:14])
-    slope = (second - first) / 7
-    slope = 0.0 if math.isnan(slope) else slope
-    season = [float(np.nanmean(x[i::7]) - level) if (~np.isnan(x[i::7])).any() else 0.0 for i in range(7)]
-    errors = []
-    for t, v in enumerate(x):
-        s = season[t % 7]
-        if math.isnan(v):
-            level += slope
-            continue
-        errors.append(v - (level + slope + s))
-        before = level
-        level = alpha * (v - s) + (1 - alpha) * (level + slope)
-        slope = beta * (level - before) + (1 - beta) * slope
-        season[t % 7] = gamma * (v - level) + (1 - gamma) * s
-    rmse = math.sqrt(np.mean(np.square(errors)))
-    out = []
-    for h in range(1, horizon + 1):
-        point = level + h * slope + season[(len(x) + h - 1) % 7]
-        point = max(0.0, point) if floor else point
-        spread = rmse * math.sqrt(h)
-        low = {f"lower{p}": point - q * spread for p, q in ((80, 1.2816), (95, 1.96))}
-        out.append({"day": h, "value": point, **{k: max(0.0, v) if floor else v for k, v in low.items()}, "upper80": point + 1.2816 * spread, "upper95": point + 1.96 * spread, "rmse": rmse})
-    return out
-
-
-def forecasts(frame: DataFrame, metrics: tuple[str, ...] = FORECAST_METRICS, horizon: int = 7) -> DataFrame:
-    rows = interpolated(long_frame(frame, metrics), ["entity_id", "metric"], "idx", "value", 3)
-    schema = "entity_id string, metric string, day int, value double, lower80 double, upper80 double, lower95 double, upper95 double, rmse double"
-
-    def fit(pdf: pd.DataFrame) -> list[dict]:
-        return holt_winters(pdf["filled"].to_numpy(float), horizon, BY_NAME[pdf["metric"].iloc[0]].non_negative)
-
-    return _per_entity(rows, fit, schema, ("entity_id", "metric"))
-
-
 # --- clusters --------------------------------------------------------------
 
 #: What a cluster is called when a metric stands out above, or below.

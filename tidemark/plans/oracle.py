@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import permutations
+from itertools import combinations_with_replacement, permutations
 
-from ..registry import ANOMALY_METRICS, BASELINE_METRICS, FORECAST_METRICS, GP_METRICS, METRICS, SUMMARY, SYNCABLE_TYPES
+from ..registry import ANOMALY_METRICS, BASELINE_METRICS, FACTOR_METRICS, FORECAST_METRICS, GP_METRICS, METRICS, SUMMARY, SYNCABLE_TYPES
 from ..sources.adapters import EVENT_TYPES, HISTORY_DAYS, HISTORY_UNTIL, PRIORITY_TYPES, SEVENTHS
 from .queries import DRIVERS, POINTS
 
@@ -21,6 +21,10 @@ def _kind(of: Callable[..., str]) -> str:
     return f"CASE n % {len(POINTS)} " + " ".join(f"WHEN {i} THEN {of(*p)}" for i, p in enumerate(POINTS)) + " END"
 
 
+#: The metrics' pairs on and above the diagonal.
+_UPPER = list(combinations_with_replacement(FACTOR_METRICS, 2))
+
+
 def _local(ts: str, tz: str = TZ) -> str:
     return f"CAST(({ts} AT TIME ZONE 'UTC') AT TIME ZONE '{tz}' AS DATE)"
 
@@ -242,6 +246,8 @@ SELECT 0::INTEGER run, data_type, w1 written, s1 skipped FROM w JOIN s USING (da
     "local_midnights": f"SELECT o_orderkey, {_midnight(TZ)} london, {_midnight('America/New_York')} new_york FROM orders",
     "quantiles": f"{ENTITY_FRAME}, {long(('steps', 'hrv', 'active_minutes'))} SELECT entity_id, metric, round(quantile_cont(value, 0.1), 4) q10, round(quantile_cont(value, 0.5), 4) q50, round(quantile_cont(value, 0.75), 4) q75, round(quantile_cont(value, 0.9), 4) q90 FROM l GROUP BY ALL",
     "forecast_tail": f"{ORDER_FRAME}, {long(GP_METRICS)}, i AS ({filled('l', 'entity_id, metric', 2)}) SELECT entity_id, metric, date, round(filled, 4) AS value FROM i WHERE filled IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id, metric ORDER BY idx DESC) <= 42",
+    "covariance_matrix": f"{HISTORY_FRAME}, whole AS (SELECT * FROM f WHERE {' AND '.join(f'{m} IS NOT NULL' for m in FACTOR_METRICS)}) " + " UNION ALL ".join(f"SELECT entity_id, '{a}' a, '{b}' b, round(covar_samp({a}, {b}) / 1e6, 5) covariance, round(corr({a}, {b}), 5) correlation, count(*) n FROM whole GROUP BY 1" for a, b in _UPPER),
+    "principal_axes": f"{HISTORY_FRAME}, whole AS (SELECT * FROM f WHERE {' AND '.join(f'{m} IS NOT NULL' for m in FACTOR_METRICS)}), s AS (" + " UNION ALL ".join(f"SELECT entity_id, count(*) n, {1 if a == b else 2} * pow(corr({a}, {b}), 2) r FROM whole GROUP BY 1" for a, b in _UPPER) + f") SELECT entity_id, n, round({len(FACTOR_METRICS)}.0, 6) trace, round(sum(r), 6) squares, round(0.0, 6) residual, round(0.0, 6) tilt FROM s GROUP BY 1, 2 HAVING count(r) = {len(FACTOR_METRICS) * (len(FACTOR_METRICS) + 1) // 2}",
     "forecast_holt_winters": f"{ORDER_FRAME.replace('WITH', 'WITH RECURSIVE', 1)}, {holt_winters(FORECAST_METRICS)} SELECT entity_id, metric, day, {', '.join(f'round({c}, 3) {c}' for c in ('value', 'lower80', 'upper80', 'lower95', 'upper95', 'rmse'))} FROM fc",
     "history_frame": f"{HISTORY_FRAME} SELECT {_rounded(WIDE)} FROM f",
     "forecast_history": f"""{HISTORY_FRAME.replace('WITH', 'WITH RECURSIVE', 1).replace('f AS (', 'f0 AS (', 1)}, f AS (SELECT * REPLACE (idx - 30 AS idx) FROM f0 WHERE idx >= 30), {holt_winters(('steps',))},

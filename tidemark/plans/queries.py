@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import interpolated, sorted_quantile
-from ..operators import models, reads, series
+from ..operators import folds, models, reads, series
 from ..operators.frame import daily, daily_by_window, day_frame, days_with_data, local_day, long_frame, scoped, start_of_local_day
+from ..registry import FACTOR_METRICS
 from ..sources.adapters import HISTORY_DAYS, HISTORY_UNTIL, from_events, from_history, from_lines, from_orders
 from ..sources.demo import demo
 from ..sources.readings import body_name, normalised, work_path
@@ -378,7 +379,25 @@ def forecast_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forecast_holt_winters(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(models.forecasts(_long(spark, d)), 3)
+    return _rounded(folds.forecasts(_long(spark, d)), 3)
+
+
+def covariance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Covariances and correlations of the days that have all metrics."""
+    return _rounded(folds.covariances(_history(spark, d), FACTOR_METRICS).withColumn("covariance", F.col("covariance") / 1e6), 5)
+
+
+def principal_axes(spark: SparkSession, d: str) -> DataFrame:
+    """What SQL can check of the axes: that the values add up to the matrix, their squares
+    to its squares, that each vector is one (C v = value v), and that they are orthogonal."""
+    k = len(FACTOR_METRICS)
+    rows = folds.axes(_history(spark, d), FACTOR_METRICS)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    left = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.abs(dot(F.slice("matrix", i * k + 1, k), F.col("vector")) - F.col("value") * F.get("vector", i)))
+    each = rows.select("entity_id", "n", "value", "vector", F.array_max(left).alias("left"))
+    g = each.groupBy("entity_id", "n").agg(F.sum("value").alias("trace"), F.sum(F.col("value") * F.col("value")).alias("squares"), F.max("left").alias("residual"), F.collect_list("vector").alias("v"))
+    tilt = F.array_max(F.flatten(F.transform("v", lambda x, i: F.transform("v", lambda y, j: F.abs(dot(x, y) - F.when(i == j, 1.0).otherwise(0.0))))))
+    return _rounded(g.select("entity_id", "n", "trace", "squares", "residual", tilt.alias("tilt")), 6)
 
 
 # --- models, whose results SQL does not express -----------------------------
@@ -409,6 +428,10 @@ def _insights(spark: SparkSession, d: str) -> Insights:
     return Insights(from_history(spark, d), HISTORY_UNTIL, TZ, 90, HISTORY_DAYS)
 
 
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    return day_frame(from_history(spark, d), HISTORY_UNTIL, HISTORY_DAYS, TZ)
+
+
 def factors(spark: SparkSession, d: str) -> DataFrame:
     return models.factors(day_frame(from_history(spark, d), HISTORY_UNTIL, HISTORY_DAYS, TZ))
 
@@ -457,7 +480,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_hour_sum, bucket_day_avg, bucket_hour_preferred, summary_metrics, points_page, points_deep, points_cursor, points_count, artifact_flags, interpolate_gap2, interpolate_gap3, baseline,
         anomaly_days, anomaly_recent_top8, training_load, sleep_consistency, readiness_parts, readiness, decompose_days, decompose_weekdays, decompose_strength,
         correlation_pairs, line_fit, ridge_two, ridge_drivers, next_day_pairs, persistence_error, complete_cases, weekday_mix, share_of_total, anomalies_anti_join,
-        history_union, json_extract, json_readings, in_batch_last, incremental_load, load_report, load_marks, sync_marks, data_type_list, local_days, local_midnights, quantiles, forecast_tail, forecast_holt_winters, clusters, factors,
+        history_union, json_extract, json_readings, in_batch_last, incremental_load, load_report, load_marks, sync_marks, data_type_list, local_days, local_midnights, quantiles, forecast_tail, forecast_holt_winters, covariance_matrix, principal_axes, clusters, factors,
         forest, gaussian_process, hidden_states, network, demo_frame, history_frame, findings, documents, forecast_history, states_with_factors, cluster_weekdays,
     )
 }
