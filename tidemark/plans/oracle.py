@@ -185,6 +185,7 @@ SQL = {
     "frame_wide": f"{ENTITY_FRAME} SELECT {_rounded(WIDE, 8)} FROM f",
     "frame_days_with_data": f"{ENTITY_FRAME} SELECT entity_id, count(*) FILTER (WHERE coalesce({', '.join(m.name for m in METRICS)}) IS NOT NULL) AS days FROM f GROUP BY 1",
     "frame_long_history": f"{ORDER_FRAME} SELECT {_rounded('entity_id date idx weekday *hrv *resting_heart_rate *sleep_minutes *active_minutes *steps')} FROM f",
+    "frame_incremental": f"WITH {events(7).replace('r AS (', 'e AS (', 1)}, r AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY entity_id, data_type, start_time, source ORDER BY value DESC NULLS LAST, raw DESC NULLS LAST) = 1), {DAILY} SELECT {_rounded('entity_id data_type day *total *avg n', 8)} FROM d",
     "end_anchor_day": f"WITH {LINES}, {DAILY} SELECT {_rounded('entity_id data_type day *total *avg n', 8)} FROM d",
     "source_preferred_rows": f"WITH {events(7)}, s AS (SELECT *, bool_or(source = 'PRIMARY') OVER (PARTITION BY entity_id) h FROM r WHERE data_type = 'steps') SELECT entity_id, source, count(*) n, round(sum(value), 4) total FROM s WHERE NOT h OR source = 'PRIMARY' GROUP BY ALL",
     "source_exists": f"WITH {events(7)} SELECT a.data_type, EXISTS (SELECT 1 FROM r b WHERE b.data_type = a.data_type AND source = 'PRIMARY' AND start_time >= {SINCE} AND start_time < {UNTIL}) has_preferred FROM (SELECT DISTINCT data_type FROM r WHERE start_time >= {SINCE} AND start_time < {UNTIL}) a",

@@ -44,12 +44,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(READING_SCHEMA).parquet(path).withColumn("source", F.coalesce("source", F.lit(UNKNOWN_SOURCE)))
 
 
-def write_table(readings: DataFrame, path: str, mode: str = "append", observed: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+def write_table(readings: DataFrame, path: str, mode: str = "append", observed: Callable[[DataFrame], DataFrame] = lambda df: df, dynamic: bool = False) -> None:
     """Partitioned by type and sorted by time, so that both prune a scan. Ranges of
     type, time and entity are dealt out evenly, however many rows a type or day has.
-    `observed` may count rows: after the ranges, which read theirs a first time."""
+    `observed` may count rows: after the ranges, which read theirs a first time. An
+    overwrite that is dynamic leaves the partitions that it has no rows for."""
     rows = observed(readings.repartitionByRange("data_type", "start_time", "entity_id")).sortWithinPartitions("data_type", "start_time")
-    rows.write.mode(mode).partitionBy("data_type").parquet(path)
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy("data_type").parquet(path)
 
 
 def replace_source(spark: SparkSession, path: str, source: str, rows: DataFrame, out: str) -> None:
