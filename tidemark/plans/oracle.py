@@ -234,6 +234,10 @@ CASE WHEN form IN (0, 3, 4) THEN date_trunc('second', ts) + INTERVAL 30 MINUTE E
 CASE WHEN {_kind(lambda t, f, value, unit: f"CAST({value} AS DOUBLE)")} IS NOT NULL THEN {_kind(lambda t, f, value, unit: f"'{unit}'")} END unit, CASE WHEN n % 3 = 0 THEN 'PRIMARY' ELSE 'unknown' END source FROM e""",
     "points_deep": f"WITH {events()} SELECT row_number() OVER (ORDER BY start_time DESC, entity_id, source, value DESC NULLS LAST) rank, entity_id, start_time, source, value FROM r WHERE data_type = 'steps' AND start_time >= {SINCE} AND start_time < {UNTIL} QUALIFY rank BETWEEN 1001 AND 1025",
     "points_cursor": f"WITH {events(7)} SELECT row_number() OVER (ORDER BY start_time DESC, entity_id, source, value DESC NULLS LAST) rank, entity_id, start_time, source, value FROM r WHERE data_type = 'steps' AND start_time >= {SINCE} AND start_time < {UNTIL} QUALIFY rank BETWEEN 31 AND 70",
+    "attempts_limited": """WITH RECURSIVE e AS (SELECT event_type AS key, event_id id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) rn FROM events),
+w AS (SELECT key, id, ts, rn, ts + INTERVAL 6 HOUR ends, 1 n FROM e WHERE rn = 1 UNION ALL
+SELECT e.key, e.id, e.ts, e.rn, CASE WHEN e.ts > w.ends THEN e.ts + INTERVAL 6 HOUR ELSE w.ends END, CASE WHEN e.ts > w.ends THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)
+SELECT key, id, n <= 10 allowed, CAST(CASE WHEN n <= 10 THEN 0 ELSE ceil((epoch_us(ends) - epoch_us(ts)) / 1000000.0) END AS BIGINT) retry_after FROM w""",
     "load_report": f"""WITH {events()}, k AS (SELECT DISTINCT entity_id, data_type, start_time, source FROM r WHERE minute(start_time) <> 7),
 w AS (SELECT data_type, CAST(count(*) FILTER (start_time < {UNTIL}) AS BIGINT) w1, CAST(count(*) FILTER (start_time >= {UNTIL}) AS BIGINT) w2 FROM k GROUP BY 1),
 s AS (SELECT data_type, count(*) FILTER (minute(start_time) = 7 AND start_time < {UNTIL}) s1, count(*) FILTER (minute(start_time) = 7 AND start_time >= TIMESTAMP '2024-01-15') s2 FROM r GROUP BY 1)

@@ -16,6 +16,7 @@ from ..registry import FACTOR_METRICS
 from ..sources.adapters import HISTORY_DAYS, HISTORY_UNTIL, from_events, from_history, from_lines, from_orders
 from ..sources.demo import demo
 from ..sources.readings import READING_SCHEMA, body_name, normalised, work_path, write_table
+from ..streaming import attempts
 from ..streaming.frame_table import changed, frame_rows, refresh
 from ..streaming.ingest import last_of_batch, load, new_rows, sync_state
 from ..streaming.marks import marks
@@ -365,6 +366,19 @@ def load_marks(spark: SparkSession, d: str) -> DataFrame:
     return sync_state(_loaded(spark, d)[1], SINCE)
 
 
+def attempts_limited(spark: SparkSession, d: str) -> DataFrame:
+    """The events as attempts of their types: a stream in which ten are allowed in the
+    six hours that the first one opens."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", attempts.PROVIDER)
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    at = F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col("ts"))
+    rows = attempts.limited(e.select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), at.alias("at_us")), 6 * 3600)
+    out = work_path(spark, "attempts")
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "attempts-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).drop("at_us")
+
+
 def data_type_list(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("data_type").distinct()
 
@@ -494,7 +508,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_hour_sum, bucket_day_avg, bucket_hour_preferred, summary_metrics, points_page, points_deep, points_cursor, points_count, artifact_flags, interpolate_gap2, interpolate_gap3, baseline,
         anomaly_days, anomaly_recent_top8, training_load, sleep_consistency, readiness_parts, readiness, decompose_days, decompose_weekdays, decompose_strength,
         correlation_pairs, line_fit, ridge_two, ridge_drivers, next_day_pairs, persistence_error, complete_cases, weekday_mix, share_of_total, anomalies_anti_join,
-        history_union, json_extract, json_readings, in_batch_last, incremental_load, load_report, load_marks, sync_marks, data_type_list, local_days, local_midnights, quantiles, forecast_tail, forecast_holt_winters, covariance_matrix, principal_axes, clusters, factors,
+        history_union, json_extract, json_readings, in_batch_last, incremental_load, load_report, load_marks, attempts_limited, sync_marks, data_type_list, local_days, local_midnights, quantiles, forecast_tail, forecast_holt_winters, covariance_matrix, principal_axes, clusters, factors,
         forest, gaussian_process, hidden_states, network, demo_frame, history_frame, findings, documents, forecast_history, states_with_factors, cluster_weekdays,
     )
 }
