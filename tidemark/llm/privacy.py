@@ -16,9 +16,12 @@ reaches `GENERALISE`; from `REMOVE` on it is removed, below that generalised to
 
 The patterns are searched once and their spans stored by text (a 64-bit hash of it),
 without the text itself; they join the rows again at the end, where AQE splits the
-hot keys of copies. Everything is counted with map-side combination. Only texts that hold an entity
-which another text holds too give pairs, each distinct term with each such entity,
-as no other can be confirmed. Tables are broadcast only while they are small. The
+hot keys of copies. Everything is counted with map-side combination. Only texts that hold
+an entity which another text holds too give pairs, as no other can be confirmed; entities
+of the same texts are one class, terms of the same texts another, and an entity's largest
+text gives no pairs of its own, so that long lists that are posted again don't multiply
+(they still do if each of a list's entities recurs in further texts of its own as well).
+Terms are placed in the texts that hold any by one fixed pattern for all words. Tables are broadcast only while they are small. The
 patterns are the contract's, written so that the JVM's engine takes linear time
 and constant stack on any text: each consumes what the plain pattern would, starts
 only where that one could, and counts before it matches.
@@ -32,7 +35,7 @@ replaces."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import BROADCAST_BYTES, small, stored
@@ -150,67 +153,91 @@ def found_in(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return stored(spans, "spans"), words.join(again, "copy", "left_anti").unionByName(repeated), n
 
 
-def _pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """entity, term, joint: how many texts hold both, two at least, for the entities
-    given."""
-    n, n_bytes = entities.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("entity")), F.lit(0))).first()
-    shared = mentions.select("copy", F.explode("entities").alias("entity")).join(small(entities.select("entity"), n_bytes + 32 * n), "entity")
-    shared = stored(shared.groupBy("copy").agg(F.collect_list("entity").alias("shared")), "shared")
-    terms = mentions.select("copy", "words").join(shared, "copy").select("shared", F.explode("words").alias("term"))
-    pairs = terms.select("term", F.explode("shared").alias("entity"))
-    return pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")).filter("joint > 1")
+def _classes(rows: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (copy, item): the items with their class, which all items of the same
+    texts share, and how many texts that is; and the texts of each class (copy, class)."""
+    of = lambda *seed: F.bit_xor(F.xxhash64("copy", *map(F.lit, seed)))
+    items = rows.groupBy(item).agg(F.count("*").alias("df"), of(1).alias("x"), of(2).alias("y"))
+    items = stored(items.filter("df > 1").select(item, "df", F.xxhash64("x", "y", "df").alias("class")), "classed")
+    n, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(item)), F.lit(0))).first()
+    held = rows.join(small(items.select(item, "class"), n_bytes + 32 * n), item).select("copy", "class").distinct()
+    return items, stored(held, "held")
+
+
+def _pairs(entities: DataFrame, terms: DataFrame) -> DataFrame:
+    """entity, term, joint: how many texts hold both of two classes, two at least.
+    entities, terms: copy, class. Of an entity's texts the one with the most terms gives
+    none, as a term of two texts is in another one too; it's asked for those of the
+    others alone."""
+    sizes = terms.groupBy("copy").agg(F.count("*").alias("k"))
+    sized = entities.join(sizes, "copy").select("copy", F.col("class").alias("entity"), "k")
+    largest = stored(sized.groupBy("entity").agg(F.max_by("copy", F.struct("k", "copy")).alias("largest")), "largest")
+    rest = sized.join(largest, "entity").filter("copy <> largest").select("copy", "entity")
+    rest = rest.join(terms.withColumnRenamed("class", "term"), "copy").groupBy("entity", "term").agg(F.count("*").alias("k"))
+    rest = stored(rest.join(largest, "entity"), "rest")
+    own = terms.select(F.col("copy").alias("largest"), F.col("class").alias("term"), F.lit(1).alias("own"))
+    joint = F.col("k") + F.coalesce("own", F.lit(0))
+    return rest.join(own, ["largest", "term"], "left").select("entity", "term", joint.alias("joint")).filter("joint > 1")
 
 
 def disclosing(mentions: DataFrame, words: DataFrame, total: int) -> DataFrame:
     """term, disclosure, action: the terms that reveal an entity, from what `found_in`
-    gives."""
-    entities = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    entities = stored(entities.filter("df_entity > 1"), "entities")
-    pairs = stored(_pairs(mentions, entities), "pairs")
-    candidates = pairs.select("term").distinct()
+    gives. Entities of the same texts are one class, and so are terms of the same texts
+    with entities: a list of addresses that is posted twice is one pair of classes."""
+    entities, of_entities = _classes(mentions.select("copy", F.explode("entities").alias("entity")), "entity")
+    near = mentions.select("copy", "words").join(of_entities.select("copy").distinct(), "copy", "left_semi")
+    terms, of_terms = _classes(near.select("copy", F.explode("words").alias("term")), "term")
+    pairs = stored(_pairs(of_entities, of_terms), "pairs")
+    frequency = entities.select(F.col("class").alias("entity"), F.col("df").alias("df_entity")).distinct()
+    found = stored(pairs.join(frequency, "entity").select(F.col("term").alias("class"), "joint", "df_entity").distinct(), "found")
+    candidates = stored(terms.join(found.select("class").distinct(), "class", "left_semi").select("term", "class"), "candidates")
     n, n_bytes = candidates.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     if not n:
-        return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
+        return candidates.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
     every = words.select(F.explode("words").alias("term"))
     if n_bytes + 32 * n <= BROADCAST_BYTES:  # beyond it all words are counted, and the join is of counts
-        every = every.join(F.broadcast(candidates), "term", "left_semi")
+        every = every.join(F.broadcast(candidates.select("term")), "term", "left_semi")
     df = every.groupBy("term").agg(F.count("*").alias("df_term"))
-    scored = pairs.join(entities, "entity").join(df, "term").filter((F.col("df_entity") < total) & (F.col("joint") >= SHARE * F.col("df_term")))
+    scored = candidates.join(df, "term").join(found, "class").filter((F.col("df_entity") < total) & (F.col("joint") >= SHARE * F.col("df_term")))
     joint, term, entity, others = F.col("joint") - 1, F.col("df_term") - 1, F.col("df_entity") - 1, total - 1
     scored = scored.withColumn("d", F.log(joint * others / (term * entity)) / F.log(F.lit(others) / entity))
     best = scored.groupBy("term").agg(F.max("d").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
     return stored(best.withColumn("action", F.when(F.col("disclosure") >= REMOVE, F.lit("remove")).otherwise("generalise")), "terms")
 
 
+def _spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """copy, terms: where the texts (copy, text) hold terms (term, action). The words of
+    each text are found by one pattern and placed by a running sum of their lengths."""
+    n, n_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    found = F.arrays_zip(F.split("text", WORD, -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
+    rows = texts.select("copy", F.posexplode(found).alias("i", "x")).select("copy", "i", F.length("x.gap").alias("gap"), "x.word")
+    before = Window.partitionBy("copy").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    long = F.coalesce(F.length("word"), F.lit(0))
+    rows = rows.withColumn("end", F.sum(F.col("gap") + long).over(before).cast("int")).withColumn("term", F.lower("word"))
+    rows = rows.join(small(terms.select("term", "action"), n_bytes + 64 * n), "term")
+    span = F.struct((F.col("end") - F.length("word")).alias("start"), F.col("end"), F.col("action"))
+    return rows.groupBy("copy").agg(F.array_sort(F.collect_list(span)).alias("found"))
+
+
 def _marked(docs: DataFrame, mentions: DataFrame, words: DataFrame, terms: DataFrame) -> DataFrame:
-    """docs with base and `held`, the disclosing terms among its words."""
+    """docs with base and `terms`, the spans of disclosing terms outside the base spans;
+    the value says what to do with one."""
     n, n_bytes = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     if n:
-        held = words.select("copy", F.explode("words").alias("term")).join(small(terms.select("term", "action"), n_bytes + 64 * n), "term")
-        held = held.groupBy("copy").agg(F.collect_set(F.struct("term", "action")).alias("held"))
-        marks = mentions.select("copy", "base").join(held, "copy", "full")
+        # the texts that hold any are fetched once each, however many copies they have
+        held = words.select("copy", F.explode("words").alias("term")).join(small(terms.select("term"), n_bytes + 32 * n), "term", "left_semi").select("copy").distinct()
+        texts = stored(docs.select("copy", "text").join(stored(held, "holding").hint("shuffle_hash"), "copy", "left_semi").dropDuplicates(["copy"]), "texts")
+        marks = mentions.select("copy", "base").join(_spans(texts, terms), "copy", "full")
     else:
-        marks = mentions.select("copy", "base", F.array().cast("array<struct<term:string,action:string>>").alias("held"))
-    marks = stored(marks, "marks")
-    parts = F.coalesce(F.size("base"), F.lit(0)) + F.coalesce(F.size("held"), F.lit(0))
+        marks = mentions.select("copy", "base", F.array().cast("array<struct<start:int,end:int,action:string>>").alias("found"))
+    apart = F.filter("found", lambda s: ~F.exists(F.coalesce("base", F.array().cast(SPAN)), lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    found = F.transform(apart, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["action"].alias("value")))
+    marks = stored(marks.select("copy", "base", found.alias("terms")), "marks")
+    parts = F.coalesce(F.size("base"), F.lit(0)) + F.coalesce(F.size("terms"), F.lit(0))
     rows, spans = marks.agg(F.count("*"), F.coalesce(F.sum(parts), F.lit(0))).first()
     marks = F.broadcast(marks) if 64 * rows + 96 * spans <= BROADCAST_BYTES else marks.hint("shuffle_hash")  # grows with the documents
-    return docs.join(marks, "copy", "left").withColumn("base", F.coalesce("base", F.array().cast(SPAN)))
-
-
-def with_terms(docs: DataFrame) -> DataFrame:
-    """docs with `terms`: the spans of the terms held, outside the base spans; the
-    value says what to do with one."""
-    names = F.transform("held", lambda h: h["term"])
-    docs = docs.withColumn("_pattern", F.when(F.size("held") > 0, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}])"))))
-    docs = docs.withColumn("_matches", F.when(F.col("_pattern").isNotNull(), F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))))
-    docs = docs.withColumn("_parts", F.when(F.size("_matches") > 0, F.split("text", F.col("_pattern"), -1)))
-    docs = docs.withColumn("_between", F.transform("_parts", lambda p: F.length(p))).withColumn("_own", F.transform("_matches", lambda m: F.length(m)))
-    spans = _located("term", F.col("_matches"))
-    action = lambda s: F.get(F.filter("held", lambda h: h["term"] == F.lower(s["value"])), F.lit(0))["action"]
-    spans = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(action(s), F.lit("generalise")).alias("value")))
-    apart = F.filter(spans, lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return docs.withColumn("terms", F.coalesce(F.when(F.size("_matches") > 0, apart), F.array().cast(SPAN))).drop("_pattern", "_matches", "_parts", "_between", "_own")
+    none = F.array().cast(SPAN)
+    return docs.join(marks, "copy", "left").withColumn("base", F.coalesce("base", none)).withColumn("terms", F.coalesce("terms", none))
 
 
 def _joined(spans: Column) -> Column:
@@ -226,6 +253,6 @@ def sanitised(documents: DataFrame) -> DataFrame:
     own = F.struct(*(c for c in documents.columns if c not in ("text", *RESULTS)))
     docs = documents.select(own.alias("own"), F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
     mentions, words, total = found_in(docs)
-    out = with_terms(_marked(docs, mentions, words, disclosing(mentions, words, total)))
+    out = _marked(docs, mentions, words, disclosing(mentions, words, total))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("own.*", _cleaned().alias("text"), *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "terms")).alias("spans"))
