@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations_with_replacement, permutations
 
-from ..registry import ANOMALY_METRICS, BASELINE_METRICS, FACTOR_METRICS, FORECAST_METRICS, GP_METRICS, METRICS, SUMMARY, SYNCABLE_TYPES
+from ..registry import ANOMALY_METRICS, ATTRIBUTIONS, BASELINE_METRICS, FACTOR_METRICS, FORECAST_METRICS, GP_METRICS, METRICS, SUMMARY, SYNCABLE_TYPES
 from ..sources.adapters import EVENT_TYPES, HISTORY_DAYS, HISTORY_UNTIL, PRIORITY_TYPES, SEVENTHS
 from .queries import DRIVERS, POINTS
 
@@ -160,8 +160,8 @@ def _determinant(cells: list[list[str]]) -> str:
     return "(" + " ".join(terms) + ")"
 
 
-def ridge(target: str, drivers: tuple[str, ...]) -> str:
-    """CTEs up to rd: ridge coefficients of the next day's target by Cramer's rule."""
+def ridge(target: str, drivers: tuple[str, ...], lag: int = 1) -> str:
+    """CTEs up to rd: ridge coefficients of the target `lag` days on by Cramer's rule."""
     k = range(len(drivers))
     corr = lambda a, b: "1.0" if a == b else f"r{min(a, b)}{max(a, b)}"
     cells = [[f"(k * {corr(i, j)}" + (" + 1)" if i == j else ")") for j in k] for i in k]
@@ -171,13 +171,49 @@ def ridge(target: str, drivers: tuple[str, ...]) -> str:
     both = " + ".join(f"b{i} * b{j} * k * {corr(i, j)}" for i in k for j in k)
     size = " + ".join(f"abs(b{i})" for i in k)
     rows = " UNION ALL ".join(f"SELECT entity_id, '{d}' driver, b{i} beta, b{i} * sy / s{i} effect_per_unit, abs(b{i}) / ({size}) share, r2, n FROM rf" for i, d in enumerate(drivers))
-    return f"""rn AS (SELECT entity_id, lead({target}) OVER (PARTITION BY entity_id ORDER BY idx) y, {", ".join(f"{d} x{i}" for i, d in enumerate(drivers))} FROM f),
+    return f"""rn AS (SELECT entity_id, lead({target}, {lag}) OVER (PARTITION BY entity_id ORDER BY idx) y, {", ".join(f"{d} x{i}" for i, d in enumerate(drivers))} FROM f),
 rg AS (SELECT entity_id, count(*) n, count(*) - 1 AS k, stddev_samp(y) sy, {", ".join(f"stddev_samp(x{i}) s{i}, corr(x{i}, y) y{i}" for i in k)}, {", ".join(f"corr(x{i}, x{j}) r{i}{j}" for i in k for j in k if i < j)} FROM rn WHERE y IS NOT NULL AND {" AND ".join(f"x{i} IS NOT NULL" for i in k)} GROUP BY 1 HAVING count(*) >= 14),
 rb AS (SELECT *, {", ".join(beta)} FROM rg), rf AS (SELECT *, greatest(0, 1 - (k - 2 * ({fit}) + {both}) / k) r2 FROM rb), rd AS ({rows})"""
 
 
 _PAIRS = [(a, b) for i, a in enumerate(("steps", "active_minutes", "sleep_minutes", "hrv")) for b in ("steps", "active_minutes", "sleep_minutes", "hrv")[i + 1 :]]
 
+SHALLOW = HISTORY_FRAME.replace("f AS (", "f0 AS (", 1) + ", f AS (SELECT * REPLACE (idx - 30 AS idx) FROM f0 WHERE idx >= 30)"
+READINESS = """fin AS (SELECT entity_id, sum(score * weight) / sum(CASE WHEN score IS NOT NULL THEN weight END) score, coalesce(sum(CASE WHEN score IS NOT NULL THEN weight END), 0) coverage FROM y GROUP BY 1)"""
+
+
+def _label(column: str) -> str:
+    return _case(column, {m.name: m.label for m in METRICS})
+
+
+def _findings() -> str:
+    """The rules over layers that SQL has, each a query of its own."""
+
+    def strength(metric: str) -> str:
+        sql = DECOMPOSED.replace(ORDER_FRAME, SHALLOW).replace(long(("steps",)), long((metric,)))
+        return f"({sql} SELECT entity_id, '{metric}' metric, greatest(0, 1 - var_pop(residual) / var_pop(detr)) strength, arg_min(weekday, seasonal) weakest FROM x GROUP BY 1)"
+
+    def driver(target: str, drivers: tuple[str, ...], lag: int) -> str:
+        best = "(SELECT * FROM rd QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY abs(beta) DESC, driver) = 1)"
+        return f"{SHALLOW}, {ridge(target, drivers, lag)} SELECT entity_id, 6::INTEGER, 'driver-{target}-{lag}', {_label('driver')} || ' pulls ' || lower({_label(f"'{target}'")}) || CASE WHEN beta > 0 THEN ' up' ELSE ' down' END, 'neutral' FROM {best} WHERE abs(beta) > 0.1 AND r2 > 0.1"
+
+    drift, days = "(ewma_fast - ewma_slow) / mad", "['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday']"
+    minutes, hours = "CAST(floor(m % 60 + 0.5) AS INTEGER)", "CAST(floor(m / 60) AS INTEGER)"
+    rules = [
+        f"""{PARTS.replace(ORDER_FRAME, SHALLOW)}, {READINESS} SELECT entity_id, 1::INTEGER, 'readiness', printf('Readiness %d of 100: %s', CAST(floor(score + 0.5) AS INTEGER), band), CASE band WHEN 'push' THEN 'good' WHEN 'rest' THEN 'warn' ELSE 'neutral' END
+FROM (SELECT *, CASE WHEN score < 35 THEN 'rest' WHEN score < 55 THEN 'easy' WHEN score < 75 THEN 'steady' ELSE 'push' END band FROM fin WHERE score IS NOT NULL)""",
+        f"""{ANOMALY.replace(ORDER_FRAME, SHALLOW)} SELECT entity_id, 2::INTEGER, 'anomaly', {_label('metric')} || ' on ' || strftime(date, '%-d %b') || printf(': %.1f deviations ', abs(z)) || direction || ' its usual range', 'warn'
+FROM a WHERE concerning AND date >= DATE '{HISTORY_UNTIL}' - 14 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY abs(z) DESC, date DESC, metric) = 1""",
+        f"{SHALLOW}, {LOAD} SELECT entity_id, 3::INTEGER, 'load', CASE WHEN acute / chronic > 1.4 THEN 'Load is rising fast' ELSE 'Load is falling off' END, 'warn' FROM ld WHERE acute / chronic > 1.4 OR acute / chronic < 0.7",
+        f"{SHALLOW}, {baseline(BASELINE_METRICS)} SELECT entity_id, 4::INTEGER, 'trend', {_label('metric')} || ' is drifting ' || CASE WHEN {drift} > 0 THEN 'up' ELSE 'down' END, 'neutral' FROM b WHERE mad > 0 AND abs({drift}) > 0.75 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY abs({drift}) DESC, metric) = 1",
+        f"WITH st AS {strength('steps')}, sm AS {strength('sleep_minutes')} SELECT entity_id, 5::INTEGER, 'weekday', {_label('metric')} || ' dips on ' || {days}[weakest + 1] || 's', 'neutral' FROM (SELECT * FROM st UNION ALL SELECT * FROM sm WHERE entity_id NOT IN (SELECT entity_id FROM st)) WHERE strength > 0.15",
+        *(driver(*a) for a in ATTRIBUTIONS),
+        f"""{SHALLOW.replace('WITH', 'WITH RECURSIVE', 1)}, {holt_winters(('sleep_minutes',))} SELECT entity_id, 7::INTEGER, 'forecast-sleep', 'Next week''s nights are put at ' || printf('%dh %02dm', {hours} + CASE WHEN {minutes} = 60 THEN 1 ELSE 0 END, CASE WHEN {minutes} = 60 THEN 0 ELSE {minutes} END), CASE WHEN m >= 420 THEN 'good' ELSE 'warn' END
+FROM (SELECT entity_id, avg(value) m FROM fc WHERE metric = 'sleep_minutes' GROUP BY 1)""",
+    ]
+    return " UNION ALL ".join(f"SELECT * FROM ({r}) t(entity_id, ord, id, headline, tone)" for r in rules)
+
+
 SQL = {
     "frame_daily": f"WITH {events()}, {DAILY} SELECT {_rounded('entity_id data_type day *total *avg n', 8)} FROM d",
     "frame_daily_window": f"WITH {events()}, {DAILY} SELECT {_rounded('entity_id data_type day *total *avg n', 8)} FROM d",
@@ -253,6 +289,7 @@ SELECT 0::INTEGER run, data_type, w1 written, s1 skipped FROM w JOIN s USING (da
     "forecast_tail": f"{ORDER_FRAME}, {long(GP_METRICS)}, i AS ({filled('l', 'entity_id, metric', 2)}) SELECT entity_id, metric, date, round(filled, 4) AS value FROM i WHERE filled IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id, metric ORDER BY idx DESC) <= 42",
     "covariance_matrix": f"{HISTORY_FRAME}, whole AS (SELECT * FROM f WHERE {' AND '.join(f'{m} IS NOT NULL' for m in FACTOR_METRICS)}) " + " UNION ALL ".join(f"SELECT entity_id, '{a}' a, '{b}' b, round(covar_samp({a}, {b}) / 1e6, 5) covariance, round(corr({a}, {b}), 5) correlation, count(*) n FROM whole GROUP BY 1" for a, b in _UPPER),
     "principal_axes": f"{HISTORY_FRAME}, whole AS (SELECT * FROM f WHERE {' AND '.join(f'{m} IS NOT NULL' for m in FACTOR_METRICS)}), s AS (" + " UNION ALL ".join(f"SELECT entity_id, count(*) n, {1 if a == b else 2} * pow(corr({a}, {b}), 2) r FROM whole GROUP BY 1" for a, b in _UPPER) + f") SELECT entity_id, n, round({len(FACTOR_METRICS)}.0, 6) trace, round(sum(r), 6) squares, round(0.0, 6) residual, round(0.0, 6) tilt FROM s GROUP BY 1, 2 HAVING count(r) = {len(FACTOR_METRICS) * (len(FACTOR_METRICS) + 1) // 2}",
+    "findings_relational": _findings(),
     "forecast_holt_winters": f"{ORDER_FRAME.replace('WITH', 'WITH RECURSIVE', 1)}, {holt_winters(FORECAST_METRICS)} SELECT entity_id, metric, day, {', '.join(f'round({c}, 3) {c}' for c in ('value', 'lower80', 'upper80', 'lower95', 'upper95', 'rmse'))} FROM fc",
     "history_frame": f"{HISTORY_FRAME} SELECT {_rounded(WIDE)} FROM f",
     "forecast_history": f"""{HISTORY_FRAME.replace('WITH', 'WITH RECURSIVE', 1).replace('f AS (', 'f0 AS (', 1)}, f AS (SELECT * REPLACE (idx - 30 AS idx) FROM f0 WHERE idx >= 30), {holt_winters(('steps',))},

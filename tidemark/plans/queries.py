@@ -472,6 +472,12 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
     return _insights(spark, d).findings()
 
 
+def findings_relational(spark: SparkSession, d: str) -> DataFrame:
+    """The findings of the layers that are relational work: readiness, anomaly, load,
+    trend, weekday, drivers and the forecast of sleep. The others' plans fall away."""
+    return _insights(spark, d).findings().filter("ord <= 7").select("entity_id", "ord", "id", "headline", "tone")
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return _insights(spark, d).documents()
 
@@ -509,6 +515,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         anomaly_days, anomaly_recent_top8, training_load, sleep_consistency, readiness_parts, readiness, decompose_days, decompose_weekdays, decompose_strength,
         correlation_pairs, line_fit, ridge_two, ridge_drivers, next_day_pairs, persistence_error, complete_cases, weekday_mix, share_of_total, anomalies_anti_join,
         history_union, json_extract, json_readings, in_batch_last, incremental_load, load_report, load_marks, attempts_limited, sync_marks, data_type_list, local_days, local_midnights, quantiles, forecast_tail, forecast_holt_winters, covariance_matrix, principal_axes, clusters, factors,
-        forest, gaussian_process, hidden_states, network, demo_frame, history_frame, findings, documents, forecast_history, states_with_factors, cluster_weekdays,
+        forest, gaussian_process, hidden_states, network, demo_frame, history_frame, findings, findings_relational, documents, forecast_history, states_with_factors, cluster_weekdays,
     )
 }
