@@ -268,7 +268,7 @@ SELECT entity_id, 'steps' driver, round(ba, 6) beta, round(abs(ba) / (abs(ba) +
 SELECT {_kind(lambda t, *_: f"'{t}'")} data_type, CASE form WHEN 2 THEN date_trunc('day', ts)::TIMESTAMP ELSE date_trunc('second', ts) END start_time,
 CASE WHEN form IN (0, 3, 4) THEN date_trunc('second', ts) + INTERVAL 30 MINUTE END end_time, {_kind(lambda t, f, value, unit: f"CAST({value} AS DOUBLE)")} AS value,
 CASE WHEN {_kind(lambda t, f, value, unit: f"CAST({value} AS DOUBLE)")} IS NOT NULL THEN {_kind(lambda t, f, value, unit: f"'{unit}'")} END unit, CASE WHEN n % 3 = 0 THEN 'PRIMARY' ELSE 'unknown' END source FROM e""",
-    "points_deep": f"WITH {events()} SELECT row_number() OVER (ORDER BY start_time DESC, entity_id, source, value DESC NULLS LAST) rank, entity_id, start_time, source, value FROM r WHERE data_type = 'steps' AND start_time >= {SINCE} AND start_time < {UNTIL} QUALIFY rank BETWEEN 1001 AND 1025",
+    "points_deep": f"WITH {events()} SELECT row_number() OVER (ORDER BY start_time DESC, entity_id, source, value DESC NULLS LAST) rank, entity_id, start_time, source, value FROM r WHERE data_type = 'steps' QUALIFY rank BETWEEN 176 AND 200",
     "points_cursor": f"WITH {events(7)} SELECT row_number() OVER (ORDER BY start_time DESC, entity_id, source, value DESC NULLS LAST) rank, entity_id, start_time, source, value FROM r WHERE data_type = 'steps' AND start_time >= {SINCE} AND start_time < {UNTIL} QUALIFY rank BETWEEN 31 AND 70",
     "attempts_limited": """WITH RECURSIVE e AS (SELECT event_type AS key, event_id id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) rn FROM events),
 w AS (SELECT key, id, ts, rn, ts + INTERVAL 6 HOUR ends, 1 n FROM e WHERE rn = 1 UNION ALL

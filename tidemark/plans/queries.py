@@ -133,8 +133,8 @@ def points_page(spark: SparkSession, d: str) -> DataFrame:
 
 def points_deep(spark: SparkSession, d: str) -> DataFrame:
     """A page that many readings come before, with its rows' ranks."""
-    page = reads.points(_events(spark, d), "steps", SINCE, UNTIL, page=40, limit=25)
-    rank = F.row_number().over(Window.orderBy(*reads.order())) + 1000  # of a page's rows
+    page = reads.points(_events(spark, d), "steps", page=7, limit=25)
+    rank = F.row_number().over(Window.orderBy(*reads.order())) + 175  # of a page's rows
     return page.select(rank.cast("long").alias("rank"), "entity_id", "start_time", "source", "value")
 
 
