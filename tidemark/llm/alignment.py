@@ -131,14 +131,18 @@ def _groups(merged: Column) -> Column:
     id_of = lambda x: x.bitwiseAND(ID).cast("int")
     ids = lambda g, side: F.transform(F.filter(g, lambda x: x.bitwiseAND(SIDE) == side), id_of)
 
-    def group(start: Column, end: Column) -> Column:
+    def group(m: Column, start: Column, end: Column) -> Column:
         # most groups are one token of each side
-        pair = F.struct(F.array(id_of(F.get(merged, start))).alias("a"), F.array(id_of(F.get(merged, start + 1))).alias("b"))
-        wide = _let(F.slice(merged, start + 1, end - start), lambda g: F.struct(ids(g, 0).alias("a"), ids(g, SIDE).alias("b")))
+        pair = F.struct(F.array(id_of(F.get(m, start))).alias("a"), F.array(id_of(F.get(m, start + 1))).alias("b"))
+        wide = _let(F.slice(m, start + 1, end - start), lambda g: F.struct(ids(g, 0).alias("a"), ids(g, SIDE).alias("b")))
         return F.when(end - start == 2, pair).otherwise(wide)
 
-    at = F.filter(F.transform(merged, lambda x, i: F.when(x.bitwiseAND(MARK) != 0, i)), lambda i: i.isNotNull())
-    return _let(at, lambda at: F.transform(at, lambda p, k: _let(F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0)), lambda s: group(s, p))))
+    def cut(m: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i).bitwiseAND(MARK) != 0)
+        starts = lambda at: F.concat(F.array(F.lit(0)), F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda p: p + 1))
+        return _let(at, lambda at: F.zip_with(starts(at), at, lambda s, p: group(m, s, p)))
+
+    return F.when(F.size(merged) > 0, _let(merged, cut)).otherwise(F.array().cast("array<struct<a:array<int>,b:array<int>>>"))
 
 
 def aligned(documents: DataFrame, a_path: str, b_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
