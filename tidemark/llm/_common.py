@@ -39,7 +39,18 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     lost executor costs a re-read and not a re-computation."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def freed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, and has the driver collect
+    garbage, upon which Spark removes the shuffle files of finished steps."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def small(df: DataFrame, n_bytes: int) -> DataFrame:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, chunks, stored
+from ._common import LOWER, chunks, freed, stored
 from .families import linked_families
 
 WORDS, NUM, DEN = 5, 80, 100
@@ -297,7 +297,7 @@ def candidates(documents: DataFrame, total: int, n: int, num: int, den: int, sma
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         combine = _Combiner(small)
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, 1_500_000):
                 seen, sigs, fps = set(), [], []
                 for t in batch.column("text").to_pylist():
                     s = shingles(t, n)
@@ -340,14 +340,14 @@ def candidates(documents: DataFrame, total: int, n: int, num: int, den: int, sma
 
 
 def verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The links (a, b) among pairs (a, b) of fingerprints, by their whole sets."""
+    """The links (a, b) among pairs (a, b) of fingerprints, by their whole sets; stored."""
     size = lambda s: sets.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("row").alias(f"row_{s}"))
     known = pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b")
     near = F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num
     known = stored(known.filter(near).select("a", "b", "row_a", "row_b"), "pairs")
     needed = known.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
     texts = documents.select(row_key().alias("row"), "text").filter("text IS NOT NULL").join(needed.hint("shuffle_hash"), "row", "left_semi")
-    texts = stored(texts.dropDuplicates(["row"]), "texts")
+    texts = stored(texts.dropDuplicates(["row"]), "texts", compression="zstd")
     # a set with many partners goes to several tasks, once each; its partners follow it
     many = known.groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") > PARTNERS)
     block = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("k", F.lit(1)) / PARTNERS)).alias("block")
@@ -369,7 +369,9 @@ def verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, n: int, nu
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     both = both.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long").distinct()
+    links = stored(both.mapInArrow(run, "a long, b long").distinct(), "verified")
+    freed(documents.sparkSession, texts)  # they're as large as the documents
+    return links
 
 
 def _contracted(links: DataFrame, blocks: int) -> DataFrame:
@@ -439,7 +441,7 @@ def _of_texts(documents: DataFrame, wanted: DataFrame, sets: DataFrame, n: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, 1_500_000):
                 found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
                 for t in batch.column("text").to_pylist():
                     s, ordered = in_order(t, n)
@@ -477,6 +479,7 @@ def rooted_rows(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int =
     sets = stored(sets, "classes")
     total = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     pairs = stored(candidates(documents, total, n, num, den, small), "candidates")
+    freed(documents.sparkSession)  # the signatures' shuffle
     # each set with the partner that shares most signatures, then the pairs still apart
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     roots = components(verified(first.select("a", "b"), sets, documents, n, num, den))
