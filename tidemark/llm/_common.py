@@ -45,9 +45,11 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def freed(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more, and has the driver collect
+    """Deletes tables that nothing reads any more, if they were stored, and has the driver collect
     garbage, upon which Spark removes the shuffle files of finished steps."""
     for t in tables:
+        if not hasattr(t, "_stored"):
+            continue
         path = spark._jvm.org.apache.hadoop.fs.Path(t._stored)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     spark._jvm.System.gc()

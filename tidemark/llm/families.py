@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small, stored
+from ._common import freed, small, stored
 
 #: None of these changes the result: sets of a group that are joined, levels above that,
 #: segments, contents of a segment that are compared, classes of s and w, signatures of a
@@ -89,7 +89,7 @@ def _differences(kin: DataFrame, hashes: DataFrame) -> DataFrame:
                 out = [pa.array([f[0] for f in found], pa.list_(pa.int64())), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (1, 2))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "fp", "size", "root")), *out], names=["family", "fp", "size", "root", "elem", "place", "runs"])
 
-    return stored(both.mapInArrow(run, "family long, fp long, size long, root long, elem array<long>, place array<int>, runs array<int>"), "differences")
+    return stored(both.mapInArrow(run, "family long, fp long, size long, root long, elem array<long>, place array<int>, runs array<int>"), "differences", compression="zstd")
 
 
 def _starred(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +121,7 @@ def _alive(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = stored(_elements(rows).groupBy("family", "elem").agg(F.count("*").alias("k"), F.min("fp").alias("fp"), F.min("place").alias("place")), "elements")
     own = known.filter("k = 1").groupBy("family", "fp").agg(F.count("*").alias("w"))
     rows = rows.join(own, ["family", "fp"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
-    rows = stored(rows.withColumn("s", F.size("elem").cast("long") - F.col("w")), "described")
+    rows = stored(rows.withColumn("s", F.size("elem").cast("long") - F.col("w")), "described", compression="zstd")
     facts = stored(rows.groupBy("family").agg(F.ceil((F.max("h") + 1) / CLASSES).alias("step"), F.max("h").alias("most")), "steps")
     classed = _by_family(rows.select("family", "w", "s", "root", "outer"), facts, 24).filter(F.col("w") <= F.col("most"))
     by = classed.groupBy("family", "step", F.floor(F.col("w") / F.col("step")).alias("w"), F.floor(F.col("s") / F.col("step")).alias("s"))
@@ -138,7 +138,9 @@ def _alive(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = rows.join(small(classes, n_bytes), "family").withColumn("partners", F.filter("classes", near))
     kept = kept.withColumn("least", F.array_min(F.transform("partners", lambda c: (c["w"] + c["s"]) * F.col("step"))))
     kept = kept.filter(F.size("partners") > 0).drop("classes", "step", "partners")
-    return stored(kept, "kept"), known.filter("k > 1").select("family", "elem", "k", "place")
+    kept = stored(kept, "kept", compression="zstd")
+    freed(kept.sparkSession, rows)
+    return kept, known.filter("k > 1").select("family", "elem", "k", "place")
 
 
 def _contents(kept: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,12 +287,19 @@ def linked_families(found: DataFrame, hashes_for: Callable[[DataFrame], DataFram
     signature. found: fp, size, root, sigs; hashes_for gives fp and hashes, in their
     text's order, of the sets (fp) that are in a family at all."""
     kin = stored(_groups(found.select(F.lit(0).cast("long").alias("family"), F.explode("sigs").alias("key"), "fp", "size", "root")), "kin")
+    sizes = stored(found.select("fp", "size"), "sizes")
+    freed(sizes.sparkSession, found)  # its signatures
     hashes = hashes_for(kin.select("fp").distinct())
     sure, pairs = [], []
     for level in range(levels):
-        links, rows = _starred(_differences(kin, hashes), num, den)
-        sure.append(links)
-        kept, known = _alive(stored(rows, "starred"))
+        # each of these tables holds the differences, so none stays longer than it's read
+        differences = _differences(kin, hashes)
+        links, rows = _starred(differences, num, den)
+        sure.append(stored(links, "sure"))
+        rows = stored(rows, "starred", compression="zstd")
+        freed(sizes.sparkSession, differences)
+        kept, known = _alive(rows)
+        freed(sizes.sparkSession, rows)
         if kept.isEmpty():
             break
         elements, contents = _contents(kept, known)
@@ -322,7 +331,7 @@ def linked_families(found: DataFrame, hashes_for: Callable[[DataFrame], DataFram
     out = reduce(DataFrame.unionByName, sure)
     if not pairs:
         return out
-    sets = hashes.join(found.select("fp", "size"), "fp")
+    sets = hashes.join(sizes, "fp")
     of = lambda s: sets.select(F.col("fp").alias(s), F.col("size").alias(f"size_{s}"), F.col("hashes").alias(f"hashes_{s}"))
     close = stored(reduce(DataFrame.unionByName, pairs).distinct(), "close")
     both = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")

@@ -451,7 +451,7 @@ def _of_texts(documents: DataFrame, wanted: DataFrame, sets: DataFrame, n: int,
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *out], names=["fp", *columns])
 
     schema = ", ".join(["fp long", *(f"{c} {types[c]}" for c in columns)])
-    return stored(docs.select("text").mapInArrow(run, schema).dropDuplicates(["fp"]), "members")
+    return stored(docs.select("text").mapInArrow(run, schema).dropDuplicates(["fp"]), "members", compression="zstd")
 
 
 def members_of(documents: DataFrame, members: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -490,7 +490,9 @@ def rooted_rows(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int =
     big = pairs.filter("big")
     if not big.isEmpty():
         members = big.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        found_sets = stored(_rooted(members_of(documents, members, sets, n, num, den), roots, "fp", "root"), "rooted")
+        signed = members_of(documents, members, sets, n, num, den)
+        found_sets = stored(_rooted(signed, roots, "fp", "root"), "rooted", compression="zstd")
+        freed(documents.sparkSession, signed)
         roots = _joined(roots, linked_families(found_sets, lambda wanted: hashes_of(documents, wanted, sets, n), num, den))
     held = _rooted(sets, roots, "fp", "root")
     smallest = held.groupBy("root").agg(F.min("rep").alias("component"))
