@@ -21,7 +21,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RULES = [
     urls.Rule("block", "com", "/en/"),
     urls.Rule("allow", "example.com", "/en/7"),
-    urls.Rule("block", "net", "/de/"),
+    urls.Rule("allow", "net", "/de/"),
     urls.Rule("block", "example.net", "/de/8"),
     urls.Rule("block", "org", "/es/"),
 ]
