@@ -632,6 +632,38 @@ def test_no_table_of_a_hot_family_grows_with_its_pairs(spark, monkeypatch, make)
     assert not grown and sizes[600].get("close", 0) < 20 * 600 and len(set(c for _, c in got.values())) > 100
 
 
+@pytest.mark.parametrize("columns", [1 << 14, 7])
+def test_least_difference_of_contents_against_a_loop(monkeypatch, columns):
+    monkeypatch.setattr(families, "COLUMNS", columns, raising=False)
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        sets = [set(rng.integers(-30, 30, rng.integers(1, 40)).tolist()) for _ in range(rng.integers(1, 12))]
+        owner, elem = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)]), np.concatenate([list(s) for s in sets])
+        order = rng.permutation(len(owner))
+        assert families.least_apart(owner[order], elem[order]) == min((len(a ^ b) for i, a in enumerate(sets) for b in sets[:i]), default=None)
+
+
+def test_contents_of_a_form_make_no_pairs_and_differences_many_files(spark, monkeypatch):
+    """A segment's contents aren't joined with each other by their elements, and what a
+    task reads of a family's differences is bounded."""
+    plans, files = [], {}
+
+    def seen(df, name, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = real(df, name, **options)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    real = families.stored
+    monkeypatch.setattr(families, "stored", seen)
+    monkeypatch.setattr(families, "PER_FILE", 10, raising=False)
+    texts = list(dict.fromkeys(form_letters(200, random.Random(7))))
+    found = hot_sets(spark, texts)
+    families.linked_families(found.drop("hashes"), lambda wanted: found.join(wanted, "fp", "left_semi").select("fp", "hashes"), 85, 100).count()
+    assert "contents" in files and not any(re.search(r"Join .*seg#\d+.*elem#.*elem#", line) and "v#" in plan and "v_x" in plan for plan in plans for line in plan.splitlines())
+    assert files["differences"] >= len(texts) // 10
+
+
 def test_schemes_agree_in_all_but_q_parts():
     for floors, same, sets, most in [([8] * 12, [0.2] * 12, 4000, 31), ([1, 2, 3], [0.5] * 3, 10, 3), ([5] * 3, [0.9] * 3, 100, 100), ([4] * 8, [0.1] * 8, 100, -1)]:
         q, part = families.scheme(floors, same, sets, most)

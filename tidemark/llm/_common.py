@@ -34,7 +34,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     """df written to the shared folder and read again. Lineage ends there, so a
     lost executor costs a re-read and not a re-computation."""
     path = new_path(df.sparkSession, name)

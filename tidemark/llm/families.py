@@ -45,6 +45,11 @@ from ._common import freed, small, stored
 #: set at most, the size at which a family's cost is taken if it is smaller, and the cost
 #: beyond which a scheme isn't worth it.
 DENSE, LEVELS, CUTS, CONTENTS, CLASSES, CHOICES, TYPICAL, DEAREST = 64, 6, 24, 64, 32, 1000, 8192, 500
+#: Elements that contents are compared by at once.
+COLUMNS = 1 << 14
+#: Sets of a file of differences at most, so that a task that takes their elements apart
+#: reads few of them.
+PER_FILE = 1000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -89,7 +94,7 @@ def _differences(kin: DataFrame, hashes: DataFrame) -> DataFrame:
                 out = [pa.array([f[0] for f in found], pa.list_(pa.int64())), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (1, 2))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "fp", "size", "root")), *out], names=["family", "fp", "size", "root", "elem", "place", "runs"])
 
-    return stored(both.mapInArrow(run, "family long, fp long, size long, root long, elem array<long>, place array<int>, runs array<int>"), "differences", compression="zstd")
+    return stored(both.mapInArrow(run, "family long, fp long, size long, root long, elem array<long>, place array<int>, runs array<int>"), "differences", compression="zstd", maxRecordsPerFile=PER_FILE)
 
 
 def _starred(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +126,7 @@ def _alive(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = stored(_elements(rows).groupBy("family", "elem").agg(F.count("*").alias("k"), F.min("fp").alias("fp"), F.min("place").alias("place")), "elements")
     own = known.filter("k = 1").groupBy("family", "fp").agg(F.count("*").alias("w"))
     rows = rows.join(own, ["family", "fp"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
-    rows = stored(rows.withColumn("s", F.size("elem").cast("long") - F.col("w")), "described", compression="zstd")
+    rows = stored(rows.withColumn("s", F.size("elem").cast("long") - F.col("w")), "described", compression="zstd", maxRecordsPerFile=PER_FILE)
     facts = stored(rows.groupBy("family").agg(F.ceil((F.max("h") + 1) / CLASSES).alias("step"), F.max("h").alias("most")), "steps")
     classed = _by_family(rows.select("family", "w", "s", "root", "outer"), facts, 24).filter(F.col("w") <= F.col("most"))
     by = classed.groupBy("family", "step", F.floor(F.col("w") / F.col("step")).alias("w"), F.floor(F.col("s") / F.col("step")).alias("s"))
@@ -138,7 +143,7 @@ def _alive(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = rows.join(small(classes, n_bytes), "family").withColumn("partners", F.filter("classes", near))
     kept = kept.withColumn("least", F.array_min(F.transform("partners", lambda c: (c["w"] + c["s"]) * F.col("step"))))
     kept = kept.filter(F.size("partners") > 0).drop("classes", "step", "partners")
-    kept = stored(kept, "kept", compression="zstd")
+    kept = stored(kept, "kept", compression="zstd", maxRecordsPerFile=PER_FILE)
     freed(kept.sparkSession, rows)
     return kept, known.filter("k > 1").select("family", "elem", "k", "place")
 
@@ -153,6 +158,41 @@ def _contents(kept: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return elements, stored(elements.groupBy("family", "fp", "seg").agg(F.bit_xor(F.xxhash64("elem")).alias("v"), F.count("*").alias("n")), "contents")
 
 
+def least_apart(owner: np.ndarray, elem: np.ndarray) -> int | None:
+    """In how many elements two of the sets differ at least; set owner[i] has elem[i]."""
+    m, (_, place) = int(owner.max()) + 1, np.unique(elem, return_inverse=True)
+    if m < 2:
+        return None
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both, sizes = np.zeros((m, m)), np.bincount(owner, minlength=m)
+    for k in range(0, int(place[-1]) + 1, COLUMNS):
+        i, j = np.searchsorted(place, [k, k + COLUMNS])
+        has = np.zeros((m, COLUMNS), np.float32)
+        has[owner[i:j], place[i:j] - k] = 1
+        both += has @ has.T
+    apart = sizes[:, None] + sizes[None] - 2 * both
+    return int(apart[~np.eye(m, dtype=bool)].min())
+
+
+def _least_apart(shown: DataFrame) -> DataFrame:
+    """family, seg, common: in how many elements two contents (v) of a segment differ at
+    least. A segment's contents, `CONTENTS` at most, meet in one row: no pairs are made."""
+    held = shown.groupBy("family", "seg", "v").agg(F.collect_list("elem").alias("elems"))
+    held = held.groupBy("family", "seg").agg(F.collect_list("elems").alias("elems"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(whole.num_rows):
+                batch = whole.slice(i, 1)
+                sets = batch.column("elems").flatten()
+                owner = np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy(zero_copy_only=False))
+                least = least_apart(owner, sets.flatten().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("seg"), pa.array([least], pa.int64())], names=["family", "seg", "common"])
+
+    return held.mapInArrow(run, "family long, seg int, common long")
+
+
 def scheme(floors: list[int], same: list[float], sets: int, most: int) -> tuple[int, list[int]]:
     """(q, part of each segment) of least cost: pairs within `most` differences agree in
     all but q parts. floors: how much different contents of a segment differ at least;
@@ -188,9 +228,7 @@ def _schemes(kept: DataFrame, elements: DataFrame, contents: DataFrame) -> tuple
     segs = values.groupBy("family", "seg").agg(F.count("*").alias("values"), F.sum("k").alias("filled"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.min("n").alias("least"))
     few = segs.filter(F.col("values") <= CONTENTS).select("family", "seg")
     shown = stored(values.join(few, ["family", "seg"]).select("family", "seg", "v", "n", "fp").join(elements.select("family", "fp", "seg", "elem"), ["family", "fp", "seg"]).drop("fp"), "shown")
-    side = lambda s: shown.select("family", "seg", "elem", F.col("v").alias(f"v_{s}"), F.col("n").alias(f"n_{s}"))
-    both = side("x").join(side("y"), ["family", "seg", "elem"]).filter("v_x < v_y").groupBy("family", "seg", "v_x", "v_y", "n_x", "n_y").agg(F.count("*").alias("both"))
-    common = both.groupBy("family", "seg").agg(F.min(F.col("n_x") + F.col("n_y") - 2 * F.col("both")).alias("common"))
+    common = _least_apart(shown)
     segs = _by_family(segs, facts, 48).join(common, ["family", "seg"], "left")
     empty = F.col("sets") - F.col("filled")
     apart = F.when(empty > 0, F.col("least")).otherwise(2 * F.col("least"))
@@ -296,7 +334,7 @@ def linked_families(found: DataFrame, hashes_for: Callable[[DataFrame], DataFram
         differences = _differences(kin, hashes)
         links, rows = _starred(differences, num, den)
         sure.append(stored(links, "sure"))
-        rows = stored(rows, "starred", compression="zstd")
+        rows = stored(rows, "starred", compression="zstd", maxRecordsPerFile=PER_FILE)
         freed(sizes.sparkSession, differences)
         kept, known = _alive(rows)
         freed(sizes.sparkSession, rows)
