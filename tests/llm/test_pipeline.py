@@ -2,9 +2,11 @@
 
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline as P
 from tidemark.llm import near
-from tidemark.llm._common import read, stored
+from tidemark.llm._common import BATCH_BYTES, read, stored
 
 
 def test_stages_act_on_what_came_before(spark, sf):
@@ -44,3 +46,16 @@ def test_stages_take_an_empty_table(spark, sf):
         docs = stored(stage(spark, docs, sf), f"empty-{name}")
         assert docs.count() == 0
     assert P.STAGES[-1][1](spark, docs, sf).count() == 0
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    text = "some words of a text " * 1000
+    docs = spark.range(800).selectExpr("id AS doc_id", f"'{text}' AS text", "'en' AS lang", "'s' AS source", f"{len(text)}L AS n_chars").coalesce(1)
+    P.language_stage(spark, docs, "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 16_000_000 and max(found) < 1.5 * BATCH_BYTES

@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Data of at most so many bytes is broadcast; anything larger is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: A batch of rows that a task hands to Python holds about so many bytes, where the session sets nothing else.
+BATCH_BYTES = 4 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -60,7 +63,16 @@ def small(df: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task holds of its rows at once, on both sides of the way to Python: Spark's
+    own bound is 64 MB, so that a batch would be the whole of a task's part of a file."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -145,7 +157,7 @@ def segment_sum(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def chunks(batch: pa.RecordBatch, n_chars: int = 3_000_000, column: str = "text") -> Iterable[pa.RecordBatch]:
     """Slices of the batch with about n_chars of text each, so that working
     arrays stay small where texts are long."""
-    lengths = np.array([len(t or "") for t in batch.column(column).to_pylist()], dtype=np.int64)
+    lengths = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     if lengths.sum() <= n_chars:
         yield batch
         return
