@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,27 @@ def test_repeated_rows_and_no_rows(spark):
     got = alignment.counted(alignment.aligned(df, A, B)).collect()
     assert len(got) == 2 and all(r["count_sum"] == 2 * r["n_links"] for r in got)
     assert alignment.counted(alignment.aligned(rows(spark, []), A, B)).collect() == []
+
+
+def test_groups_are_laid_out_without_a_lambda_for_each_token(spark):
+    rng = np.random.default_rng(13)
+    texts, sides = [0, 1, 40, 0, 300, 7, 0], ([], [])
+    for n in texts:
+        for side in sides:
+            ends = np.sort(rng.choice(np.arange(1, n), rng.integers(0, n), replace=False)) if n > 1 else np.zeros(0, int)
+            side.append(np.append(ends, n) if n else ends)
+    ids = [[rng.integers(0, 1 << 16, len(e)).astype(np.int32) for e in side] for side in sides]
+    starts = np.cumsum([0, *texts[:-1]])
+    a_ends, b_ends = (np.concatenate([e + s for e, s in zip(side, starts, strict=True)]).astype(np.int64) for side in sides)
+    got = alignment.laid_out(*map(np.concatenate, ids), a_ends, b_ends, np.array([len(x) for x in ids[0]])).to_pylist()
+    for k in range(len(texts)):
+        (a, b), (ea, eb) = (ids[0][k], ids[1][k]), (sides[0][k], sides[1][k])
+        cuts = sorted(set(ea) & set(eb))
+        groups = [tuple(x[(e > lo) & (e <= hi)].tolist() for x, e in ((a, ea), (b, eb))) for lo, hi in zip([0, *cuts], cuts, strict=False)]
+        single = [g for g in groups if len(g[0]) == len(g[1]) == 1]
+        assert got[k]["ids"] == [i for x, y in groups for i in (*x, alignment.END_A, *y, alignment.END_B)]
+        assert (got[k]["a"], got[k]["b"]) == ([x for (x,), _ in single], [y for _, (y,) in single])
+        assert [(g["a"], g["b"]) for g in got[k]["others"]] == [g for g in groups if g not in single]
+    held = alignment.aligned(rows(spark, TEXTS), A, B).withColumn("text", alignment.digest(F.col("groups")))
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "sort_array" not in plan and "array_intersect" not in plan

@@ -104,7 +104,8 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = alignment.aligned(documents, TOKENIZER, PIECES)
-    sha = F.when(F.size("groups") > 0, F.sha2(alignment.digest(F.col("groups")), 256)).otherwise("")
+    groups = F.col("groups")
+    sha = F.when(alignment.n_groups(groups) > 0, F.sha2(alignment.digest(groups), 256)).otherwise("")
     out = alignment.counted(rows.withColumn("groups_sha256", sha))
     return out.select("own.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
