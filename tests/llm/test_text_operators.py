@@ -643,6 +643,27 @@ def test_least_difference_of_contents_against_a_loop(monkeypatch, columns):
         assert families.least_apart(owner[order], elem[order]) == min((len(a ^ b) for i, a in enumerate(sets) for b in sets[:i]), default=None)
 
 
+def test_the_elements_of_a_family_are_stored_once(spark, monkeypatch):
+    """Of sets that rule each other out by their own elements, no table but that of the
+    differences holds the elements."""
+    held = {}
+
+    def seen(df, name, **options):
+        out = real(df, name, **options)
+        if "elem" in out.columns:
+            elements = F.explode("elem") if dict(out.dtypes)["elem"].startswith("array") else F.col("elem")
+            held[name] = out.select(elements.alias("e")).filter("e IS NOT NULL").count()
+        return out
+
+    real = families.stored
+    monkeypatch.setattr(families, "stored", seen)
+    texts = list(dict.fromkeys(template_copies(200, random.Random(7))))
+    found = hot_sets(spark, texts)
+    families.linked_families(found.drop("hashes"), lambda wanted: found.join(wanted, "fp", "left_semi").select("fp", "hashes"), 85, 100).count()
+    most = held.pop("differences")
+    assert most > 1000 and all(n < most / 2 for n in held.values()), (most, held)
+
+
 def test_contents_of_a_form_make_no_pairs_and_differences_many_files(spark, monkeypatch):
     """A segment's contents aren't joined with each other by their elements, and what a
     task reads of a family's differences is bounded."""

@@ -80,7 +80,7 @@ def difference(own: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _differences(kin: DataFrame, hashes: DataFrame) -> DataFrame:
-    """kin (family, hub, fp, size, root) with elem, place and runs of each set."""
+    """kin (family, hub, fp, size, root) with elem, place and runs of each set, and n elements."""
     hubs = stored(kin.select(F.col("hub").alias("fp")).distinct().join(hashes, "fp").select(F.col("fp").alias("hub"), F.col("hashes").alias("head")), "hubs")
     n_bytes = hubs.agg(F.coalesce(F.sum(8 * F.size("head")), F.lit(0))).first()[0]
     both = kin.join(hashes, "fp").join(small(hubs, n_bytes), "hub").select("family", "fp", "size", "root", "hashes", "head")
@@ -91,22 +91,23 @@ def _differences(kin: DataFrame, hashes: DataFrame) -> DataFrame:
                 batch = whole.slice(k, 500)
                 of = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)]  # noqa: B023, E731
                 found = [difference(x, h) for x, h in zip(of("hashes"), of("head"), strict=True)]
-                out = [pa.array([f[0] for f in found], pa.list_(pa.int64())), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (1, 2))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "fp", "size", "root")), *out], names=["family", "fp", "size", "root", "elem", "place", "runs"])
+                out = [pa.array([len(f[0]) for f in found], pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.int64())), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (1, 2))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "fp", "size", "root")), *out], names=["family", "fp", "size", "root", "n", "elem", "place", "runs"])
 
-    return stored(both.mapInArrow(run, "family long, fp long, size long, root long, elem array<long>, place array<int>, runs array<int>"), "differences", compression="zstd", maxRecordsPerFile=PER_FILE)
+    return stored(both.mapInArrow(run, "family long, fp long, size long, root long, n long, elem array<long>, place array<int>, runs array<int>"), "differences", compression="zstd", maxRecordsPerFile=PER_FILE)
 
 
-def _starred(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Sure links, and the rows of families that aren't done by them, with root (after
-    these links), outer (not the centre's root) and h (differences a link may have)."""
-    rows = rows.withColumn("e", F.size("elem").cast("long") * (den + num) - F.col("size") * (den - num))
+def _starred(differences: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Sure links, and the sets of families that aren't done by them, without their
+    elements: family, fp, size, n, root (after these links), outer (not the centre's root)
+    and h (differences a link may have)."""
+    rows = differences.select("family", "fp", "size", "root", "n").withColumn("e", F.col("n") * (den + num) - F.col("size") * (den - num))
     facts = stored(rows.groupBy("family").agg(F.min(F.struct("e", "fp", "root")).alias("centre"), F.max("size").alias("largest")), "centres")
     rows = _by_family(rows, facts, 64).withColumn("sure", F.col("e") + F.col("centre.e") <= 0)
     links = rows.filter(F.col("sure") & (F.col("root") != F.col("centre.root"))).select(F.col("centre.fp").alias("a"), F.col("fp").alias("b"))
     root = F.when(F.col("sure"), F.col("centre.root")).otherwise(F.col("root"))
     h = F.floor((F.col("size") + F.least("largest", F.col("size") * den / num)) * (den - num) / (den + num)).cast("long")
-    rows = rows.select("family", "fp", "size", root.alias("root"), (root != F.col("centre.root")).alias("outer"), h.alias("h"), "elem", "place", "runs")
+    rows = rows.select("family", "fp", "size", root.alias("root"), (root != F.col("centre.root")).alias("outer"), h.alias("h"), "n")
     left = rows.filter("outer").select("family").distinct()
     return links, _by_family(rows, stored(left, "left"), 16, "left_semi")
 
@@ -120,13 +121,19 @@ def _within(w: Column, s: Column) -> Column:
     return w + s <= F.least("h_x", "h_y")
 
 
-def _alive(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows that can have a link at all, with w and s; and the elements that more
-    than one set has: family, elem, k (how many have it), place."""
-    known = stored(_elements(rows).groupBy("family", "elem").agg(F.count("*").alias("k"), F.min("fp").alias("fp"), F.min("place").alias("place")), "elements")
+def _alive(rows: DataFrame, differences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that can have a link at all, with w, s and their differences; and what is
+    known of elements: family, k (how many sets have it), and elem and place if k > 1, else
+    fp. Until then rows go without their elements, which are nearly all of a family's bytes."""
+    families = stored(rows.select("family").distinct(), "families")
+    known = _elements(_by_family(differences, families, 16, "left_semi")).groupBy("family", "elem")
+    known = known.agg(F.count("*").alias("k"), F.min("fp").alias("fp"), F.min("place").alias("place"))
+    shared = lambda c: F.when(F.col("k") > 1, F.col(c)).alias(c)
+    known = stored(known.select("family", "k", F.when(F.col("k") == 1, F.col("fp")).alias("fp"), shared("elem"), shared("place")), "elements", compression="zstd")
     own = known.filter("k = 1").groupBy("family", "fp").agg(F.count("*").alias("w"))
     rows = rows.join(own, ["family", "fp"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
-    rows = stored(rows.withColumn("s", F.size("elem").cast("long") - F.col("w")), "described", compression="zstd", maxRecordsPerFile=PER_FILE)
+    rows = stored(rows.withColumn("s", F.col("n") - F.col("w")).drop("n"), "described")
+    freed(rows.sparkSession)  # the elements' shuffle
     facts = stored(rows.groupBy("family").agg(F.ceil((F.max("h") + 1) / CLASSES).alias("step"), F.max("h").alias("most")), "steps")
     classed = _by_family(rows.select("family", "w", "s", "root", "outer"), facts, 24).filter(F.col("w") <= F.col("most"))
     by = classed.groupBy("family", "step", F.floor(F.col("w") / F.col("step")).alias("w"), F.floor(F.col("s") / F.col("step")).alias("s"))
@@ -143,16 +150,16 @@ def _alive(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = rows.join(small(classes, n_bytes), "family").withColumn("partners", F.filter("classes", near))
     kept = kept.withColumn("least", F.array_min(F.transform("partners", lambda c: (c["w"] + c["s"]) * F.col("step"))))
     kept = kept.filter(F.size("partners") > 0).drop("classes", "step", "partners")
-    kept = stored(kept, "kept", compression="zstd", maxRecordsPerFile=PER_FILE)
-    freed(kept.sparkSession, rows)
-    return kept, known.filter("k > 1").select("family", "elem", "k", "place")
+    kept = stored(kept, "alive")
+    kept = differences.select("family", "fp", "elem", "place", "runs").join(small(kept, 80 * kept.count()), ["family", "fp"])
+    return stored(kept, "kept", compression="zstd", maxRecordsPerFile=PER_FILE), known
 
 
 def _contents(kept: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """family, fp, elem, k, seg of the kept sets' shared elements; and family, fp, seg,
     v (a hash of the content), n (its elements)."""
     cuts = kept.select("family", F.explode("runs").alias("r")).groupBy("family").agg(F.array_distinct(F.percentile_approx("r", [k / CUTS for k in range(CUTS)], 10_000)).alias("cuts"))
-    elements = _elements(kept).drop("place").join(known, ["family", "elem"])
+    elements = _elements(kept).drop("place").join(known.filter("k > 1").drop("fp"), ["family", "elem"])
     elements = _by_family(elements, stored(cuts, "cuts"), 4 * CUTS + 32)
     elements = stored(elements.withColumn("seg", F.size(F.filter("cuts", lambda c: c <= F.col("place")))).drop("cuts", "place"), "placed")
     return elements, stored(elements.groupBy("family", "fp", "seg").agg(F.bit_xor(F.xxhash64("elem")).alias("v"), F.count("*").alias("n")), "contents")
@@ -330,17 +337,18 @@ def linked_families(found: DataFrame, hashes_for: Callable[[DataFrame], DataFram
     hashes = hashes_for(kin.select("fp").distinct())
     sure, pairs = [], []
     for level in range(levels):
-        # each of these tables holds the differences, so none stays longer than it's read
+        # the one table of all differences; it stays no longer than it's read
         differences = _differences(kin, hashes)
         links, rows = _starred(differences, num, den)
         sure.append(stored(links, "sure"))
-        rows = stored(rows, "starred", compression="zstd", maxRecordsPerFile=PER_FILE)
+        rows = stored(rows, "starred")
+        freed(sizes.sparkSession)  # the shuffles of hashes
+        kept, known = _alive(rows, differences)
         freed(sizes.sparkSession, differences)
-        kept, known = _alive(rows)
-        freed(sizes.sparkSession, rows)
         if kept.isEmpty():
             break
         elements, contents = _contents(kept, known)
+        freed(sizes.sparkSession, known)
         schemes, floors = _schemes(kept, elements, contents)
         keys = _chosen(kept, contents, schemes).unionByName(_rarest(kept, elements, schemes))
         about = kept.select("family", "fp", "size", "root", "outer", "h", "w", "s").join(_sizes(contents), ["family", "fp"], "left")

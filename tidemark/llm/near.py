@@ -345,6 +345,7 @@ def verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, n: int, nu
     known = pairs.select("a", "b").join(size("a"), "a").join(size("b"), "b")
     near = F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num
     known = stored(known.filter(near).select("a", "b", "row_a", "row_b"), "pairs")
+    freed(documents.sparkSession)  # the shuffles of the steps before, which the last query may still have held
     needed = known.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
     texts = documents.select(row_key().alias("row"), "text").filter("text IS NOT NULL").join(needed.hint("shuffle_hash"), "row", "left_semi")
     texts = stored(texts.dropDuplicates(["row"]), "texts", compression="zstd")
