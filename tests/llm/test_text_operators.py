@@ -664,6 +664,30 @@ def test_the_elements_of_a_family_are_stored_once(spark, monkeypatch):
     assert most > 1000 and all(n < most / 2 for n in held.values()), (most, held)
 
 
+def test_sets_of_few_other_roots_are_joined_without_their_elements(spark, monkeypatch):
+    """Groups of mostly the same sets are one family, and where few sets have another root
+    than the others, their elements aren't compared; all links are still found."""
+    held = {}
+
+    def seen(df, name, **options):
+        out = real(df, name, **options)
+        held[name] = held.get(name, 0) + out.count()
+        return out
+
+    real = families.stored
+    monkeypatch.setattr(families, "stored", seen)
+    texts = list(dict.fromkeys(template_copies(150, random.Random(7))))
+    found = hot_sets(spark, texts)
+    roots = {r["fp"]: r["fp"] if i % 15 == 0 else 0 for i, r in enumerate(found.select("fp").collect())}
+    found = found.drop("root").join(spark.createDataFrame(list(roots.items()), "fp long, root long"), "fp")
+    links = families.linked_families(found.drop("hashes"), lambda wanted: found.join(wanted, "fp", "left_semi").select("fp", "hashes"), 85, 100).collect()
+    assert held["kin"] < 1.5 * len(texts) and not held.get("placed"), held
+    sets = {near.fingerprint(s): s for s in (near.shingles(t, 4) for t in texts)}
+    want = {x for x in sets if roots[x] and any(roots[y] != roots[x] and near.linked(sets[x], sets[y], 85, 100) for y in sets)}
+    got = {x for r in links for x in (r["a"], r["b"]) if roots[x]}
+    assert got == want and len(want) > 2, (len(got), len(want))
+
+
 def test_contents_of_a_form_make_no_pairs_and_differences_many_files(spark, monkeypatch):
     """A segment's contents aren't joined with each other by their elements, and what a
     task reads of a family's differences is bounded."""

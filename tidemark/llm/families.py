@@ -19,8 +19,10 @@ set is described by its difference d to the hub, so that sets x, y differ in
    has a signature for each choice of g - q parts. g comes from a cost model: signatures
    emitted, and pairs expected from the frequencies of the segments' contents.
    Where no choice is possible, the rarest common elements of d are keys (prefix filter).
-4. Groups of a key of up to `DENSE` sets are joined where roots differ and 2. allows it,
-   also with s and f taken segment by segment; denser ones are families of their own, whose members agree in the key's parts.
+4. In a group of a key, sets of other roots than the most usual one meet all its sets, as
+   two of that root needn't. Groups with up to `DENSE` of them are joined where roots differ and 2.
+   allows it, also with s and f taken segment by segment, so that a row meets `DENSE` others at most;
+   denser ones are families of their own, whose members agree in the key's parts.
 
 Any assignment of elements to segments gives right results; a poor one only costs more.
 After `LEVELS` levels groups are joined as they are, which a family can only reach by
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ._common import freed, small, stored
 
-#: None of these changes the result: sets of a group that are joined, levels above that,
+#: None of these changes the result: sets that each one of a group is joined with, levels above that,
 #: segments, contents of a segment that are compared, classes of s and w, signatures of a
 #: set at most, the size at which a family's cost is taken if it is smaller, and the cost
 #: beyond which a scheme isn't worth it.
@@ -122,9 +124,9 @@ def _within(w: Column, s: Column) -> Column:
 
 
 def _alive(rows: DataFrame, differences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows that can have a link at all, with w, s and their differences; and what is
+    """The rows that can have a link at all, with w and s, without their elements; and what is
     known of elements: family, k (how many sets have it), and elem and place if k > 1, else
-    fp. Until then rows go without their elements, which are nearly all of a family's bytes."""
+    fp."""
     families = stored(rows.select("family").distinct(), "families")
     known = _elements(_by_family(differences, families, 16, "left_semi")).groupBy("family", "elem")
     known = known.agg(F.count("*").alias("k"), F.min("fp").alias("fp"), F.min("place").alias("place"))
@@ -150,9 +152,35 @@ def _alive(rows: DataFrame, differences: DataFrame) -> tuple[DataFrame, DataFram
     kept = rows.join(small(classes, n_bytes), "family").withColumn("partners", F.filter("classes", near))
     kept = kept.withColumn("least", F.array_min(F.transform("partners", lambda c: (c["w"] + c["s"]) * F.col("step"))))
     kept = kept.filter(F.size("partners") > 0).drop("classes", "step", "partners")
-    kept = stored(kept, "alive")
-    kept = differences.select("family", "fp", "elem", "place", "runs").join(small(kept, 80 * kept.count()), ["family", "fp"])
-    return stored(kept, "kept", compression="zstd", maxRecordsPerFile=PER_FILE), known
+    return stored(kept, "alive"), known
+
+
+def _mixed_roots(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The groups (by) of several roots: k sets, the usual root, how many have others, and a
+    hash of the members."""
+    found = rows.groupBy(*by, "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("members")).groupBy(*by)
+    found = found.agg(F.sum("n").alias("k"), F.max_by("root", F.struct("n", "root")).alias("usual"), (F.sum("n") - F.max("n")).alias("others"), F.bit_xor("members").alias("members"))
+    return found.filter("others > 0")
+
+
+def _met(rows: DataFrame, groups: DataFrame, by: list[str], floors: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of sets of different roots that meet in the groups (by, with their usual
+    root) and may link, as far as w, s and, with floors, sizes tell. The side that is held
+    for each group has only sets of other roots than the usual one."""
+    shared = rows.join(groups.select(*by, "usual"), by).withColumn("outer", F.col("root") != F.col("usual"))
+    columns = ("fp", "root", "outer", "h", "w", "s", *(["sizes"] if floors else []))
+    side = lambda rows, s: rows.select(*by, *(F.col(c).alias(f"{c}_{s}") for c in columns))
+    few = side(shared.filter("outer"), "x")
+    both = side(shared, "y").join(_by_family(few, floors, 4 * CUTS + 32, "left") if floors else few, by)
+    once = ~F.col("outer_y") | (F.col("fp_x") < F.col("fp_y"))
+    own = F.col("w_x") + F.col("w_y")
+    both = both.filter((F.col("root_x") != F.col("root_y")) & once & _within(own, F.abs(F.col("s_x") - F.col("s_y"))))
+    if floors:
+        differ = lambda x, y: F.when(x == y, 0).otherwise(F.abs(F.shiftright(x, 8) - F.shiftright(y, 8)))
+        floor = F.zip_with(F.zip_with("sizes_x", "sizes_y", lambda x, y: F.when(x != y, 1).otherwise(0)), F.coalesce("floors", F.array_repeat(F.lit(1), CUTS + 1)), lambda n, f: n * f)
+        apart = F.aggregate(F.zip_with(F.zip_with("sizes_x", "sizes_y", differ), floor, lambda a, b: F.greatest(a, b)), F.lit(0), lambda n, x: n + x)
+        both = both.filter(_within(own, apart))
+    return both.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b")).distinct()
 
 
 def _contents(kept: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -311,11 +339,19 @@ def _rarest(kept: DataFrame, elements: DataFrame, schemes: DataFrame) -> DataFra
 
 def _groups(kin: DataFrame) -> DataFrame:
     """family, hub, fp, size, root of the groups (family, key) of several roots: their
-    sets around the one that is in most groups, groups of one hub together."""
+    sets around the one that is in most groups, groups of one hub together. Any set can be
+    a group's hub; groups of mostly the same sets take one, as a set is described and
+    compared in every family that it's in: each set names the hub of most of its groups,
+    and a group takes the one that most of its sets name."""
     mixed = kin.groupBy("family", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("family", "key")
     rows = stored(kin.join(mixed, ["family", "key"]), "mixed")
     weight = rows.groupBy("family", "fp").agg(F.count("*").alias("weight"))
-    hubs = rows.join(weight, ["family", "fp"]).groupBy("family", "key").agg(F.max_by("fp", F.struct("weight", -F.col("fp"))).alias("hub"))
+    heaviest = F.max_by(F.struct("fp", "weight"), F.struct("weight", -F.col("fp")))
+    hubs = rows.join(weight, ["family", "fp"]).groupBy("family", "key").agg(heaviest.alias("hub"))
+    named = rows.select("family", "key", "fp").join(hubs, ["family", "key"]).groupBy("family", "fp", "hub").agg(F.count("*").alias("n"))
+    named = stored(named.groupBy("family", "fp").agg(F.max_by("hub.fp", F.struct("n", "hub.weight", -F.col("hub.fp"))).alias("hub")), "named")
+    hubs = rows.select("family", "key", "fp").join(named, ["family", "fp"]).groupBy("family", "key", "hub").agg(F.count("*").alias("n"))
+    hubs = hubs.groupBy("family", "key").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
     return rows.join(hubs, ["family", "key"]).select(F.xxhash64("family", "hub").alias("family"), "hub", "fp", "size", "root").distinct()
 
 
@@ -343,9 +379,17 @@ def linked_families(found: DataFrame, hashes_for: Callable[[DataFrame], DataFram
         sure.append(stored(links, "sure"))
         rows = stored(rows, "starred")
         freed(sizes.sparkSession)  # the shuffles of hashes
-        kept, known = _alive(rows, differences)
+        alive, known = _alive(rows, differences)
+        # families of few other roots are joined as they are, without their elements
+        mixed = stored(_mixed_roots(alive, ["family"]), "roots")
+        pairs.append(stored(_met(alive, mixed.filter(F.col("others") <= dense), ["family"]), "met"))
+        dearer = mixed.filter(F.col("others") > dense).select("family")
+        alive = stored(_by_family(alive, dearer, 16, "left_semi"), "dearer")
+        kept = differences.select("family", "fp", "elem", "place", "runs").join(small(alive, 80 * alive.count()), ["family", "fp"])
+        kept = stored(kept, "kept", compression="zstd", maxRecordsPerFile=PER_FILE)
         freed(sizes.sparkSession, differences)
         if kept.isEmpty():
+            freed(sizes.sparkSession, known)
             break
         elements, contents = _contents(kept, known)
         freed(sizes.sparkSession, known)
@@ -353,23 +397,11 @@ def linked_families(found: DataFrame, hashes_for: Callable[[DataFrame], DataFram
         keys = _chosen(kept, contents, schemes).unionByName(_rarest(kept, elements, schemes))
         about = kept.select("family", "fp", "size", "root", "outer", "h", "w", "s").join(_sizes(contents), ["family", "fp"], "left")
         keys = stored(keys.join(about, ["family", "fp"]).withColumn("sizes", F.coalesce("sizes", F.array_repeat(F.lit(0), CUTS + 1))), "keys")
-        by = keys.groupBy("family", "key").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outer").alias("any"), F.bit_xor(F.xxhash64("fp")).alias("members"))
-        by = stored(by, "groups").filter("k > 1 AND lo <> hi AND any")
-        shared = keys.join(by.select("family", "key", "k", "members"), ["family", "key"])
+        by = stored(_mixed_roots(keys, ["family", "key"]), "groups")
         last = level == levels - 1
-        joined = shared if last else shared.filter(F.col("k") <= dense)
-        side = lambda rows, s: rows.select("family", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "root", "outer", "h", "w", "s", "sizes")))
-        left = _by_family(side(joined.filter("outer"), "x"), floors, 4 * CUTS + 32, "left")
-        both = left.join(side(joined, "y"), ["family", "key"])
-        once = ~F.col("outer_y") | (F.col("fp_x") < F.col("fp_y"))
-        both = both.filter((F.col("root_x") != F.col("root_y")) & once & _within(F.col("w_x") + F.col("w_y"), F.abs(F.col("s_x") - F.col("s_y"))))
-        differ = lambda x, y: F.when(x == y, 0).otherwise(F.abs(F.shiftright(x, 8) - F.shiftright(y, 8)))
-        floor = F.zip_with(F.zip_with("sizes_x", "sizes_y", lambda x, y: F.when(x != y, 1).otherwise(0)), F.coalesce("floors", F.array_repeat(F.lit(1), CUTS + 1)), lambda n, f: n * f)
-        apart = F.aggregate(F.zip_with(F.zip_with("sizes_x", "sizes_y", differ), floor, lambda a, b: F.greatest(a, b)), F.lit(0), lambda n, x: n + x)
-        both = both.filter(_within(F.col("w_x") + F.col("w_y"), apart))
-        pairs.append(both.select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b")).distinct())
+        pairs.append(_met(keys, by if last else by.filter(F.col("others") <= dense), ["family", "key"], floors))
         # keys of the same sets count once
-        over = by.filter(F.col("k") > dense).groupBy("family", "members", "k").agg(F.min("key").alias("key")).select("family", "key")
+        over = by.filter(F.col("others") > dense).groupBy("family", "members", "k").agg(F.min("key").alias("key")).select("family", "key")
         if last or over.isEmpty():
             break
         over = keys.join(over, ["family", "key"])
