@@ -709,6 +709,58 @@ def test_contents_of_a_form_make_no_pairs_and_differences_many_files(spark, monk
     assert files["differences"] >= len(texts) // 10
 
 
+def lined(n, rng, words=400):
+    """Texts of their own with one common passage, each eighth with a near copy."""
+    common, out = [f"c{i}" for i in range(80)], []
+    for k in range(n):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(words)]
+        out.append(" ".join(w[:100] + common + w[100:]))
+        if k % 8 == 0:
+            out.append(" ".join(w[:100] + common + w[100:-3]))
+    return out
+
+
+def test_texts_of_a_common_passage_are_no_family(spark, monkeypatch):
+    """Texts that share a passage share signatures, and have too many elements of their own
+    for a link: they aren't described by their differences."""
+    held = {}
+
+    def seen(df, name, **options):
+        out = real(df, name, **options)
+        held[name] = held.get(name, 0) + (out.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if name == "differences" else out.count())
+        return out
+
+    real = near.stored
+    monkeypatch.setattr(near, "stored", seen)
+    monkeypatch.setattr(families, "stored", seen)
+    texts = lined(120, random.Random(5))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.classes(docs_of(spark, texts), 4, 85, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
+    assert held.get("differences", 0) == 0, held
+
+
+@pytest.mark.parametrize("share", [1, 0.3])
+def test_sets_with_a_link_to_another_root_are_accompanied(spark, share):
+    rng = random.Random(9)
+    texts = list(dict.fromkeys(lined(30, rng) + template_copies(60, rng) + [" ".join(f"x{i + j}" for j in range(40)) for i in range(0, 30, 2)] + ["a b", "a b c d"]))
+    sets = [near.shingles(t, 4) for t in texts]
+    for roots in ([near.fingerprint(s) for s in sets], [i // 2 for i in range(len(sets))]):
+        rows = [(i, near.fingerprint(s), len(s), r) for i, (s, r) in enumerate(zip(sets, roots, strict=True))]
+        docs = docs_of(spark, texts).unionByName(docs_of(spark, texts))  # repeated rows
+        keyed = docs.select("doc_id", near.row_key().alias("row")).distinct()
+        members = spark.createDataFrame(rows, "doc_id long, fp long, size long, root long").join(keyed, "doc_id")
+        got = {r["doc_id"] for r in near.accompanied(docs, members, 4, 85, 100, share).collect()}
+        linked = {x for i in range(len(sets)) for j in range(i) if roots[i] != roots[j] and near.linked(sets[i], sets[j], 85, 100) for x in (i, j)}
+        assert linked <= got and len(linked) > 20
+        if share == 1:
+            of = {}
+            for s, r in zip(sets, roots, strict=True):
+                for e in s.tolist():
+                    of.setdefault(e, set()).add(r)
+            shared = [sum(len(of[e]) > 1 for e in s.tolist()) for s in sets]
+            assert got == {i for i, s in enumerate(sets) if 100 * shared[i] >= 85 * len(s)} and len(got) < len(sets) - 20
+
+
 def test_schemes_agree_in_all_but_q_parts():
     for floors, same, sets, most in [([8] * 12, [0.2] * 12, 4000, 31), ([1, 2, 3], [0.5] * 3, 10, 3), ([5] * 3, [0.9] * 3, 100, 100), ([4] * 8, [0.1] * 8, 100, -1)]:
         q, part = families.scheme(floors, same, sets, most)

@@ -19,7 +19,11 @@ and only the hub goes on, so that no block grows with a hot group. A group of up
 the texts' whole sets, best pairs first: each set with the partner it shares most
 signatures with, then those whose ends aren't connected yet.
 
-What a large group's star leaves apart is settled exactly, without the group's pairs, by
+Before, sets leave that have too many lone elements, which no other set of a pair has (two
+sets that link share t of either): long texts share a signature with many others by a common
+line, and nothing else. Once roots are known, elements within one root are lone, too, as
+only pairs of different roots are left. What a
+large group's star leaves apart is settled exactly, without the group's pairs, by
 differences to one of its sets (see `families`): stars of sure links, sets that can have
 no other link, and signatures of segments of the differences.
 
@@ -40,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, chunks, freed, stored
+from ._common import LOWER, chunks, freed, small, stored
 from .families import linked_families
 
 WORDS, NUM, DEN = 5, 80, 100
@@ -346,8 +350,8 @@ def verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, n: int, nu
     near = F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num
     known = stored(known.filter(near).select("a", "b", "row_a", "row_b"), "pairs")
     freed(documents.sparkSession)  # the shuffles of the steps before, which the last query may still have held
-    needed = known.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct()
-    texts = documents.select(row_key().alias("row"), "text").filter("text IS NOT NULL").join(needed.hint("shuffle_hash"), "row", "left_semi")
+    needed = _few(known.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct(), 32 * known.count())
+    texts = documents.select(row_key().alias("row"), "text").filter("text IS NOT NULL").join(needed, "row", "left_semi")
     texts = stored(texts.dropDuplicates(["row"]), "texts", compression="zstd")
     # a set with many partners goes to several tasks, once each; its partners follow it
     many = known.groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") > PARTNERS)
@@ -436,8 +440,8 @@ def _rooted(rows: DataFrame, roots: DataFrame, column: str, to: str) -> DataFram
 def _of_texts(documents: DataFrame, wanted: DataFrame, sets: DataFrame, n: int, columns: dict[str, Callable[[np.ndarray, np.ndarray], object]], types: dict[str, str]) -> DataFrame:
     """fp and columns computed from the sets `wanted` (fp), sorted and in their texts'
     order; stored."""
-    chosen = wanted.join(sets.select("fp", "row"), "fp").select("row").distinct()
-    docs = documents.select(row_key().alias("row"), "text").join(chosen.hint("shuffle_hash"), "row", "left_semi")
+    chosen = stored(wanted.join(sets.select("fp", "row"), "fp").select("row").distinct(), "chosen")
+    docs = documents.select(row_key().alias("row"), "text").join(_few(chosen, 16 * chosen.count()), "row", "left_semi")
     kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,6 +459,97 @@ def _of_texts(documents: DataFrame, wanted: DataFrame, sets: DataFrame, n: int,
     return stored(docs.select("text").mapInArrow(run, schema).dropDuplicates(["fp"]), "members", compression="zstd")
 
 
+def _emitted(sets: list[tuple[int, int, np.ndarray]], buckets: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Of sets (fp, root, elements), by bucket of the elements: fps, roots, how many elements
+    each has there, and these. An element of several roots goes on with two of them alone."""
+    own = np.repeat(np.arange(len(sets)), [len(s) for _, _, s in sets])
+    fp, root = (np.array([x[i] for x in sets], np.int64) for i in (0, 1))
+    elem = np.concatenate([s for _, _, s in sets])
+    order = np.lexsort((root[own], elem))
+    elem, own = elem[order], own[order]
+    starts = _starts(elem)
+    sizes = np.diff(np.concatenate([starts, [len(elem)]]))
+    ends = starts + sizes - 1
+    keep = np.repeat(root[own[starts]] == root[own[ends]], sizes)
+    keep[starts] = keep[ends] = True
+    elem, own = elem[keep], own[keep]
+    bucket = (elem % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((own, bucket))
+    elem, own, bucket = elem[order], own[order], bucket[order]
+    runs = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])]))
+    n = np.diff(np.concatenate([runs, [len(elem)]]))
+    at, edges = _starts(bucket), np.concatenate([_starts(bucket), [len(bucket)]])
+    of = np.searchsorted(runs, edges)
+    fp, root, n = fp[own[runs]], root[own[runs]], n.astype(np.int32)
+    return [(int(bucket[i]), fp[a:b].tobytes(), root[a:b].tobytes(), n[a:b].tobytes(), elem[i:j].tobytes()) for i, j, a, b in zip(at, edges[1:], of[:-1], of[1:], strict=True)]
+
+
+def _lone(fp: np.ndarray, root: np.ndarray, elem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets and how many of their elements no set of another root has; rows may recur."""
+    order = np.lexsort((fp, elem))
+    fp, root, elem = fp[order], root[order], elem[order]
+    new = np.concatenate([[True], (elem[1:] != elem[:-1]) | (fp[1:] != fp[:-1])])
+    fp, root, elem = fp[new], root[new], elem[new]
+    starts = _starts(elem)
+    one = np.minimum.reduceat(root, starts) == np.maximum.reduceat(root, starts)
+    return np.unique(fp[np.repeat(one, np.diff(np.concatenate([starts, [len(elem)]])))], return_counts=True)
+
+
+def accompanied(documents: DataFrame, members: DataFrame, n: int, num: int, den: int, share: float = 1) -> DataFrame:
+    """The members (fp, size, row, root) that may link to one of another root: those of
+    which num / den are also in sets of other roots, as far as a share of all hashes tells.
+    Elements meet as binary blocks; their number is bounded by that of all shingles."""
+    count, total = members.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    blocks = max(1, int(total * share * 24 / BLOCK_BYTES))
+    buckets, below = 4 * blocks, np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
+    names, kinds = ["bucket", "fp", "root", "n", "elem"], (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, 1_500_000):
+                found: dict[int, tuple[int, int, np.ndarray]] = {}
+                for text, fp, root in zip(*(batch.column(c).to_pylist() for c in ("text", "fp", "root")), strict=True):
+                    s = shingles(text, n)
+                    if fingerprint(s) == fp:
+                        found[fp] = (fp, root, s[: np.searchsorted(s, below, "right")])
+                sets = [x for x in found.values() if len(x[2])]
+                if sets:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_emitted(sets, buckets), strict=True), kinds, strict=True)], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[bytes], ...]] = {}
+        for batch in batches:
+            for k, *parts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                for kept, part in zip(held.setdefault(k, ([], [], [], [])), parts, strict=True):
+                    kept.append(part)
+        for k in list(held):
+            fp, root, many, elem = (np.frombuffer(b"".join(x), t) for x, t in zip(held.pop(k), (np.int64, np.int64, np.int32, np.uint64), strict=True))
+            out = _lone(np.repeat(fp, many), np.repeat(root, many), elem)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["fp", "lone"])
+
+    docs = documents.select(row_key().alias("row"), "text").join(_few(members.select("row", "fp", "root"), 24 * count), "row")
+    emitted = docs.select("text", "fp", "root").mapInArrow(emit, "bucket int, fp binary, root binary, n binary, elem binary")
+    lone = emitted.repartition(blocks, "bucket").mapInArrow(meet, "fp long, lone long").groupBy("fp").agg(F.sum("lone").alias("lone"))
+    shared = F.col("size") - F.coalesce("lone", F.lit(0))
+    out = stored(members.join(lone, "fp", "left").filter(shared * den >= F.col("size") * num).select(members.columns), "accompanied")
+    freed(documents.sparkSession, members)  # the elements' shuffle
+    return out
+
+
+def _among(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of two members (fp)."""
+    held = small(members.select("fp"), 16 * members.count())
+    for s in ("a", "b"):
+        pairs = pairs.join(held.withColumnRenamed("fp", s), s, "left_semi")
+    return pairs
+
+
+def _few(rows: DataFrame, n_bytes: int) -> DataFrame:
+    """rows, of n_bytes, to find documents by: broadcast if few, else without sorting texts."""
+    out = small(rows, n_bytes)
+    return out if out is not rows else rows.hint("shuffle_hash")
+
+
 def members_of(documents: DataFrame, members: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """fp, size, sigs of the sets `members` (fp)."""
     return _of_texts(documents, members, sets, n, {"size": lambda s, _: len(s), "sigs": lambda s, _: signatures(s, num, den).view(np.int64)}, {"size": "long", "sigs": "array<long>"})
@@ -481,17 +576,22 @@ def rooted_rows(documents: DataFrame, n: int = WORDS, num: int = NUM, den: int =
     total = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     pairs = stored(candidates(documents, total, n, num, den, small), "candidates")
     freed(documents.sparkSession)  # the signatures' shuffle
+    # the sets that may have a link, of which a part of the hashes shows most
+    members = pairs.select(F.explode(F.array("a", "b")).alias("fp"), "big").groupBy("fp").agg(F.max("big").alias("big"))
+    members = stored(members.join(sets.select("fp", "size", "row"), "fp").withColumn("root", F.col("fp")), "paired")
+    members = accompanied(documents, members, n, num, den, min(1, 1.75 * (den - num) / den))
+    pairs = stored(_among(pairs.select("a", "b", "n"), members), "candidates")
     # each set with the partner that shares most signatures, then the pairs still apart
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     roots = components(verified(first.select("a", "b"), sets, documents, n, num, den))
-    apart = _rooted(_rooted(pairs.select("a", "b"), roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb")
+    members = accompanied(documents, stored(_rooted(members.drop("root"), roots, "fp", "root"), "rooted"), n, num, den)
+    apart = _rooted(_rooted(_among(pairs.select("a", "b"), members), roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb")
     done = first.select("a", "b")
     apart = stored(apart.select("a", "b").join(done, ["a", "b"], "left_anti"), "apart")
     roots = _joined(roots, verified(apart, sets, documents, n, num, den))
-    big = pairs.filter("big")
+    big = members.filter("big").select("fp")
     if not big.isEmpty():
-        members = big.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        signed = members_of(documents, members, sets, n, num, den)
+        signed = members_of(documents, big, sets, n, num, den)
         found_sets = stored(_rooted(signed, roots, "fp", "root"), "rooted", compression="zstd")
         freed(documents.sparkSession, signed)
         roots = _joined(roots, linked_families(found_sets, lambda wanted: hashes_of(documents, wanted, sets, n), num, den))
