@@ -500,7 +500,7 @@ def accompanied(documents: DataFrame, members: DataFrame, n: int, num: int, den:
     which num / den are also in sets of other roots, as far as a share of all hashes tells.
     Elements meet as binary blocks; their number is bounded by that of all shingles."""
     count, total = members.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    blocks = max(1, int(total * share * 24 / BLOCK_BYTES))
+    blocks = max(1, int(total * share * 24 / (2 * BLOCK_BYTES)))
     buckets, below = 4 * blocks, np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
     names, kinds = ["bucket", "fp", "root", "n", "elem"], (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
@@ -522,10 +522,16 @@ def accompanied(documents: DataFrame, members: DataFrame, n: int, num: int, den:
             for k, *parts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 for kept, part in zip(held.setdefault(k, ([], [], [], [])), parts, strict=True):
                     kept.append(part)
+        fps, counts = [], []
         for k in list(held):
             fp, root, many, elem = (np.frombuffer(b"".join(x), t) for x, t in zip(held.pop(k), (np.int64, np.int64, np.int32, np.uint64), strict=True))
-            out = _lone(np.repeat(fp, many), np.repeat(root, many), elem)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["fp", "lone"])
+            fp, lone = _lone(np.repeat(fp, many), np.repeat(root, many), elem)
+            fps.append(fp)
+            counts.append(lone)
+        if fps:  # a row for each set and task, not for each bucket
+            fp, at = np.unique(np.concatenate(fps), return_inverse=True)
+            lone = np.bincount(at, np.concatenate(counts), len(fp)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (fp, lone)], names=["fp", "lone"])
 
     docs = documents.select(row_key().alias("row"), "text").join(_few(members.select("row", "fp", "root"), 24 * count), "row")
     emitted = docs.select("text", "fp", "root").mapInArrow(emit, "bucket int, fp binary, root binary, n binary, elem binary")
