@@ -50,6 +50,8 @@ from .families import linked_families
 WORDS, NUM, DEN = 5, 80, 100
 SMALL = 6
 BLOCK_BYTES = 24 << 20
+#: Sets whose counts a task holds at once, about.
+COUNTS = 1 << 20
 #: Pairs of one set that a task verifies together, about.
 PARTNERS = 256
 #: Links that one task contracts at once.
@@ -517,25 +519,36 @@ def accompanied(documents: DataFrame, members: DataFrame, n: int, num: int, den:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_emitted(sets, buckets), strict=True), kinds, strict=True)], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[bytes], ...]] = {}
+        key, held, fps, counts = None, ([], [], [], []), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            """The counts so far with those of the bucket that is held."""
+            fp, root, many, elem = (np.frombuffer(b"".join(x), t) for x, t in zip(held, (np.int64, np.int64, np.int32, np.uint64), strict=True))
+            fp, lone = _lone(np.repeat(fp, many), np.repeat(root, many), elem)
+            fp, at = np.unique(np.concatenate([fps, fp]), return_inverse=True)
+            return fp, np.bincount(at, np.concatenate([counts, lone]), len(fp)).astype(np.int64)
+
+        row = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (fps, counts)], names=["fp", "lone"])
         for batch in batches:
             for k, *parts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                for kept, part in zip(held.setdefault(k, ([], [], [], [])), parts, strict=True):
+                if k != key and key is not None:
+                    fps, counts = summed()
+                    held = ([], [], [], [])
+                    if len(fps) > COUNTS:
+                        yield row()
+                        fps, counts = fps[:0], counts[:0]
+                key = k
+                for kept, part in zip(held, parts, strict=True):
                     kept.append(part)
-        fps, counts = [], []
-        for k in list(held):
-            fp, root, many, elem = (np.frombuffer(b"".join(x), t) for x, t in zip(held.pop(k), (np.int64, np.int64, np.int32, np.uint64), strict=True))
-            fp, lone = _lone(np.repeat(fp, many), np.repeat(root, many), elem)
-            fps.append(fp)
-            counts.append(lone)
-        if fps:  # a row for each set and task, not for each bucket
-            fp, at = np.unique(np.concatenate(fps), return_inverse=True)
-            lone = np.bincount(at, np.concatenate(counts), len(fp)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (fp, lone)], names=["fp", "lone"])
+        if key is not None:
+            fps, counts = summed()
+            yield row()
 
     docs = documents.select(row_key().alias("row"), "text").join(_few(members.select("row", "fp", "root"), 24 * count), "row")
     emitted = docs.select("text", "fp", "root").mapInArrow(emit, "bucket int, fp binary, root binary, n binary, elem binary")
-    lone = emitted.repartition(blocks, "bucket").mapInArrow(meet, "fp long, lone long").groupBy("fp").agg(F.sum("lone").alias("lone"))
+    # a set has a row of counts from each task; so their number follows the cores, and each reads its buckets in turn
+    tasks = min(blocks, 2 * documents.sparkSession.sparkContext.defaultParallelism)
+    lone = emitted.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "fp long, lone long").groupBy("fp").agg(F.sum("lone").alias("lone"))
     shared = F.col("size") - F.coalesce("lone", F.lit(0))
     out = stored(members.join(lone, "fp", "left").filter(shared * den >= F.col("size") * num).select(members.columns), "accompanied")
     freed(documents.sparkSession, members)  # the elements' shuffle
